@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from lispmill.llm import decontaminate, langid, licenses, media, packing, secrets, simhash, tokens, toxicity
+from lispmill.llm import decontaminate, langid, licenses, media, packing, secrets, sharding, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,9 +20,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": langid.op6_language_id,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_token_counts": tokens.op8_token_counts,
+        "op9_compact_shards": sharding.op9_compact_shards,
         "op10_secret_scan": secrets.op10_secret_scan,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_secret_scan": secrets.oracle()}
+    return {"op9_compact_shards": sharding.oracle(), "op10_secret_scan": secrets.oracle()}

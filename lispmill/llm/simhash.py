@@ -1,9 +1,9 @@
 """SimHash near-duplicates: 64-bit fingerprints linked at ``distance`` or fewer differing bits, exactly.
 
 A fingerprint's bits are majority votes over the XXH64 hashes of a text's word shingles. Equal fingerprints
-are one node. For the rest, the 64 bits are cut into ``BLOCKS`` blocks: two fingerprints within ``distance``
-bits agree on at least ``BLOCKS - distance`` blocks, so each fingerprint goes to one cell for each choice of
-that many blocks, keyed by their bits (15 cells of 21 or 22 bits at distance 4). No pair is missed.
+are one node. For the rest, the 64 bits are cut into ``distance + AGREE`` blocks: two fingerprints within the distance
+agree on at least ``AGREE`` blocks, so each fingerprint goes to one cell for each choice of that many blocks,
+keyed by their bits (15 cells of 21 or 22 bits at distance 4). No pair is missed.
 
 In a cell the fingerprints are sorted by Gray rank and put in a hierarchical index: a leaf holds a run of
 neighbours, each node above a run of nodes, and each node holds the bits that all below it share (a mask and
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lispmill.llm.common import cut, map_rows, table
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-SHINGLE, SEED, DISTANCE, BLOCKS = 4, 42, 4, 6
+SHINGLE, SEED, DISTANCE, AGREE = 4, 42, 4, 2
 #: The most members of a cell that one task works on at once.
 CELL = 2048
 LEAF, FAN, QUERIES = 16, 8, 256
@@ -164,11 +164,12 @@ def link(fps: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
 
 def _cells(fps: DataFrame, distance: int) -> DataFrame:
     """(cell, fp) for each choice of blocks that two near fingerprints must agree on."""
-    edges = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
-    block = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(BLOCKS)]
+    blocks = distance + AGREE
+    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
+    block = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(blocks)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     keys = []
-    for k, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - distance)):
+    for k, chosen in enumerate(combinations(range(blocks), AGREE)):
         mask = sum(block[i] for i in chosen)
         keys.append(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(mask)))))
     return fps.select(F.explode(F.array(*keys)).alias("cell"), "fp")
@@ -247,19 +248,49 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _grouped(rows: DataFrame, distance: int) -> DataFrame:
+    """(fp, least): the smallest ``key`` that links reach from a fingerprint, for (key, fp) rows."""
+    nodes = cut(rows.groupBy("fp").agg(F.min("key").alias("least")))
+    roots = cut(components(links(nodes.select("fp"), distance)))
+    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ends = roots.select("node").unionByName(roots.select(F.col("root").alias("node"))).distinct()
+    linked = joined.join(ends, joined["fp"] == ends["node"], "left_semi")
+    best = linked.groupBy("root").agg(F.min("least").alias("best"))
+    # only fingerprints with an edge need more than their own least key
+    return joined.join(best, "root", "left").select("fp", F.coalesce("best", "least").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component): the smallest id that links reach, for each row."""
+    """(id, fp, component_id): the smallest id that links reach, for each row."""
     rows = cut(fingerprints(docs, shingle, id_col, text_col))
-    nodes = cut(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = components(links(nodes.select("fp"), distance))
-    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = joined.where("root <> fp").unionByName(joined.join(roots.select(F.col("root").alias("r")).distinct(), F.col("fp") == F.col("r"), "left_semi"))
-    best = linked.groupBy("root").agg(F.min("least").alias("component"))
-    # only fingerprints with an edge need more than their own least id
-    of = joined.join(best, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    of = _grouped(rows.select(F.col(id_col).alias("key"), "fp"), distance).withColumnRenamed("least", "component_id")
     return rows.join(of, "fp").select(id_col, "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the one of the smallest id (null last), then of the smallest
+    hash of its text; of rows alike in both, one."""
+    key = "_key_" + "_".join(docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64(F.lit("row"), text_col))
+    rows = cut(_with_key(keyed, shingle, id_col, text_col, key))
+    own = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("k").alias("k"))
+    least = _grouped(rows.select(own.alias("key"), "fp"), distance).select("least").distinct()
+    kept = least.select(F.col("least.id").alias("_kept_id"), F.col("least.k").alias("_kept_key"))
+    stay = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_kept_id"]) & (keyed[key] == kept["_kept_key"]), "left_semi")
+    if rows.count() != rows.select("id", "k").distinct().count():
+        stay = stay.dropDuplicates([id_col, key])
+    return stay.select(*docs.columns)
+
+
+def _with_key(docs: DataFrame, shingle: int, id_col: str, text_col: str, key: str) -> DataFrame:
+    def rows(part: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, k, text in part:
+            x = fingerprint(text, shingle)
+            yield doc_id, k, x - (1 << 64) if x >> 63 else x
+
+    return map_rows(docs, [id_col, key, text_col], rows, "id long, k long, fp long")
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

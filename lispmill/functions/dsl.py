@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lispmill.sources.parser import ENTRY
@@ -131,6 +131,18 @@ def pairs_of(vector: Column) -> Column:
     return F.transform(F.filter(own, lambda x: (x["k"] % 2 == 0) & (x["k"] + 1 < vector["n"])), lambda x: F.struct(x.alias("name"), F.get(own, x["k"] + 1).alias("value")))
 
 
+def reaching(defs: DataFrame) -> DataFrame:
+    """(path, bad): of (path, name, bad, uses) definitions, the names that are bad or reach one through the names they use.
+
+    A file's definitions meet in one row, and as many rounds as it has definitions close them."""
+    own = F.array_sort(F.collect_list(F.struct("name", "bad", "uses")))
+    first_ = lambda d: F.transform(F.filter(d, lambda x: x["bad"]), lambda x: x["name"])
+    grown = lambda d, s: F.array_union(s, F.transform(F.filter(d, lambda x: F.arrays_overlap(x["uses"], s)), lambda x: x["name"]))
+    files = defs.groupBy("path").agg(own.alias("d")).where(F.exists("d", lambda x: x["bad"]))
+    d = F.col("d")
+    return files.select("path", F.aggregate(F.sequence(F.lit(1), F.size(d)), first_(d), lambda s, _: grown(d, s)).alias("bad"))
+
+
 FINDING = "struct<rule_id:string,message:string,line:int,col:int,severity:string>"
 
 

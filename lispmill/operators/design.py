@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lispmill.functions.dsl import (
-    HEAD, IS_LIST, KIDS, PATH, SUB, any_of, body, call, first, found, inside, is_call, is_number, is_symbol, kid, kid_of, kids_from, kids_of, last_kid, last_of, local, no, pairs_of, parameters, plain_parameter, some, space, text, under, where, yes,
+    HEAD, IS_LIST, KIDS, PATH, SUB, any_of, body, call, first, found, inside, is_call, is_number, is_symbol, kid, kid_of, kids_from, kids_of, last_kid, last_of, local, no, pairs_of, parameters, plain_parameter, reaching, some, space, text, under, where, yes,
 )
 from lispmill.operators.registry import HINT, INFO, TRADITIONAL, WARNING, row_rule, table_rule
 
@@ -123,16 +123,14 @@ def divergent_change(complexity: int) -> Column:
     return F.when(DEFNS, found("divergent-change", WARNING, bad, text("Function '", kid(1)["v"], "' mixes responsibilities: ", F.array_join(kinds, ", "), ".")))
 
 
-@table_rule("external-data-coupling", TRADITIONAL, WARNING, "String tests on data that came in unchecked.", rounds=4)
-def external_data(nodes: DataFrame, rounds: int) -> DataFrame:
+@table_rule("external-data-coupling", TRADITIONAL, WARNING, "String tests on data that came in unchecked.")
+def external_data(nodes: DataFrame) -> DataFrame:
     """The argument of a string test flows from an input call: directly, by let names, or as a function's last form."""
     dirty = lambda x: some(under(x), lambda y: is_call(y, *INPUTS)) & no(some(under(x), lambda y: is_call(y, *SANITIZERS)))
-    defs = nodes.where(DEFNS & (F.col("depth") == 0)).select("path", kid(1)["v"].alias("name"), yes(dirty(last_kid())).alias("dirty"), F.transform(where(under(last_kid()), is_symbol), lambda y: y["v"]).alias("uses"), yes(some(under(last_kid()), lambda y: is_call(y, *SANITIZERS))).alias("clean"))
-    bad = defs.where("dirty").select("path", "name").distinct()
-    edges = defs.where("not clean").select("path", "name", F.explode("uses").alias("use"))
-    for _ in range(rounds):
-        bad = bad.unionByName(edges.join(bad.select("path", F.col("name").alias("use")), ["path", "use"], "left_semi").select("path", "name")).distinct()
-    roots = nodes.where((F.col("depth") == 0) & IS_LIST).join(bad.groupBy("path").agg(F.collect_set("name").alias("bad")), "path", "left")
+    clean = yes(some(under(last_kid()), lambda y: is_call(y, *SANITIZERS)))
+    uses = F.when(clean, F.array().cast("array<string>")).otherwise(F.transform(where(under(last_kid()), is_symbol), lambda y: y["v"]))
+    defs = nodes.where(DEFNS & (F.col("depth") == 0)).select("path", kid(1)["v"].alias("name"), yes(dirty(last_kid())).alias("bad"), uses.alias("uses"))
+    roots = nodes.where((F.col("depth") == 0) & IS_LIST).join(reaching(defs), "path", "left")
     named = F.coalesce("bad", F.array().cast("array<string>"))
     taints = lambda x, names: no(some(under(x), lambda y: is_call(y, *SANITIZERS))) & some(under(x), lambda y: (is_call(y, *INPUTS)) | (is_symbol(y) & F.array_contains(names, y["v"])))
     pairs = F.flatten(F.transform(where(SUB, lambda x: is_call(x, "let")), lambda x: pairs_of(kid_of(x, 1))))
@@ -191,7 +189,7 @@ def inappropriate_collection(nodes: DataFrame) -> DataFrame:
         ("last", kind == "Vector", "`last` on a vector is linear: consider `peek`."), ("nth", kind == "List", "`nth` on a list is linear: consider a vector."),
         ("some", (a["t"] == "FnLiteral") & (b["t"] == "Vector"), "`some` over a vector literal: consider a set."), ("first", is_call(a, "filter"), "`first` of `filter`: consider `some`."),
         ("empty?", is_call(a, "filter"), "`empty?` of `filter`: consider `not-any?`."), ("count", is_call(a, "filter"), "`count` of `filter` builds a sequence."),
-        ("sequence", is_call(a, "mapcat") & (a["n"] >= 3), "`sequence` of `mapcat`: consider a transducer."), ("contains?", kind.isin("Vector", "List") & b["t"].isin("Keyword", "String", "Symbol"), "`contains?` looks up indexes in this collection: consider a set."),
+        ("sequence", is_call(a, "mapcat") & (a["n"] >= 2) & (n >= 3), "`sequence` of `mapcat`: consider a transducer."), ("contains?", kind.isin("Vector", "List") & b["t"].isin("Keyword", "String", "Symbol"), "`contains?` looks up indexes in this collection: consider a set."),
         ("reduce", quoted(b), "`reduce` over a quoted form."), ("map", is_symbol(a, "identity"), "`map identity` does nothing."), ("map", last_kid()["t"] == "Map", "`map` over a map literal: consider `reduce-kv`."),
         ("apply", (is_symbol(a, "hash-map") & b["t"].isin("Vector", "Symbol")) | is_symbol(a, "concat"), "`apply` here: consider `into` or `mapcat`."), ("concat", some(kids_from(1), lambda x: is_call(x, "concat")), "Nested `concat`."),
         ("reverse", is_call(a, "map", "filter", "remove", "take", "drop"), "`reverse` of a lazy sequence: consider `into ()`."), ("merge", n > 4, "`merge` of many maps: consider `into`."),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lispmill.functions.dsl import (
-    HEAD, IS_LIST, KIDS, SUB, any_of, call, first, found, inside, is_call, is_symbol, kid, kid_of, kids_from, kids_of, last_kid, last_of, no, pairs_of, some, text, under, where, yes,
+    HEAD, IS_LIST, KIDS, SUB, any_of, call, first, found, inside, is_call, is_symbol, kid, kid_of, kids_from, kids_of, last_kid, last_of, no, pairs_of, reaching, some, text, under, where, yes,
 )
 from lispmill.operators.registry import FUNCTIONAL, HINT, INFO, WARNING, row_rule, table_rule
 
@@ -52,22 +52,20 @@ def inefficient_filtering() -> Column:
     ))
 
 
-@table_rule("lazy-side-effects", FUNCTIONAL, WARNING, "Side effects in lazy sequence operations, also through functions of the file.", lazy_context_funcs=LAZY, side_effect_funcs=EFFECTS, rounds=4)
-def lazy_side_effects(nodes: DataFrame, lazy_context_funcs: tuple, side_effect_funcs: tuple, rounds: int) -> DataFrame:
+@table_rule("lazy-side-effects", FUNCTIONAL, WARNING, "Side effects in lazy sequence operations, also through functions of the file.", lazy_context_funcs=LAZY, side_effect_funcs=EFFECTS)
+def lazy_side_effects(nodes: DataFrame, lazy_context_funcs: tuple, side_effect_funcs: tuple) -> DataFrame:
     symbols = lambda xs: F.array_distinct(F.transform(where(xs, is_symbol), lambda x: x["v"]))
-    defs = nodes.where(call("defn", "defn-") & (F.col("depth") == 0)).select("path", kid(1)["v"].alias("name"), F.explode(symbols(F.filter(SUB, lambda x: x["i"] > 2))).alias("use"))
-    bad = defs.where(F.col("use").isin(*side_effect_funcs)).select("path", "name").distinct()
-    for _ in range(rounds):
-        bad = bad.unionByName(defs.join(bad.select("path", F.col("name").alias("use")), ["path", "use"], "left_semi").select("path", "name")).distinct()
+    used = symbols(F.filter(SUB, lambda x: x["i"] > 2))
+    effects = F.array(*[F.lit(x) for x in side_effect_funcs])
+    defs = nodes.where(call("defn", "defn-") & (F.col("depth") == 0)).select("path", kid(1)["v"].alias("name"), F.arrays_overlap(used, effects).alias("bad"), used.alias("uses"))
     consumed = some(F.filter(SUB, lambda x: x["i"] > 0), lambda x: is_call(x, *EAGER))
     bodied = HEAD.isin("for", "lazy-seq", "lazy-cat")
     fn = kid(1)
     in_fn = F.when(bodied, symbols(F.filter(SUB, lambda x: x["i"] > 1))).when(fn["t"].isin("FnLiteral", "List"), symbols(under(fn))).when(fn["t"] == "Symbol", F.array(fn["v"]))
     lazy = nodes.where(call(*lazy_context_funcs) & ~inside(*EAGER) & no(consumed)).select("path", "line", "col", "ast", "head", F.coalesce(in_fn, F.array().cast("array<string>")).alias("uses"))
-    named = bad.groupBy("path").agg(F.collect_set("name").alias("bad"))
     own = F.filter("uses", lambda u: u.isin(*side_effect_funcs))
     through = F.array_intersect("uses", F.coalesce("bad", F.array().cast("array<string>")))
-    hit = lazy.join(named, "path", "left").withColumn("effect", F.coalesce(F.get(own, F.lit(0)), F.get(F.array_sort(through), F.lit(0)))).where("effect is not null")
+    hit = lazy.join(reaching(defs), "path", "left").withColumn("effect", F.coalesce(F.get(own, F.lit(0)), F.get(F.array_sort(through), F.lit(0)))).where("effect is not null")
     return hit.select(F.lit("lazy-side-effects").alias("rule_id"), text("Potential side effect '", F.col("effect"), "' inside lazy operation '", HEAD, "'.").alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), "ast")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lispmill.functions.dsl import (
-    HEAD, IS_LIST, KIDS, PATH, SUB, all_of, any_of, call, first, found, inside, is_call, is_number, is_symbol, kid, kid_of, kids_from, kids_of, last_of, local, no, pairs_of, parameters, plain_parameter, some, space, text, under, where, yes,
+    HEAD, IS_LIST, KIDS, PATH, SUB, all_of, any_of, call, first, found, inside, is_call, is_number, is_symbol, kid, kid_of, kids_from, kids_of, last_of, local, no, pairs_of, parameters, plain_parameter, reaching, some, space, text, under, where, yes,
 )
 from lispmill.operators.registry import CLOJURE, HINT, INFO, WARNING, row_rule, table_rule
 
@@ -23,7 +23,7 @@ CANDIDATES = ("map", "filter", "remove", "reduce", "mapcat", "keep", "distinct",
 CONDITIONALS = ("if", "when", "if-not", "when-not", "if-let", "when-let", "if-some", "when-some", "cond", "case")
 TRACKED = ("let", "loop", "for", "doseq", "dotimes", "binding", "with-open", "with-redefs", "when-first", "while", *CONDITIONALS)
 RESOURCES = ("reader", "writer", "stream", "socket", "connection")
-DEFINING = ("def", "defn", "defn-", "defmacro", "defmulti", "defmethod", "defonce", "defrecord", "deftype", "defprotocol", "defstruct", "declare")
+DEFINING = ("defn", "defn-", "def", "defonce", "defmacro", "defmulti", "defprotocol", "defrecord", "deftype")
 MUTATORS = ("set!", "alter-var-root", "agent-send", "agent-send-off", "intern")
 JAVA_MUTATORS = (".add", ".addAll", ".remove", ".removeAll", ".clear", ".set", ".put", ".putAll", ".append", ".insert", ".delete", ".setLength")
 SIDE_EFFECTS = ("println", "print", "printf", "prn", "pr", "swap!", "reset!", "send", "send-off", "alter", "ref-set", "spit", "alter-var-root")
@@ -68,18 +68,13 @@ def unsheltered(xs: Column, hit, shelter) -> Column:
     )
 
 
-@table_rule("blocking-inside-go", CLOJURE, WARNING, "Blocking calls inside go blocks, also through functions of the same file.", rounds=4)
-def blocking_inside_go(nodes: DataFrame, rounds: int) -> DataFrame:
+@table_rule("blocking-inside-go", CLOJURE, WARNING, "Blocking calls inside go blocks, also through functions of the same file.")
+def blocking_inside_go(nodes: DataFrame) -> DataFrame:
     used = unsheltered(SUB, lambda x: (x["t"] == "Symbol"), barrier)
     block = unsheltered(SUB, lambda x: ((x["t"] == "Symbol") & blocks(x["v"])) | (x["t"] == "Deref"), barrier)
-    defs = nodes.where(call("defn", "defn-", "def") & (F.col("depth") == 0)).select("path", kid(1)["v"].alias("name"), block.alias("hits"), F.array_distinct(used).alias("uses"))
-    bad = defs.where(F.size("hits") > 0).select("path", "name").distinct()
-    edges = defs.select("path", "name", F.explode("uses").alias("use")).where("name <> use")
-    for _ in range(rounds):  # names of blocking functions spread along calls, one level a round
-        bad = bad.unionByName(edges.join(bad.select("path", F.col("name").alias("use")), ["path", "use"], "left_semi").select("path", "name")).distinct()
+    defs = nodes.where(call("defn", "defn-", "def") & (F.col("depth") == 0)).select("path", kid(1)["v"].alias("name"), (F.size(block) > 0).alias("bad"), F.array_distinct(used).alias("uses"))
     gos = nodes.where(IS_LIST & goes(HEAD)).select("path", "line", "col", "ast", "head", (F.size(block) > 0).alias("own"), F.array_distinct(used).alias("uses"))
-    named = bad.groupBy("path").agg(F.collect_set("name").alias("bad"))
-    hit = gos.join(named, "path", "left").where(F.col("own") | F.coalesce(F.arrays_overlap("uses", "bad"), F.lit(False)))
+    hit = gos.join(reaching(defs), "path", "left").where(F.col("own") | F.coalesce(F.arrays_overlap("uses", "bad"), F.lit(False)))
     return hit.select(F.lit("blocking-inside-go").alias("rule_id"), text("Blocking function detected within the GO block ", HEAD, ".").alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), "ast")
 
 
@@ -92,15 +87,16 @@ def case_tests() -> Column:
 
 def runs_of(pairs: Column, begins, goes_on) -> Column:
     """Longest run: of consecutive pairs, the first of which begins it and each next of which goes on from the one before."""
-    state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("best_name"))
+    steps = F.transform(pairs, lambda p, i: F.struct(p["name"]["v"].alias("name"), yes(begins(p)).alias("begins")))
+    goes = F.zip_with(F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0))), F.slice(pairs, 2, F.greatest(F.size(pairs) - 1, F.lit(0))), lambda b, p: yes(goes_on(b, p)))
+    marked = F.zip_with(steps, F.concat(F.array(F.lit(False)), goes), lambda x, g: F.struct(x["name"].alias("name"), x["begins"].alias("begins"), F.coalesce(g, F.lit(False)).alias("goes")))
+    state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(None).cast("string").alias("name"))
 
-    def step(s: Column, i: Column) -> Column:
-        p, before = F.get(pairs, i), F.get(pairs, i - 1)
-        now = F.when((i > 0) & yes(goes_on(before, p)) & (s["now"] > 0), s["now"] + 1).when(yes(begins(p)), F.lit(1)).otherwise(F.lit(0))
-        name = p["name"]["v"]
-        return F.struct(now.alias("now"), F.greatest(s["best"], now).alias("best"), name.alias("name"), F.when(now > s["best"], name).otherwise(s["best_name"]).alias("best_name"))
+    def step(s: Column, x: Column) -> Column:
+        now = F.when(x["goes"] & (s["now"] > 0), s["now"] + 1).when(x["begins"], F.lit(1)).otherwise(F.lit(0))
+        return F.struct(now.alias("now"), F.greatest(s["best"], now).alias("best"), F.when(now > s["best"], x["name"]).otherwise(s["name"]).alias("name"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(pairs) - 1, F.lit(0))), state, step)
+    return F.aggregate(F.coalesce(marked, F.array().cast("array<struct<name:string,begins:boolean,goes:boolean>>")), state, step)
 
 
 def mentions(x: Column, name: Column) -> Column:
@@ -116,7 +112,7 @@ def conditional_build_up() -> Column:
         lambda b, p: (b["name"]["v"] == p["name"]["v"]) & is_call(p["value"], "if") & (p["value"]["n"] == 4) & mentions(kid_of(p["value"], 2), p["name"]["v"]) & (kid_of(p["value"], 3)["v"] == p["name"]["v"]) & (kid_of(p["value"], 3)["t"] == "Symbol"),
     )
     lets = call("let", "clojure.core/let", "cljs.core/let") & (kid(1)["t"] == "Vector") & (kid(1)["n"] >= 6)
-    return F.when(lets, found("conditional-build-up", HINT, run["best"] >= 3, text("Same symbol '", run["best_name"], "' is rebound with ", run["best"] - 1, " successive conditional updates. Prefer `cond->`.")))
+    return F.when(lets, found("conditional-build-up", HINT, run["best"] >= 3, text("Same symbol '", run["name"], "' is rebound with ", run["best"] - 1, " successive conditional updates. Prefer `cond->`.")))
 
 
 @row_rule("direct-use-of-clojure-lang-rt", CLOJURE, WARNING, "Calls of the runtime's internal class.", allowed_functions=())
@@ -292,10 +288,11 @@ def load_side_effects(nodes: DataFrame) -> DataFrame:
     lists = nodes.where(IS_LIST & HEAD.isin("ns", *loads, *DEFINING)).select("path", "id", "line", "col", "head", "ast", "enclosing")
     before = Window.partitionBy("path").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     seen = lists.withColumn("spaces", F.coalesce(F.sum((HEAD == "ns").cast("int")).over(before), F.lit(0))).withColumn("defs", F.coalesce(F.max(HEAD.isin(*DEFINING).cast("int")).over(before), F.lit(0)))
-    in_function = inside("defn", "defn-", "fn", "letfn") & (HEAD != "requiring-resolve")
-    later = (F.col("spaces") > 1) | (F.col("defs") > 0)
+    around = inside("defn", "defn-", "fn", "letfn")
+    in_function = around & (HEAD != "requiring-resolve")
+    later = ~around & ((F.col("spaces") > 1) | (F.col("defs") > 0))
     message = F.when(in_function, text("Side effect: '", HEAD, "' called inside a function body.")).otherwise(text("Namespace load side effect: '", HEAD, "' appears after definitions in the file."))
-    skip = PATH.rlike(r"project\.clj|build\.(clj|boot)|user\.clj|/dev/|/scripts?/|/repl|_test\.clj")
+    skip = F.lower(PATH).rlike(r"project\.clj$|deps\.edn$|/support/|/scripts/|/dev/|/build/|/repl/|_test\.clj$")
     hits = seen.where(HEAD.isin(*loads) & ~inside("ns", "comment") & ~skip & (in_function | later))
     return hits.select(F.lit("namespace-load-side-effects").alias("rule_id"), message.alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), "ast")
 

@@ -43,12 +43,23 @@ def select(config: Config) -> list[Rule]:
     return [r for _, r in sorted(RULES.items()) if config.on(r)]
 
 
+_columns: dict[tuple, Any] = {}
+
+
+def _column(nodes: DataFrame, rule: Rule, options: dict[str, Any]):
+    """A row rule's expression, made once for each JVM: it does not depend on the data."""
+    key = (id(nodes.sparkSession.sparkContext._gateway), rule.id, repr(sorted(options.items())))
+    if key not in _columns:
+        _columns[key] = rule.row(options)
+    return _columns[key]
+
+
 def findings(nodes: DataFrame, config: Config | None = None, rules: list[str] | None = None) -> DataFrame:
     """Findings of the enabled rules (or the named ones) over a node table. It is read once for all row rules
     and once for each table rule, so cache or write it if it is costly."""
     config = config or Config()
     chosen = [RULES[r] for r in rules] if rules is not None else select(config)
-    rows = [r.row(config.options(r)) for r in chosen if r.row]
+    rows = [_column(nodes, r, config.options(r)) for r in chosen if r.row]
     parts = []
     if rows:
         hits = F.filter(F.array(*rows), lambda x: x.isNotNull())

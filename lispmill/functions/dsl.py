@@ -15,8 +15,28 @@ from pyspark.sql import functions as F
 
 from lispmill.sources.parser import ENTRY
 
-SUB, KIDS, HEAD, PATH = F.col("sub"), F.col("kids"), F.col("head"), F.col("path")
-IS_LIST = F.col("type") == "List"
+
+def the_sub() -> Column:
+    return F.col("sub")
+
+
+def the_kids() -> Column:
+    return F.col("kids")
+
+
+def the_head() -> Column:
+    return F.col("head")
+
+
+def the_path() -> Column:
+    return F.col("path")
+
+
+def is_list() -> Column:
+    """This node is a list."""
+    return F.col("type") == "List"
+
+
 ENTRIES = f"array<{ENTRY}>"
 
 
@@ -39,19 +59,19 @@ def all_of(*xs: Column) -> Column:
 
 def call(*heads: str) -> Column:
     """This node is a list headed by one of the symbols."""
-    return IS_LIST & HEAD.isin(*heads)
+    return is_list() & the_head().isin(*heads)
 
 
 def kid(j: int) -> Column:
-    return F.get(KIDS, F.lit(j))
+    return F.get(the_kids(), F.lit(j))
 
 
 def last_kid() -> Column:
-    return F.get(KIDS, F.col("n") - 1)
+    return F.get(the_kids(), F.col("n") - 1)
 
 
 def kids_from(j: int) -> Column:
-    return F.filter(KIDS, lambda x: x["k"] >= j)
+    return F.filter(the_kids(), lambda x: x["k"] >= j)
 
 
 def is_call(x: Column, *heads: str) -> Column:
@@ -67,7 +87,7 @@ def is_number(x: Column, value: str) -> Column:
 
 
 def kids_of(x: Column) -> Column:
-    return F.filter(SUB, lambda y: y["p"] == x["i"])
+    return F.filter(the_sub(), lambda y: y["p"] == x["i"])
 
 
 def kid_of(x: Column, j: int) -> Column:
@@ -80,7 +100,7 @@ def last_of(x: Column) -> Column:
 
 def under(x: Column) -> Column:
     """The entry and all below it."""
-    return F.filter(SUB, lambda y: (y["i"] >= x["i"]) & (y["i"] < x["i"] + x["z"]))
+    return F.filter(the_sub(), lambda y: (y["i"] >= x["i"]) & (y["i"] < x["i"] + x["z"]))
 
 
 def some(xs: Column, f: Callable[[Column], Column]) -> Column:
@@ -116,13 +136,13 @@ def plain_parameter(x: Column) -> Column:
 
 def parameters() -> Column:
     """The first parameter vector of a definition (a null entry if there is none)."""
-    return first(F.filter(KIDS, lambda x: (x["k"] >= 2) & (x["t"] == "Vector")))
+    return first(F.filter(the_kids(), lambda x: (x["k"] >= 2) & (x["t"] == "Vector")))
 
 
 def body() -> Column:
     """The forms behind the first parameter vector."""
     p = parameters()
-    return F.filter(KIDS, lambda x: x["k"] > p["k"])
+    return F.filter(the_kids(), lambda x: x["k"] > p["k"])
 
 
 def pairs_of(vector: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lispmill.functions.dsl import (
-    HEAD, IS_LIST, KIDS, PATH, SUB, any_of, body, call, first, found, inside, is_call, is_number, is_symbol, kid, kid_of, kids_from, kids_of, last_kid, last_of, local, no, pairs_of, parameters, plain_parameter, reaching, some, space, text, under, where, yes,
+    the_head, is_list, the_kids, the_path, the_sub, any_of, body, call, first, found, inside, is_call, is_number, is_symbol, kid, kid_of, kids_from, kids_of, last_kid, last_of, local, no, pairs_of, parameters, plain_parameter, reaching, some, space, text, under, where, yes,
 )
 from lispmill.operators.registry import HINT, INFO, TRADITIONAL, WARNING, row_rule, table_rule
 
@@ -47,13 +47,20 @@ PRIMITIVES = ("String", "Integer", "Long", "Double", "Float", "Boolean", "Keywor
 INPUTS = ("slurp", "line-seq", "clojure.java.io/reader", "clojure.data.json/read-str", "json/read-str", "clojure.edn/read-string", "edn/read-string", "clojure.xml/parse", "http/get", "clj-http.client/get", "http/post", "clj-http.client/post")
 SANITIZERS = ("clojure.string/trim", "str/trim", "clojure.string/triml", "str/triml", "clojure.string/trimr", "str/trimr", "clojure.string/escape", "str/escape", "clojure.core/int", "int", "clojure.core/long", "long", "clojure.core/double", "double", "clojure.core/boolean", "boolean", "clojure.core/keyword", "keyword", "clojure.spec.alpha/valid?", "s/valid?", "clojure.spec.alpha/conform", "s/conform")
 STRING_TESTS = ("clojure.string/includes?", "str/includes?", "clojure.string/starts-with?", "str/starts-with?", "clojure.string/ends-with?", "str/ends-with?")
-DEFNS = call("defn", "defn-")
-BELOW = F.filter(SUB, lambda x: x["i"] > 0)
+
+
+def is_defn() -> Column:
+    return call("defn", "defn-")
+
+
+def below() -> Column:
+    """All entries below the node."""
+    return F.filter(the_sub(), lambda x: x["i"] > 0)
 
 
 def heads_below(keep=None) -> Column:
     """Heads of the lists below the node, in document order."""
-    return F.transform(where(BELOW, lambda x: (x["t"] == "List") & x["h"].isNotNull() & (keep(x["h"]) if keep else F.lit(True))), lambda x: x["h"])
+    return F.transform(where(below(), lambda x: (x["t"] == "List") & x["h"].isNotNull() & (keep(x["h"]) if keep else F.lit(True))), lambda x: x["h"])
 
 
 @row_rule("comments", TRADITIONAL, INFO, "Empty, long, stale, obvious and apologetic comments, and code in comments.")
@@ -76,16 +83,16 @@ def call_depth() -> Column:
     def deepen(s: Column, x: Column) -> Column:
         up = F.when(x["p"] <= 0, F.lit(0)).otherwise(F.get(s, x["p"]))
         through = x["t"].isin("List", "Vector", "Map", "FnLiteral")
-        head = first(F.filter(SUB, lambda y: (y["p"] == x["i"]) & (y["k"] == 0)))
+        head = first(F.filter(the_sub(), lambda y: (y["p"] == x["i"]) & (y["k"] == 0)))
         counted = (x["t"] == "List") & (x["h"].isNotNull() | yes(head["t"] == "Keyword"))
         return F.concat(s, F.array(F.when(x["i"] == 0, F.lit(0)).when(up < 0, F.lit(-1)).when(counted, up + 1).when(through, up).otherwise(F.lit(-1))))
 
-    return F.array_max(F.aggregate(SUB, F.array().cast("array<int>"), deepen))
+    return F.array_max(F.aggregate(the_sub(), F.array().cast("array<int>"), deepen))
 
 
 @row_rule("deeply-nested", TRADITIONAL, WARNING, "Function bodies with deep call stacks.", most=15)
 def deeply_nested(most: int) -> Column:
-    return F.when(DEFNS & (F.col("size") > most), found("deeply-nested", WARNING, call_depth() > most, text("Function '", kid(1)["v"], "' has a call depth of more than ", F.lit(most), ".")))
+    return F.when(is_defn() & (F.col("size") > most), found("deeply-nested", WARNING, call_depth() > most, text("Function '", kid(1)["v"], "' has a call depth of more than ", F.lit(most), ".")))
 
 
 def snake(x: Column) -> Column:
@@ -100,7 +107,7 @@ def external_schema() -> Column:
     hit = lambda x: (x["t"] == "List") & (
         (snake(key(x)) & on_param(kid_of(x, 1))) | (is_call(x, "get") & on_param(kid_of(x, 1)) & snake(kid_of(x, 2))) | (is_call(x, "get-in") & on_param(kid_of(x, 1)) & (kid_of(x, 2)["t"] == "Vector") & some(kids_of(kid_of(x, 2)), snake))
     )
-    one = first(where(F.filter(SUB, lambda x: x["i"] > kid(2)["i"]), hit))
+    one = first(where(F.filter(the_sub(), lambda x: x["i"] > kid(2)["i"]), hit))
     at = F.when(snake(key(one)), key(one)).when(is_call(one, "get"), kid_of(one, 2)).otherwise(first(where(kids_of(kid_of(one, 2)), snake)))
     adapter = kid(1)["v"].rlike(r"->|transform|parse|convert|adapt|normalize|from-|to-|coerce")
     return F.when(call("defn") & (F.col("n") >= 4) & (kid(2)["t"] == "Vector"), found("external-data-coupling:direct-external-schema-usage", WARNING, one.isNotNull() & ~adapter, text("Direct use of external key ", at["v"], " in '", kid(1)["v"], "'."), at))
@@ -120,7 +127,7 @@ def divergent_change(complexity: int) -> Column:
     decisions = F.size(heads_below(lambda h: h.isin(*DECISIONS))) + 1
     n = F.size(kinds)
     bad = ((n == 2) & pair & (F.size(roles) >= 3)) | ((n == 3) & pair) | (n > 3) | ((decisions > complexity) & (n >= 2))
-    return F.when(DEFNS, found("divergent-change", WARNING, bad, text("Function '", kid(1)["v"], "' mixes responsibilities: ", F.array_join(kinds, ", "), ".")))
+    return F.when(is_defn(), found("divergent-change", WARNING, bad, text("Function '", kid(1)["v"], "' mixes responsibilities: ", F.array_join(kinds, ", "), ".")))
 
 
 @table_rule("external-data-coupling", TRADITIONAL, WARNING, "String tests on data that came in unchecked.")
@@ -129,13 +136,13 @@ def external_data(nodes: DataFrame) -> DataFrame:
     dirty = lambda x: some(under(x), lambda y: is_call(y, *INPUTS)) & no(some(under(x), lambda y: is_call(y, *SANITIZERS)))
     clean = yes(some(under(last_kid()), lambda y: is_call(y, *SANITIZERS)))
     uses = F.when(clean, F.array().cast("array<string>")).otherwise(F.transform(where(under(last_kid()), is_symbol), lambda y: y["v"]))
-    defs = nodes.where(DEFNS & (F.col("depth") == 0)).select("path", kid(1)["v"].alias("name"), yes(dirty(last_kid())).alias("bad"), uses.alias("uses"))
-    roots = nodes.where((F.col("depth") == 0) & IS_LIST).join(reaching(defs), "path", "left")
+    defs = nodes.where(is_defn() & (F.col("depth") == 0)).select("path", kid(1)["v"].alias("name"), yes(dirty(last_kid())).alias("bad"), uses.alias("uses"))
+    roots = nodes.where((F.col("depth") == 0) & is_list()).join(reaching(defs), "path", "left")
     named = F.coalesce("bad", F.array().cast("array<string>"))
     taints = lambda x, names: no(some(under(x), lambda y: is_call(y, *SANITIZERS))) & some(under(x), lambda y: (is_call(y, *INPUTS)) | (is_symbol(y) & F.array_contains(names, y["v"])))
-    pairs = F.flatten(F.transform(where(SUB, lambda x: is_call(x, "let")), lambda x: pairs_of(kid_of(x, 1))))
+    pairs = F.flatten(F.transform(where(the_sub(), lambda x: is_call(x, "let")), lambda x: pairs_of(kid_of(x, 1))))
     flows = F.aggregate(pairs, named, lambda s, p: F.when(yes((p["name"]["t"] == "Symbol") & taints(p["value"], s)), F.concat(s, F.array(p["name"]["v"]))).otherwise(s))
-    hit = first(where(SUB, lambda x: is_call(x, *STRING_TESTS) & taints(kid_of(x, 1), flows)))
+    hit = first(where(the_sub(), lambda x: is_call(x, *STRING_TESTS) & taints(kid_of(x, 1), flows)))
     out = roots.withColumn("hit", hit).where("hit is not null")
     return out.select(F.lit("external-data-coupling").alias("rule_id"), text("Unsanitized external data used in `", F.col("hit.h"), "`.").alias("message"), "path", F.col("hit.l").alias("line"), F.col("hit.c").alias("col"), F.lit(WARNING).alias("severity"), "ast")
 
@@ -147,7 +154,7 @@ def feature_envy(least: int, external: int) -> Column:
     n, e = F.size(calls), F.size(outside)
     names = F.array_sort(F.array_distinct(outside))
     most = F.element_at(F.array_sort(F.transform(names, lambda s: F.struct((-F.size(F.filter(outside, lambda o: o == s))).alias("n"), s.alias("s")))), 1)["s"]
-    return F.when(DEFNS, found("feature-envy", WARNING, (n >= least) & (e >= external) & (e * 10 >= n * 7), text("Function '", kid(1)["v"], "' envies namespace '", F.when(e > 0, most), "': ", e, " of ", n, " calls are external.")))
+    return F.when(is_defn(), found("feature-envy", WARNING, (n >= least) & (e >= external) & (e * 10 >= n * 7), text("Function '", kid(1)["v"], "' envies namespace '", F.when(e > 0, most), "': ", e, " of ", n, " calls are external.")))
 
 
 @row_rule("hidden-side-effects", TRADITIONAL, WARNING, "Effects that a function's name does not tell.")
@@ -163,7 +170,7 @@ def hidden_side_effects() -> Column:
     has = lambda words: reduce(lambda a, b: a | b, [name.contains(w) for w in words])
     told = name.contains("!") | has(EFFECT_NAMES)
     bad = (F.size(effects) > 0) & (has(PURE_NAMES) | (~told & (F.size(F.array_remove(effects, "logging")) > 0)))
-    return F.when(DEFNS, found("hidden-side-effects", WARNING, bad, text("Function '", kid(1)["v"], "' has hidden side effects: ", F.array_join(effects, ", "), ".")))
+    return F.when(is_defn(), found("hidden-side-effects", WARNING, bad, text("Function '", kid(1)["v"], "' has hidden side effects: ", F.array_join(effects, ", "), ".")))
 
 
 def literal_kind(x: Column) -> Column:
@@ -200,7 +207,7 @@ def inappropriate_collection(nodes: DataFrame) -> DataFrame:
         ("=", is_number(a, "0") & is_call(b, "count"), "`(= 0 (count x))`: consider `empty?`."), (">", is_call(a, "count") & is_number(b, "0"), "`(> (count x) 0)`: consider `seq`."),
         ("not", is_call(a, "empty?") | (is_call(a, "zero?") & is_call(kid_of(a, 1), "count")), "Negated emptiness: consider `seq`."), ("keys", is_call(a, "group-by"), "`keys` of `group-by`: consider `distinct`."), ("seq", is_call(a, "count"), "`seq` of `count`."),
     ]
-    message = F.coalesce(*[F.when(yes((HEAD == h) & c), F.lit(m)) for h, c, m in tests])
+    message = F.coalesce(*[F.when(yes((the_head() == h) & c), F.lit(m)) for h, c, m in tests])
     out = rows.withColumn("message", message).where("message is not null")
     return out.select(F.lit("inappropriate-collection").alias("rule_id"), "message", "path", "line", "col", F.lit(HINT).alias("severity"), "ast")
 
@@ -224,7 +231,7 @@ def library_locker() -> Column:
     fixed = no(some(before, lambda x: ~x["t"].isin("String", "Number", "Keyword", "Bool", "Nil", "Map", "Vector")))
     same = (n > 0) & (((F.size(a) >= n) & (tail == p) & fixed) | (F.array_sort(a) == F.array_sort(p)))
     lib = space(c["h"])
-    return F.when(DEFNS & (kid(2)["t"] != "String"), found("library-locker", INFO, c.isNotNull() & lib.isNotNull() & ~lib.isin("clojure.core", "clojure.string", "str", "s") & same, text("Function '", kid(1)["v"], "' only wraps `", c["h"], "`.")))
+    return F.when(is_defn() & (kid(2)["t"] != "String"), found("library-locker", INFO, c.isNotNull() & lib.isNotNull() & ~lib.isin("clojure.core", "clojure.string", "str", "s") & same, text("Function '", kid(1)["v"], "' only wraps `", c["h"], "`.")))
 
 
 @row_rule("linear-collection-scan", TRADITIONAL, WARNING, "Chains and scans that pass over collections more than needed.")
@@ -234,24 +241,24 @@ def linear_scan() -> Column:
     filt = lambda x: is_call(x, "filter")
     deep = lambda x: some(kids_of(x), lambda y: is_call(y, *many))
     zeros = some(kids_of(a), lambda x: (x["k"] % 2 == 1) & is_number(x, "0"))
-    words = lambda *w: some(BELOW, lambda x: is_symbol(x, *w))
+    words = lambda *w: some(below(), lambda x: is_symbol(x, *w))
     tests = [
-        (HEAD.isin(*three) & is_call(tail, *three), WARNING, "Chained sequence operations pass over the collection twice."),
-        ((n == 2) & is_call(a, "sort", "sort-by"), WARNING, "Sorting only to take one result."), ((HEAD == "map") & (n >= 3) & is_symbol(a, "println", "prn", "print"), WARNING, "`map` for side effects: consider `run!`."),
-        (((HEAD == "not") & is_call(a, "empty?") & filt(kid_of(a, 1))) | ((HEAD == "not-empty") & filt(a)), WARNING, "Filtering to test for any: consider `some`."), (HEAD.isin("first", "last") & filt(a), INFO, "Filtering to take one: consider `some`."),
-        (HEAD.isin(">", "pos?") & some(kids_from(1), lambda x: (x["t"] == "List") & (x["n"] == 2) & filt(kid_of(x, 1))), INFO, "Counting a filter to compare."),
-        (HEAD.isin(*many) & some(kids_from(1), lambda x: is_call(x, *many) & deep(x)), INFO, "Three nested sequence operations."), ((HEAD == "concat") & some(kids_from(1), lambda x: is_call(x, "concat")), INFO, "Nested `concat`."),
-        ((HEAD == "reduce") & is_symbol(a, "+", "*", "min", "max", "and", "or"), HINT, "`reduce` of a built-in: consider `apply`."), ((HEAD == "for") & (a["t"] == "Vector") & (a["n"] == 2) & (b["t"] == "List") & (b["n"] == 2), HINT, "`for` with one binding: consider `map`."),
-        ((HEAD == "take") & is_call(b, "drop"), HINT, "`take` of `drop`: consider `subvec`."), ((HEAD == "take") & is_call(b, "repeatedly"), HINT, "`take` of `repeatedly`: give it the count."), ((HEAD == "map") & (tail["t"] == "Map"), HINT, "`map` over a map literal."),
-        (HEAD.isin("=", ">") & some(kids_from(1), lambda x: is_call(x, "count")), HINT, "Comparing a count scans the collection."), ((HEAD == "loop") & words("when", "seq", "first", "recur"), HINT, "Manual loop over a collection: consider `reduce`."),
-        ((HEAD == "loop") & zeros & words("inc", "recur"), HINT, "Manual counting loop."), ((HEAD == "count") & filt(a), INFO, "Counting a filter."),
+        (the_head().isin(*three) & is_call(tail, *three), WARNING, "Chained sequence operations pass over the collection twice."),
+        ((n == 2) & is_call(a, "sort", "sort-by"), WARNING, "Sorting only to take one result."), ((the_head() == "map") & (n >= 3) & is_symbol(a, "println", "prn", "print"), WARNING, "`map` for side effects: consider `run!`."),
+        (((the_head() == "not") & is_call(a, "empty?") & filt(kid_of(a, 1))) | ((the_head() == "not-empty") & filt(a)), WARNING, "Filtering to test for any: consider `some`."), (the_head().isin("first", "last") & filt(a), INFO, "Filtering to take one: consider `some`."),
+        (the_head().isin(">", "pos?") & some(kids_from(1), lambda x: (x["t"] == "List") & (x["n"] == 2) & filt(kid_of(x, 1))), INFO, "Counting a filter to compare."),
+        (the_head().isin(*many) & some(kids_from(1), lambda x: is_call(x, *many) & deep(x)), INFO, "Three nested sequence operations."), ((the_head() == "concat") & some(kids_from(1), lambda x: is_call(x, "concat")), INFO, "Nested `concat`."),
+        ((the_head() == "reduce") & is_symbol(a, "+", "*", "min", "max", "and", "or"), HINT, "`reduce` of a built-in: consider `apply`."), ((the_head() == "for") & (a["t"] == "Vector") & (a["n"] == 2) & (b["t"] == "List") & (b["n"] == 2), HINT, "`for` with one binding: consider `map`."),
+        ((the_head() == "take") & is_call(b, "drop"), HINT, "`take` of `drop`: consider `subvec`."), ((the_head() == "take") & is_call(b, "repeatedly"), HINT, "`take` of `repeatedly`: give it the count."), ((the_head() == "map") & (tail["t"] == "Map"), HINT, "`map` over a map literal."),
+        (the_head().isin("=", ">") & some(kids_from(1), lambda x: is_call(x, "count")), HINT, "Comparing a count scans the collection."), ((the_head() == "loop") & words("when", "seq", "first", "recur"), HINT, "Manual loop over a collection: consider `reduce`."),
+        ((the_head() == "loop") & zeros & words("inc", "recur"), HINT, "Manual counting loop."), ((the_head() == "count") & filt(a), INFO, "Counting a filter."),
     ]
-    return F.when(IS_LIST & HEAD.isNotNull(), F.coalesce(*[found("linear-collection-scan", s, c, m) for c, s, m in tests]))
+    return F.when(is_list() & the_head().isNotNull(), F.coalesce(*[found("linear-collection-scan", s, c, m) for c, s, m in tests]))
 
 
 @row_rule("long-function", TRADITIONAL, WARNING, "Functions over many lines.", most=57)
 def long_function(most: int) -> Column:
-    lines = F.transform(SUB, lambda x: x["l"])
+    lines = F.transform(the_sub(), lambda x: x["l"])
     span = F.array_max(lines) - F.array_min(lines) + 1
     return F.when(call("defn"), found("long-function", WARNING, span > most, text("Function \"", kid(1)["v"], "\" is too long (", span, " lines, at most ", F.lit(most), ").")))
 
@@ -270,13 +277,13 @@ def message_chains(most: int) -> Column:
         up = F.when(x["i"] == 0, F.lit(1)).when((x["k"] == 1) & is_call(x, "get") & (F.get(s, x["p"]) > 0), F.get(s, x["p"]) + 1).otherwise(F.lit(0))
         return F.concat(s, F.array(F.coalesce(up, F.lit(0))))
 
-    gets = F.array_max(F.aggregate(SUB, F.array().cast("array<int>"), deepen))
+    gets = F.array_max(F.aggregate(the_sub(), F.array().cast("array<int>"), deepen))
     step = lambda x: (x["t"] == "Keyword") | is_call(x, "get", "get-in", "nth", "first", "last") | (x["t"] == "List") & (kid_of(x, 0)["t"] == "Keyword")
     steps = F.size(where(kids_from(2), step))
     return F.coalesce(
         F.when(call("get"), found("message-chains", WARNING, gets >= most, text("Nested `get` of depth ", gets, "."))),
         F.when(call("get-in"), found("message-chains", WARNING, (kid(2)["t"] == "Vector") & (kid(2)["n"] >= most), text("`get-in` path of ", kid(2)["n"], " keys."))),
-        F.when(call("->", "->>"), found("message-chains", WARNING, steps >= most, text("Chain of ", steps, " accesses in `", HEAD, "`."))),
+        F.when(call("->", "->>"), found("message-chains", WARNING, steps >= most, text("Chain of ", steps, " accesses in `", the_head(), "`."))),
     )
 
 
@@ -301,19 +308,19 @@ def positional_returns() -> Column:
     tail = F.when(is_call(last_kid(), "let"), last_of(last_kid())).otherwise(last_kid())
     head = kid_of(tail, 0)
     bad = ((tail["t"] == "Vector") | ((tail["t"] == "List") & head["t"].isin("Keyword", "String", "Number", "Bool", "Nil", "Vector", "Map"))) & (tail["n"] >= 2)
-    return F.when(call("defn", "fn") & (F.col("n") >= F.when(HEAD == "fn", 3).otherwise(4)), found("positional-return-values", WARNING, bad, "Function returns a collection whose elements are told by position. Consider a map.", tail))
+    return F.when(call("defn", "fn") & (F.col("n") >= F.when(the_head() == "fn", 3).otherwise(4)), found("positional-return-values", WARNING, bad, "Function returns a collection whose elements are told by position. Consider a map.", tail))
 
 
 @row_rule("primitive-obsession", TRADITIONAL, HINT, "Parameters that are all primitive.", run=8)
 def primitive_obsession(run: int) -> Column:
-    p = F.when(HEAD == "defrecord", kid(2)).otherwise(parameters())
+    p = F.when(the_head() == "defrecord", kid(2)).otherwise(parameters())
     own = kids_of(p)
     hint = lambda x: is_symbol(x) & x["v"].isin(*PRIMITIVES)
     names = where(own, lambda x: ~hint(x) & (x["v"] != "&"))
     plain = lambda x: is_symbol(x) & ~x["v"].isin("_", "&")
     longest = F.aggregate(names, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), lambda s, x: F.struct(F.when(yes(plain(x)), s["now"] + 1).otherwise(F.lit(0)).alias("now"), F.greatest(s["best"], F.when(yes(plain(x)), s["now"] + 1).otherwise(F.lit(0))).alias("best")))["best"]
     hinted = F.size(where(own, lambda x: plain(x) & ~hint(x) & yes(hint(F.get(own, x["k"] - 1)))))
-    both = (HEAD == "defn") & (F.size(names) == 2) & (hinted == 2)
+    both = (the_head() == "defn") & (F.size(names) == 2) & (hinted == 2)
     return F.when(call("defn", "defn-", "defrecord"), found("primitive-obsession", HINT, p.isNotNull() & ((p["t"] == "Vector") & (both | (longest >= run))), text("'", kid(1)["v"], "' takes only primitive parameters (", F.greatest(longest, F.size(names)), ")."), first(own)))
 
 
@@ -321,19 +328,19 @@ def primitive_obsession(run: int) -> Column:
 def shotgun_surgery(spaces: int, calls: int) -> Column:
     outside = F.filter(F.transform(heads_below(), space), lambda s: s.isNotNull())
     kinds = F.size(F.array_distinct(outside))
-    return F.when(DEFNS, found("shotgun-surgery", WARNING, (kinds > spaces) | (F.size(outside) > calls), text("Function '", kid(1)["v"], "' makes ", F.size(outside), " calls to ", kinds, " namespaces.")))
+    return F.when(is_defn(), found("shotgun-surgery", WARNING, (kinds > spaces) | (F.size(outside) > calls), text("Function '", kid(1)["v"], "' makes ", F.size(outside), " calls to ", kinds, " namespaces.")))
 
 
 @row_rule("string-map-keys", TRADITIONAL, INFO, "Strings as keys of map literals.")
 def string_keys() -> Column:
-    keys = where(KIDS, lambda x: (x["k"] % 2 == 0) & (x["t"] == "String"))
+    keys = where(the_kids(), lambda x: (x["k"] % 2 == 0) & (x["t"] == "String"))
     return F.when(F.col("type") == "Map", found("string-map-keys", INFO, (F.col("n") % 2 == 0) & (F.size(keys) > 0), text("String key \"", first(keys)["v"], "\" in map literal. Consider a keyword."), first(keys)))
 
 
 @row_rule("unnecessary-abstraction", TRADITIONAL, HINT, "Local functions used once, and functions that only look up a key.")
 def unnecessary_abstraction() -> Column:
     pairs = pairs_of(kid(1))
-    rest = F.filter(SUB, lambda x: x["i"] >= kid(1)["i"] + kid(1)["z"])
+    rest = F.filter(the_sub(), lambda x: x["i"] >= kid(1)["i"] + kid(1)["z"])
     once = where(pairs, lambda p: is_symbol(p["name"]) & (p["value"]["t"] == "FnLiteral") & (F.size(where(rest, lambda x: is_symbol(x) & (x["v"] == p["name"]["v"]))) == 1))
     b = first(body())
     simple = (F.size(body()) == 1) & (b["t"] == "List") & (((kid_of(b, 0)["t"] == "Keyword") & (b["n"] == 2)) | (is_call(b, "get") & b["n"].isin(3, 4)))
@@ -348,8 +355,8 @@ def unnecessary_abstraction() -> Column:
 
 @table_rule("cyclic-dependency", TRADITIONAL, WARNING, "Pairs of functions of a file that call each other.")
 def cyclic(nodes: DataFrame) -> DataFrame:
-    defs = nodes.where(DEFNS & (F.col("n") >= 3))
-    calls = defs.select("path", "id", kid(1)["v"].alias("a"), F.explode(F.filter(SUB, lambda x: (x["t"] == "List") & (x["i"] > 0))).alias("c")).select("path", "a", F.col("c.h").alias("b"), F.col("c.l").alias("line"), F.col("c.c").alias("col")).where("b is not null and a <> b")
+    defs = nodes.where(is_defn() & (F.col("n") >= 3))
+    calls = defs.select("path", "id", kid(1)["v"].alias("a"), F.explode(F.filter(the_sub(), lambda x: (x["t"] == "List") & (x["i"] > 0))).alias("c")).select("path", "a", F.col("c.h").alias("b"), F.col("c.l").alias("line"), F.col("c.c").alias("col")).where("b is not null and a <> b")
     edges = calls.groupBy("path", "a", "b").agg(F.min(F.struct("line", "col")).alias("at"))
     back = edges.select("path", F.col("b").alias("a"), F.col("a").alias("b"))
     hit = edges.join(back, ["path", "a", "b"], "left_semi").where("a < b")
@@ -380,7 +387,7 @@ CORE = ("map", "filter", "reduce", "apply", "partial", "comp", "let", "when", "i
 @table_rule("duplicated-code", TRADITIONAL, WARNING, "Definitions alike but for names and literals.", tokens=5)
 def duplicated(nodes: DataFrame, tokens: int) -> DataFrame:
     """A definition's shape: its nodes in order with literals and names that are not of the core left out."""
-    shape = F.array_join(F.transform(SUB, lambda x: F.concat_ws(":", x["d"], F.when(x["t"] == "Symbol", F.when(x["v"].isin(*CORE, "defn-", "defmacro", "defmethod"), x["v"]).otherwise(F.lit("VAR"))).otherwise(x["t"]))), " ")
+    shape = F.array_join(F.transform(the_sub(), lambda x: F.concat_ws(":", x["d"], F.when(x["t"] == "Symbol", F.when(x["v"].isin(*CORE, "defn-", "defmacro", "defmethod"), x["v"]).otherwise(F.lit("VAR"))).otherwise(x["t"]))), " ")
     blocks = nodes.where(call("defn", "defn-", "defmacro", "defmethod") & (F.col("size") >= tokens)).select("path", "id", "line", "col", "ast", F.sha2(shape, 256).alias("shape"))
     # the first of each shape and the count so far, from (shape, file) totals: a common shape is not gathered in one task
     in_file = Window.partitionBy("shape", "path").orderBy("id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lispmill.functions.dsl import (
-    HEAD, IS_LIST, KIDS, SUB, any_of, call, first, found, inside, is_call, is_symbol, kid, kid_of, kids_from, kids_of, last_kid, last_of, no, pairs_of, reaching, some, text, under, where, yes,
+    the_head, is_list, the_kids, the_sub, any_of, call, first, found, inside, is_call, is_symbol, kid, kid_of, kids_from, kids_of, last_kid, last_of, no, pairs_of, reaching, some, text, under, where, yes,
 )
 from lispmill.operators.registry import FUNCTIONAL, HINT, INFO, WARNING, row_rule, table_rule
 
@@ -20,7 +20,7 @@ WRAPPERS = ("first", "last", "second", "nth", "count", "empty?", "not-empty", "s
 @row_rule("explicit-recursion", FUNCTIONAL, INFO, "Recursion that filter, map or reduce would say.")
 def explicit_recursion() -> Column:
     name, tail = kid(1)["v"], last_kid()
-    again = some(F.filter(SUB, lambda x: x["i"] > 0), lambda x: (x["t"] == "List") & (x["h"] == name))
+    again = some(F.filter(the_sub(), lambda x: x["i"] > 0), lambda x: (x["t"] == "List") & (x["h"] == name))
     other = kid_of(tail, 3)
     shape = is_call(tail, "if") & is_call(kid_of(tail, 1), "empty?") & (tail["n"] >= 4) & (other["t"] == "List")
     let_if = is_call(other, "let") & is_call(last_of(other), "if")
@@ -37,36 +37,36 @@ def inefficient_filtering() -> Column:
     rule, a = "inefficient-filtering", kid(1)
     bound = where(pairs_of(a), lambda p: is_call(p["value"], "first") & is_call(kid_of(p["value"], 1), "filter"))
     value = first(bound)["value"]
-    nested = (HEAD.isin("nil?", "not") & is_call(a, "seq") & filtering(kid_of(a, 1)))
-    wrapped = HEAD.isin(*WRAPPERS) & any_of(filtering(a), filtering(kid(2)) & HEAD.isin("take", "sort"))
-    mapped = (HEAD == "map") & filtering(last_kid())
+    nested = (the_head().isin("nil?", "not") & is_call(a, "seq") & filtering(kid_of(a, 1)))
+    wrapped = the_head().isin(*WRAPPERS) & any_of(filtering(a), filtering(kid(2)) & the_head().isin("take", "sort"))
+    mapped = (the_head() == "map") & filtering(last_kid())
     steps = kids_from(1)
     is_filter = lambda x: filtering(x) | is_symbol(x, "filter", "remove")
-    threaded = HEAD.isin("->>", "->") & (F.size(where(steps, is_filter)) >= 2)
+    threaded = the_head().isin("->>", "->") & (F.size(where(steps, is_filter)) >= 2)
     # a first of filter right in a let's bindings is reported by that let
-    in_let = (F.col("up_type") == "Vector") & inside("let") & (HEAD == "first") & (F.col("idx") % 2 == 1) & is_call(a, "filter")
-    return F.when(IS_LIST & HEAD.isNotNull(), F.coalesce(
+    in_let = (F.col("up_type") == "Vector") & inside("let") & (the_head() == "first") & (F.col("idx") % 2 == 1) & is_call(a, "filter")
+    return F.when(is_list() & the_head().isNotNull(), F.coalesce(
         F.when(call("let") & (a["t"] == "Vector"), found(rule, HINT, F.size(bound) > 0, "Inefficient filtering: `(first (filter ...))` bound in let. Consider `some`.", value)),
-        found(rule, HINT, (wrapped | nested | mapped) & no(in_let), text("Inefficient filtering: `(", HEAD, " (filter ...))`.")),
-        found(rule, HINT, threaded, text("Inefficient filtering: several filters in `", HEAD, "`.")),
+        found(rule, HINT, (wrapped | nested | mapped) & no(in_let), text("Inefficient filtering: `(", the_head(), " (filter ...))`.")),
+        found(rule, HINT, threaded, text("Inefficient filtering: several filters in `", the_head(), "`.")),
     ))
 
 
 @table_rule("lazy-side-effects", FUNCTIONAL, WARNING, "Side effects in lazy sequence operations, also through functions of the file.", lazy_context_funcs=LAZY, side_effect_funcs=EFFECTS)
 def lazy_side_effects(nodes: DataFrame, lazy_context_funcs: tuple, side_effect_funcs: tuple) -> DataFrame:
     symbols = lambda xs: F.array_distinct(F.transform(where(xs, is_symbol), lambda x: x["v"]))
-    used = symbols(F.filter(SUB, lambda x: x["i"] > 2))
+    used = symbols(F.filter(the_sub(), lambda x: x["i"] > 2))
     effects = F.array(*[F.lit(x) for x in side_effect_funcs])
     defs = nodes.where(call("defn", "defn-") & (F.col("depth") == 0)).select("path", kid(1)["v"].alias("name"), F.arrays_overlap(used, effects).alias("bad"), used.alias("uses"))
-    consumed = some(F.filter(SUB, lambda x: x["i"] > 0), lambda x: is_call(x, *EAGER))
-    bodied = HEAD.isin("for", "lazy-seq", "lazy-cat")
+    consumed = some(F.filter(the_sub(), lambda x: x["i"] > 0), lambda x: is_call(x, *EAGER))
+    bodied = the_head().isin("for", "lazy-seq", "lazy-cat")
     fn = kid(1)
-    in_fn = F.when(bodied, symbols(F.filter(SUB, lambda x: x["i"] > 1))).when(fn["t"].isin("FnLiteral", "List"), symbols(under(fn))).when(fn["t"] == "Symbol", F.array(fn["v"]))
+    in_fn = F.when(bodied, symbols(F.filter(the_sub(), lambda x: x["i"] > 1))).when(fn["t"].isin("FnLiteral", "List"), symbols(under(fn))).when(fn["t"] == "Symbol", F.array(fn["v"]))
     lazy = nodes.where(call(*lazy_context_funcs) & ~inside(*EAGER) & no(consumed)).select("path", "line", "col", "ast", "head", F.coalesce(in_fn, F.array().cast("array<string>")).alias("uses"))
     own = F.filter("uses", lambda u: u.isin(*side_effect_funcs))
     through = F.array_intersect("uses", F.coalesce("bad", F.array().cast("array<string>")))
     hit = lazy.join(reaching(defs), "path", "left").withColumn("effect", F.coalesce(F.get(own, F.lit(0)), F.get(F.array_sort(through), F.lit(0)))).where("effect is not null")
-    return hit.select(F.lit("lazy-side-effects").alias("rule_id"), text("Potential side effect '", F.col("effect"), "' inside lazy operation '", HEAD, "'.").alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), "ast")
+    return hit.select(F.lit("lazy-side-effects").alias("rule_id"), text("Potential side effect '", F.col("effect"), "' inside lazy operation '", the_head(), "'.").alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), "ast")
 
 
 @row_rule("overabstracted-composition", FUNCTIONAL, HINT, "comp of more than a few functions.", most=3)
@@ -96,7 +96,7 @@ def with_retry() -> Column:
 
 @row_rule("trivial-lambda", FUNCTIONAL, INFO, "Lambdas that pass their arguments on as they are.")
 def trivial_lambda() -> Column:
-    params = first(F.filter(KIDS, lambda x: x["t"] == "Vector"))
+    params = first(F.filter(the_kids(), lambda x: x["t"] == "Vector"))
     form = last_kid()
     names = F.transform(kids_of(params), lambda x: x["v"])
     plain = no(some(kids_of(params), lambda x: ~is_symbol(x) | (x["v"] == "&")))
@@ -106,8 +106,8 @@ def trivial_lambda() -> Column:
     own = F.transform(kids_from(1), lambda x: x["v"])
     count = F.size(own)
     wanted = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.concat(F.lit("%"), i.cast("string")))
-    as_literal = (F.col("type") == "FnLiteral") & HEAD.isNotNull() & ((count == 0) | ((count == 1) & own[0].isin("%", "%1")) | ((count > 1) & (own == wanted)))
-    called = F.when(F.col("type") == "FnLiteral", HEAD).otherwise(form["h"])
+    as_literal = (F.col("type") == "FnLiteral") & the_head().isNotNull() & ((count == 0) | ((count == 1) & own[0].isin("%", "%1")) | ((count > 1) & (own == wanted)))
+    called = F.when(F.col("type") == "FnLiteral", the_head()).otherwise(form["h"])
     return F.when(F.col("type").isin("List", "FnLiteral"), found("trivial-lambda", INFO, any_of(as_fn, as_literal), text("Trivial lambda: can be replaced by `", called, "`.")))
 
 

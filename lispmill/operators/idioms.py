@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lispmill.functions.dsl import (
-    HEAD, IS_LIST, KIDS, PATH, SUB, all_of, any_of, call, first, found, inside, is_call, is_number, is_symbol, kid, kid_of, kids_from, kids_of, last_of, local, no, pairs_of, parameters, plain_parameter, reaching, some, space, text, under, where, yes,
+    the_head, is_list, the_kids, the_path, the_sub, all_of, any_of, call, first, found, inside, is_call, is_number, is_symbol, kid, kid_of, kids_from, kids_of, last_of, local, no, pairs_of, parameters, plain_parameter, reaching, some, space, text, under, where, yes,
 )
 from lispmill.operators.registry import CLOJURE, HINT, INFO, WARNING, row_rule, table_rule
 
@@ -70,18 +70,18 @@ def unsheltered(xs: Column, hit, shelter) -> Column:
 
 @table_rule("blocking-inside-go", CLOJURE, WARNING, "Blocking calls inside go blocks, also through functions of the same file.")
 def blocking_inside_go(nodes: DataFrame) -> DataFrame:
-    used = unsheltered(SUB, lambda x: (x["t"] == "Symbol"), barrier)
-    block = unsheltered(SUB, lambda x: ((x["t"] == "Symbol") & blocks(x["v"])) | (x["t"] == "Deref"), barrier)
+    used = unsheltered(the_sub(), lambda x: (x["t"] == "Symbol"), barrier)
+    block = unsheltered(the_sub(), lambda x: ((x["t"] == "Symbol") & blocks(x["v"])) | (x["t"] == "Deref"), barrier)
     defs = nodes.where(call("defn", "defn-", "def") & (F.col("depth") == 0)).select("path", kid(1)["v"].alias("name"), (F.size(block) > 0).alias("bad"), F.array_distinct(used).alias("uses"))
-    gos = nodes.where(IS_LIST & goes(HEAD)).select("path", "line", "col", "ast", "head", (F.size(block) > 0).alias("own"), F.array_distinct(used).alias("uses"))
+    gos = nodes.where(is_list() & goes(the_head())).select("path", "line", "col", "ast", "head", (F.size(block) > 0).alias("own"), F.array_distinct(used).alias("uses"))
     hit = gos.join(reaching(defs), "path", "left").where(F.col("own") | F.coalesce(F.arrays_overlap("uses", "bad"), F.lit(False)))
-    return hit.select(F.lit("blocking-inside-go").alias("rule_id"), text("Blocking function detected within the GO block ", HEAD, ".").alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), "ast")
+    return hit.select(F.lit("blocking-inside-go").alias("rule_id"), text("Blocking function detected within the GO block ", the_head(), ".").alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), "ast")
 
 
 @row_rule("case-with-non-literal-test-values", CLOJURE, WARNING, "case tests that are symbols or hold symbols.")
 def case_tests() -> Column:
     plain = lambda x: is_symbol(x) & ~x["v"].isin("true", "false", "nil")
-    tests = where(KIDS, lambda x: (x["k"] >= 2) & (x["k"] % 2 == 0) & (x["k"] < F.col("n") - 1) & (plain(x) | ((x["t"] == "List") & some(under(x), plain))))
+    tests = where(the_kids(), lambda x: (x["k"] >= 2) & (x["k"] % 2 == 0) & (x["k"] < F.col("n") - 1) & (plain(x) | ((x["t"] == "List") & some(under(x), plain))))
     return found("case-with-non-literal-test-values", WARNING, call("case") & (F.size(tests) > 0), text("`case` does not evaluate its tests; `", first(tests)["v"], "` is a non-literal."), first(tests))
 
 
@@ -117,9 +117,9 @@ def conditional_build_up() -> Column:
 
 @row_rule("direct-use-of-clojure-lang-rt", CLOJURE, WARNING, "Calls of the runtime's internal class.", allowed_functions=())
 def runtime_calls(allowed_functions: tuple) -> Column:
-    name = F.regexp_extract(HEAD, r"^(?:clojure\.lang\.)?RT/(.*)$", 1)
+    name = F.regexp_extract(the_head(), r"^(?:clojure\.lang\.)?RT/(.*)$", 1)
     advice = F.create_map(*[F.lit(x) for kv in RT_ADVICE.items() for x in kv])
-    return found("direct-use-of-clojure-lang-rt", WARNING, IS_LIST & HEAD.rlike(r"^(clojure\.lang\.)?RT/") & ~name.isin(*allowed_functions, ""), text("Direct usage of clojure.lang.RT detected: '", HEAD, "'. Use `", F.coalesce(F.try_element_at(advice, name), F.lit("the core library")), "`."))
+    return found("direct-use-of-clojure-lang-rt", WARNING, is_list() & the_head().rlike(r"^(clojure\.lang\.)?RT/") & ~name.isin(*allowed_functions, ""), text("Direct usage of clojure.lang.RT detected: '", the_head(), "'. Use `", F.coalesce(F.try_element_at(advice, name), F.lit("the core library")), "`."))
 
 
 def earmuffed(x: Column) -> Column:
@@ -133,17 +133,17 @@ def resource_named(x: Column) -> Column:
 @row_rule("dynamically-scoped-singleton-resource", CLOJURE, WARNING, "Dynamic variables passed to functions of heavy resources.")
 def dynamic_resource() -> Column:
     args = where(kids_from(1), earmuffed)
-    return found("dynamically-scoped-singleton-resource", WARNING, call(*HEAVY) & (F.size(args) > 0), text("Passing dynamic variable `", first(args)["v"], "` to heavy resource function `", HEAD, "`."), first(args))
+    return found("dynamically-scoped-singleton-resource", WARNING, call(*HEAVY) & (F.size(args) > 0), text("Passing dynamic variable `", first(args)["v"], "` to heavy resource function `", the_head(), "`."), first(args))
 
 
 @row_rule("excessive-refers", CLOJURE, WARNING, "Namespaces that refer everything, or more than a few names.", most=6)
 def excessive_refers(most: int) -> Column:
-    keys = where(SUB, lambda x: (x["t"] == "Keyword") & x["v"].contains("refer"))
-    after = lambda x: first(F.filter(SUB, lambda y: (y["p"] == x["p"]) & (y["k"] == x["k"] + 1)))
+    keys = where(the_sub(), lambda x: (x["t"] == "Keyword") & x["v"].contains("refer"))
+    after = lambda x: first(F.filter(the_sub(), lambda y: (y["p"] == x["p"]) & (y["k"] == x["k"] + 1)))
     whole = some(keys, lambda x: (after(x)["t"] == "Keyword") & (after(x)["v"] == ":all"))
     widest = F.array_max(F.transform(where(keys, lambda x: after(x)["t"] == "Vector"), lambda x: after(x)["n"]))
     name = kid(1)["v"]
-    return F.when(HEAD == "ns", F.coalesce(
+    return F.when(the_head() == "ns", F.coalesce(
         found("excessive-refers", WARNING, whole, text("Usage of `:refer :all` found in the ", name, " namespace.")),
         found("excessive-refers", WARNING, widest > most, text("The excessive number of explicit references (", widest, ") in the ", name, " namespace.")),
     ))
@@ -154,33 +154,33 @@ def immutability() -> Column:
     local_scope = any_of(F.col("in_function"), F.col("in_let"), F.col("in_loop"), F.col("in_binding"))
     sent = some(under(kid(2)), lambda x: is_call(x, *SIDE_EFFECTS))
     message = (
-        F.when(HEAD.isin("def", "defonce") & local_scope, text("Found `", HEAD, "` inside a local scope."))
-        .when((HEAD == "ref-set") & no(F.col("in_dosync")), F.lit("Found `ref-set` outside of `dosync`."))
-        .when(HEAD.startswith("aset"), text("Found array mutation function call: `", HEAD, "`."))
-        .when(HEAD.isin(*JAVA_MUTATORS), text("Found Java mutating method call: `", HEAD, "`."))
-        .when(HEAD.isin(*MUTATORS), text("Found state mutation function call: `", HEAD, "`."))
-        .when(HEAD.isin("send", "send-off") & (F.col("n") >= 3) & sent, text("Found state mutation function call: `", HEAD, "`."))
+        F.when(the_head().isin("def", "defonce") & local_scope, text("Found `", the_head(), "` inside a local scope."))
+        .when((the_head() == "ref-set") & no(F.col("in_dosync")), F.lit("Found `ref-set` outside of `dosync`."))
+        .when(the_head().startswith("aset"), text("Found array mutation function call: `", the_head(), "`."))
+        .when(the_head().isin(*JAVA_MUTATORS), text("Found Java mutating method call: `", the_head(), "`."))
+        .when(the_head().isin(*MUTATORS), text("Found state mutation function call: `", the_head(), "`."))
+        .when(the_head().isin("send", "send-off") & (F.col("n") >= 3) & sent, text("Found state mutation function call: `", the_head(), "`."))
     )
-    return F.when(IS_LIST & HEAD.isNotNull() & ~PATH.contains("user.clj") & ~PATH.contains("/dev/"), found("immutability-violation", WARNING, message.isNotNull(), message))
+    return F.when(is_list() & the_head().isNotNull() & ~the_path().contains("user.clj") & ~the_path().contains("/dev/"), found("immutability-violation", WARNING, message.isNotNull(), message))
 
 
 @row_rule("implicit-namespace-dependencies", CLOJURE, WARNING, ":use without :only, standalone use, and :refer :all.")
 def implicit_dependencies() -> Column:
-    dev = PATH.rlike("(^|/)(dev|tests?)/|_test\\.clj")
+    dev = the_path().rlike("(^|/)(dev|tests?)/|_test\\.clj")
     exempt = lambda x: dev & x.isin(*TEST_NAMESPACES)
     has_only = lambda x: some(kids_of(x), lambda y: (y["t"] == "Keyword") & (y["v"] == ":only"))
     specs = where(kids_from(1), lambda x: (is_symbol(x) & ~exempt(x["v"])) | ((x["t"] == "Vector") & ~exempt(kid_of(x, 0)["v"]) & ~has_only(x)))
     used = F.array_join(F.transform(specs, lambda x: F.when(x["t"] == "Symbol", x["v"]).otherwise(kid_of(x, 0)["v"])), ", ")
-    all_refer = where(F.filter(SUB, lambda x: x["d"].between(1, 2)), lambda x: x["t"].isin("Vector", "List") & some(kids_of(x), lambda y: (y["v"] == ":refer") & some(kids_of(x), lambda z: (z["k"] == y["k"] + 1) & (z["v"] == ":all"))) & ~exempt(kid_of(x, 0)["v"]))
+    all_refer = where(F.filter(the_sub(), lambda x: x["d"].between(1, 2)), lambda x: x["t"].isin("Vector", "List") & some(kids_of(x), lambda y: (y["v"] == ":refer") & some(kids_of(x), lambda z: (z["k"] == y["k"] + 1) & (z["v"] == ":all"))) & ~exempt(kid_of(x, 0)["v"]))
     names = F.array_join(F.transform(all_refer, lambda x: kid_of(x, 0)["v"]), ", ")
     quoted = where(kids_from(1), lambda x: (x["t"] == "Quote") & no(some(under(x), lambda y: y["v"] == ":only")))
-    key = first(KIDS)
-    clause = IS_LIST & (key["t"] == "Keyword") & ~PATH.endswith("project.clj")
+    key = first(the_kids())
+    clause = is_list() & (key["t"] == "Keyword") & ~the_path().endswith("project.clj")
     shown = F.array_join(F.transform(quoted, lambda x: F.coalesce(first(where(under(x), is_symbol))["v"], F.lit(""))), ", ")
     return F.coalesce(
         F.when(clause & (key["v"] == ":use"), found("implicit-namespace-dependencies", WARNING, F.size(specs) > 0, text("Implicit namespace dependency: :use directive imports all public symbols from [", used, "]."))),
         F.when(clause & (key["v"] == ":require"), found("implicit-namespace-dependencies", WARNING, F.size(all_refer) > 0, text("Implicit namespace dependency: :refer :all in :require for [", names, "]."))),
-        F.when(call("use") & ~PATH.endswith("project.clj"), found("implicit-namespace-dependencies", WARNING, F.size(quoted) > 0, text("Implicit namespace dependency: standalone (use '", shown, ") imports all public symbols."))),
+        F.when(call("use") & ~the_path().endswith("project.clj"), found("implicit-namespace-dependencies", WARNING, F.size(quoted) > 0, text("Implicit namespace dependency: standalone (use '", shown, ") imports all public symbols."))),
     )
 
 
@@ -188,23 +188,23 @@ def implicit_dependencies() -> Column:
 def emptiness() -> Column:
     counted = lambda x: is_call(x, "count") & (x["n"] == 2)
     a, b = kid(1), kid(2)
-    left = counted(a) & ((is_number(b, "0") & HEAD.isin("=", "==", "not=", ">")) | (is_number(b, "1") & (HEAD == ">=")))
-    right = counted(b) & ((is_number(a, "0") & HEAD.isin("=", "==", "not=", "<")) | (is_number(a, "1") & (HEAD == "<=")))
-    empty = HEAD.isin("=", "==")
+    left = counted(a) & ((is_number(b, "0") & the_head().isin("=", "==", "not=", ">")) | (is_number(b, "1") & (the_head() == ">=")))
+    right = counted(b) & ((is_number(a, "0") & the_head().isin("=", "==", "not=", "<")) | (is_number(a, "1") & (the_head() == "<=")))
+    empty = the_head().isin("=", "==")
     advice = F.when(empty, F.lit("(empty? coll)")).otherwise(F.lit("(seq coll)"))
     calls = F.col("type").isin("List", "FnLiteral")
-    return F.when(calls & HEAD.isNotNull(), F.coalesce(
-        found("improper-emptiness-check", HINT, HEAD.isin("not", "when-not", "if-not") & is_call(a, "empty?"), text("Improper emptiness check: `(", HEAD, " (empty? coll))`. Consider using `(seq coll)`.")),
-        found("improper-emptiness-check", HINT, HEAD.isin("zero?", "pos?") & is_call(a, "count"), text("Improper emptiness check: `(", HEAD, " (count coll))`.")),
-        found("improper-emptiness-check", HINT, (F.col("n") == 3) & (left | right), text("Improper emptiness check: using `", HEAD, "` with `count`. Consider using `", advice, "`.")),
+    return F.when(calls & the_head().isNotNull(), F.coalesce(
+        found("improper-emptiness-check", HINT, the_head().isin("not", "when-not", "if-not") & is_call(a, "empty?"), text("Improper emptiness check: `(", the_head(), " (empty? coll))`. Consider using `(seq coll)`.")),
+        found("improper-emptiness-check", HINT, the_head().isin("zero?", "pos?") & is_call(a, "count"), text("Improper emptiness check: `(", the_head(), " (count coll))`.")),
+        found("improper-emptiness-check", HINT, (F.col("n") == 3) & (left | right), text("Improper emptiness check: using `", the_head(), "` with `count`. Consider using `", advice, "`.")),
     ))
 
 
 @row_rule("map-with-nil-values", CLOJURE, WARNING, "Explicit nil values in map literals and assoc.")
 def nil_values() -> Column:
-    in_map = where(KIDS, lambda x: (x["k"] % 2 == 1) & (x["t"] == "Nil"))
+    in_map = where(the_kids(), lambda x: (x["k"] % 2 == 1) & (x["t"] == "Nil"))
     skip = F.when((F.col("n") - 1) % 2 == 1, 2).otherwise(1)
-    in_assoc = where(KIDS, lambda x: (x["k"] >= skip) & ((x["k"] - skip) % 2 == 1) & (x["t"] == "Nil"))
+    in_assoc = where(the_kids(), lambda x: (x["k"] >= skip) & ((x["k"] - skip) % 2 == 1) & (x["t"] == "Nil"))
     return F.coalesce(
         F.when(F.col("type") == "Map", found("map-with-nil-values", WARNING, F.size(in_map) > 0, "Explicit 'nil' value associated with a key in a map literal.", first(in_map))),
         F.when(call("assoc", "clojure.core/assoc"), found("map-with-nil-values", WARNING, F.size(in_assoc) > 0, "Explicit 'nil' value associated with a key using 'assoc'.", first(in_assoc))),
@@ -225,15 +225,15 @@ def sentinel(x: Column) -> Column:
 def sentinels() -> Column:
     in_go = F.exists("enclosing", goes)
     marked = where(under(kid(2)), sentinel)
-    any_marked = where(F.filter(SUB, lambda x: x["i"] > 0), lambda x: sentinel(x) & ~x["v"].isin("=", "not="))
-    minus = some(KIDS, lambda x: is_number(x, "-1"))
-    puts = HEAD.isin("put!", ">!", ">!!") | HEAD.endswith("/put!") | HEAD.endswith("/>!") | HEAD.endswith("/>!!")
+    any_marked = where(F.filter(the_sub(), lambda x: x["i"] > 0), lambda x: sentinel(x) & ~x["v"].isin("=", "not="))
+    minus = some(the_kids(), lambda x: is_number(x, "-1"))
+    puts = the_head().isin("put!", ">!", ">!!") | the_head().endswith("/put!") | the_head().endswith("/>!") | the_head().endswith("/>!!")
     rule = "misuse-of-channel-closing-semantics"
-    return F.when(IS_LIST, F.coalesce(
-        found(rule, WARNING, (first(KIDS)["t"] == "Keyword") & in_go & sentinel(first(KIDS)), text("Checking sentinel ", first(KIDS)["v"], ": prefer closing channels and checking for nil.")),
-        F.when(puts & (F.col("n") >= 3), found(rule, WARNING, F.size(marked) > 0, text("Sentinel value ", first(marked)["v"], " in ", HEAD, ": prefer (close! ch)."))),
-        F.when(HEAD.isin("=", "not=") & in_go, found(rule, WARNING, (F.size(any_marked) > 0) | minus, text("Comparison with sentinel ", F.coalesce(first(any_marked)["v"], F.lit("-1")), ": prefer (close! ch)."))),
-        F.when(HEAD.isin("contains?", "get") & in_go & (F.col("n") >= 3), found(rule, WARNING, F.size(marked) > 0, text("Checking sentinel key ", first(marked)["v"], "."))),
+    return F.when(is_list(), F.coalesce(
+        found(rule, WARNING, (first(the_kids())["t"] == "Keyword") & in_go & sentinel(first(the_kids())), text("Checking sentinel ", first(the_kids())["v"], ": prefer closing channels and checking for nil.")),
+        F.when(puts & (F.col("n") >= 3), found(rule, WARNING, F.size(marked) > 0, text("Sentinel value ", first(marked)["v"], " in ", the_head(), ": prefer (close! ch)."))),
+        F.when(the_head().isin("=", "not=") & in_go, found(rule, WARNING, (F.size(any_marked) > 0) | minus, text("Comparison with sentinel ", F.coalesce(first(any_marked)["v"], F.lit("-1")), ": prefer (close! ch)."))),
+        F.when(the_head().isin("contains?", "get") & in_go & (F.col("n") >= 3), found(rule, WARNING, F.size(marked) > 0, text("Checking sentinel key ", first(marked)["v"], "."))),
     ))
 
 
@@ -261,20 +261,20 @@ def misused_threading(domains: int) -> Column:
 
     kinds = F.size(F.array_distinct(F.filter(F.transform(steps, domain), lambda x: x.isNotNull())))
     why = F.when(lambdas, F.lit(" Using anonymous functions `#()` inside threading macros forces position.")).otherwise(text(" The pipeline heavily mixes domains (found: ", kinds, ")."))
-    return F.when(call("->", "->>", "some->", "some->>") & (F.col("n") >= 3), found("misused-threading", WARNING, lambdas | (kinds >= domains), text("Misused threading macro `", HEAD, "`.", why)))
+    return F.when(call("->", "->>", "some->", "some->>") & (F.col("n") >= 3), found("misused-threading", WARNING, lambdas | (kinds >= domains), text("Misused threading macro `", the_head(), "`.", why)))
 
 
 @row_rule("monolithic-namespace-split", CLOJURE, WARNING, "load and in-ns that split a namespace over files.")
 def split_namespace() -> Column:
-    return found("monolithic-namespace-split", WARNING, IS_LIST & local(HEAD).isin("load", "in-ns") & no((F.col("up_type") == "List") & (F.col("up_head") == "comment")), text("Monolithic namespace split: `", HEAD, "` used."))
+    return found("monolithic-namespace-split", WARNING, is_list() & local(the_head()).isin("load", "in-ns") & no((F.col("up_type") == "List") & (F.col("up_head") == "comment")), text("Monolithic namespace split: `", the_head(), "` used."))
 
 
 @row_rule("multiple-evaluation-in-macros", CLOJURE, WARNING, "Macro parameters evaluated more than once.")
 def multiple_evaluation() -> Column:
-    arities = F.filter(KIDS, lambda x: (x["k"] >= 2) & (x["t"] == "List"))
+    arities = F.filter(the_kids(), lambda x: (x["k"] >= 2) & (x["t"] == "List"))
     single = parameters()
     repeated = lambda names, forms: where(names, lambda x: plain_parameter(x) & (F.size(where(forms, lambda y: is_symbol(y) & (y["v"] == x["v"]))) > 1))
-    rest = F.filter(SUB, lambda x: x["i"] >= single["i"] + single["z"])
+    rest = F.filter(the_sub(), lambda x: x["i"] >= single["i"] + single["z"])
     one = repeated(kids_of(single), rest)
     many = F.flatten(F.transform(arities, lambda a: repeated(kids_of(kid_of(a, 0)), F.filter(under(a), lambda x: x["i"] >= kid_of(a, 0)["i"] + kid_of(a, 0)["z"]))))
     hits = F.when(single.isNotNull(), one).otherwise(many)
@@ -285,24 +285,24 @@ def multiple_evaluation() -> Column:
 @table_rule("namespace-load-side-effects", CLOJURE, WARNING, "Dependencies loaded in functions or behind definitions.")
 def load_side_effects(nodes: DataFrame) -> DataFrame:
     loads = ("require", "use", "import", "load", "load-file", "requiring-resolve")
-    lists = nodes.where(IS_LIST & HEAD.isin("ns", *loads, *DEFINING)).select("path", "id", "line", "col", "head", "ast", "enclosing")
+    lists = nodes.where(is_list() & the_head().isin("ns", *loads, *DEFINING)).select("path", "id", "line", "col", "head", "ast", "enclosing")
     before = Window.partitionBy("path").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = lists.withColumn("spaces", F.coalesce(F.sum((HEAD == "ns").cast("int")).over(before), F.lit(0))).withColumn("defs", F.coalesce(F.max(HEAD.isin(*DEFINING).cast("int")).over(before), F.lit(0)))
+    seen = lists.withColumn("spaces", F.coalesce(F.sum((the_head() == "ns").cast("int")).over(before), F.lit(0))).withColumn("defs", F.coalesce(F.max(the_head().isin(*DEFINING).cast("int")).over(before), F.lit(0)))
     around = inside("defn", "defn-", "fn", "letfn")
-    in_function = around & (HEAD != "requiring-resolve")
+    in_function = around & (the_head() != "requiring-resolve")
     later = ~around & ((F.col("spaces") > 1) | (F.col("defs") > 0))
-    message = F.when(in_function, text("Side effect: '", HEAD, "' called inside a function body.")).otherwise(text("Namespace load side effect: '", HEAD, "' appears after definitions in the file."))
-    skip = F.lower(PATH).rlike(r"project\.clj$|deps\.edn$|/support/|/scripts/|/dev/|/build/|/repl/|_test\.clj$")
-    hits = seen.where(HEAD.isin(*loads) & ~inside("ns", "comment") & ~skip & (in_function | later))
+    message = F.when(in_function, text("Side effect: '", the_head(), "' called inside a function body.")).otherwise(text("Namespace load side effect: '", the_head(), "' appears after definitions in the file."))
+    skip = F.lower(the_path()).rlike(r"project\.clj$|deps\.edn$|/support/|/scripts/|/dev/|/build/|/repl/|_test\.clj$")
+    hits = seen.where(the_head().isin(*loads) & ~inside("ns", "comment") & ~skip & (in_function | later))
     return hits.select(F.lit("namespace-load-side-effects").alias("rule_id"), message.alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), "ast")
 
 
 @row_rule("nested-atoms", CLOJURE, WARNING, "References inside references.")
 def nested_atoms() -> Column:
     makes = lambda xs: some(xs, lambda x: is_call(x, *REFERENCES))
-    below = F.filter(SUB, lambda x: x["i"] > 0)
+    below = F.filter(the_sub(), lambda x: x["i"] > 0)
     names = F.transform(where(pairs_of(kid(1)), lambda p: is_symbol(p["name"]) & makes(under(p["value"]))), lambda p: p["name"]["v"])
-    moved = some(F.filter(SUB, lambda x: x["i"] >= kid(1)["i"] + kid(1)["z"]), lambda x: is_call(x, *UPDATES) & some(F.filter(under(x), lambda y: (y["i"] > x["i"] + 2)), lambda y: is_symbol(y) & F.array_contains(names, y["v"])))
+    moved = some(F.filter(the_sub(), lambda x: x["i"] >= kid(1)["i"] + kid(1)["z"]), lambda x: is_call(x, *UPDATES) & some(F.filter(under(x), lambda y: (y["i"] > x["i"] + 2)), lambda y: is_symbol(y) & F.array_contains(names, y["v"])))
     return F.coalesce(
         F.when(call(*REFERENCES), found("nested-atoms", WARNING, makes(below), "Found nested Atom/Ref/Volatile/Agent inside a stateful reference.")),
         F.when(call(*UPDATES), found("nested-atoms", WARNING, makes(below), "Found stateful reference creation inside a state update function.")),
@@ -323,8 +323,8 @@ def nested_forms() -> Column:
             F.when(ok, F.concat(s["forms"], F.array(x["h"]))).otherwise(s["forms"]).alias("forms"),
         )
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("do"), F.array(HEAD).alias("forms"))
-    forms = F.aggregate(F.filter(SUB, lambda x: x["i"] > 0), begin, step)["forms"]
+    begin = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("do"), F.array(the_head()).alias("forms"))
+    forms = F.aggregate(F.filter(the_sub(), lambda x: x["i"] > 0), begin, step)["forms"]
     n = lambda *names: F.size(F.filter(forms, lambda f: f.isin(*names)))
     bad = (n("let") >= 3) | (n("doseq") >= 2) | (n("for") >= 2) | (n(*CONDITIONALS) >= 4) | (n("when-let") >= 2) | (n("if-let") >= 2)
     return F.when(call(*TRACKED), found("nested-forms", WARNING, (F.size(forms) >= 2) & bad, text("Excessive nesting detected (depth: ", F.size(forms), ", forms: ", F.array_join(forms, " → "), ").")))
@@ -332,7 +332,7 @@ def nested_forms() -> Column:
 
 @row_rule("non-idiomatic-parameter-binding", CLOJURE, INFO, "Optional parameters by & and a vector.")
 def optional_by_vector() -> Column:
-    other = first(F.filter(KIDS, lambda x: (x["k"] >= 2) & ~x["t"].isin("String", "Map")))
+    other = first(F.filter(the_kids(), lambda x: (x["k"] >= 2) & ~x["t"].isin("String", "Map")))
     own = kids_of(other)
     rest = where(own, lambda x: (x["t"] == "Vector") & (F.get(own, x["k"] - 1)["v"] == "&") & some(kids_of(x), is_symbol))
     return F.when(call("defn", "defn-", "fn"), found("non-idiomatic-parameter-binding", INFO, (other["t"] == "Vector") & (F.size(rest) > 0), text("Non-idiomatic parameter binding: function ", kid(1)["v"], " uses `& [", first(kids_of(first(rest)))["v"], "]` for optional params.")))
@@ -341,7 +341,7 @@ def optional_by_vector() -> Column:
 @table_rule("non-idiomatic-record-construction", CLOJURE, WARNING, "Positional constructors of records of the file.")
 def record_construction(nodes: DataFrame) -> DataFrame:
     records = nodes.where(call("defrecord")).groupBy("path", kid(1)["v"].alias("record")).agg(F.min("id").alias("def_id"))
-    uses = nodes.where(IS_LIST & HEAD.rlike(r"^->.|^[^.].*\.$")).select("path", "id", "line", "col", "ast", F.regexp_replace(HEAD, r"^->|\.$", "").alias("record"))
+    uses = nodes.where(is_list() & the_head().rlike(r"^->.|^[^.].*\.$")).select("path", "id", "line", "col", "ast", F.regexp_replace(the_head(), r"^->|\.$", "").alias("record"))
     hits = uses.join(records, ["path", "record"]).where("def_id < id")
     return hits.select(F.lit("non-idiomatic-record-construction").alias("rule_id"), text("Using a positional constructor to instantiate the defrecord instead of map->", F.col("record")).alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), "ast")
 
@@ -349,13 +349,13 @@ def record_construction(nodes: DataFrame) -> DataFrame:
 @row_rule("private-multimethods", CLOJURE, WARNING, "Multimethods in private contexts.")
 def private_multimethods() -> Column:
     private = lambda x: ((x["t"] == "Keyword") & (x["v"] == ":private")) | ((x["t"] == "Map") & some(kids_of(x), lambda y: y["v"] == ":private"))
-    multi = call("defmulti", "defmethod") | some(F.filter(SUB, lambda x: x["i"] > 0), lambda x: is_call(x, "defmulti", "defmethod"))
-    return F.when(IS_LIST & HEAD.isNotNull() & (F.col("n") >= 2), found("private-multimethods", WARNING, multi & (HEAD.isin("defn-", "letfn") | some(KIDS, private)), "Private multimethod detected: defmulti or defmethod declared in a private context."))
+    multi = call("defmulti", "defmethod") | some(F.filter(the_sub(), lambda x: x["i"] > 0), lambda x: is_call(x, "defmulti", "defmethod"))
+    return F.when(is_list() & the_head().isNotNull() & (F.col("n") >= 2), found("private-multimethods", WARNING, multi & (the_head().isin("defn-", "letfn") | some(the_kids(), private)), "Private multimethod detected: defmulti or defmethod declared in a private context."))
 
 
 @row_rule("production-doall", CLOJURE, WARNING, "doall outside tests and development code.")
 def production_doall() -> Column:
-    skip = PATH.rlike(r"project\.clj|deps\.edn|/tests?/|_test\.clj|/dev/|repl|user|scratch")
+    skip = the_path().rlike(r"project\.clj|deps\.edn|/tests?/|_test\.clj|/dev/|repl|user|scratch")
     arg = kid(1)["h"]
     why = (
         F.when(F.col("up_head").isin("defn", "defn-"), F.lit(" in function definition")).when(F.col("up_head").isin("let", "when", "if", "do"), text(" in ", F.col("up_head"), " form"))
@@ -374,7 +374,7 @@ def redundant_do() -> Column:
         | (up.isin("defn", "defn-", "defmacro") & (k >= 3) & (k == n - 1)) | ((up == "fn") & (k >= 2) & (k == n - 1)) | ((up == "try") & (k >= 1)) | ((up == "catch") & (k >= 3)) | ((up == "finally") & (k >= 1))
         | (up.isin("cond", "condp", "case") & (k >= 2) & ~many)
     )
-    spliced = some(KIDS, lambda x: x["t"] == "UnquoteSplice")
+    spliced = some(the_kids(), lambda x: x["t"] == "UnquoteSplice")
     message = (
         F.when(threaded, text("Redundant `do` block found within threading macro `", up, "`.")).when(F.col("n") == 1, text("Redundant empty `do` block found within `", up, "`."))
         .when(F.col("n") == 2, text("Redundant `do` block with a single expression found within `", up, "`.")).otherwise(text("Redundant `do` block found. The surrounding `", up, "` form has a body."))
@@ -385,14 +385,14 @@ def redundant_do() -> Column:
 @row_rule("single-segment-namespace", CLOJURE, WARNING, "Namespaces of one segment.")
 def single_segment() -> Column:
     name = first(where(kids_from(1), is_symbol))["v"]
-    skip = F.lower(PATH).rlike(r"/tests?/|_test\.clj|/dev/|user\.clj|build\.clj|/scripts?/")
+    skip = F.lower(the_path()).rlike(r"/tests?/|_test\.clj|/dev/|user\.clj|build\.clj|/scripts?/")
     return F.when(call("ns"), found("single-segment-namespace", WARNING, ~name.contains(".") & ~name.isin(*SAFE_NAMESPACES) & ~skip, text("Single-segment namespace '", name, "' detected.")))
 
 
 @row_rule("thread-ignorance", CLOJURE, HINT, "Nested calls and let chains that threading would flatten.", links=4, depth=5)
 def thread_ignorance(links: int, depth: int) -> Column:
     pairs = pairs_of(kid(1))
-    uses = lambda b: F.size(where(SUB, lambda y: is_symbol(y) & (y["v"] == b["name"]["v"])))
+    uses = lambda b: F.size(where(the_sub(), lambda y: is_symbol(y) & (y["v"] == b["name"]["v"])))
     chain = runs_of(pairs, lambda p: is_symbol(p["name"]), lambda b, p: (p["value"]["t"] == "List") & some(kids_of(p["value"]), lambda y: is_symbol(y) & (y["v"] == b["name"]["v"])) & (uses(b) == 2))["best"]
     named = lambda x: is_call(x, *CANDIDATES)
 
@@ -401,7 +401,7 @@ def thread_ignorance(links: int, depth: int) -> Column:
         up = F.when(x["i"] == 0, F.lit(0)).otherwise(F.get(s, x["p"]))
         return F.concat(s, F.array(F.when(yes(named(x)), up + 1).when(yes(x["t"] == "List"), F.lit(-99)).otherwise(up)))
 
-    nested = F.array_max(F.aggregate(SUB, F.array().cast("array<int>"), deepen))
+    nested = F.array_max(F.aggregate(the_sub(), F.array().cast("array<int>"), deepen))
     return F.coalesce(
         F.when(call("let") & (kid(1)["t"] == "Vector") & (kid(1)["n"] >= 2 * links), found("thread-ignorance", HINT, chain >= links + 1, text("Data flow chaining detected in let bindings (", chain, " sequential steps)."))),
         F.when(call(*CANDIDATES), found("thread-ignorance", HINT, nested >= depth, text("Nested function calls detected (depth ", nested, ")."))),
@@ -410,7 +410,7 @@ def thread_ignorance(links: int, depth: int) -> Column:
 
 @row_rule("unmanaged-resource-io", CLOJURE, WARNING, "I/O resources outside with-open.")
 def unmanaged_io() -> Column:
-    return found("unmanaged-resource-io", WARNING, IS_LIST & F.lower(HEAD).rlike("|".join(RESOURCES)) & no(F.col("in_with_open")), "I/O resource used without with-open: use with-open to ensure the resource is closed.")
+    return found("unmanaged-resource-io", WARNING, is_list() & F.lower(the_head()).rlike("|".join(RESOURCES)) & no(F.col("in_with_open")), "I/O resource used without with-open: use with-open to ensure the resource is closed.")
 
 
 @row_rule("unnecessary-into", CLOJURE, HINT, "into where vec, set, seq or a transducer says it.")
@@ -433,11 +433,11 @@ def verbose_checks() -> Column:
     odd = is_call(a, "mod", "rem") & (a["n"] == 3) & is_number(kid_of(a, 2), "2") & zero_r
     branches = F.col("n") == 4
     yes_no = branches & (kid(2)["t"] == "Bool") & (kid(3)["t"] == "Bool") & (kid(2)["v"] != kid(3)["v"])
-    return F.when(IS_LIST & HEAD.isin("=", ">", "<", ">=", "<=", "not=", "+", "-", "if"), F.coalesce(
-        found(r, HINT, three & HEAD.isin("=", ">", "<", ">=", "<=") & (zero_l | zero_r) & ~odd, text("Verbose numeric comparison: `", HEAD, "` with 0. Consider zero?, pos? or neg?.")),
-        found(r, HINT, three & HEAD.isin("=", "not=") & of("Bool"), text("Verbose boolean comparison: `", HEAD, "`. Consider true? or false?.")),
-        found(r, HINT, three & HEAD.isin("=", "not=") & of("Nil"), text("Verbose nil comparison: `", HEAD, "`. Consider nil? or some?.")),
-        found(r, HINT, three & (((HEAD == "+") & (is_number(a, "1") | is_number(b, "1"))) | ((HEAD == "-") & is_number(b, "1"))), text("Verbose math operation: `", HEAD, "` with 1. Consider inc or dec.")),
-        found(r, HINT, (HEAD == "if") & yes_no, "Verbose boolean if. Consider boolean or not."),
-        found(r, HINT, three & HEAD.isin("=", "not=") & odd, "Verbose parity check. Consider even? or odd?."),
+    return F.when(is_list() & the_head().isin("=", ">", "<", ">=", "<=", "not=", "+", "-", "if"), F.coalesce(
+        found(r, HINT, three & the_head().isin("=", ">", "<", ">=", "<=") & (zero_l | zero_r) & ~odd, text("Verbose numeric comparison: `", the_head(), "` with 0. Consider zero?, pos? or neg?.")),
+        found(r, HINT, three & the_head().isin("=", "not=") & of("Bool"), text("Verbose boolean comparison: `", the_head(), "`. Consider true? or false?.")),
+        found(r, HINT, three & the_head().isin("=", "not=") & of("Nil"), text("Verbose nil comparison: `", the_head(), "`. Consider nil? or some?.")),
+        found(r, HINT, three & (((the_head() == "+") & (is_number(a, "1") | is_number(b, "1"))) | ((the_head() == "-") & is_number(b, "1"))), text("Verbose math operation: `", the_head(), "` with 1. Consider inc or dec.")),
+        found(r, HINT, (the_head() == "if") & yes_no, "Verbose boolean if. Consider boolean or not."),
+        found(r, HINT, three & the_head().isin("=", "not=") & odd, "Verbose parity check. Consider even? or odd?."),
     ))

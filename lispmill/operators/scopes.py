@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lispmill.functions.dsl import HEAD, KIDS, SUB, call, first, is_symbol, kid, kids_from, kids_of, last_kid, pairs_of, parameters, plain_parameter, some, text, under, where, yes
+from lispmill.functions.dsl import the_head, the_kids, the_sub, call, first, is_symbol, kid, kids_from, kids_of, last_kid, pairs_of, parameters, plain_parameter, some, text, under, where, yes
 
 # Names of the core that every namespace has.
 CORE = ("map", "filter", "reduce", "apply", "partial", "comp", "first", "rest", "last", "count", "empty?", "seq", "assoc", "dissoc", "get", "get-in", "update", "update-in", "conj", "into", "merge", "keys", "vals", "str", "println", "print", "inc", "dec", "+", "-", "*", "/", "=", "<", ">", "<=", ">=", "not=", "not", "nil?", "some?", "vec", "set", "list", "range", "take", "drop", "sort", "sort-by", "group-by", "concat", "reverse", "identity", "atom")
@@ -25,21 +25,21 @@ def namespaces(nodes: DataFrame) -> DataFrame:
 def aliases(nodes: DataFrame) -> DataFrame:
     """(path, alias, origin, kind) of :require, :refer and :import clauses, colons and all."""
     vectors = nodes.where((F.col("type") == "Vector") & F.array_contains("enclosing", "ns"))
-    after = lambda key: first(where(KIDS, lambda x: F.get(KIDS, x["k"] - 1)["v"] == key))
+    after = lambda key: first(where(the_kids(), lambda x: F.get(the_kids(), x["k"] - 1)["v"] == key))
     named = vectors.select("path", after(":as")["v"].alias("alias"), kid(0)["v"].alias("origin"), F.lit("namespace").alias("kind")).where("alias is not null")
     requires = nodes.where((F.col("type") == "List") & F.array_contains("enclosing", "ns") & (kid(0)["v"].isin(":require", ":import")))
-    refers = requires.select("path", F.explode(where(SUB, lambda x: (x["t"] == "Vector") & (x["d"] == 2) & some(SUB, lambda y: (y["p"] == x["p"]) & (y["k"] == x["k"] - 1) & (y["v"] == ":refer")))).alias("r"), "sub")
-    referred = refers.select("path", F.explode(kids_of(F.col("r"))["v"]).alias("alias"), first(where(SUB, lambda x: (x["p"] == F.col("r.p")) & (x["k"] == 0)))["v"].alias("origin"), F.lit("referred").alias("kind"))
-    imports = requires.where(kid(0)["v"] == ":import").select("path", F.explode(where(SUB, lambda x: is_symbol(x) & x["v"].contains("."))["v"]).alias("origin"))
+    refers = requires.select("path", F.explode(where(the_sub(), lambda x: (x["t"] == "Vector") & (x["d"] == 2) & some(the_sub(), lambda y: (y["p"] == x["p"]) & (y["k"] == x["k"] - 1) & (y["v"] == ":refer")))).alias("r"), "sub")
+    referred = refers.select("path", F.explode(kids_of(F.col("r"))["v"]).alias("alias"), first(where(the_sub(), lambda x: (x["p"] == F.col("r.p")) & (x["k"] == 0)))["v"].alias("origin"), F.lit("referred").alias("kind"))
+    imports = requires.where(kid(0)["v"] == ":import").select("path", F.explode(where(the_sub(), lambda x: is_symbol(x) & x["v"].contains("."))["v"]).alias("origin"))
     classes = imports.select("path", F.regexp_replace("origin", r"^.*\.", "").alias("alias"), "origin", F.lit("java_class").alias("kind"))
     return named.unionByName(referred).unionByName(classes)
 
 
 def definitions(nodes: DataFrame) -> DataFrame:
     """Top-level definitions; the first of a name in a file counts."""
-    kinds = F.when(HEAD.isin("def", "defonce"), "variable").otherwise("function")
+    kinds = F.when(the_head().isin("def", "defonce"), "variable").otherwise("function")
     d = nodes.where((F.col("depth") == 0) & call("defn", "defn-", "defmacro", "defmethod", "defmulti", "def", "defonce") & (kid(1)["t"] == "Symbol"))
-    return d.groupBy("path", kid(1)["v"].alias("name")).agg(F.min_by(F.struct("id", kinds.alias("kind"), (HEAD == "defn-").alias("is_private"), last_kid()["t"].alias("value_type"), "line"), "id").alias("d")).select("path", "name", "d.*")
+    return d.groupBy("path", kid(1)["v"].alias("name")).agg(F.min_by(F.struct("id", kinds.alias("kind"), (the_head() == "defn-").alias("is_private"), last_kid()["t"].alias("value_type"), "line"), "id").alias("d")).select("path", "name", "d.*")
 
 
 def bindings(nodes: DataFrame) -> DataFrame:
@@ -47,11 +47,11 @@ def bindings(nodes: DataFrame) -> DataFrame:
     top = definitions(nodes).select("path", "name", "kind", F.col("id").alias("def_id"), F.lit(0).alias("from_id"), F.lit(END).alias("to_id"))
     end = F.col("id") + F.col("size")
     lists = nodes.where(call("defn", "defn-", "defmacro", "fn", "let", "loop"))
-    p = F.when(HEAD.isin("let", "loop"), kid(1)).when(HEAD == "fn", first(F.filter(KIDS, lambda x: (x["k"] >= 1) & (x["t"] == "Vector")))).otherwise(parameters())
+    p = F.when(the_head().isin("let", "loop"), kid(1)).when(the_head() == "fn", first(F.filter(the_kids(), lambda x: (x["k"] >= 1) & (x["t"] == "Vector")))).otherwise(parameters())
     # names nested in vectors and map patterns bind too; let values do not
-    pattern = F.when(HEAD.isin("let", "loop"), F.flatten(F.transform(pairs_of(p), lambda q: under(q["name"])))).otherwise(F.filter(under(p), lambda x: x["i"] > p["i"]))
-    kind = F.when(HEAD.isin("let", "loop"), "variable").otherwise("parameter")
-    local = lists.select("path", F.explode(where(pattern, plain_parameter)).alias("b"), kind.alias("kind"), F.col("id"), end.alias("to_id"), (p["i"] + p["z"]).alias("behind"), HEAD.isin("let", "loop").alias("is_let"))
+    pattern = F.when(the_head().isin("let", "loop"), F.flatten(F.transform(pairs_of(p), lambda q: under(q["name"])))).otherwise(F.filter(under(p), lambda x: x["i"] > p["i"]))
+    kind = F.when(the_head().isin("let", "loop"), "variable").otherwise("parameter")
+    local = lists.select("path", F.explode(where(pattern, plain_parameter)).alias("b"), kind.alias("kind"), F.col("id"), end.alias("to_id"), (p["i"] + p["z"]).alias("behind"), the_head().isin("let", "loop").alias("is_let"))
     inner = local.select("path", F.col("b.v").alias("name"), "kind", (F.col("id") + F.col("b.i")).alias("def_id"), (F.col("id") + F.when(F.col("is_let"), F.col("behind")).otherwise(F.col("b.i"))).alias("from_id"), "to_id")
     return top.unionByName(inner)
 
@@ -81,6 +81,6 @@ def rendered(nodes: DataFrame) -> DataFrame:
     before = lambda x: F.when((x["k"] > 0) & (x["i"] > 0), F.lit(" ")).otherwise(F.lit(""))
     leaf = lambda x: F.when(x["t"] == "String", text('"', x["v"], '"')).when(x["t"] == "VarQuote", text("#'", x["v"])).otherwise(x["v"])
     # closing marks of an entry: of itself if it has no members, and of all that end with it
-    ends = lambda x: F.array_join(F.transform(F.reverse(F.filter(SUB, lambda y: (y["i"] <= x["i"]) & (y["i"] + y["z"] == x["i"] + 1))), lambda y: F.coalesce(F.try_element_at(closes, y["t"]), F.lit(""))), "")
-    code = F.array_join(F.transform(SUB, lambda x: text(before(x), F.try_element_at(opens, x["t"]), F.when(x["n"] == 0, leaf(x)), ends(x))), "")
+    ends = lambda x: F.array_join(F.transform(F.reverse(F.filter(the_sub(), lambda y: (y["i"] <= x["i"]) & (y["i"] + y["z"] == x["i"] + 1))), lambda y: F.coalesce(F.try_element_at(closes, y["t"]), F.lit(""))), "")
+    code = F.array_join(F.transform(the_sub(), lambda x: text(before(x), F.try_element_at(opens, x["t"]), F.when(x["n"] == 0, leaf(x)), ends(x))), "")
     return nodes.where("type in ('List', 'FnLiteral')").select("path", "id", code.alias("code"))

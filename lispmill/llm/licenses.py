@@ -159,3 +159,32 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """The same rows in DuckDB: every template is counted in every block, without an index."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    listed = lambda ws: "[" + ", ".join(quote(w) for w in ws) + "]"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    sets = template_sets(TEMPLATES)
+    templates = ", ".join(f"({k}, {quote(label)}, {listed(sorted(w.decode() for w in t))}, {max(1, math.ceil(THRESHOLD * len(t) - 1e-9))})" for k, (label, t) in enumerate(sets))
+    within = " OR ".join(f"(a.k = {i} AND b.k = {j})" for i, (_, s) in enumerate(sets) for j, (_, t) in enumerate(sets) if s < t) or "false"
+    phrases = ", ".join(f"({listed(p.split())}, {quote(label)})" for p, label in PHRASES.items())
+    return f"""
+      WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS t FROM documents),
+      w AS (SELECT *, regexp_extract_all(t, '{word}') AS ws FROM d),
+      base AS (SELECT rid, label, unnest(list_filter(range(0, len(ws)), lambda i: ws[i + 1:i + len(p)] = p)) AS place FROM w, (VALUES {phrases}) AS p(p, label)),
+      l AS (SELECT rid, regexp_extract_all(unnest(string_split(t, chr(10))), '{word}') AS ws FROM d),
+      b AS (SELECT row_number() OVER () AS bid, * FROM (
+        SELECT rid, ws FROM l WHERE len(ws) BETWEEN 1 AND {2 * TILE}
+        UNION ALL SELECT rid, ws[i + 1:i + {2 * TILE}] FROM (SELECT *, unnest(range(0, len(ws) - {TILE}, {TILE})) AS i FROM l WHERE len(ws) > {2 * TILE}))),
+      h AS (SELECT rid, bid, k, label, len(list_intersect(words, list_distinct(ws))) / len(words) AS share FROM b, (VALUES {templates}) AS t(k, label, words, need) WHERE len(list_intersect(words, list_distinct(ws))) >= need),
+      kept AS (SELECT * FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE a.bid = b.bid AND ({within}))),
+      found AS (SELECT rid, label, share, NULL::BIGINT AS place FROM kept UNION ALL SELECT rid, label, 1.0, place FROM base),
+      g AS (SELECT rid, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (place IS NOT NULL) AS base_labels,
+              string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY rid),
+      n AS (SELECT rid, count(DISTINCT bid) AS n_blocks FROM h GROUP BY rid)
+      SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+        coalesce(score, 0)::DOUBLE AS score, coalesce(n_blocks, 0)::BIGINT AS n_blocks
+      FROM w LEFT JOIN g USING (rid) LEFT JOIN n USING (rid)"""

@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_compact_shards": sharding.oracle(), "op10_secret_scan": secrets.oracle()}
+    return {"op1_license_scan": licenses.oracle(), "op9_compact_shards": sharding.oracle(), "op10_secret_scan": secrets.oracle()}

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+from numbers import Number
 
 import duckdb
 import pandas as pd
@@ -19,7 +20,7 @@ def test_against_sql(spark, name):
     for t in ("documents", "labels", "benchmark"):
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got, want = registry.queries()[name](spark, DATA).toPandas(), c.execute(registry.oracle_sql()[name]).df()
-    plain = lambda x: "" if pd.isna(x) else str(float(x)) if isinstance(x, (int, float)) else str(x)
+    plain = lambda x: "" if pd.isna(x) else str(float(x)) if isinstance(x, Number) else str(x)
     rows = lambda df: sorted(tuple(map(plain, r)) for r in df[sorted(want.columns)].itertuples(index=False))
     assert rows(got) == rows(want)
 

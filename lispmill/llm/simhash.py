@@ -42,18 +42,26 @@ CELL = 2048
 LEAF, FAN, QUERIES = 16, 8, 256
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Bit b is 1 if it is set in over half the hashes of the shingles, repeats included."""
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, times: int = 1) -> list[int]:
+    """Bit b is 1 if it is set in over half the hashes of the shingles, repeats included; further fingerprints are of
+    the same hashes, mixed by fixed bijections."""
     words = WORD.findall((text or b"").lower())
     if not words:
-        return 0
+        return [0] * times
     n = max(1, len(words) - shingle + 1)
-    votes = np.zeros(64, np.int64)
+    votes = np.zeros((times, 64), np.int64)
     for i in range(0, n, 1 << 15):
-        part = [xxhash.xxh64_intdigest(b" ".join(words[j : j + shingle]), SEED) for j in range(i, min(n, i + (1 << 15)))]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[j : j + shingle]), SEED) for j in range(i, min(n, i + (1 << 15)))], "<u8")
+        for k in range(times):
+            if k:
+                hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                hashes ^= hashes >> np.uint64(29)
+            votes[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,8 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
 
     def rows(part: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in part:
-            x = fingerprint(text, shingle)
-            yield doc_id, x - (1 << 64) if x >> 63 else x
+            yield doc_id, signed(fingerprint(text, shingle)[0])
 
     return map_rows(docs, [id_col, text_col], rows, f"{id_col} long, fp long")
 
@@ -167,7 +174,6 @@ def _cells(fps: DataFrame, distance: int) -> DataFrame:
     blocks = distance + AGREE
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     block = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(blocks)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
     keys = []
     for k, chosen in enumerate(combinations(range(blocks), AGREE)):
         mask = sum(block[i] for i in chosen)
@@ -267,14 +273,43 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return rows.join(of, "fp").select(id_col, "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _grouped_by_any(rows: DataFrame, distance: int, times: int) -> DataFrame:
+    """(fp0, least): the smallest ``key`` reached through links of any of the fingerprints, for (key, fp0, fp1 ..) rows.
+
+    A vertex is a fingerprint with its number. A row ties its first one to a further one only where that has a link,
+    or is shared by rows of different first ones."""
+    vertex = lambda k, c: F.xxhash64(F.lit(k), c)
+    edges = None
+    for k in range(times):
+        own = cut(links(rows.select(F.col(f"fp{k}").alias("fp")).distinct(), distance))
+        part = own.select(vertex(k, "a").alias("a"), vertex(k, "b").alias("b"))
+        if k:
+            ties = rows.select(vertex(0, "fp0").alias("a"), vertex(k, f"fp{k}").alias("b")).distinct()
+            shared = ties.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
+            needed = part.select(F.col("a").alias("b")).unionByName(part.select("b")).unionByName(shared).distinct()
+            part = part.unionByName(ties.join(needed, "b", "left_semi").select("a", "b"))
+        edges = part if edges is None else edges.unionByName(part)
+    roots = cut(components(edges))
+    nodes = rows.groupBy("fp0").agg(F.min("key").alias("own")).withColumn("v", vertex(0, "fp0"))
+    # a component's root is one of its vertices and has no row in `roots`
+    joined = nodes.join(roots, nodes["v"] == roots["node"], "left").withColumn("root", F.coalesce("root", "v"))
+    best = joined.groupBy("root").agg(F.min("own").alias("least"))
+    return joined.join(best, "root").select("fp0", "least")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, times: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all its columns: the one of the smallest id (null last), then of the smallest
-    hash of its text; of rows alike in both, one."""
+    hash of its text; of rows alike in both, one. Rows link if any of ``times`` fingerprints are within the distance."""
     key = "_key_" + "_".join(docs.columns)
     keyed = docs.withColumn(key, F.xxhash64(F.lit("row"), text_col))
-    rows = cut(_with_key(keyed, shingle, id_col, text_col, key))
+
+    def prints(part: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, k, text in part:
+            yield doc_id, k, *map(signed, fingerprint(text, shingle, times))
+
+    rows = cut(map_rows(keyed, [id_col, key, text_col], prints, "id long, k long, " + ", ".join(f"fp{k} long" for k in range(times))))
     own = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("k").alias("k"))
-    least = _grouped(rows.select(own.alias("key"), "fp"), distance).select("least").distinct()
+    least = _grouped_by_any(rows.select(own.alias("key"), *[f"fp{k}" for k in range(times)]), distance, times).select("least").distinct()
     kept = least.select(F.col("least.id").alias("_kept_id"), F.col("least.k").alias("_kept_key"))
     stay = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_kept_id"]) & (keyed[key] == kept["_kept_key"]), "left_semi")
     if rows.count() != rows.select("id", "k").distinct().count():
@@ -282,15 +317,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int
     return stay.select(*docs.columns)
 
 
-def _with_key(docs: DataFrame, shingle: int, id_col: str, text_col: str, key: str) -> DataFrame:
-    def rows(part: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, k, text in part:
-            x = fingerprint(text, shingle)
-            yield doc_id, k, x - (1 << 64) if x >> 63 else x
-
-    return map_rows(docs, [id_col, key, text_col], rows, "id long, k long, fp long")
-
-
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

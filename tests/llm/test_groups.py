@@ -73,6 +73,33 @@ def test_components_against_brute_force(spark, monkeypatch, cell):
     assert got == Counter(zip([x.doc_id for x in rows], fps, ids, strict=True))
 
 
+def test_any_of_several_fingerprints_links(spark):
+    r = random.Random(8)
+    base = prose(3, 60).split()
+    texts = []
+    for _ in range(40):
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    docs = awkward(spark, texts)
+    rows = docs.select("doc_id", "text").collect()
+    prints = [simhash.fingerprint(None if x.text is None else x.text.encode(), 4, 3) for x in rows]
+    assert [p[0] for p in prints] == [plain_fingerprint(x.text) for x in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and any((a ^ b).bit_count() <= 4 for a, b in zip(prints[i], prints[j], strict=True)):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    groups = {}
+    for k, x in enumerate(rows):
+        groups.setdefault(label[k], []).append(x.doc_id)
+    want = sorted(str(min((i for i in v if i is not None), default=None)) for v in groups.values())
+    assert sorted(str(x.doc_id) for x in simhash.drop_near_duplicates(docs, 4, 4, 3).collect()) == want
+    assert len(groups) < len(set(map(tuple, prints)))
+
+
 def test_one_of_each_group_stays(spark):
     docs = clashing(awkward(spark, ["alpha beta gamma delta", "alpha beta gamma delta", prose(9, 90)]), "fp", "_kept_id")
     kept = simhash.drop_near_duplicates(docs)

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from lispmill.llm.common import cut, map_rows, table
 
 CAPACITY, END_ID = 4096, 1
-#: Entries that a worker's caches may hold; beyond them a text's rare words are encoded anew.
-CACHED = 300_000
+#: Different parts that a worker keeps the ids of (about 200 bytes each); beyond them a text's rare words are encoded anew.
+CACHED = 600_000
 #: Runs that are broadcast at most (about 50 bytes each); a longer plan is joined by a shuffle.
 BROADCAST_RUNS = 100_000
 _encoders: dict[str, WordEncoder] = {}
@@ -42,12 +42,13 @@ class WordEncoder:
     """Ids of a white-space-blind, lower-casing word tokenizer, encoded once for each different word.
 
     The vocabulary's tokens never cross white space, so a text's ids are those of its parts between ASCII
-    white space, one after the other. A part of Latin-1 letters and closing punctuation is its lower-cased
-    word's ids and the punctuation's. New words are encoded together; each word's last id ends a word.
+    white space, one after the other. Texts of Latin-1 characters, which are composed already, may be
+    lower-cased first, and a part of letters and closing punctuation is its word's ids and the punctuation's,
+    as the tokenizer parts them too. New words are encoded together; each word's last id ends a word.
     """
 
-    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
-    SPACE = str.maketrans("\n\t\r", "   ")
+    WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    CLOSING = ".,;:!?|"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -56,52 +57,55 @@ class WordEncoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        parts = text.translate(self.SPACE).split(" ") if not text.isascii() else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        get = self.parts.get
-        out = list(map(get, parts))
+        try:
+            text.encode("latin-1")
+            text = text if "<|" in text else text.lower()
+        except UnicodeEncodeError:
+            pass
+        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        out = list(map(self.known.get, parts))
         if None in out:
-            self.fill(parts, out)
+            new = self.fill({p for p, x in zip(parts, out, strict=True) if x is None})
+            out = [new[p] if x is None else x for p, x in zip(parts, out, strict=True)]
         return b"".join(out)
 
-    def fill(self, parts: list[str], out: list[bytes | None]) -> None:
-        missing = [i for i, x in enumerate(out) if x is None]
-        words, simple = self.words, self.SIMPLE.fullmatch
-        split = {parts[i]: (m[1].lower(), m[2]) if (m := simple(parts[i])) else None for i in missing}
-        new = list({w for x in split.values() if x for w in x[:1] if w not in words})
-        local: dict[str, bytes] = {}
-        if new:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(new):
+    def fill(self, parts: set[str]) -> dict[str, bytes]:
+        """The ids of parts that are not known; words and punctuation are known from now on if there is room."""
+        known, word, new, whole, ended = self.known, self.WORD.fullmatch, {}, [], []
+        for p in parts:
+            w = p.rstrip(self.CLOSING)
+            if not word(w):
+                new[p] = self.encode(p).tobytes()
+                continue
+            if w not in known and w not in new:
+                new[w] = b""
+                whole.append(w)
+            if w != p:
+                tail = p[len(w) :]
+                if tail not in known:
+                    known[tail] = self.encode(tail).tobytes()
+                ended.append((p, w, tail))
+        if whole:
+            ids = self.encode(" ".join(whole))
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(whole):
                 raise ValueError("the tokenizer does not end each word with one end-of-word token")
-            start = 0
-            for w, end in zip(new, cuts.tolist(), strict=True):
-                local[w] = ids[start:end].tobytes()
+            blob, start = ids.tobytes(), 0
+            for w, end in zip(whole, cuts, strict=True):
+                new[w] = blob[4 * start : 4 * end]
                 start = end
-            if len(words) < CACHED:
-                words.update(local)
-        room = len(self.parts) < CACHED
-        for part, x in split.items():
-            if x is None:
-                value = self.encode(part) if part else b""
-            else:
-                tail = words.get(x[1])
-                if tail is None:
-                    tail = words[x[1]] = self.encode(x[1])
-                value = (local.get(x[0]) or words[x[0]]) + tail
-            split[part] = value
-            if room:
-                self.parts[part] = value
-        for i in missing:
-            out[i] = split[parts[i]]
+        if len(known) < CACHED:
+            known.update(new)
+        for p, w, tail in ended:
+            new[p] = (new.get(w) or known[w]) + known[tail]
+        return new
 
 
 def encoder(path: str | None) -> WordEncoder:

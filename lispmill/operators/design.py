@@ -16,7 +16,7 @@ from lispmill.operators.registry import HINT, INFO, TRADITIONAL, WARNING, row_ru
 REDUNDANT = ("function to", "method to", "this function", "this method", "calls", "returns", "defines", "creates", "sets", "gets", "increments", "decrements")
 OBVIOUS = ("initialize", "start", "end", "validate", "check", "store", "save", "transform", "convert", "process", "handle", "manage", "update", "delete", "create", "add", "remove", "get", "set", "main function", "helper function", "utility function")
 DEODORANT = ("hack", "workaround", "temporary", "quick fix", "dirty", "ugly", "bad", "terrible", "awful", "sorry", "apologize", "don't ask", "magic number", "hardcoded", "hard coded", "kludge", "bodge", "duct tape")
-CODE_LIKE = r"^\s*\((def|defn|defn-|let|if|when|cond|fn|map|filter|reduce|println|ns|require)\b"
+CODE_LIKE = r"^\s*[(\[{]|^\s*def[a-z-]*\s|^\s*(let|loop|require|import)\s*\[|^\s*(if|when|case|recur|->|->>)\s*\(|^\s*cond\s*$|^\s*ns\s+[a-z]"
 RESPONSIBILITIES = {
     "I/O": ("println", "print", "printf", "slurp", "spit", "read", "read-line", "with-open"),
     "data-transformation": ("map", "filter", "reduce", "str", "assoc", "dissoc", "get", "get-in", "update", "conj", "into", "merge", "select-keys", "rename-keys", "group-by", "partition", ">=", "<=", ">", "<", "=", "not=", "inc", "dec", "+", "-", "*", "/"),
@@ -28,7 +28,10 @@ RESPONSIBILITIES = {
     "configuration": ("config", "env", "property", "setting", "param"),
 }
 DECISIONS = ("if", "when", "cond", "case", "and", "or", "while", "loop")
-CONFLICTS = (("I/O", "data-transformation"), ("I/O", "validation"), ("network", "persistence"), ("persistence", "validation"), ("logging", "data-transformation"))
+PAIRS = (("I/O", "data-transformation"), ("I/O", "validation"), ("I/O", "persistence"), ("network", "logging"))
+TRIPLES = (("I/O", "data-transformation", "validation"), ("network", "data-transformation", "logging"))
+#: Parts of a name that tell a responsibility, beside the names.
+PARTS = {"validation": ("valid",), "error-handling": ("error", "exception"), "logging": ("log",), "network": ("http", "request"), "persistence": ("db", "sql"), "configuration": ("config", "env")}
 SPECIAL = ("let", "if", "when", "cond", "case", "do", "loop", "recur", "fn", "quote", "var", "def", "set!", "monitor-enter", "monitor-exit", "throw", "try", "catch", "finally", "new", ".")
 EFFECTS = {
     "I/O": ("println", "print", "printf", "prn", "pr", "read", "read-line", "read-string", "spit", "slurp"),
@@ -41,9 +44,12 @@ EFFECTS = {
     "random": ("rand", "rand-int", "rand-nth", "random", "shuffle", "uuid"),
 }
 PURE_NAMES = ("calculate", "compute", "transform", "convert", "parse", "format", "validate", "check", "filter", "map", "reduce", "process", "get", "find", "search", "extract", "build", "create")
-EFFECT_NAMES = ("save", "write", "send", "log", "print", "delete", "insert", "execute", "persist")
-IGNORED_SPACES = ("str", "s", "string", "set", "clojure.string", "clojure.set", "clojure.core", "log", "io", "json", "t")
-PRIMITIVES = ("String", "Integer", "Long", "Double", "Float", "Boolean", "Keyword", "Symbol", "Number", "Int", "Bool")
+EFFECT_NAMES = ("save", "send", "write", "log", "print", "persist", "update", "insert", "delete")
+IGNORED_SPACES = ("clojure.core", "cljs.core", "clojure.string", "clojure.set", "clojure.walk", "clojure.zip", "clojure.data", "clojure.edn", "clojure.java.io", "clojure.pprint", "clojure.repl")
+ALIASES = {"str": "clojure.string", "set": "clojure.set", "walk": "clojure.walk", "data": "clojure.data", "io": "clojure.java.io", "json": "clojure.data.json", "csv": "clojure.data.csv", "xml": "clojure.data.xml", "zip": "clojure.zip", "test": "clojure.test", "spec": "clojure.spec.alpha", "s": "clojure.spec.alpha", "gen": "clojure.spec.gen.alpha", "edn": "clojure.edn"}
+CORE_SPACES = ("clojure.core", "clojure.main", "clojure.repl")
+#: Namespaces whose every call has the effect: whole names, and parts of names.
+EFFECT_SPACES = {"I/O": (("io", "clojure.java.io"), ()), "logging": (("timbre",), ("log",)), "database": (("korma", "honeysql", "next.jdbc"), ("db", "sql")), "network": (("clj-http", "aleph"), ("http", "client")), "file-system": (("io", "clojure.java.io"), ("file",)), "time": (("clj-time",), ("time",)), "random": ((), ("random", "uuid"))}
 INPUTS = ("slurp", "line-seq", "clojure.java.io/reader", "clojure.data.json/read-str", "json/read-str", "clojure.edn/read-string", "edn/read-string", "clojure.xml/parse", "http/get", "clj-http.client/get", "http/post", "clj-http.client/post")
 SANITIZERS = ("clojure.string/trim", "str/trim", "clojure.string/triml", "str/triml", "clojure.string/trimr", "str/trimr", "clojure.string/escape", "str/escape", "clojure.core/int", "int", "clojure.core/long", "long", "clojure.core/double", "double", "clojure.core/boolean", "boolean", "clojure.core/keyword", "keyword", "clojure.spec.alpha/valid?", "s/valid?", "clojure.spec.alpha/conform", "s/conform")
 STRING_TESTS = ("clojure.string/includes?", "str/includes?", "clojure.string/starts-with?", "str/starts-with?", "clojure.string/ends-with?", "str/ends-with?")
@@ -109,7 +115,7 @@ def external_schema() -> Column:
     )
     one = first(where(F.filter(the_sub(), lambda x: x["i"] > kid(2)["i"]), hit))
     at = F.when(snake(key(one)), key(one)).when(is_call(one, "get"), kid_of(one, 2)).otherwise(first(where(kids_of(kid_of(one, 2)), snake)))
-    adapter = kid(1)["v"].rlike(r"->|transform|parse|convert|adapt|normalize|from-|to-|coerce")
+    adapter = F.lower(kid(1)["v"]).rlike(r"transform|parse|to-internal|map-external|external-to")
     return F.when(call("defn") & (F.col("n") >= 4) & (kid(2)["t"] == "Vector"), found("external-data-coupling:direct-external-schema-usage", WARNING, one.isNotNull() & ~adapter, text("Direct use of external key ", at["v"], " in '", kid(1)["v"], "'."), at))
 
 
@@ -118,15 +124,16 @@ def divergent_change(complexity: int) -> Column:
     def role(h: Column) -> Column:
         out = F.lit(None).cast("string")
         for k, names in reversed(RESPONSIBILITIES.items()):
-            out = F.when(h.isin(*names), F.lit(k)).otherwise(out)
+            part = [h.contains(p) for p in PARTS.get(k, ())]
+            out = F.when(reduce(lambda a, b: a | b, part, h.isin(*names)), F.lit(k)).otherwise(out)
         return out
 
     roles = F.filter(F.transform(heads_below(), role), lambda r: r.isNotNull())
     kinds = F.array_sort(F.array_distinct(roles))
-    pair = reduce(lambda a, b: a | b, [F.array_contains(kinds, a) & F.array_contains(kinds, b) for a, b in CONFLICTS])
+    has_all = lambda groups: reduce(lambda a, b: a | b, [reduce(lambda x, y: x & y, [F.array_contains(kinds, r) for r in g]) for g in groups])
     decisions = F.size(heads_below(lambda h: h.isin(*DECISIONS))) + 1
     n = F.size(kinds)
-    bad = ((n == 2) & pair & (F.size(roles) >= 3)) | ((n == 3) & pair) | (n > 3) | ((decisions > complexity) & (n >= 2))
+    bad = ((n == 2) & has_all(PAIRS) & (F.size(roles) >= 3)) | ((n >= 3) & has_all(TRIPLES)) | (n > 3) | ((decisions > complexity) & (n >= 2))
     return F.when(is_defn(), found("divergent-change", WARNING, bad, text("Function '", kid(1)["v"], "' mixes responsibilities: ", F.array_join(kinds, ", "), ".")))
 
 
@@ -149,8 +156,10 @@ def external_data(nodes: DataFrame) -> DataFrame:
 
 @row_rule("feature-envy", TRADITIONAL, WARNING, "Functions that mostly call one other namespace.", least=5, external=3)
 def feature_envy(least: int, external: int) -> Column:
-    calls = heads_below(lambda h: ~h.isin(*SPECIAL))
-    outside = F.filter(F.transform(calls, space), lambda s: s.isNotNull() & ~s.isin(*IGNORED_SPACES))
+    # the definition itself is a call like any other; its file's name is its own namespace
+    own = F.regexp_replace(F.regexp_extract("path", r"([^/]*)\.clj[sc]?$", 1), "_", "-")
+    calls = F.concat(F.array(the_head()), heads_below(lambda h: ~h.isin(*SPECIAL)))
+    outside = F.filter(F.transform(calls, lambda h: F.when(h.contains("/"), F.regexp_extract(h, r"^([^/]*)/", 1))), lambda s: s.isNotNull() & ~s.isin(*IGNORED_SPACES) & (s != own))
     n, e = F.size(calls), F.size(outside)
     names = F.array_sort(F.array_distinct(outside))
     most = F.element_at(F.array_sort(F.transform(names, lambda s: F.struct((-F.size(F.filter(outside, lambda o: o == s))).alias("n"), s.alias("s")))), 1)["s"]
@@ -159,17 +168,22 @@ def feature_envy(least: int, external: int) -> Column:
 
 @row_rule("hidden-side-effects", TRADITIONAL, WARNING, "Effects that a function's name does not tell.")
 def hidden_side_effects() -> Column:
-    def effect(h: Column) -> Column:
-        name, out = local(h), F.lit(None).cast("string")
-        for k, names in reversed(EFFECTS.items()):
-            out = F.when(name.isin(*names), F.lit(k)).otherwise(out)
-        return out
-
-    effects = F.array_distinct(F.filter(F.transform(heads_below(), effect), lambda e: e.isNotNull()))
+    def told_by(h: Column) -> Column:
+        """All effects of a call, in the order of the classes."""
+        qualified = h.rlike(r"^[^/]*/[^/]*$")
+        name, of = F.when(qualified, F.regexp_extract(h, r"/([^/]*)$", 1)).otherwise(h), F.when(qualified, F.regexp_extract(h, r"^([^/]*)/", 1))
+        out = []
+        for k, names in EFFECTS.items():
+            whole, parts = EFFECT_SPACES.get(k, ((), ()))
+            hit = any_of(name.isin(*names), *([of.isin(*whole)] if whole else []), *[of.contains(p) for p in parts], *([h.isin("System/currentTimeMillis", "System/nanoTime")] if k == "time" else []), *([h.contains("Random")] if k == "random" else []))
+            out.append(F.when(hit, F.lit(k)))
+        return F.filter(F.array(*out), lambda e: e.isNotNull())
+
+    effects = F.array_distinct(F.flatten(F.transform(heads_below(), told_by)))
     name = F.lower(kid(1)["v"])
     has = lambda words: reduce(lambda a, b: a | b, [name.contains(w) for w in words])
-    told = name.contains("!") | has(EFFECT_NAMES)
-    bad = (F.size(effects) > 0) & (has(PURE_NAMES) | (~told & (F.size(F.array_remove(effects, "logging")) > 0)))
+    told = name.endswith("!") | has(EFFECT_NAMES)
+    bad = (F.size(effects) > 0) & ~told & (has(PURE_NAMES) | (F.size(F.array_remove(effects, "logging")) > 0))
     return F.when(is_defn(), found("hidden-side-effects", WARNING, bad, text("Function '", kid(1)["v"], "' has hidden side effects: ", F.array_join(effects, ", "), ".")))
 
 
@@ -231,7 +245,7 @@ def library_locker() -> Column:
     fixed = no(some(before, lambda x: ~x["t"].isin("String", "Number", "Keyword", "Bool", "Nil", "Map", "Vector")))
     same = (n > 0) & (((F.size(a) >= n) & (tail == p) & fixed) | (F.array_sort(a) == F.array_sort(p)))
     lib = space(c["h"])
-    return F.when(is_defn() & (kid(2)["t"] != "String"), found("library-locker", INFO, c.isNotNull() & lib.isNotNull() & ~lib.isin("clojure.core", "clojure.string", "str", "s") & same, text("Function '", kid(1)["v"], "' only wraps `", c["h"], "`.")))
+    return F.when(is_defn() & (kid(2)["t"] != "String"), found("library-locker", INFO, c.isNotNull() & lib.isNotNull() & ~lib.isin("clojure.core", "clojure.string", "clojure.set", "clojure.walk") & same, text("Function '", kid(1)["v"], "' only wraps `", c["h"], "`.")))
 
 
 @row_rule("linear-collection-scan", TRADITIONAL, WARNING, "Chains and scans that pass over collections more than needed.")
@@ -278,11 +292,11 @@ def message_chains(most: int) -> Column:
         return F.concat(s, F.array(F.coalesce(up, F.lit(0))))
 
     gets = F.array_max(F.aggregate(the_sub(), F.array().cast("array<int>"), deepen))
-    step = lambda x: (x["t"] == "Keyword") | is_call(x, "get", "get-in", "nth", "first", "last") | (x["t"] == "List") & (kid_of(x, 0)["t"] == "Keyword")
+    step = lambda x: (x["t"] == "Keyword") | is_call(x, "get", "get-in", ".")
     steps = F.size(where(kids_from(2), step))
     return F.coalesce(
         F.when(call("get"), found("message-chains", WARNING, gets >= most, text("Nested `get` of depth ", gets, "."))),
-        F.when(call("get-in"), found("message-chains", WARNING, (kid(2)["t"] == "Vector") & (kid(2)["n"] >= most), text("`get-in` path of ", kid(2)["n"], " keys."))),
+        F.when(call("get-in"), found("message-chains", WARNING, (F.col("n") == 3) & (kid(2)["t"] == "Vector") & (kid(2)["n"] >= most), text("`get-in` path of ", kid(2)["n"], " keys."))),
         F.when(call("->", "->>"), found("message-chains", WARNING, steps >= most, text("Chain of ", steps, " accesses in `", the_head(), "`."))),
     )
 
@@ -307,26 +321,32 @@ def namespaced_keys() -> Column:
 def positional_returns() -> Column:
     tail = F.when(is_call(last_kid(), "let"), last_of(last_kid())).otherwise(last_kid())
     head = kid_of(tail, 0)
-    bad = ((tail["t"] == "Vector") | ((tail["t"] == "List") & head["t"].isin("Keyword", "String", "Number", "Bool", "Nil", "Vector", "Map"))) & (tail["n"] >= 2)
+    bad = ((tail["t"] == "Vector") | ((tail["t"] == "List") & head["t"].isin("Number", "String", "Keyword", "Bool", "Nil"))) & (tail["n"] >= 2)
     return F.when(call("defn", "fn") & (F.col("n") >= F.when(the_head() == "fn", 3).otherwise(4)), found("positional-return-values", WARNING, bad, "Function returns a collection whose elements are told by position. Consider a map.", tail))
 
 
 @row_rule("primitive-obsession", TRADITIONAL, HINT, "Parameters that are all primitive.", run=8)
 def primitive_obsession(run: int) -> Column:
-    p = F.when(the_head() == "defrecord", kid(2)).otherwise(parameters())
+    """Exactly two plain parameters of a function, or a run of them; a parameter without a type counts as primitive."""
+    at = F.lit(2) + (kid(2)["t"] == "String").cast("int")
+    p = F.get(the_kids(), at + (F.get(the_kids(), at)["t"] == "Map").cast("int"))
     own = kids_of(p)
-    hint = lambda x: is_symbol(x) & x["v"].isin(*PRIMITIVES)
-    names = where(own, lambda x: ~hint(x) & (x["v"] != "&"))
-    plain = lambda x: is_symbol(x) & ~x["v"].isin("_", "&")
-    longest = F.aggregate(names, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), lambda s, x: F.struct(F.when(yes(plain(x)), s["now"] + 1).otherwise(F.lit(0)).alias("now"), F.greatest(s["best"], F.when(yes(plain(x)), s["now"] + 1).otherwise(F.lit(0))).alias("best")))["best"]
-    hinted = F.size(where(own, lambda x: plain(x) & ~hint(x) & yes(hint(F.get(own, x["k"] - 1)))))
-    both = (the_head() == "defn") & (F.size(names) == 2) & (hinted == 2)
-    return F.when(call("defn", "defn-", "defrecord"), found("primitive-obsession", HINT, p.isNotNull() & ((p["t"] == "Vector") & (both | (longest >= run))), text("'", kid(1)["v"], "' takes only primitive parameters (", F.greatest(longest, F.size(names)), ")."), first(own)))
+    plain = lambda x: is_symbol(x) & (x["v"] != "_") & ~x["v"].startswith("&")
+    typed = F.get(own, F.lit(0))["v"].rlike("^[A-Z]") & ~F.get(own, F.lit(1))["v"].rlike("^[A-Z]")
+    both = the_head().isin("defn", "defn-") & (p["n"] == 2) & no(some(own, lambda x: ~plain(x))) & no(typed)
+    start = F.struct(F.lit(0).alias("now"), F.lit(-1).alias("at"))
+    step = lambda s, x: F.when(s["now"] >= run, s).otherwise(F.struct(F.when(yes(plain(x)), s["now"] + 1).otherwise(F.lit(0)).alias("now"), F.when(yes(plain(x)) & (s["now"] > 0), s["at"]).otherwise(x["k"]).alias("at")))
+    longest = F.aggregate(own, start, step)
+    where_ = F.when(both, first(own)).otherwise(F.get(own, longest["at"]))
+    return F.when(call("defn", "defn-", "defrecord") & (kid(1)["t"] == "Symbol"), found("primitive-obsession", HINT, (p["t"] == "Vector") & (both | (longest["now"] >= run)), text("'", kid(1)["v"], "' takes primitive parameters one after the other."), where_))
 
 
 @row_rule("shotgun-surgery", TRADITIONAL, WARNING, "Functions that call many namespaces.", spaces=4, calls=6)
 def shotgun_surgery(spaces: int, calls: int) -> Column:
-    outside = F.filter(F.transform(heads_below(), space), lambda s: s.isNotNull())
+    full = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    own = F.regexp_replace(F.regexp_replace(F.regexp_extract("path", r"^[^/]*/(.*)$", 1), r"\.clj$", ""), "/", ".")
+    named = F.transform(heads_below(lambda h: h.rlike(r"^[^/]*/[^/]*$")), lambda h: F.regexp_extract(h, r"^([^/]*)/", 1))
+    outside = F.filter(F.transform(named, lambda s: F.coalesce(F.try_element_at(full, s), s)), lambda s: ~s.isin(*CORE_SPACES) & (s != own))
     kinds = F.size(F.array_distinct(outside))
     return F.when(is_defn(), found("shotgun-surgery", WARNING, (kinds > spaces) | (F.size(outside) > calls), text("Function '", kid(1)["v"], "' makes ", F.size(outside), " calls to ", kinds, " namespaces.")))
 

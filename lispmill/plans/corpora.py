@@ -51,7 +51,7 @@ SNIPPETS: dict[str, tuple[str, str, list[int]]] = {
     "external-data-coupling:direct-external-schema-usage": ("(defn show [row]\n  (:first_name row))", "(defn show [row]\n  (:first-name row))", [1]),
     "divergent-change": ("(defn work [x]\n  (println (map inc (filter f x))))", "(defn work [x]\n  (map inc (filter f x)))", [0]),
     "external-data-coupling": ("(defn check [f]\n  (let [s (slurp f)] (str/includes? s \"x\")))", "(defn check [f]\n  (let [s (str/trim (slurp f))] (str/includes? s \"x\")))", [1]),
-    "feature-envy": ("(defn f [x]\n  (a/b x) (a/c x) (a/d x) (a/e x) (g x))", "(defn f [x]\n  (a/b x) (h x) (i x) (j x) (g x))", [0]),
+    "feature-envy": ("(defn f [x]\n  (a/b x) (a/c x) (a/d x) (a/e x) (a/f x))", "(defn f [x]\n  (a/b x) (h x) (i x) (j x) (g x))", [0]),
     "hidden-side-effects": ("(defn calculate-total [x]\n  (swap! state inc))", "(defn swap-total! [x]\n  (swap! state inc))", [0]),
     "inappropriate-collection": ("(def v [1 2])\n(last v)", "(def v '(1 2))\n(last v)", [1]),
     "library-locker": ("(defn fetch [url opts]\n  (http/get url opts))", "(defn fetch [url opts]\n  (http/get url (or opts {})))", [0]),

@@ -58,11 +58,10 @@ def flagship_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.summary(analyze.findings(_orders(spark, sf_dir), analyze.ALL, ["long-parameter-list", "primitive-obsession"]))
 
 
-@query("findings_sorted", f"SELECT 'src/o' || o_orderkey || '.clj' AS path, 1::INTEGER AS line, 'long-parameter-list' AS rule_id, 'WARNING' AS severity, row_number() OVER (ORDER BY 'src/o' || o_orderkey || '.clj')::INTEGER AS place FROM ({_PER_ORDER}) WHERE n > 9")
+@query("findings_sorted", f"SELECT 'src/o' || o_orderkey || '.clj' AS path, 1::INTEGER AS line, 'long-parameter-list' AS rule_id, 'WARNING' AS severity FROM ({_PER_ORDER}) WHERE n > 9 ORDER BY 1, 2")
 def findings_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = analyze.findings(_orders(spark, sf_dir), analyze.ALL, ["long-parameter-list"])
-    # findings are few beside the nodes; their number in the whole order needs one sequence
-    return found.select("path", "line", "rule_id", "severity", F.row_number().over(Window.orderBy("path", "line", "col")).alias("place"))
+    return analyze.ordered(found).select("path", "line", "rule_id", "severity")
 
 
 @query("function_stats", f"SELECT 'f' || o_orderkey AS function_name, (n + 1)::INTEGER AS lines_of_code, n AS parameter_count, n AS max_nesting_depth, 0::INTEGER AS max_message_chain, n AS max_consecutive_primitive_params FROM ({_PER_ORDER})")
@@ -180,13 +179,13 @@ def finding_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.snippets(found, src).select(F.col("path").cast("long").alias("doc_id"), "line", "code_snippet")
 
 
-@query("duplicate_texts", "SELECT doc_id, copy::INTEGER AS copy, copies::BIGINT AS copies FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS copy, count(*) OVER (PARTITION BY text) AS copies FROM documents) WHERE copy > 1")
+@query("duplicate_texts", "SELECT doc_id, first_id, copies::BIGINT AS copies FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) AS copies FROM documents) WHERE doc_id > first_id")
 def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The algebra of duplicated code on texts: the second and later copies, by their digest."""
+    """The algebra of duplicated code on texts: later copies, with the first. Digests are counted before they are
+    joined back, so a text that many documents share is split over tasks."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("\u0000")), 256).alias("h"))
-    often = d.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
-    both = d.join(often, "h")
-    return both.withColumn("copy", F.row_number().over(Window.partitionBy("h").orderBy("doc_id"))).where("copy > 1").select("doc_id", "copy", "copies")
+    often = d.groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    return d.join(often, "h").where("doc_id > first_id").select("doc_id", "first_id", "copies")
 
 
 @query("part_clumps", "WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey % 40 AS s FROM lineitem WHERE l_orderkey % 5 = l_orderkey % 5), o AS (SELECT l_orderkey FROM p GROUP BY 1 HAVING count(*) BETWEEN 3 AND 8), q AS (SELECT p.* FROM p JOIN o USING (l_orderkey)) SELECT a.s::BIGINT AS a, b.s::BIGINT AS b, c.s::BIGINT AS c, count(*)::BIGINT AS times FROM q a JOIN q b ON a.l_orderkey = b.l_orderkey AND a.s < b.s JOIN q c ON b.l_orderkey = c.l_orderkey AND b.s < c.s GROUP BY ALL HAVING count(*) >= 2")

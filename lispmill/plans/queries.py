@@ -32,9 +32,14 @@ def query(name: str, sql: str | None = None):
     return take
 
 
+def _nodes(sources: DataFrame) -> DataFrame:
+    """The node table; reading text costs far more than its bytes suggest, so it is spread over all cores first."""
+    return files.nodes(sources.repartition(2 * sources.sparkSession.sparkContext.defaultParallelism))
+
+
 def _rule_query(rule: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        nodes = files.nodes(corpora.parts_corpus(table(spark, sf_dir, "part"), rule))
+        nodes = _nodes(corpora.parts_corpus(table(spark, sf_dir, "part"), rule))
         return analyze.findings(nodes, analyze.ALL, [rule]).select("rule_id", "path", "line")
 
     return run
@@ -46,7 +51,7 @@ for _rule in corpora.SNIPPETS:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.nodes(corpora.orders_corpus(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")))
+    return _nodes(corpora.orders_corpus(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")))
 
 
 _PER_ORDER = "SELECT o_orderkey, count(*)::INTEGER AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"
@@ -94,7 +99,7 @@ _BODY = f"trim(regexp_replace(';; ' || {_LINE}, '^[;#!]+', ''), ' ')"
 
 @query("comment_lengths", f"SELECT 'src/d' || doc_id || '.clj' AS path, CASE WHEN octet_length(encode(b)) = 0 THEN 'empty' WHEN octet_length(encode(b)) < 5 THEN 'short' ELSE 'long' END AS kind FROM (SELECT doc_id, {_BODY} AS b FROM documents) WHERE octet_length(encode(b)) < 5 OR octet_length(encode(b)) > 120")
 def comment_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = files.nodes(corpora.comments_corpus(table(spark, sf_dir, "documents")))
+    nodes = _nodes(corpora.comments_corpus(table(spark, sf_dir, "documents")))
     found = analyze.findings(nodes, analyze.ALL, ["comments"])
     kind = F.when(F.col("message").startswith("Empty"), "empty").when(F.col("message").contains("short"), "short").when(F.col("message").contains("too long"), "long")
     return found.select("path", kind.alias("kind")).where("kind is not null")
@@ -102,11 +107,11 @@ def comment_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("comment_extraction", f"SELECT 'src/d' || doc_id || '.clj' AS path, ';; ' || {_LINE} AS value, 1::INTEGER AS line, 1::INTEGER AS col FROM documents")
 def comment_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.comments(files.nodes(corpora.comments_corpus(table(spark, sf_dir, "documents"))))
+    return files.comments(_nodes(corpora.comments_corpus(table(spark, sf_dir, "documents"))))
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.nodes(corpora.nations_corpus(table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")))
+    return _nodes(corpora.nations_corpus(table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")))
 
 
 @query("namespaces", "SELECT 'src/n' || n_nationkey || '.clj' AS path, 'geo.' || lower(regexp_replace(r_name, '[^A-Za-z]', '-', 'g')) || '.' || lower(regexp_replace(n_name, '[^A-Za-z]', '-', 'g')) AS namespace FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -140,7 +145,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     names = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size") % 7 + 1), lambda i: F.concat(F.lit("g"), i.cast("string"))), "  ")
     src = p.select(F.col("p_partkey").cast("string").alias("path"), F.concat(F.lit(" (comp\n"), names, F.lit(") ; note")).alias("text"))
-    nodes = files.nodes(src)
+    nodes = _nodes(src)
     return scopes.fingerprints(nodes).where("id = 0").select(F.col("path").cast("long").alias("p_partkey"), "fingerprint")
 
 
@@ -148,7 +153,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rendered_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     text = F.concat(F.lit("(assoc {:k, ["), F.col("p_size"), F.lit('   "a"]}\n  (inc '), F.col("p_partkey"), F.lit("))"))
-    nodes = files.nodes(p.select(F.col("p_partkey").cast("string").alias("path"), text.alias("text")))
+    nodes = _nodes(p.select(F.col("p_partkey").cast("string").alias("path"), text.alias("text")))
     return scopes.rendered(nodes).where("id = 0").select(F.col("path").cast("long").alias("p_partkey"), "code")
 
 
@@ -162,7 +167,7 @@ def test_file_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("unreadable_files", "SELECT 'p' || p_partkey AS path FROM part WHERE p_size % 3 <> 0")
 def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("p_size") % 3 == 0, F.lit("(a (b)")).otherwise(F.lit("(a (b))"))
-    return files.nodes(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), text.alias("text"))).where("id = 0").select("path")
+    return _nodes(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), text.alias("text"))).where("id = 0").select("path")
 
 
 @query(
@@ -239,7 +244,7 @@ def supplier_envy(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sinks over the findings of one corpus
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     src = corpora.parts_corpus(table(spark, sf_dir, "part"), "string-map-keys")
-    return analyze.findings(files.nodes(src), analyze.ALL, ["string-map-keys"]), src
+    return analyze.findings(_nodes(src), analyze.ALL, ["string-map-keys"]), src
 
 
 _BAD = "FROM part WHERE p_partkey % 3 <> 0"
@@ -304,5 +309,5 @@ def all_default_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     names = sorted(corpora.SNIPPETS)
     pick = F.get(F.array(*[F.lit(corpora.SNIPPETS[n][0]) for n in names]), (F.col("p_partkey") % len(names)).cast("int"))
-    nodes = files.nodes(part.select(F.format_string("src/p%d.clj", F.col("p_partkey")).alias("path"), pick.alias("text")))
+    nodes = _nodes(part.select(F.format_string("src/p%d.clj", F.col("p_partkey")).alias("path"), pick.alias("text")))
     return analyze.findings(nodes).select("rule_id", "path", "line", "severity")

@@ -109,3 +109,17 @@ def nations_corpus(region: DataFrame, nation: DataFrame) -> DataFrame:
     low = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z]", "-"))
     text = F.concat(F.lit("(ns geo."), low("r_name"), F.lit("."), low("n_name"), F.lit("\n  (:require [clojure.string :as str]))\n(def key "), F.col("n_nationkey"), F.lit(")\n(defn- show [x]\n  (let [key (inc x)] (str/trim (str key x))))\n(show key)"))
     return n.select(F.format_string("src/n%d.clj", F.col("n_nationkey")).alias("path"), text.alias("text"))
+
+
+def clumps_corpus(part: DataFrame) -> DataFrame:
+    """A function for each part, of three parameters that its key's remainder names."""
+    g = F.col("p_partkey") % 701
+    text = F.concat(F.lit("(defn f [b"), g, F.lit(" a"), g, F.lit(" c"), g, F.lit("] (g 1))"))
+    return part.select(F.format_string("src/p%d.clj", F.col("p_partkey")).alias("path"), text.alias("text"))
+
+
+def shapes_corpus(part: DataFrame) -> DataFrame:
+    """A function for each part whose names and literals are its own, and whose shape is told by its size."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("(defn f"), k, F.lit(" [x"), k, F.lit("]\n  (g"), k, F.repeat(F.concat(F.lit(" "), k), F.col("p_size")), F.lit("))"))
+    return part.select(F.format_string("src/p%d.clj", k).alias("path"), text.alias("text"))

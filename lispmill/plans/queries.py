@@ -50,6 +50,18 @@ for _rule in corpora.SNIPPETS:
     QUERIES[_name], SQL[_name] = _rule_query(_rule), corpora.parts_oracle(_rule)
 
 
+@query("rule_data_clumps", "WITH p AS (SELECT p_partkey, p_partkey % 701 AS g, count(*) OVER (PARTITION BY p_partkey % 701) AS n FROM part) SELECT 'data-clumps' AS rule_id, 'src/p' || p_partkey || '.clj' AS path, 1::INTEGER AS line, 'Data clump detected: parameters [a' || g || ',b' || g || ',c' || g || '] appear together in ' || n || ' functions.' AS message FROM p WHERE n >= 2")
+def rule_data_clumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(corpora.clumps_corpus(table(spark, sf_dir, "part")))
+    return analyze.findings(nodes, analyze.ALL, ["data-clumps"]).select("rule_id", "path", "line", "message")
+
+
+@query("rule_duplicated_code", "SELECT 'duplicated-code' AS rule_id, path, 1::INTEGER AS line, 'Duplicated code: this shape occurs ' || n || ' times, first in ' || first_path || '.' AS message FROM (SELECT 'src/p' || p_partkey || '.clj' AS path, count(*) OVER (PARTITION BY p_size) AS n, min('src/p' || p_partkey || '.clj') OVER (PARTITION BY p_size) AS first_path FROM part) WHERE path <> first_path")
+def rule_duplicated_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(corpora.shapes_corpus(table(spark, sf_dir, "part")))
+    return analyze.findings(nodes, analyze.ALL, ["duplicated-code"]).select("rule_id", "path", "line", "message")
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(corpora.orders_corpus(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")))
 

@@ -232,7 +232,30 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     todo = small if split is None else small.unionByName(split)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = todo.repartition(n, "cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(lambda b: _link_cells(b, distance), "a long, b long").distinct()
+    found = dealt.mapInArrow(lambda b: _link_cells(b, distance), "a long, b long")
+    # a member's edges from several cells meet, and those that close a circle go
+    return found.repartition(n, "a").mapInArrow(_forest, "a long, b long")
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's edges, a spanning forest: at most one edge less than it has nodes."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            keep.append(a != b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def components(edges: DataFrame) -> DataFrame:

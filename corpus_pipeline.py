@@ -11,12 +11,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lispmill.llm import decontaminate, packing, secrets, simhash, toxicity
+from lispmill.llm import decontaminate, packing, secrets, shingle_join, toxicity
 from lispmill.llm.common import shared_dir, table
 
-#: Of the near-duplicate stage: words of a shingle, differing bits that still link, and fingerprints of which any may.
-#: Texts whose five-word shingles have a similarity of 0.95 differ by 5 of 64 bits in the median, of 0.9 by 6 or 7.
-SHINGLE, DISTANCE, TIMES = 5, 7, 3
+#: Of the near-duplicate stage: words of a shingle, and the Jaccard similarity of shingles that links.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs, SHINGLE, DISTANCE, TIMES)
+    return shingle_join.drop_similar(docs, SHINGLE, SIMILARITY)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

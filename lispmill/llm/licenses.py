@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity (containment) join.
 
-A text block is a line, and of lines longer than ``TILE`` words each run of two neighbouring tiles. A
-template matches a block if at least ``threshold`` of its distinct words occur in the block. Template
+A text block is a line, and of lines longer than two tiles of ``TILE`` words each run of two neighbouring tiles; of
+texts of several lines also each run of two tiles of the whole text's words, so that a notice wrapped over lines lies in
+one. ``n_blocks`` counts the lines' blocks only. A template matches a block if at least ``threshold`` of its distinct words occur in the block. Template
 words are ordered by how many blocks of the corpus have them, rarest first, with ties by the word. Then
 
 * prefix filter: with ``need`` words asked for, one of a template's first ``size - need + 1`` words must occur;
@@ -22,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,10 +62,15 @@ def blocks(text: bytes, vocabulary: frozenset[bytes]) -> Iterator[set[bytes]]:
             if kept := vocabulary.intersection(found):
                 yield kept
         else:
-            tiles = [vocabulary.intersection(found[i : i + TILE]) for i in range(0, len(found), TILE)]
-            for a, b in zip(tiles, tiles[1:], strict=False):
-                if a or b:
-                    yield a | b
+            yield from runs(found, vocabulary)
+
+
+def runs(found: list[bytes], vocabulary: frozenset[bytes]) -> Iterator[set[bytes]]:
+    """The like for each two neighbouring tiles of the words, or for all words where they fill one."""
+    tiles = [vocabulary.intersection(found[i : i + TILE]) for i in range(0, len(found), TILE)]
+    for a, b in zip(tiles, tiles[1:] or [frozenset()], strict=False):
+        if a or b:
+            yield a | b
 
 
 def template_sets(templates: dict[str, list[str]]) -> list[tuple[str, frozenset[bytes]]]:
@@ -144,13 +151,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
                         places.append(at)
                         base.add(label)
             labels, score, n_blocks = set(base), 1.0 if base else 0.0, 0
-            for b in blocks(low, vocabulary):
+            wrapped = runs(found, vocabulary) if b"\n" in low else ()
+            for is_line, b in chain(((1, b) for b in blocks(low, vocabulary)), ((0, b) for b in wrapped)):
                 met = list(join.matches(b))
                 for k, share in met:
                     if not any(join.templates[k][1] < join.templates[o][1] for o, _ in met):
                         labels.add(join.templates[k][0])
                         score = max(score, share)
-                n_blocks += bool(met)
+                n_blocks += is_line if met else 0
             yield (doc_id, len(found), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, n_blocks)
 
     spec = f"{id_col} long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long"

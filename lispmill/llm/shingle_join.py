@@ -1,22 +1,26 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: an exact prefix-filter self-join.
-
-A text's set holds the XXH64 hashes of its word shingles (a shorter text is one shingle). Equal sets are one node, known
-by the hash of the set. Shingles are ordered by how often a count sketch of fixed size has seen their bucket, rarest
-first, with ties by the hash. Of two sets of similarity ``least`` or more, the first shared shingle under any such
-order is among the first ``n - ceil(least * n) + 1`` of both, so each set goes to the cells of these shingles only.
-A pair of a cell is a candidate if its sizes allow the similarity and if enough shingles are left behind the two places.
-
-Every link is verified on the whole sets. Members of a cell that lie next to each other by size are tried first;
-then all candidates that are still in different components are. So large groups of near copies need few pairs, and
-no pair at or above ``least`` stays unlinked. Nothing of the size of the corpus reaches the driver.
-
-Null and empty texts have the empty set and are alike. Empty tables give empty results.
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash candidates, verified, and an exact join for the rest.
+
+A text's set holds the hashes of its word shingles (a shorter text is one shingle). Equal sets are one node, known by
+the hash of the set. The method is ``simhash``'s: a set's fingerprint is the majority of its hashes, the Gray-order
+index names each fingerprint's nearest partners within the distance, and a link is what the whole sets confirm.
+
+64 bits cannot tell 0.79 from 0.81, so an exact prefix-filter self-join finds the links that are left, between nodes
+that stand in different components so far. Shingles are ordered by how often a count sketch of fixed size has seen their
+bucket, rarest first, with ties by the hash. Of two sets of similarity ``least`` or more, the first shared shingle under
+any such order is among the first ``n - ceil(least * n) + 1`` of both, so each set goes to the cells of these shingles
+only. A pair of a cell is a candidate if its sizes allow the similarity and if enough shingles are left behind the two
+places. In rounds each member of a cell is tried with its neighbours by size, first few, then more; cells whose members are
+all in one component drop out. The last round joins what differs from its cell's commonest component with the whole
+cell, so no pair at or above ``least`` stays unlinked and large groups of near copies never become all their pairs.
+
+Nothing of the size of the corpus reaches the driver. Null and empty texts have the empty set and are alike. Rows of a
+null id are told apart by their texts. Repeated rows are one. Empty tables give empty results; columns of any name are kept.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,146 +29,178 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lispmill.llm.common import cut, map_rows
-from lispmill.llm.simhash import SEED, WORD, _forest, components, signed
+from lispmill.llm.simhash import DISTANCE, SEED, WORD, components, keep_least, links, majority, own_key, signed, with_key
 
 #: Buckets of the sketch, and of a row of it.
 BUCKETS, ROW = 1 << 18, 1 << 12
-#: Neighbours that a member of a cell is tried with first, and members above which a cell is worked on in parts.
-NEIGHBOURS, CELL = 3, 2048
-#: The most signatures that a join broadcasts.
-BROADCAST = 1 << 21
+#: Partners that the fingerprint index names for each of a cell, and neighbours by size in the rounds of the exact join.
+PARTNERS, NEIGHBOURS = 2, (3, 24)
+#: The most rows that a join broadcasts (a bound of some 32 MB, whatever the corpus).
+BROADCAST = 1 << 20
+#: Words whose hashes a task remembers, and sets that it remembers having seen.
+KNOWN = 1 << 17
+
+_hashes: dict[bytes, int] = {}
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
-    """The sorted distinct hashes of the text's shingles."""
+    """The sorted distinct hashes of the text's shingles: the words' XXH64 hashes, mixed in their order."""
     words = WORD.findall((text or b"").lower())
-    n = max(1, len(words) - shingle + 1) if words else 0
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[j : j + shingle]), SEED) for j in range(n)), "<u8", n))
+    if not words:
+        return np.empty(0, np.uint64)
+    if len(_hashes) > KNOWN:
+        _hashes.clear()
+    for w in set(words).difference(_hashes):
+        _hashes[w] = xxhash.xxh64_intdigest(w, SEED)
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    n = len(words) - size + 1
+    out = np.full(n, size, np.uint64)
+    for j in range(size):
+        out = _mixed(out + h[j : j + n])
+    return np.unique(out)
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def _sketch(rows: DataFrame) -> np.ndarray:
-    """How many sets have a shingle of each bucket (a result of fixed size)."""
+def _first_pass(keyed: DataFrame, columns: list[str], shingle: int) -> tuple[DataFrame, np.ndarray]:
+    """(id, k, sig, fp) of the rows, and how many of their sets have a shingle of each bucket (a result of fixed size)."""
 
-    def count(part: Iterator[tuple]) -> Iterator[tuple]:
-        n = np.zeros(BUCKETS, np.int64)
-        for (h,) in part:
-            np.add.at(n, bucket(np.frombuffer(h, "<u8")), 1)
-        for k in range(0, BUCKETS, ROW):
-            if n[k : k + ROW].any():
-                yield k // ROW, n[k : k + ROW].tobytes()
+    def rows(part: Iterator[tuple]) -> Iterator[tuple]:
+        seen = np.zeros(BUCKETS, np.int64)
+        for doc_id, k, text in part:
+            h = shingle_set(text, shingle)
+            seen += np.bincount(bucket(h), minlength=BUCKETS) if len(h) > ROW else 0
+            if len(h) <= ROW:
+                np.add.at(seen, bucket(h), 1)
+            yield doc_id, k, signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)), signed(majority(iter([h]))), None, None
+        for r in range(0, BUCKETS, ROW):
+            if seen[r : r + ROW].any():
+                yield None, None, None, None, r // ROW, seen[r : r + ROW].tobytes()
 
     def total(part: Iterator[tuple]) -> Iterator[tuple]:
         sums: dict[int, np.ndarray] = {}
-        for k, n in part:
-            sums[k] = sums.get(k, 0) + np.frombuffer(n, np.int64)
-        for k, n in sums.items():
-            yield k, n.tobytes()
-
-    spec = "k int, n binary"
-    out = np.zeros(BUCKETS, np.int64)
-    for r in map_rows(map_rows(rows, ["hashes"], count, spec).repartition(BUCKETS // ROW, "k"), ["k", "n"], total, spec).collect():
-        out[r["k"] * ROW : (r["k"] + 1) * ROW] += np.frombuffer(r["n"], np.int64)
-    return out
-
-
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of each cell of two rows or more, of a partition sorted by its first column, the cell."""
-    rest: list[np.ndarray] | None = None
-
-    def groups(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-        key = cols[0]
-        if len(key):
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            sizes = np.diff(np.r_[starts, len(key)])
-            for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-                yield [c[s : s + n] for c in cols]
-
-    for b in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        cols = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-        if len(cols[0]):
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last cell may go on in the next batch
-            yield from groups([c[:last] for c in cols])
-            rest = [c[last:] for c in cols]
-    if rest is not None:
-        yield from groups(rest)
-
-
-def _fits(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
-    """Whether sets of n shingles that share those at the places ``at`` can be as similar as ``least``."""
-    need = (n[i] + n[j]) * (least / (1 + least)) - 1e-6
-    return (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-6) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need)
-
-
-def _candidates(n: np.ndarray, at: np.ndarray, label: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a cell's members of different labels that fit."""
-    if (label == label[0]).all():
-        return
-    for s in range(0, len(n), CELL):
-        for e in range(s, len(n), CELL):
-            a, b = np.arange(s, min(s + CELL, len(n))), np.arange(e, min(e + CELL, len(n)))
-            if n[a[-1]] < least * n[b[0]] - 1e-6:  # by size ascending: no later part fits either
-                break
-            i, j = np.nonzero((label[a][:, None] != label[b][None, :]) & (a[:, None] < b[None, :]))
-            i, j = a[i], b[j]
-            ok = _fits(n, at, i, j, least)
-            yield i[ok], j[ok]
+        for r, n in part:
+            sums[r] = sums.get(r, 0) + np.frombuffer(n, np.int64)
+        for r, n in sums.items():
+            yield r, n.tobytes()
 
+    made = cut(map_rows(keyed, columns, rows, "id long, k long, sig long, fp long, r int, n binary"))
+    counts = np.zeros(BUCKETS, np.int64)
+    by_row = made.where("r is not null").select("r", "n").repartition(BUCKETS // ROW, "r")
+    for x in map_rows(by_row, ["r", "n"], total, "r int, n binary").collect():
+        counts[x["r"] * ROW : (x["r"] + 1) * ROW] = np.frombuffer(x["n"], np.int64)
+    return made.where("r is null").select("id", "k", "sig", "fp"), counts
 
-def _dealt(rows: DataFrame, work: Callable[[list[np.ndarray]], Iterator[list[np.ndarray]]], spec: str) -> DataFrame:
-    """``work`` on each cell of (cell, sig, n, at ..), its members by size and signature."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in spec.split(", ")]
-        out: list[list[np.ndarray]] = []
-        for cell in _cells(batches):
-            out += work(cell)
-            if sum(len(x[0]) for x in out[-64:]) > 1 << 16 or len(out) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "cell").sortWithinPartitions("cell", "n", "sig").mapInArrow(run, spec)
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST else df
 
 
-def _shared(rows: DataFrame, least: float) -> DataFrame:
-    """(cell, sig, n, at) of sets that fit another one of their cell."""
-    counts = _sketch(rows)
+def _shared(keyed: DataFrame, text_col: str, shingle: int, least: float, counts: np.ndarray) -> DataFrame:
+    """(cell, sig, n, at): the prefixes of all sets, without cells of one set."""
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # most copies go before the shuffle, so a cell gets a set about once from each task
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 cols: list[list[np.ndarray]] = [[], [], [], []]
-                for sig, h in zip(b.column(0)[s : s + 256].to_pylist(), b.column(1)[s : s + 256].to_pylist(), strict=True):
-                    x = np.frombuffer(h, "<u8")
+                for text in b.column(0)[s : s + 256]:
+                    text = text.as_py()
+                    x = shingle_set(text.encode() if isinstance(text, str) else text, shingle)
+                    sig = signed(xxhash.xxh64_intdigest(x.tobytes(), SEED))
+                    if sig in seen:
+                        continue
+                    if len(seen) >= KNOWN:
+                        seen.clear()
+                    seen.add(sig)
                     keep = len(x) - math.ceil(least * len(x) - 1e-6) + 1 if len(x) else 0
                     first = x[np.lexsort((x, counts[bucket(x)]))[:keep]]
                     for c, v in zip(cols, (first.view(np.int64), np.full(keep, sig), np.full(keep, len(x)), np.arange(keep)), strict=True):
                         c.append(v.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["cell", "sig", "n", "at"])
-
-    def fitting(cell: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-        sig = cell[1]
-        one = np.r_[True, sig[1:] != sig[:-1]]  # equal sets are neighbours
-        cell = [c[one] for c in cell]
-        _, sig, n, at = cell
-        if len(sig) > CELL:
-            yield cell
-        elif len(sig) > 1:
-            has = np.zeros(len(sig), bool)
-            for i, j in _candidates(n, at, sig, least):
-                has[i] = has[j] = True
-            if has.any():
-                yield [c[has] for c in cell]
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["cell", "sig", "n", "at"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition sorted by cell, size and set, without sets named twice and cells of one set; a row or two are held."""
+        rest: list[np.ndarray] = [np.empty(0, np.int64)] * 4
+        rest_alone = True
+
+        def part(cols: list[np.ndarray], ends: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal rest, rest_alone
+            cell, sig = cols[0], cols[1]
+            fresh = np.r_[True, (cell[1:] != cell[:-1]) | (sig[1:] != sig[:-1])]
+            cols = [c[fresh] for c in cols]
+            cell = cols[0]
+            like = cell[1:] == cell[:-1]
+            keep = np.r_[not rest_alone, like] | np.r_[like, False]
+            out = len(cell) if ends else len(cell) - 1
+            if keep[:out].any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[:out][keep[:out]]) for c in cols], names=["cell", "sig", "n", "at"])
+            rest, rest_alone = [c[out:] for c in cols], not (len(like) and like[-1]) if len(cell) > 1 else rest_alone
+
+        for b in batches:
+            if b.num_rows:
+                yield from part([np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, b.columns, strict=True)], False)
+        if len(rest[0]):
+            yield from part(rest, True)
 
     spec = "cell long, sig long, n long, at long"
-    return cut(_dealt(rows.select("sig", "hashes").mapInArrow(postings, spec), fitting, spec))
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = keyed.select(text_col).mapInArrow(postings, spec)
+    return cut(made.repartition(n, "cell").sortWithinPartitions("cell", "n", "sig").mapInArrow(several, spec))
+
+
+def fits(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of n shingles that share those at the places ``at`` can be as similar as ``least``."""
+    need = (n[i] + n[j]) * (least / (1 + least)) - 1e-6
+    return (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-6) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need)
+
+
+def _neighbours(live: DataFrame, most: int, least: float) -> DataFrame:
+    """Candidates (a, b) of (cell, sig, n, at, label): each member with the next ``most`` of its cell by size, if of another label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None  # the last rows of the batch before
+        for b in batches:
+            new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            old = 0 if rest is None else len(rest[0])
+            cols = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
+            cell, sig, n, at, label = cols
+            for d in range(1, min(most, len(cell) - 1) + 1):
+                j = np.arange(max(d, old), len(cell))
+                i = j - d
+                ok = (cell[i] == cell[j]) & (label[i] != label[j])
+                i, j = i[ok], j[ok]
+                ok = fits(n, at, i, j, least)
+                if ok.any():
+                    x, y = sig[i[ok]], sig[j[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            rest = [c[-most:] for c in cols]
+
+    parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return live.select("cell", "sig", "n", "at", "label").repartition(parts, "cell").sortWithinPartitions("cell", "n", "sig").mapInArrow(run, "a long, b long").distinct()
+
+
+def _all_left(live: DataFrame, least: float) -> DataFrame:
+    """All candidates (a, b) of different labels: what isn't of its cell's commonest label, with the whole cell."""
+    by = live.groupBy("cell", "label").count().groupBy("cell").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    told = cut(live.join(by, "cell"))
+    x, y = told.where("label <> main").alias("x"), told.alias("y")
+    need = (F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - 1e-6
+    able = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.sig") < F.col("y.sig")))
+    able &= (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * least - 1e-6) & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need)
+    pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & able)
+    return pairs.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -181,58 +217,50 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return map_rows(both, ["a", "b", "x", "y"], check, "a long, b long")
 
 
-def _roots(rows: DataFrame, least: float) -> DataFrame:
-    """(node, root) of the sets that have a link, for (sig, hashes) rows."""
-    shared = _shared(rows, least)
-    sigs = cut(shared.select("sig").distinct())
-    # the few signatures go to every task where they can, so that only their sets are shuffled
-    sigs = F.broadcast(sigs) if sigs.count() <= BROADCAST else sigs
-    sets = cut(rows.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.first("hashes").alias("hashes")))
+def similar(docs: DataFrame, shingle: int, least: float, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, DataFrame, DataFrame]:
+    """(rows with a key, the key's name, (id, k, sig) of the rows, (sig, own, root) of the sets): the links' components.
+
+    ``own`` is a set's row of the smallest id, and ``root`` stands for its component."""
+    keyed, key = with_key(docs, text_col)
+    rows, counts = _first_pass(keyed, [id_col, key, text_col], shingle)
+    nodes = cut(rows.groupBy("sig").agg(F.min(own_key()).alias("own"), F.first("fp").alias("fp")))
+
+    # candidates of the fingerprints: sets of one are tried with its least, and the least ones of two near ones with each other
+    of = nodes.groupBy("fp").agg(F.min("sig").alias("least"), F.count("*").alias("n"))
+    own = nodes.join(of.where("n > 1"), "fp").where("sig > least").select(F.col("least").alias("a"), F.col("sig").alias("b"))
+    near = links(of.select("fp"), distance, PARTNERS)
+    first = of.select("fp", "least")
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    pairs = cut(own.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
 
-    def next_ones(cell: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-        _, sig, n, at = cell
-        for k in range(1, min(NEIGHBOURS, len(sig) - 1) + 1):
-            i = np.arange(len(sig) - k)
-            i = i[_fits(n, at, i, i + k, least)]
-            yield [np.minimum(sig[i], sig[i + k]), np.maximum(sig[i], sig[i + k])]
+    shared = _shared(keyed, text_col, shingle, least, counts)
+    used = cut(shared.select("sig").union(pairs.select("a")).union(pairs.select("b")).distinct())
+    of_used = cut(nodes.join(_small(used, used.count()), "sig", "left_semi").select(F.col("own.id").alias("_id"), F.col("own.k").alias("_k")))
 
-    def left_ones(cell: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-        _, sig, n, at, label = cell
-        for i, j in _candidates(n, at, label, least):
-            yield [np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])]
+    def sets_of(part: Iterator[tuple]) -> Iterator[tuple]:
+        for (text,) in part:
+            h = shingle_set(text, shingle).tobytes()
+            yield signed(xxhash.xxh64_intdigest(h, SEED)), h
 
-    def forest(edges: DataFrame) -> DataFrame:
-        return edges.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a").mapInArrow(_forest, "a long, b long")
+    few = keyed.join(_small(of_used, of_used.count()), keyed[id_col].eqNullSafe(F.col("_id")) & (keyed[key] == F.col("_k")), "left_semi")
+    sets = cut(map_rows(few, [text_col], sets_of, "sig long, hashes binary").groupBy("sig").agg(F.first("hashes").alias("hashes")))
 
-    spec = "a long, b long"
-    near = cut(forest(_verified(_dealt(shared, next_ones, spec).distinct(), sets, least)))
-    roots = cut(components(near))
-    labelled = shared.join(roots, shared["sig"] == roots["node"], "left").select("cell", "sig", "n", "at", F.coalesce("root", "sig").alias("label"))
-    more = cut(forest(_verified(_dealt(labelled, left_ones, spec).distinct(), sets, least)))
-    return roots if more.isEmpty() else cut(components(near.unionByName(more)))
+    roots = components(_verified(pairs, sets, least))
+    for most in (*NEIGHBOURS, 0):
+        labelled = shared.join(_small(roots, roots.count()), shared["sig"] == roots["node"], "left").select("cell", "sig", "n", "at", F.coalesce("root", "sig").alias("label"))
+        mixed = labelled.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cell")
+        live = cut(labelled.join(mixed, "cell", "left_semi"))
+        if live.isEmpty():
+            break
+        found = _verified(_neighbours(live, most, least) if most else _all_left(live, least), sets, least)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+    joined = nodes.join(roots, nodes["sig"] == roots["node"], "left").select("sig", "own", F.coalesce("root", "sig").alias("root"))
+    return keyed, key, rows, joined
 
 
-def drop_similar(docs: DataFrame, shingle: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_similar(docs: DataFrame, shingle: int, least: float, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of texts linked at a similarity of ``least`` or more, with all its columns: the one of the
     smallest id (null last), then of the smallest hash of its text; of rows alike in both, one."""
-    key = "_key_" + "_".join(docs.columns)
-    keyed = docs.withColumn(key, F.xxhash64(F.lit("row"), text_col))
-
-    def sets(part: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, k, text in part:
-            h = shingle_set(text, shingle).tobytes()
-            yield doc_id, k, signed(xxhash.xxh64_intdigest(h, SEED)), h
-
-    # sets take more room than texts, so they are made again where they are read
-    made = map_rows(keyed, [id_col, key, text_col], sets, "id long, k long, sig long, hashes binary")
-    rows = cut(made.select("id", "k", "sig"))
-    own = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("k").alias("k"))
-    nodes = rows.groupBy("sig").agg(F.min(own).alias("own"))
-    roots = _roots(made.select("sig", "hashes"), least)
-    # a component's root is one of its nodes and has no row in `roots`
-    joined = nodes.join(roots, nodes["sig"] == roots["node"], "left").withColumn("root", F.coalesce("root", "sig"))
-    kept = joined.groupBy("root").agg(F.min("own").alias("own")).select(F.col("own.id").alias("_kept_id"), F.col("own.k").alias("_kept_key"))
-    stay = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_kept_id"]) & (keyed[key] == kept["_kept_key"]), "left_semi")
-    if rows.count() != rows.select("id", "k").distinct().count():
-        stay = stay.dropDuplicates([id_col, key])
-    return stay.select(*docs.columns)
+    keyed, key, rows, joined = similar(docs, shingle, least, distance, id_col, text_col)
+    best = joined.groupBy("root").agg(F.min("own").alias("least"))
+    return keep_least(keyed, key, rows, best, id_col).select(*docs.columns)

@@ -39,25 +39,25 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE, SEED, DISTANCE, AGREE = 4, 42, 4, 2
 #: The most members of a cell that one task works on at once.
 CELL = 2048
+#: The most edges whose components one task finds.
+ONE_TASK = 1 << 19
 LEAF, FAN, QUERIES = 16, 8, 256
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, times: int = 1) -> list[int]:
-    """Bit b is 1 if it is set in over half the hashes of the shingles, repeats included; further fingerprints are of
-    the same hashes, mixed by fixed bijections."""
+def majority(hashes: Iterator[np.ndarray]) -> int:
+    """Bit b is 1 if it is set in over half the hashes, which come in blocks; without any 0."""
+    votes, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The majority of the hashes of the text's shingles, repeats included."""
     words = WORD.findall((text or b"").lower())
-    if not words:
-        return [0] * times
-    n = max(1, len(words) - shingle + 1)
-    votes = np.zeros((times, 64), np.int64)
-    for i in range(0, n, 1 << 15):
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[j : j + shingle]), SEED) for j in range(i, min(n, i + (1 << 15)))], "<u8")
-        for k in range(times):
-            if k:
-                hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-                hashes ^= hashes >> np.uint64(29)
-            votes[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return majority(np.array([xxhash.xxh64_intdigest(b" ".join(words[j : j + shingle]), SEED) for j in range(i, min(n, i + (1 << 15)))], "<u8") for i in range(0, n, 1 << 15))
 
 
 def signed(x: int) -> int:
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
 
     def rows(part: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in part:
-            yield doc_id, signed(fingerprint(text, shingle)[0])
+            yield doc_id, signed(fingerprint(text, shingle))
 
     return map_rows(docs, [id_col, text_col], rows, f"{id_col} long, fp long")
 
@@ -169,6 +169,21 @@ def link(fps: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     return best[out]
 
 
+def nearest(fps: np.ndarray, distance: int, partners: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, partner): for each one up to ``partners`` of those within the distance that stand before it in Gray
+    order, the least different ones first."""
+    index = GrayIndex(fps)
+    out_a, out_b = [], []
+    for who, member in index.near(np.arange(len(fps)), distance):
+        differ = np.bitwise_count(index.fps[who] ^ index.fps[member])
+        order = np.lexsort((-member, differ, who))
+        who, member = who[order], member[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        out_a.append(index.fps[who[place < partners]])
+        out_b.append(index.fps[member[place < partners]])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
 def _cells(fps: DataFrame, distance: int) -> DataFrame:
     """(cell, fp) for each choice of blocks that two near fingerprints must agree on."""
     blocks = distance + AGREE
@@ -181,8 +196,9 @@ def _cells(fps: DataFrame, distance: int) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("cell"), "fp")
 
 
-def _link_cells(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of the cells of a partition, which is sorted by cell; one cell is held at a time."""
+def _link_cells(batches: Iterator[pa.RecordBatch], distance: int, partners: int) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of the cells of a partition, which is sorted by cell; one cell is held at a time. Without ``partners``
+    they join each member with its component's root, else with so many of its nearest."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     rest_key, rest_fp = np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -190,17 +206,21 @@ def _link_cells(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, int)
         sizes = np.diff(np.r_[starts, len(key)])
         out_a, out_b = [], []
-        two = starts[sizes == 2]  # most cells that hold any pair hold one
+        two = starts[sizes == 2]  # an index of one leaf with two members is one comparison, done for all such cells at once
         if len(two):
             a, b = fp[two], fp[two + 1]
             ok = np.bitwise_count((a ^ b).view(np.uint64)) <= distance
             out_a.append(a[ok]), out_b.append(b[ok])
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             own = fp[s : s + n]
-            root = link(own.view(np.uint64), distance).view(np.int64)
-            ok = root != own
+            if partners:
+                a, b = nearest(own.view(np.uint64), distance, partners)
+            else:
+                a, b = own, link(own.view(np.uint64), distance)
+            a, b = a.view(np.int64), b.view(np.int64)
+            ok = a != b
             if ok.any():
-                out_a.append(own[ok]), out_b.append(root[ok])
+                out_a.append(a[ok]), out_b.append(b[ok])
         if out_a and sum(map(len, out_a)):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], schema=schema)
 
@@ -215,8 +235,9 @@ def _link_cells(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa
     yield from edges(rest_key, rest_fp)
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Edges (a, b) among distinct fingerprints that join exactly those within the distance, transitively."""
+def links(fps: DataFrame, distance: int = DISTANCE, partners: int = 0) -> DataFrame:
+    """Edges (a, b) among distinct fingerprints that join exactly those within the distance, transitively; with ``partners``
+    each one and so many of its nearest in each cell."""
     cells = _cells(fps, distance)
     sizes = cells.groupBy("cell").count().where(F.col("count") > CELL)
     large = cut(sizes.select("cell", F.ceil(F.col("count") / (CELL // 2)).cast("int").alias("parts")))
@@ -232,13 +253,15 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     todo = small if split is None else small.unionByName(split)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = todo.repartition(n, "cell").sortWithinPartitions("cell")
-    found = dealt.mapInArrow(lambda b: _link_cells(b, distance), "a long, b long")
+    found = dealt.mapInArrow(lambda b: _link_cells(b, distance, partners), "a long, b long")
+    if partners:
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # a member's edges from several cells meet, and those that close a circle go
     return found.repartition(n, "a").mapInArrow(_forest, "a long, b long")
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's edges, a spanning forest: at most one edge less than it has nodes."""
+def forest_of(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[dict[int, int], Iterator[np.ndarray]]:
+    """A union-find over blocks of pairs, and for each block which of its pairs join two trees."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -248,39 +271,84 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = parent[x]
         return x
 
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = find(a), find(b)
-            keep.append(a != b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+    def joins() -> Iterator[np.ndarray]:
+        for a_s, b_s in pairs:
+            keep = np.zeros(len(a_s), bool)
+            for k, (a, b) in enumerate(zip(a_s.tolist(), b_s.tolist(), strict=True)):
+                a, b = find(a), find(b)
+                if a != b:
+                    keep[k] = True
+                    parent[max(a, b)] = min(a, b)
+            yield keep
+
+    return parent, joins()
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for b in batches:
+        yield b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's edges, a spanning forest: at most one edge less than it has nodes."""
+    held = []
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in batches:
+            held.append(b)
+            yield from _columns(iter([b]))
+
+    _, joins = forest_of(pairs())
+    for keep in joins:
+        yield held.pop().filter(pa.array(keep))
+
+
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all nodes that aren't their component's least."""
+    parent, joins = forest_of(_columns(batches))
+    for _ in joins:
+        pass
+    nodes, roots = np.array(sorted(parent), np.int64), []
+    for x in nodes.tolist():
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        roots.append(x)
+    roots = np.array(roots, np.int64)
+    ok = nodes != roots
+    if ok.any():
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[ok]), pa.array(roots[ok])], names=["node", "root"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each node's component, for nodes that have an edge."""
+    """(node, root): the least node of each node's component, for nodes that have an edge and aren't that node.
+
+    Up to ``ONE_TASK`` edges (a bound in bytes, whatever the corpus) are one union-find; beyond it, stars are contracted."""
+    edges = cut(edges)
+    if edges.count() <= ONE_TASK:
+        return cut(edges.coalesce(1).mapInArrow(_rooted, "node long, root long"))
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
     while True:
         # large star: all neighbours above a node go to the least of its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        e1 = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # the least ones are cut so that a join's side of many edges of one hub is a plain exchange, which skew handling splits
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        e1 = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: a node and its neighbours below go to the least of these
-        least = e1.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(e1.groupBy("u").agg(F.min("v").alias("m")))
         moved = e1.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = cut(moved.where("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
-            return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+            return cut(e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node"))
         seen = now
 
 
 def _grouped(rows: DataFrame, distance: int) -> DataFrame:
     """(fp, least): the smallest ``key`` that links reach from a fingerprint, for (key, fp) rows."""
     nodes = cut(rows.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = cut(components(links(nodes.select("fp"), distance)))
+    roots = components(links(nodes.select("fp"), distance))
     joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ends = roots.select("node").unionByName(roots.select(F.col("root").alias("node"))).distinct()
     linked = joined.join(ends, joined["fp"] == ends["node"], "left_semi")
@@ -296,48 +364,37 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return rows.join(of, "fp").select(id_col, "fp", "component_id")
 
 
-def _grouped_by_any(rows: DataFrame, distance: int, times: int) -> DataFrame:
-    """(fp0, least): the smallest ``key`` reached through links of any of the fingerprints, for (key, fp0, fp1 ..) rows.
-
-    A vertex is a fingerprint with its number. A row ties its first one to a further one only where that has a link,
-    or is shared by rows of different first ones."""
-    vertex = lambda k, c: F.xxhash64(F.lit(k), c)
-    edges = None
-    for k in range(times):
-        own = cut(links(rows.select(F.col(f"fp{k}").alias("fp")).distinct(), distance))
-        part = own.select(vertex(k, "a").alias("a"), vertex(k, "b").alias("b"))
-        if k:
-            ties = rows.select(vertex(0, "fp0").alias("a"), vertex(k, f"fp{k}").alias("b")).distinct()
-            shared = ties.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
-            needed = part.select(F.col("a").alias("b")).unionByName(part.select("b")).unionByName(shared).distinct()
-            part = part.unionByName(ties.join(needed, "b", "left_semi").select("a", "b"))
-        edges = part if edges is None else edges.unionByName(part)
-    roots = cut(components(edges))
-    nodes = rows.groupBy("fp0").agg(F.min("key").alias("own")).withColumn("v", vertex(0, "fp0"))
-    # a component's root is one of its vertices and has no row in `roots`
-    joined = nodes.join(roots, nodes["v"] == roots["node"], "left").withColumn("root", F.coalesce("root", "v"))
-    best = joined.groupBy("root").agg(F.min("own").alias("least"))
-    return joined.join(best, "root").select("fp0", "least")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, times: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all its columns: the one of the smallest id (null last), then of the smallest
-    hash of its text; of rows alike in both, one. Rows link if any of ``times`` fingerprints are within the distance."""
-    key = "_key_" + "_".join(docs.columns)
-    keyed = docs.withColumn(key, F.xxhash64(F.lit("row"), text_col))
+    hash of its text; of rows alike in both, one."""
+    keyed, key = with_key(docs, text_col)
 
     def prints(part: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, k, text in part:
-            yield doc_id, k, *map(signed, fingerprint(text, shingle, times))
+            yield doc_id, k, signed(fingerprint(text, shingle))
+
+    rows = cut(map_rows(keyed, [id_col, key, text_col], prints, "id long, k long, fp long"))
+    return keep_least(keyed, key, rows, _grouped(rows.select(own_key().alias("key"), "fp"), distance).select("least").distinct(), id_col).select(*docs.columns)
+
+
+def with_key(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """The rows with a hash of their text, and that column's name, which no other has."""
+    key = "_key_" + "_".join(docs.columns)
+    return docs.withColumn(key, F.xxhash64(F.lit("row"), text_col)), key
+
+
+def own_key():
+    """Of (id, k): what orders the rows of a group."""
+    return F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("k").alias("k"))
+
 
-    rows = cut(map_rows(keyed, [id_col, key, text_col], prints, "id long, k long, " + ", ".join(f"fp{k} long" for k in range(times))))
-    own = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("k").alias("k"))
-    least = _grouped_by_any(rows.select(own.alias("key"), *[f"fp{k}" for k in range(times)]), distance, times).select("least").distinct()
+def keep_least(keyed: DataFrame, key: str, rows: DataFrame, least: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``keyed`` that ``least`` names, one each; ``rows`` has all (id, k)."""
     kept = least.select(F.col("least.id").alias("_kept_id"), F.col("least.k").alias("_kept_key"))
     stay = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_kept_id"]) & (keyed[key] == kept["_kept_key"]), "left_semi")
-    if rows.count() != rows.select("id", "k").distinct().count():
-        stay = stay.dropDuplicates([id_col, key])
-    return stay.select(*docs.columns)
+    if rows.groupBy("id", "k").count().where("count > 1").isEmpty():
+        return stay
+    return stay.dropDuplicates([id_col, key])
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,31 +73,33 @@ def test_components_against_brute_force(spark, monkeypatch, cell):
     assert got == Counter(zip([x.doc_id for x in rows], fps, ids, strict=True))
 
 
-def test_any_of_several_fingerprints_links(spark):
-    r = random.Random(8)
-    base = prose(3, 60).split()
-    texts = []
-    for _ in range(40):
-        w = list(base)
-        for _ in range(r.randint(0, 3)):
-            w[r.randrange(len(w))] = "changed"
-        texts.append(" ".join(w))
-    docs = awkward(spark, texts)
-    rows = docs.select("doc_id", "text").collect()
-    prints = [simhash.fingerprint(None if x.text is None else x.text.encode(), 4, 3) for x in rows]
-    assert [p[0] for p in prints] == [plain_fingerprint(x.text) for x in rows]
-    label = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if label[i] != label[j] and any((a ^ b).bit_count() <= 4 for a, b in zip(prints[i], prints[j], strict=True)):
-                a, b = label[i], label[j]
-                label = [min(a, b) if x in (a, b) else x for x in label]
-    groups = {}
-    for k, x in enumerate(rows):
-        groups.setdefault(label[k], []).append(x.doc_id)
-    want = sorted(str(min((i for i in v if i is not None), default=None)) for v in groups.values())
-    assert sorted(str(x.doc_id) for x in simhash.drop_near_duplicates(docs, 4, 4, 3).collect()) == want
-    assert len(groups) < len(set(map(tuple, prints)))
+@settings(max_examples=30, deadline=None)
+@given(st.integers(2, 300), st.integers(0, 10**6), st.sampled_from([1, 3, 50]), st.sampled_from([2, 4]))
+def test_nearest_partners(n, seed, spread, distance):
+    """Each fingerprint that has one within the distance before it in Gray order gets the least different one."""
+    xs = np.array(close(n, seed, spread), np.uint64)
+    order = xs[np.argsort(simhash.gray_rank(xs), kind="stable")].tolist()
+    got = {}
+    for a, b in zip(*(x.tolist() for x in simhash.nearest(xs, distance, 2)), strict=True):
+        got.setdefault(a, []).append((a ^ b).bit_count())
+    for k, x in enumerate(order):
+        near = sorted(d for d in ((x ^ y).bit_count() for y in order[:k]) if d <= distance)
+        assert sorted(got.get(x, [])) == near[:2]
+
+
+@pytest.mark.parametrize("one_task", [1 << 19, 0])
+def test_components(spark, monkeypatch, one_task):
+    """Chains, stars and circles, in one task and by contracted stars."""
+    monkeypatch.setattr(simhash, "ONE_TASK", one_task)
+    r = random.Random(3)
+    edges = [(k, k + 1) for k in range(-5, 40)] + [(100, k) for k in range(101, 200)] + [(300 + k, 300 + (k + 1) % 7) for k in range(7)] + [(r.randrange(400, 500), r.randrange(400, 500)) for _ in range(60)]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {x.node: x.root for x in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: v for k, v in label.items() if k != v}
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_one_of_each_group_stays(spark):

@@ -8,7 +8,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from lispmill.llm import shingle_join
+from lispmill.llm import shingle_join, simhash
 from tests.llm.helpers import awkward, clashing, empty, prose
 
 
@@ -33,10 +33,11 @@ def kept(rows):
     return sorted(str(min((i for i in v if i is not None), default=None)) for v in groups.values())
 
 
-@pytest.mark.parametrize("cell", [2048, 8])
-def test_links_exactly_the_similar(spark, monkeypatch, cell):
-    """Edits spread pairs on both sides of 0.8; texts of two shingles differ in one word."""
-    monkeypatch.setattr(shingle_join, "CELL", cell)
+@pytest.mark.parametrize(("neighbours", "one_task"), [((3, 24), 1 << 19), ((), 0)])
+def test_links_exactly_the_similar(spark, monkeypatch, neighbours, one_task):
+    """Edits spread pairs on both sides of 0.8; texts of two shingles differ in one word; few rounds leave the most to the last."""
+    monkeypatch.setattr(shingle_join, "NEIGHBOURS", neighbours)
+    monkeypatch.setattr(simhash, "ONE_TASK", one_task)
     r = random.Random(5)
     texts = ["one two three four five six", "one two three four five seven", "one two three four"]
     for k in range(120):
@@ -52,5 +53,15 @@ def test_links_exactly_the_similar(spark, monkeypatch, cell):
     assert 40 < len(want) < 120
 
 
+def test_fingerprints_alone_link_close_copies(spark, monkeypatch):
+    """What the Gray index names is verified and linked before the exact join sees it."""
+    monkeypatch.setattr(shingle_join, "NEIGHBOURS", ())
+    monkeypatch.setattr(shingle_join, "_all_left", lambda live, least: live.limit(0).selectExpr("sig as a", "sig as b"))
+    base = prose(3, 900).split()
+    copies = [" ".join([*base[:k], f"changed{k}", *base[k + 1 :]]) for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate([*copies, prose(4, 900)])), "doc_id long, text string")
+    assert sorted(x.doc_id for x in shingle_join.drop_similar(docs, 5, 0.8).collect()) == [0, 20]
+
+
 def test_empty(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, empty(spark), "").count() == 0

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -73,14 +74,54 @@ def test_toxicity_held_out_and_exact_neighbours(spark):
     kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in out if not r.predicted}
     assert not set(model.ids.tolist()) & {r.doc_id for r in held}
-    for r in docs.limit(60).collect():  # neighbours against all cosines
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    examples = [dict(zip(*(x.tolist() for x in model.vector(texts[i])), strict=True)) for i in model.ids.tolist()]
+    scores = {r.doc_id: r.score for r in out}
+    for r in docs.limit(60).collect():  # neighbours and votes against all cosines
         at, w = model.vector(r.text)
         if not len(at):
+            assert scores[r.doc_id] == model.empty_score
             continue
+        own = dict(zip(at.tolist(), w.tolist(), strict=True))
+        every = [sum(x * e.get(k, 0) for k, x in own.items()) for e in examples]
+        order = sorted((k for k, c in enumerate(every) if c > 0), key=lambda k: (-every[k], model.ids[k]))[: toxicity.NEIGHBOURS]
         who, sim = model.nearest(at, w)
-        every = model.rows[:, at] @ w
-        order = sorted(np.flatnonzero(every > 0), key=lambda k: (-every[k], model.ids[k]))[: toxicity.NEIGHBOURS]
-        assert np.allclose(sorted(sim), sorted(every[order])) and len(who) == len(order)
+        assert np.allclose(sorted(sim), sorted(every[k] for k in order), atol=1e-6) and len(who) == len(order)
+        votes = [1 / (1.05 - min(1, every[k])) for k in order]
+        raw = sum(v * model.y[k] for v, k in zip(votes, order, strict=True)) / sum(votes) * (0.5 + 0.5 * every[order[0]]) if order else 0.0
+        assert abs(scores[r.doc_id] - np.interp(raw, *model.steps)) < 0.02
+
+
+def test_features_weights_and_frequencies(spark):
+    """The vocabulary, document frequencies and TF-IDF weights, counted plainly."""
+    docs, labels = labelled(spark, 300)
+    model = toxicity.fit(docs, labels)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    learn = {i: t for i, t in rows.items() if zlib.crc32(str(i).encode()) % 4 != 2}
+    y = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and r.doc_id in learn}
+    has = {i: toxicity.grams(toxicity.normal(learn[i])) for i in y}
+    n1 = sum(y.values())
+    n0 = len(y) - n1
+    want = set()
+    for g in set().union(*has.values()):
+        b = sum(y[i] for i in y if g in has[i])
+        a = sum(g in has[i] for i in y) - b
+        if b >= toxicity.LEAST and math.log((b + 0.5) / (n1 + 1)) - math.log((a + 0.5) / (n0 + 1)) >= toxicity.ODDS:
+            want.add(g)
+    assert set(model.features) == want and want
+    for g in sorted(want)[::40]:
+        df = sum(g in toxicity.normal(t) for t in learn.values())
+        assert model.idf[model.features.index(g)] == pytest.approx(math.log((1 + len(learn)) / (1 + df)) + 1)
+
+
+def test_isotonic_against_its_definition():
+    r = random.Random(6)
+    for n in (1, 2, 7, 30):
+        x, y, w = [np.array(v) for v in zip(*((r.random(), r.choice([0.0, 1.0]), r.choice([1.0, 3.0])) for _ in range(n)), strict=True)]
+        order = np.argsort(x)
+        mean = lambda a, b: (y[order[a:b]] * w[order[a:b]]).sum() / w[order[a:b]].sum()  # noqa: E731, B023
+        want = [max(min(mean(a, b) for b in range(i + 1, n + 1)) for a in range(i + 1)) for i in range(n)]
+        assert np.allclose(np.interp(x[order], *toxicity.isotonic(x, y, w)), want)
 
 
 def test_toxicity_edges(spark):

@@ -116,8 +116,18 @@ def test_one_of_each_group_stays(spark):
 
 
 # --- decontamination
+def plain_order(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(old[j] + 1 if x == y else max(row[-1], old[j + 1]))
+    return row[-1]
+
+
 def brute_leaks(text, items):
-    """Every window of the documented width against every item, with BM25 said plainly."""
+    """Every window of the documented width against every item, with BM25 and the overlaps said plainly."""
     import math
 
     out = {}
@@ -125,30 +135,67 @@ def brute_leaks(text, items):
     known = [i for i in items if i.words]
     if not known:
         return out
-    width = decontaminate.LEAST_WIDTH
     df = Counter(w for i in known for w in set(i.words))
     mean = sum(len(i.words) for i in known) / len(known)
     for item in known:
+        width = 64
+        while width < len(item.words):
+            width *= 4
         tf = Counter(item.words)
         weight = {t: math.log1p((len(known) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(item.words) / mean)) for t, n in tf.items()}
+        ask = item.words[: len(item.words) - min(len(item.words), max(3, len(item.words) // 4))]
+        reply = Counter(item.words[len(ask) :])
         for start in range(0, len(ws), width):
             passage = ws[start : start + 2 * width]
             score = sum(weight.get(t, 0) for t in set(passage)) / sum(weight.values())
-            q, a = item.overlap(passage)
-            if score >= decontaminate.THRESHOLD and q >= 0.8 and a >= 0.8:
-                out[item.id] = max(out.get(item.id, 0), round(score, 9))
-    return out
+            if score < decontaminate.THRESHOLD - 1e-9:
+                continue
+            q = plain_order(ask, passage) / len(ask) if ask else 1.0
+            a = sum((reply & Counter(passage)).values()) / sum(reply.values())
+            if q >= 0.8 and (a >= 0.8 or len(ask) >= 8):
+                old = out.get(item.id, (0, 0, 0))
+                out[item.id] = max(old, (min(q, a), round(score, 9), -start))
+    return {k: v[1] for k, v in out.items()}
+
+
+def leaky_tables(spark):
+    """Items of several lengths; copies whole, with words changed, of the question only, over cuts, and beside long texts."""
+    r = random.Random(12)
+    items = [(k, prose(1000 + k, 15 + k)) for k in range(40)] + [(60 + k, prose(1100 + k, 90 + 80 * k)) for k in range(3)] + [(90, None), (91, ""), (92, prose(1003, 18)), (93, "two words")]
+    held = [prose(50 + k, 150) + " " + items[k][1].upper().replace(" ", "%% ") + " " + prose(80 + k, 40 * k) for k in range(12)]
+    for k in range(20):
+        w = items[12 + k][1].split()
+        for _ in range(1 + k % 4):
+            w[r.randrange(len(w))] = "edited"
+        held.append(prose(70 + k, 61 + k) + " " + " ".join(w) + " " + prose(20 + k, 30))
+    held += [prose(9, 200) + items[41][1] + " " + prose(10, 700), " ".join(items[30][1].split()[:33]), " ".join(items[20][1].split()[:8]), prose(7, 700), items[42][1], "x two words y"]
+    return spark.createDataFrame(items, "item_id long, text string"), held
+
+
+@pytest.mark.parametrize(("batch", "segment", "cells"), [(1 << 15, 1 << 20, 1 << 21), (64, 50, 3)])
+def test_matching_against_brute_force(spark, monkeypatch, batch, segment, cells):
+    """Also with blocks, segments and bounds so small that every text is cut."""
+    for k, v in (("BATCH_WORDS", batch), ("SEGMENT", segment), ("CELLS", cells), ("LOOKUPS", cells)):
+        monkeypatch.setattr(decontaminate, k, v)
+    items, held = leaky_tables(spark)
+    texts = [r.text for r in awkward(spark, held).collect()]
+    known = [decontaminate.Item(r.item_id, r.text) for r in items.collect()]
+    got = list(decontaminate.leaks(texts, decontaminate.indexes(known)))
+    assert [k for k, _ in got] == list(range(len(texts)))
+    for k, found in got:
+        want = brute_leaks(texts[k], known)
+        assert {f[0]: pytest.approx(f[1]) for f in found} == want
 
 
 def test_leaks_against_brute_force(spark):
-    items = [(k, prose(1000 + k, 15 + k)) for k in range(40)] + [(90, None), (91, ""), (92, prose(1003, 18))]
-    held = [prose(50 + k, 150) + " " + items[k][1].upper().replace(" ", "%% ") + " " + prose(80 + k, 40 * k) for k in range(12)] + [" ".join(items[20][1].split()[:8]), prose(7, 700)]
+    items, held = leaky_tables(spark)
     docs = clashing(awkward(spark, held), "item_id", "score")
-    bench = clashing(spark.createDataFrame(items, "item_id long, text string"), "doc_id")
+    bench = clashing(items, "doc_id")
     got = {(r.doc_id, r.item_id): round(r.score, 9) for r in decontaminate.find_leaks(docs, bench).collect()}
-    known = [decontaminate.Item(*i) for i in items]
+    known = [decontaminate.Item(r.item_id, r.text) for r in items.collect()]
     want = {(r.doc_id, i): s for r in docs.collect() for i, s in brute_leaks(r.text, known).items()}
-    assert got.keys() == want.keys() and len(got) >= 12
+    assert got.keys() == want.keys() and len(got) >= 30
+    assert all(abs(got[k] - want[k]) < 1e-8 for k in got)
     kept = decontaminate.drop_leaks(docs, bench)
     assert kept.columns == docs.columns
     leaky = {d for d, _ in got}
@@ -159,8 +206,42 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_slices_find_the_same(spark, monkeypatch):
-    items = spark.createDataFrame([(k, prose(1000 + k, 30)) for k in range(30)], "item_id long, text string")
-    docs = spark.createDataFrame([(k, prose(1, 100) + items.where(f"item_id = {k}").first().text) for k in range(5)], "doc_id long, text string")
-    whole = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
+    """Noisy copies have the same scores, whether the items are one index or several."""
+    items, held = leaky_tables(spark)
+    docs = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")
+    found = lambda: {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs, items).collect()}
+    whole = found()
     monkeypatch.setattr(decontaminate, "SLICE_BYTES", 2000)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()} == whole == {(k, k) for k in range(5)}
+    parts = found()
+    assert whole.keys() == parts.keys() and all(abs(whole[k] - parts[k]) < 1e-9 for k in whole)
+    assert decontaminate.drop_leaks(docs, items).count() == len(held) - len({d for d, _ in whole})
+
+
+def test_edited_items_are_found():
+    """All one-word and two-word replacements in items of 15 words or more."""
+    r = random.Random(2)
+    items = [decontaminate.Item(k, prose(500 + k, 15 + k)) for k in range(40)]
+    index = decontaminate.indexes(items)
+    missed = total = 0
+    for item in items:
+        for _ in range(6):
+            w = list(item.words)
+            for i in r.sample(range(len(w)), 1 + total % 2):
+                w[i] = "edited"
+            (_, found), = decontaminate.leaks([prose(3, 40) + " " + " ".join(w) + " " + prose(4, 40)], index)
+            missed += item.id not in {f[0] for f in found}
+            total += 1
+    assert missed <= 0.02 * total
+
+
+def test_long_text_in_bounded_memory():
+    import tracemalloc
+
+    items = [decontaminate.Item(k, prose(500 + k, 40)) for k in range(300)]
+    index = decontaminate.indexes(items)
+    text = prose(1, 2000) * 500 + " " + " ".join(items[7].words)
+    tracemalloc.start()
+    (_, found), = decontaminate.leaks([text], index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f[0] for f in found] == [7] and peak < 3 * len(text) + (64 << 20)

@@ -1,10 +1,15 @@
 """Media columns: signature sniffing with Aho-Corasick, format validators, type correction and carving.
 
-``find_media`` looks for the magic bytes of all known formats in one pass over a binary value. A hit counts
-only if its format's validator confirms the structure and gives a length that fits; text that merely holds a
-magic string does not. The confirmed item at offset 0 that spans the value corrects the declared type; others
-are carved out as embedded media. A container's own parts (the samples of a WAV file) are not searched again
-for nested items of the same format.
+``find_media`` looks for the magic bytes of all known formats in one pass over a binary value; a format says how far
+its magic stands from the item's start (4 bytes for MP4, 257 for tar). A hit counts only if the format's validator
+confirms the structure and gives a length that fits; text that merely holds a magic string does not. The
+confirmed item at offset 0 that spans the value corrects the declared type; others are carved out as embedded
+media, also those inside another confirmed item. Pages of an OGG stream and local headers of a zip archive are parts of
+their container and no items. Formats without an end that can be told (FLAC, MP3) are not known.
+
+Where a format ends at a mark (PDF, zip, JPEG), the marks are listed once for a value and looked up for each hit, and
+chains of blocks (GIF) are walked once, so time is linear in the value. A PDF goes to the last end mark
+before the next PDF's head, line ends behind it included; a gzip item holds all members in a row.
 
 Null and empty values give no items. Ties (two formats confirmed at one offset) go to the longer item, then
 to the name. Repeated rows give a row each; other columns are not read; an empty table an empty result.
@@ -13,8 +18,10 @@ to the name. Repeated rows give a row each; other columns are not read; an empty
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +33,48 @@ PAD = 64
 WAV_HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
 
-# --- validators: (data, offset of the item) -> its length, or 0 if it is not one -------------------------
+class Places:
+    """Places of a mark in a value, and ends of chains, found once."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self.marks: dict[bytes, list[int]] = {}
+        self.chains: dict[int, int] = {}
+        self.archives: dict[int, int] | None = None
+
+    def of(self, mark: bytes) -> list[int]:
+        """All places of a pattern, ascending."""
+        if mark not in self.marks:
+            self.marks[mark] = [m.start() for m in re.finditer(mark, self.data)]
+        return self.marks[mark]
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place at or behind ``at``, or -1."""
+        own = self.of(mark)
+        k = bisect_left(own, at)
+        return own[k] if k < len(own) else -1
+
+    def before(self, mark: bytes, end: int) -> int:
+        """The last place before ``end``, or -1."""
+        own = self.of(mark)
+        k = bisect_left(own, end)
+        return own[k - 1] if k else -1
+
+    def chain_end(self, at: int) -> int:
+        """Behind the empty block that ends a chain of blocks led by their lengths (the value's end without one)."""
+        d, walked = self.data, []
+        while at < len(d) and d[at] and at not in self.chains:
+            walked.append(at)
+            at += d[at] + 1
+        end = self.chains.get(at, min(at, len(d)) + 1)
+        for p in walked:
+            self.chains[p] = end
+        return end
+
+
+# --- validators: (data, offset of the item, its places) -> its length, or 0 if it is not one --------------
 def _riff(form: bytes):
-    def check(d: bytes, at: int) -> int:
+    def check(d: bytes, at: int, _: Places) -> int:
         if at + 12 > len(d) or d[at + 8 : at + 12] != form:
             return 0
         size = 8 + int.from_bytes(d[at + 4 : at + 8], "little")
@@ -45,7 +91,7 @@ def _riff(form: bytes):
     return check
 
 
-def _png(d: bytes, at: int) -> int:
+def _png(d: bytes, at: int, _: Places) -> int:
     p, first = at + 8, True
     while p + 12 <= len(d):
         n, kind = int.from_bytes(d[p : p + 4], "big"), d[p + 4 : p + 8]
@@ -59,7 +105,7 @@ def _png(d: bytes, at: int) -> int:
     return 0
 
 
-def _gif(d: bytes, at: int) -> int:
+def _gif(d: bytes, at: int, places: Places) -> int:
     p = at + 13
     if p > len(d):
         return 0
@@ -74,13 +120,11 @@ def _gif(d: bytes, at: int) -> int:
             p += 11 + (3 << ((d[p + 9] & 7) + 1) if d[p + 9] & 0x80 else 0)
         else:
             return 0
-        while p < len(d) and d[p]:
-            p += d[p] + 1
-        p += 1
+        p = places.chain_end(p)
     return 0
 
 
-def _jpeg(d: bytes, at: int) -> int:
+def _jpeg(d: bytes, at: int, places: Places) -> int:
     p = at + 2
     while p + 4 <= len(d) and d[p] == 0xFF:
         kind, n = d[p + 1], int.from_bytes(d[p + 2 : p + 4], "big")
@@ -88,20 +132,27 @@ def _jpeg(d: bytes, at: int) -> int:
             return 0
         p += 2 + n
         if kind == 0xDA:
-            end = d.find(b"\xff\xd9", p)
+            end = places.next(rb"\xff\xd9", p)
             return end + 2 - at if end >= 0 else 0
     return 0
 
 
-def _pdf(d: bytes, at: int) -> int:
-    head = d[at + 5 : at + 8]
-    if len(head) < 3 or not (head[:1].isdigit() and head[1:2] == b"." and head[2:3].isdigit()):
+def _pdf(d: bytes, at: int, places: Places) -> int:
+    head = rb"%PDF-[0-9]\.[0-9]"
+    if places.next(head, at) != at:
+        return 0
+    follows = places.next(head, at + 1)
+    end = places.before(rb"%%EOF", follows if follows >= 0 else len(d))
+    table = places.next(rb"startxref", at)
+    if end < at or not at < table < end:
         return 0
-    end = d.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and d.find(b"startxref", at, end) >= 0 else 0
+    end += 5
+    while end < len(d) and d[end] in b"\r\n":
+        end += 1
+    return end - at
 
 
-def _bmp(d: bytes, at: int) -> int:
+def _bmp(d: bytes, at: int, _: Places) -> int:
     if at + 54 > len(d):
         return 0
     size, zero, start, head = struct.unpack_from("<IIII", d, at + 2)
@@ -109,29 +160,116 @@ def _bmp(d: bytes, at: int) -> int:
     return size if ok and d[at + 26 : at + 28] == b"\x01\x00" else 0
 
 
-def _gzip(d: bytes, at: int) -> int:
-    try:
-        z = zlib.decompressobj(31)
-        rest = memoryview(d)[at:]
-        while rest and not z.eof:
-            z.decompress(rest, 1 << 20)
-            rest = z.unconsumed_tail or (z.unused_data if z.eof else b"")
-            if z.eof:
-                return len(d) - at - len(z.unused_data)
-    except zlib.error:
-        pass
+def _gzip(d: bytes, at: int, _: Places) -> int:
+    done, rest = 0, memoryview(d)[at:]
+    while rest[:3] == b"\x1f\x8b\x08":
+        z, own = zlib.decompressobj(31), rest
+        try:
+            while own and not z.eof:
+                z.decompress(own, 1 << 20)
+                own = z.unconsumed_tail
+        except zlib.error:
+            break
+        if not z.eof:
+            break
+        done = len(d) - at - len(z.unused_data) if z.unused_data else len(d) - at - len(own)
+        rest = memoryview(d)[at + done :]
+    return done
+
+
+def _zip(d: bytes, at: int, places: Places) -> int:
+    if places.archives is None:  # where each end record says that its archive starts; the last one counts
+        places.archives = {}
+        for end in places.of(rb"PK\x05\x06"):
+            if end + 22 <= len(d):
+                size, start = struct.unpack_from("<II", d, end + 12)
+                places.archives[end - size - start] = end
+    end = places.archives.get(at, -1)
+    if end < 0:
+        return 0
+    start = struct.unpack_from("<I", d, end + 16)[0]
+    stop = end + 22 + int.from_bytes(d[end + 20 : end + 22], "little")
+    return stop - at if d[at + start : at + start + 4] == b"PK\x01\x02" and stop <= len(d) else 0
+
+
+#: Kinds of the boxes that stand at the top of an MP4 file.
+BOXES = (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"udta", b"moof", b"mfra", b"sidx", b"styp", b"meta", b"uuid", b"pdin")
+
+
+def _mp4(d: bytes, at: int, _: Places) -> int:
+    p, kinds = at, set()
+    while p + 8 <= len(d) and d[p + 4 : p + 8] in BOXES and (p == at or d[p + 4 : p + 8] != b"ftyp"):
+        n = int.from_bytes(d[p : p + 4], "big")
+        n = int.from_bytes(d[p + 8 : p + 16], "big") if n == 1 else n or len(d) - p
+        if n < 8 or p + n > len(d):
+            break
+        kinds.add(d[p + 4 : p + 8])
+        p += n
+    return p - at if b"ftyp" in kinds and kinds & {b"moov", b"moof"} else 0
+
+
+def _ogg(d: bytes, at: int, _: Places) -> int:
+    p, serial, number = at, d[at + 14 : at + 18], 0
+    while d[p : p + 5] == b"OggS\0" and p + 27 <= len(d):
+        flags, n = d[p + 5], d[p + 26]
+        end = p + 27 + n + sum(d[p + 27 : p + 27 + n])
+        if end > len(d) or d[p + 14 : p + 18] != serial or int.from_bytes(d[p + 18 : p + 22], "little") != number or bool(flags & 2) != (p == at):
+            return 0
+        p, number = end, number + 1
+        if flags & 4:
+            return p - at
     return 0
 
 
-def _zip(d: bytes, at: int) -> int:
-    end = d.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(d):
-        return 0
-    size, start = struct.unpack_from("<II", d, end + 12)
-    ok = at + start + size == end and d[at + start : at + start + 4] == b"PK\x01\x02"
-    return end + 22 + int.from_bytes(d[end + 20 : end + 22], "little") - at if ok else 0
+def _tiff(order: str):
+    def check(d: bytes, at: int, _: Places) -> int:
+        big, end, table = order == ">", 8, b""
+        if at + 8 > len(d):
+            return 0
+        ifd, tables, has = struct.unpack_from(order + "I", d, at + 4)[0], 0, False
+        while ifd and tables < 64:
+            if ifd < end or at + ifd + 2 > len(d):
+                return 0
+            n = struct.unpack_from(order + "H", d, at + ifd)[0]
+            table, end = d[at + ifd + 2 : at + ifd + 2 + 12 * n + 4], ifd + 2 + 12 * n + 4
+            if not n or len(table) < 12 * n + 4:
+                return 0
+            found: dict[int, list[int]] = {}
+            for k in range(n):
+                tag, kind, count, value = struct.unpack_from(order + "HHII", table, 12 * k)
+                size = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}.get(kind, 0) * count
+                if not size or (size > 4 and at + value + size > len(d)):
+                    return 0
+                end = max(end, value + size if size > 4 else 0)
+                if tag in (273, 279, 324, 325) and kind in (3, 4):  # offsets and sizes of strips and tiles
+                    place = at + value if size > 4 else at + ifd + 2 + 12 * k + 8
+                    found[tag] = list(struct.unpack_from(f"{order}{count}{'H' if kind == 3 else 'I'}", d, place))
+            for a, b in ((273, 279), (324, 325)):
+                for start, size in zip(found.get(a, ()), found.get(b, ()), strict=False):
+                    has, end = True, max(end, start + size)
+            ifd, tables = struct.unpack_from(order + "I", table, 12 * n)[0], tables + 1
+        return end if has and at + end <= len(d) and big == (d[at : at + 1] == b"M") else 0
+
+    return check
+
+
+def _tar(d: bytes, at: int, _: Places) -> int:
+    p, members = at, 0
+    while at >= 0 and p + 512 <= len(d):
+        head = d[p : p + 512]
+        if not any(head):
+            return p + 1024 - at if members and not any(d[p + 512 : p + 1024]) and p + 1024 <= len(d) else 0
+        try:
+            size, check = int(head[124:136].strip(b" \0") or b"0", 8), int(head[148:156].strip(b" \0") or b"0", 8)
+        except ValueError:
+            return 0
+        if sum(head) - sum(head[148:156]) + 8 * 32 != check:
+            return 0
+        p, members = p + 512 + -(-size // 512) * 512, members + 1
+    return 0
 
 
+#: type: magic bytes, how far they stand from the item's start, validator
 FORMATS = {
     "audio/wav": (b"RIFF", 0, _riff(b"WAVE")),
     "image/webp": (b"RIFF", 0, _riff(b"WEBP")),
@@ -139,11 +277,18 @@ FORMATS = {
     "image/gif": (b"GIF87a", 0, _gif),
     "image/gif+89a": (b"GIF89a", 0, _gif),
     "image/jpeg": (b"\xff\xd8\xff", 0, _jpeg),
+    "image/tiff": (b"II*\0", 0, _tiff("<")),
+    "image/tiff+be": (b"MM\0*", 0, _tiff(">")),
     "application/pdf": (b"%PDF-", 0, _pdf),
     "image/bmp": (b"BM", 0, _bmp),
     "application/gzip": (b"\x1f\x8b\x08", 0, _gzip),
     "application/zip": (b"PK\x03\x04", 0, _zip),
+    "application/x-tar": (b"ustar", 257, _tar),
+    "audio/ogg": (b"OggS\0\x02", 0, _ogg),
+    "video/mp4": (b"ftyp", 4, _mp4),
 }
+#: Their further members have the magic of the first one and are no items.
+IN_A_ROW = ("application/x-tar", "application/gzip")
 _machine = None
 
 
@@ -153,9 +298,9 @@ def machine():
     if _machine is None:
         import ahocorasick
 
-        by: dict[str, list[str]] = {}
-        for kind, (magic, _, _) in FORMATS.items():
-            by.setdefault(magic.decode("latin-1"), []).append(kind)
+        by: dict[str, list[tuple[str, int]]] = {}
+        for kind, (magic, shift, _) in FORMATS.items():
+            by.setdefault(magic.decode("latin-1"), []).append((kind, shift))
         _machine = ahocorasick.Automaton()
         for magic, kinds in by.items():
             _machine.add_word(magic, (len(magic), tuple(kinds)))
@@ -164,16 +309,22 @@ def machine():
 
 
 def find_media(data: bytes | None) -> list[tuple[int, int, str]]:
-    """Confirmed items as (offset, length, type), by offset; inside a confirmed item only other types count."""
-    found: list[tuple[int, int, str]] = []
+    """Confirmed items as (offset, length, type), by offset."""
+    found: dict[int, tuple[int, str]] = {}
     if not data:
-        return found
+        return []
+    places, reach = Places(data), dict.fromkeys(IN_A_ROW, 0)
     for end, (n, kinds) in machine().iter(data.decode("latin-1")):
-        at = end - n + 1
-        best = max(((FORMATS[k][2](data, at), k.split("+")[0]) for k in kinds), key=lambda x: (x[0], x[1]))
-        if best[0] and not any(o < at < o + length and k == best[1] for o, length, k in found):
-            found.append((at, *best))
-    return found
+        for kind, shift in kinds:
+            at = end - n + 1 - shift
+            if at < reach.get(kind, 0):
+                continue
+            size = FORMATS[kind][2](data, at, places) if at >= 0 else 0
+            if size:
+                if kind in reach:
+                    reach[kind] = at + size
+                found[at] = max(found.get(at, (0, "")), (size, kind.split("+")[0]))
+    return [(at, *found[at]) for at in sorted(found)]
 
 
 def wav(payload: bytes, rate: int = 8000) -> bytes:

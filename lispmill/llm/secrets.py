@@ -4,9 +4,16 @@ Three base kinds are regular expressions: ``assign`` (a named credential and a v
 characters), ``access`` (an access key id) and ``hex`` (24 or more hexadecimal digits). The method adds
 ``entropy-hex`` and ``entropy-b64``: a window of ``WINDOW`` characters slides over each candidate string of
 a character class, with the counts of its characters updated for the one that enters and the one that
-leaves. The sum of ``c * log2(c)`` over the counts is kept as an integer scaled by ``SCALE``, so a window's
-Shannon entropy ``log2(w) - sum / w`` is compared exactly. The span runs from the first to the last window
-that reaches the class's threshold. Candidates that the allow-list names are suppressed; base kinds never are.
+leaves (twelve counts of five bits to a long). The sum of ``c * log2(c)`` over the counts is kept as an integer
+scaled by ``SCALE``, so a window's Shannon entropy ``log2(w) - sum / w`` is compared exactly.
+
+The allow-list suppresses windows, not candidates: a window of characters of one ``PLAIN`` set only (words,
+paths, numbers, the other class's strings), one that touches a placeholder word, and one that holds a run of
+``RUN`` equal characters. The span runs from the first to the last window that reaches the class's threshold and
+isn't suppressed. Base kinds are never suppressed.
+
+Work is linear in the text: places come from a prefix scan in blocks, long candidates are judged in overlapping
+pieces, and texts are cut in chunks before spans are taken out of them.
 
 Places are code points, ends exclusive. Null and empty texts have no spans; ties of a start go by the order
 of ``KINDS``; repeated rows give a row each. Columns other than the id and the text are kept by ``redact``
@@ -16,6 +23,8 @@ and not read by ``scan_secrets``. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +41,16 @@ CLASSES = {
     "entropy-hex": ("0123456789abcdefABCDEF", "[0-9a-fA-F]", 3.0),
     "entropy-b64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "[A-Za-z0-9+/_=-]", 3.85),
 }
-#: Candidates with one of these are no secrets: plain words and numbers, other classes' strings, paths, placeholders.
-ALLOW = {
-    "entropy-hex": r"^[0-9]+$|^[a-fA-F]+$",
-    "entropy-b64": r"^[A-Za-z_-]+$|^[0-9a-fA-F]+$|^[A-Za-z]+(/[A-Za-z]+)+$|(?i:example|placeholder|changeme|dummy)|(.)\1{7}",
+#: A window of characters of one of these two sets only is no secret.
+PLAIN = {
+    "entropy-hex": ("0123456789", "abcdefABCDEF"),
+    "entropy-b64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-/", "0123456789abcdefABCDEF"),
 }
+PLACEHOLDERS = ("example", "placeholder", "changeme", "dummy")
+#: What a placeholder's characters become, and so many equal characters that no secret holds.
+MASK, RUN = "!", 8
+#: Elements of a block of a scan; characters of a piece of a candidate, and of a chunk of a text.
+SCAN, PIECE, CHUNK = 256, 2048, 4096
 KINDS = ("assign", "access", "hex", *CLASSES)
 REDACTED = "[SECRET]"
 SPAN = "array<struct<start:int,rank:int,end:int>>"
@@ -52,74 +66,148 @@ def most_sum(threshold: float, window: int = WINDOW) -> int:
     return math.floor(window * (math.log2(window) - threshold) * SCALE)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is worked out once, however often and in whatever lambdas the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(xs: Column, kind: str, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """All states of a fold over the array but the first, in blocks, so that growing arrays are copied in small only."""
+    last = lambda a: F.element_at(a, -1)
+
+    def block(s: Column, own: Column) -> Column:
+        grown = F.aggregate(own, F.array(last(last(s))), lambda t, x: F.concat(t, F.array(step(last(t), x).cast(kind))))
+        return F.concat(s, F.array(F.slice(grown, F.lit(2), F.lit(SCAN))))
+
+    def scanned(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / SCAN).cast("int")), lambda k: F.slice(a, k * SCAN + 1, F.lit(SCAN)))
+        return F.aggregate(blocks, F.array(F.array(zero.cast(kind))), block, lambda s: F.slice(F.flatten(s), F.lit(2), F.size(a)))
+
+    return _let(xs, lambda a: F.when(F.size(a) > 0, scanned(a)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
 def _places(text: Column, pattern: str) -> Column:
     """(match, start) of all matches: the gaps between them are what split() leaves."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int>>").alias("out"))
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gap"))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = (state["at"] + F.length(pair["gap"])).cast("int")
-        one = F.struct(pair["found"].alias("text"), start.alias("start"))
-        return F.struct((start + F.length(pair["found"])).cast("int").alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+    def placed(a: Column) -> Column:
+        ends = _scan(a, "int", F.lit(0), lambda at, p: at + F.length(p["gap"]) + F.coalesce(F.length(p["found"]), F.lit(0)))
+        # the last gap has no match behind it
+        both = F.filter(F.arrays_zip(F.transform(a, lambda p: p["found"]).alias("text"), ends.alias("end")), lambda p: p["text"].isNotNull())
+        return F.transform(both, lambda p: F.struct(p["text"].alias("text"), (p["end"] - F.length(p["text"])).cast("int").alias("start")))
 
-    pairs = F.transform(found, lambda m, i: F.struct(m.alias("found"), F.get(gaps, i).alias("gap")))
-    return F.aggregate(pairs, first, step, lambda s: s["out"])
+    return _let(pairs, placed)
 
 
 def _whole(places: Column, rank: int) -> Column:
     return F.transform(places, lambda p: F.struct(p["start"].alias("start"), F.lit(rank).alias("rank"), (p["start"] + F.length(p["text"])).cast("int").alias("end")))
 
 
-def _windows(text: Column, alphabet: str, threshold: float) -> Column:
-    """(first, last) index, from 0, of the windows of the candidate that reach the threshold; -1 if none does."""
-    terms, most, w = F.array(*[F.lit(x).cast("long") for x in scaled_terms()]), most_sum(threshold), WINDOW
-    codes = F.transform(F.slice(F.split(text, "", -1), F.lit(1), F.length(text)), lambda c: F.instr(F.lit(alphabet), c))
-    none = F.array_repeat(F.lit(0), len(alphabet) + 1)
-
-    def step(state: Column, i: Column) -> Column:
-        came, left = F.get(state["codes"], i), F.when(i >= w, F.get(state["codes"], i - w)).otherwise(F.lit(0))
-        n, m = F.get(state["n"], came), F.get(state["n"], left)
-        added = F.get(terms, n + 1) - F.get(terms, n)
-        gone = F.when(left > 0, F.get(terms, m - 1) - F.get(terms, m)).otherwise(F.lit(0).cast("long"))
-        total = state["sum"] + F.when(came == left, F.lit(0).cast("long")).otherwise(added + gone)
-        counts = F.transform(state["n"], lambda v, k: v + F.when(k == came, 1).otherwise(0) - F.when((k == left) & (k > 0), 1).otherwise(0))
-        ok, at = (i >= w - 1) & (total <= F.lit(most)), (i - (w - 1)).cast("int")
+def _windows(text: Column, kind: str) -> Column:
+    """(first, last) index, from 0, of the windows of a short string that reach the threshold and aren't suppressed; -1 if none.
+
+    A step judges the window that ended before it, so that nothing of a step is worked out twice."""
+    alphabet, _, threshold = CLASSES[kind]
+    terms, most, w = scaled_terms(), most_sum(threshold), WINDOW
+    longs = lambda xs: F.expr(f"array({', '.join(f'{x}L' for x in xs)})")
+    # what a count's next unit adds to the sum, and what its last one takes away
+    up, down = longs([b - a for a, b in zip(terms, terms[1:], strict=False)]), longs([0, *(a - b for a, b in zip(terms, terms[1:], strict=False))])
+    # of a code: the long that counts it, the place and unit there, and its marks: not of the first plain set, not of the second,
+    # and of no set at all, eight bits each
+    outside = [1 << 16, *((c not in PLAIN[kind][0]) + ((c not in PLAIN[kind][1]) << 8) for c in alphabet)]
+    told = lambda code, word, shift, unit, mark: f"named_struct('code', {code}, 'word', {word}, 'shift', {shift}, 'unit', {unit}L, 'mark', {mark})"
+    table = F.expr(f"array({', '.join(told(c, c // 12, c % 12 * 5, 1 << c % 12 * 5, m) for c, m in enumerate(outside))})")
+    nothing = F.expr(told(-1, -1, 0, 0, 0))
+    codes = F.transform(F.slice(F.split(text, "", -1), F.lit(1), F.length(text)), lambda c: F.get(table, F.instr(F.lit(alphabet), c)))
+    count = lambda n, c: F.call_function("shiftright", F.get(n, c["word"]), c["shift"]).bitwiseAND(F.lit(31).cast("long")).cast("int")
+
+    def judged(state: Column, i: Column) -> tuple[Column, Column, Column]:
+        """(dull, first, last) with the window that ends before ``i``."""
+        at = i - w
+        dull = F.when(state["run"] >= RUN, i - RUN).otherwise(state["dull"])  # start of the last run
+        ok = (state["sum"] <= F.lit(most)) & (at >= 0) & (state["marks"] < 1 << 16) & (state["marks"] % 256 > 0) & (state["marks"] > 255) & (dull < at)
+        return dull, F.when((state["first"] < 0) & ok, at).otherwise(state["first"]), F.when(ok, at).otherwise(state["last"])
+
+    def step(state: Column, x: Column) -> Column:
+        came, left = x["came"], x["left"]
+        dull, first, last = judged(state, state["i"])
+        total = F.when(came["code"] == left["code"], state["sum"]).otherwise(state["sum"] + F.get(up, count(state["n"], came)) + F.when(left["code"] < 0, F.lit(0).cast("long")).otherwise(F.get(down, count(state["n"], left))))
+        counts = F.transform(state["n"], lambda v, k: v + F.when(k == came["word"], came["unit"]).otherwise(F.lit(0).cast("long")) - F.when(k == left["word"], left["unit"]).otherwise(F.lit(0).cast("long")))
+        run = F.when(came["code"] == state["code"], state["run"] + 1).otherwise(F.lit(1))
         return F.struct(
-            state["codes"].alias("codes"), counts.alias("n"), total.alias("sum"),
-            F.when(ok & (state["first"] < 0), at).otherwise(state["first"]).alias("first"), F.when(ok, at).otherwise(state["last"]).alias("last"),
+            (state["i"] + 1).alias("i"), came["code"].alias("code"), counts.alias("n"), total.alias("sum"), (state["marks"] + came["mark"] - left["mark"]).alias("marks"), run.alias("run"),
+            dull.alias("dull"), first.alias("first"), last.alias("last"),
         )
 
-    start = F.struct(codes.alias("codes"), none.alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(text) - 1), start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    def judge(own: Column) -> Column:
+        pairs = F.slice(F.arrays_zip(own.alias("came"), F.concat(F.array_repeat(nothing, w), own).alias("left")), F.lit(1), F.size(own))
+        none = F.array_repeat(F.lit(0).cast("long"), len(alphabet) // 12 + 1)
+        zero = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("code"), none.alias("n"), F.lit(0).cast("long").alias("sum"), *[F.lit(v).alias(k) for k, v in {"marks": 0, "run": 0, "dull": -1, "first": -1, "last": -1}.items()])
+
+        def finish(state: Column) -> Column:
+            _, first, last = judged(state, state["i"])
+            return F.struct(first.alias("first"), last.alias("last"))
+
+        return F.aggregate(pairs, zero, step, finish)
+
+    return _let(codes, judge)
+
+
+def _masked(text: Column) -> Column:
+    for p in PLACEHOLDERS:
+        text = F.regexp_replace(text, f"(?i){p}", MASK * len(p))
+    return text
+
+
+def _judged(text: Column, kind: str) -> Column:
+    """(first, last) over the pieces of a candidate; a piece begins with the last window of the one before it, less a character."""
+
+    def of(pieces: Column) -> Column:
+        before = F.concat(F.array(F.lit("")), pieces)
+        own = F.transform(F.slice(F.arrays_zip(pieces.alias("piece"), before.alias("before")), F.lit(1), F.size(pieces)), lambda p: F.concat(F.right(p["before"], F.lit(WINDOW - 1)), p["piece"]))
+        shift = lambda w, k: F.when(w >= 0, (w + k * PIECE - F.when(k > 0, WINDOW - 1).otherwise(F.lit(0))).cast("int"))
+        places = F.transform(F.transform(own, lambda t: _windows(t, kind)), lambda w, k: F.struct(shift(w["first"], k).alias("first"), shift(w["last"], k).alias("last")))
+        return _let(places, lambda a: F.struct(F.array_min(F.transform(a, lambda w: w["first"])).alias("first"), F.array_max(F.transform(a, lambda w: w["last"])).alias("last")))
+
+    return _let(F.regexp_extract_all(_masked(text), F.lit(f".{{1,{PIECE}}}"), F.lit(0)), of)
 
 
 def _entropy(text: Column, kind: str) -> Column:
-    alphabet, chars, threshold = CLASSES[kind]
     rank = KINDS.index(kind)
-    kept = F.filter(_places(text, f"{chars}{{{WINDOW},}}"), lambda p: ~p["text"].rlike(ALLOW[kind]))
-    judged = F.transform(kept, lambda p: F.struct(p["start"].alias("at"), _windows(p["text"], alphabet, threshold).alias("w")))
-    spans = F.transform(judged, lambda p: F.when(p["w"]["first"] >= 0, F.struct((p["at"] + p["w"]["first"]).cast("int").alias("start"), F.lit(rank).alias("rank"), (p["at"] + p["w"]["last"] + WINDOW).cast("int").alias("end"))))
+    plain = "|".join(f"[{re.escape(p)}]+" for p in PLAIN[kind])
+    candidates = F.filter(_places(text, f"{CLASSES[kind][1]}{{{WINDOW},}}"), lambda p: ~p["text"].rlike(f"^(?:{plain})$"))
+    judged = F.transform(candidates, lambda p: F.struct(p["start"].alias("at"), _judged(p["text"], kind).alias("w")))
+    spans = F.transform(judged, lambda p: F.when(p["w"]["first"].isNotNull(), F.struct((p["at"] + p["w"]["first"]).cast("int").alias("start"), F.lit(rank).alias("rank"), (p["at"] + p["w"]["last"] + WINDOW).cast("int").alias("end"))))
     return F.filter(spans, lambda s: s.isNotNull())
 
 
+_built: dict[tuple, Column] = {}
+
+
+def _all_spans(text_col: str, spark: SparkSession) -> Column:
+    """All spans of a text, ordered; the expression is made once for each JVM and column name."""
+    key = (id(spark.sparkContext._gateway), text_col, SCAN, PIECE)
+    if key not in _built:
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        low = F.lower(text)
+        named = low.contains(NAMES[0])
+        for n in NAMES[1:]:
+            named |= low.contains(n)
+        empty = F.array().cast(SPAN)
+        assigned = F.filter(F.arrays_zip(_places(text, ASSIGN).alias("p"), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)).alias("v")), lambda x: F.length(x["v"]) >= 6)
+        parts = [
+            F.when(named, _whole(F.transform(assigned, lambda x: x["p"]), 0)).otherwise(empty),
+            F.when(text.contains("AKIA"), _whole(_places(text, ACCESS), 1)).otherwise(empty),
+            F.when(text.rlike(HEX), _whole(_places(text, HEX), 2)).otherwise(empty),
+            *[F.when(text.rlike(f"{CLASSES[k][1]}{{{WINDOW},}}"), _entropy(text, k)).otherwise(empty) for k in CLASSES],
+        ]
+        _built[key] = F.array_sort(F.concat(*[p.cast(SPAN) for p in parts]))
+    return _built[key]
+
+
 def with_spans(docs: DataFrame, text_col: str = "text", to: str = "_spans") -> DataFrame:
     """Adds all spans as an array of (start, rank of the kind, end), ordered."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    low = F.lower(text)
-    named = low.contains(NAMES[0])
-    for n in NAMES[1:]:
-        named |= low.contains(n)
-    empty = F.array().cast(SPAN)
-    assigned = F.filter(
-        F.arrays_zip(_places(text, ASSIGN).alias("p"), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)).alias("v")), lambda x: F.length(x["v"]) >= 6
-    )
-    parts = [
-        F.when(named, _whole(F.transform(assigned, lambda x: x["p"]), 0)).otherwise(empty),
-        F.when(text.contains("AKIA"), _whole(_places(text, ACCESS), 1)).otherwise(empty),
-        F.when(text.rlike(HEX), _whole(_places(text, HEX), 2)).otherwise(empty),
-        *[F.when(text.rlike(f"{CLASSES[k][1]}{{{WINDOW},}}"), _entropy(text, k)).otherwise(empty) for k in CLASSES],
-    ]
-    return docs.withColumn(to, F.array_sort(F.concat(*[p.cast(SPAN) for p in parts])))
+    return docs.withColumn(to, _all_spans(text_col, docs.sparkSession))
 
 
 def _joined(spans: Column) -> Column:
@@ -141,17 +229,27 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = REDACTED) -> Dat
     """The same rows and columns, with every run of overlapping spans in the text replaced by ``mark``."""
     name = "_spans_" + "_".join(docs.columns)
     found = with_spans(docs, text_col, name)
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text, end = F.col(text_col), 1 << 30
+
+    def runs(spans: Column) -> Column:
+        """Starts and ends of the runs of spans that meet: a run's end is the greatest so far, where the next span begins behind it."""
+        reach = _scan(spans, "int", F.lit(-1), lambda at, s: F.greatest(at, s["end"]))
+        before = F.concat(F.array(F.lit(-1)), reach)
+        zipped = F.slice(F.arrays_zip(F.transform(spans, lambda s: s["start"]).alias("start"), before.alias("before")), F.lit(1), F.size(spans))
+        fresh = F.filter(zipped, lambda s: s["start"] > s["before"])
+        # a gap goes from the end of a run (0 at first) to the start of the next (the text's end at last)
+        return F.concat(F.transform(fresh, lambda s: F.struct(F.greatest(s["before"], F.lit(0)).alias("a"), s["start"].alias("b"))), F.array(F.struct(F.array_max(reach).alias("a"), F.lit(end).alias("b"))))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        fresh = (s["start"] >= state["at"]) & ((s["start"] > state["at"]) | (state["out"] == ""))
-        out = F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+    def cut(chunks: Column, a: Column, b: Column) -> Column:
+        i, j = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+        own = F.coalesce(F.get(chunks, i), F.lit(""))
+        within = F.substring(own, a % CHUNK + 1, b - a)
+        over = F.concat(F.substring(own, a % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.coalesce(F.substring(F.get(chunks, j), F.lit(1), b % CHUNK), F.lit("")))
+        return F.when(i == j, within).otherwise(over)
 
-    clean = F.aggregate(F.col(name), start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size(name) > 0, clean).otherwise(text)).select(*docs.columns)
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    gaps = _let(chunks, lambda c: F.transform(_let(F.col(name), runs), lambda g: cut(c, g["a"], g["b"])))
+    return found.withColumn(text_col, F.when(F.size(name) > 0, F.array_join(gaps, mark)).otherwise(text)).select(*docs.columns)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,10 +271,15 @@ def oracle() -> str:
           FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
             SELECT doc_id, row_id, regexp_extract_all(text, {quote(p)}, 0) AS m, {values} AS v, string_split_regex(text, {quote(p)}) AS gaps FROM d))
           WHERE {keep}""")
+    masked = "found"
+    for word in PLACEHOLDERS:
+        masked = f"regexp_replace({masked}, '(?i){word}', '{MASK * len(word)}', 'g')"
+    some_of = lambda chars: "[" + "".join("\\" + c if c in "+-/" else c for c in chars) + "]"
+    suppressed = {k: " OR ".join([f"contains(w, '{MASK}')", *(f"regexp_matches(w, '^{some_of(p)}+$')" for p in PLAIN[k]), *(f"contains(w, '{c * RUN}')" for c in CLASSES[k][0])]) for k in CLASSES}
     judged = " UNION ALL ".join(
         f"""SELECT row_id, rank, kind, start + min(j) AS start, start + max(j) + {WINDOW} AS end_ FROM (
-              SELECT *, unnest(range(0, length(found) - {WINDOW} + 1)) AS j FROM s WHERE kind = '{k}' AND NOT ({" OR ".join(f"regexp_matches(found, {quote(a)})" for a in _allowed(k))}))
-            WHERE list_sum(list_transform(map_values(list_histogram(string_split(substr(found, (j + 1)::BIGINT, {WINDOW}), ''))), lambda c: ({terms})[c::BIGINT])) <= {most_sum(CLASSES[k][2])}
+              SELECT *, substr(masked, (j + 1)::BIGINT, {WINDOW}) AS w FROM (SELECT *, {masked} AS masked, unnest(range(0, length(found) - {WINDOW} + 1)) AS j FROM s WHERE kind = '{k}'))
+            WHERE NOT ({suppressed[k]}) AND list_sum(list_transform(map_values(list_histogram(string_split(w, ''))), lambda c: ({terms})[c::BIGINT])) <= {most_sum(CLASSES[k][2])}
             GROUP BY row_id, rank, kind, start, found"""
         for k in CLASSES
     )
@@ -190,9 +293,3 @@ def oracle() -> str:
       SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
         sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (row_id)"""
 
-
-def _allowed(kind: str) -> list[str]:
-    """The allow-list for an engine without backreferences: a run of eight equal characters is spelled out."""
-    chars = CLASSES[kind][0]
-    runs = "|".join(("\\" + c if c in "+-" else c) + "{8}" for c in chars)
-    return [ALLOW[kind].replace(r"|(.)\1{7}", ""), *([runs] if r"\1" in ALLOW[kind] else [])]

@@ -68,7 +68,8 @@ def main(argv: list[str] | None = None) -> int:
         else:
             chosen = config.load(args.config or config.find(args.paths[0]))
             src = files.scan(spark, *args.paths, analyze_tests=chosen.analyze_tests)
-            found = analyze.findings(files.nodes(src), chosen)
+            # parsed and judged once, however often the report reads its findings
+            found = analyze.findings(files.written(files.nodes(src)), chosen).persist()
             form = "count" if args.count_finding else args.format
             if args.to:
                 report.write(found, src, form, args.to)

@@ -69,16 +69,19 @@ def heads_below(keep=None) -> Column:
     return F.transform(where(below(), lambda x: (x["t"] == "List") & x["h"].isNotNull() & (keep(x["h"]) if keep else F.lit(True))), lambda x: x["h"])
 
 
-@row_rule("comments", TRADITIONAL, INFO, "Empty, long, stale, obvious and apologetic comments, and code in comments.")
-def comments() -> Column:
+@row_rule("comments", TRADITIONAL, INFO, "Empty, long, stale, obvious and apologetic comments, and code in comments.", report_todo=True, report_fixme=True, report_empty=True, report_redundant=True, report_obvious=True, report_deodorant=True, report_commented_code=True, report_docstring=False, min_comment_length=5, max_comment_length=120)
+def comments(report_todo: bool, report_fixme: bool, report_empty: bool, report_redundant: bool, report_obvious: bool, report_deodorant: bool, report_commented_code: bool, report_docstring: bool, min_comment_length: int, max_comment_length: int) -> Column:
+    """``report_docstring`` is kept for configuration files; no docstring is a comment."""
     body_ = F.trim(F.regexp_replace("value", r"^[;#!]+", ""))
     low, size = F.lower(body_), F.octet_length(body_)
     has = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
     code = body_.rlike(CODE_LIKE) | (F.length(F.regexp_replace(body_, r"[^(\[{]", "")) >= 2)
-    kind = (
-        F.when(size == 0, "Empty comment.").when(size < 5, "Comment is too short to be useful.").when(size > 120, "Comment is too long.").when(low.contains("todo"), "TODO comment.")
-        .when(low.contains("fixme"), "FIXME comment.").when(code, "Commented-out code.").when(has(DEODORANT), "Deodorant comment.").when(has(REDUNDANT), "Redundant comment.").when(has(OBVIOUS), "Obvious comment.")
+    tests = (
+        (report_empty, size == 0, "Empty comment."), (min_comment_length > 0, (size > 0) & (size < min_comment_length), "Comment is too short to be useful."), (max_comment_length > 0, size > max_comment_length, "Comment is too long."),
+        (report_todo, low.contains("todo"), "TODO comment."), (report_fixme, low.contains("fixme"), "FIXME comment."), (report_commented_code, code, "Commented-out code."), (report_deodorant, has(DEODORANT), "Deodorant comment."),
+        (report_redundant, has(REDUNDANT), "Redundant comment."), (report_obvious, has(OBVIOUS), "Obvious comment."),
     )
+    kind = F.coalesce(*[F.when(test, F.lit(m)) for on, test, m in tests if on], F.lit(None).cast("string"))
     worse = F.when(kind.isin("FIXME comment.", "Commented-out code.", "Deodorant comment."), F.lit(WARNING)).otherwise(F.lit(INFO))
     return F.when(F.col("type") == "Comment", found("comments", INFO, kind.isNotNull(), kind, severity_of=worse))
 
@@ -96,9 +99,9 @@ def call_depth() -> Column:
     return F.array_max(F.aggregate(the_sub(), F.array().cast("array<int>"), deepen))
 
 
-@row_rule("deeply-nested", TRADITIONAL, WARNING, "Function bodies with deep call stacks.", most=15)
-def deeply_nested(most: int) -> Column:
-    return F.when(is_defn() & (F.col("size") > most), found("deeply-nested", WARNING, call_depth() > most, text("Function '", kid(1)["v"], "' has a call depth of more than ", F.lit(most), ".")))
+@row_rule("deeply-nested", TRADITIONAL, WARNING, "Function bodies with deep call stacks.", max_depth=15)
+def deeply_nested(max_depth: int) -> Column:
+    return F.when(is_defn() & (F.col("size") > max_depth), found("deeply-nested", WARNING, call_depth() > max_depth, text("Calls in '", kid(1)["v"], "' go deeper than ", F.lit(max_depth), ".")))
 
 
 def snake(x: Column) -> Column:
@@ -111,16 +114,16 @@ def external_schema() -> Column:
     on_param = lambda x: is_symbol(x) & F.array_contains(names, x["v"])
     key = lambda x: kid_of(x, 0)
     hit = lambda x: (x["t"] == "List") & (
-        (snake(key(x)) & on_param(kid_of(x, 1))) | (is_call(x, "get") & on_param(kid_of(x, 1)) & snake(kid_of(x, 2))) | (is_call(x, "get-in") & on_param(kid_of(x, 1)) & (kid_of(x, 2)["t"] == "Vector") & some(kids_of(kid_of(x, 2)), snake))
+        (snake(key(x)) & on_param(kid_of(x, 1))) | (is_call(x, "get", "clojure.core/get", "cljs.core/get") & on_param(kid_of(x, 1)) & snake(kid_of(x, 2))) | (is_call(x, "get-in", "clojure.core/get-in", "cljs.core/get-in") & on_param(kid_of(x, 1)) & (kid_of(x, 2)["t"] == "Vector") & some(kids_of(kid_of(x, 2)), snake))
     )
     one = first(where(F.filter(the_sub(), lambda x: x["i"] > kid(2)["i"]), hit))
-    at = F.when(snake(key(one)), key(one)).when(is_call(one, "get"), kid_of(one, 2)).otherwise(first(where(kids_of(kid_of(one, 2)), snake)))
+    at = F.when(snake(key(one)), key(one)).when(is_call(one, "get", "clojure.core/get", "cljs.core/get"), kid_of(one, 2)).otherwise(first(where(kids_of(kid_of(one, 2)), snake)))
     adapter = F.lower(kid(1)["v"]).rlike(r"transform|parse|to-internal|map-external|external-to")
     return F.when(call("defn") & (F.col("n") >= 4) & (kid(2)["t"] == "Vector"), found("external-data-coupling:direct-external-schema-usage", WARNING, one.isNotNull() & ~adapter, text("Direct use of external key ", at["v"], " in '", kid(1)["v"], "'."), at))
 
 
-@row_rule("divergent-change", TRADITIONAL, WARNING, "Functions with several responsibilities.", complexity=15)
-def divergent_change(complexity: int) -> Column:
+@row_rule("divergent-change", TRADITIONAL, WARNING, "Functions with several responsibilities.", responsibility_threshold=2, complexity_threshold=15)
+def divergent_change(responsibility_threshold: int, complexity_threshold: int) -> Column:
     def role(h: Column) -> Column:
         out = F.lit(None).cast("string")
         for k, names in reversed(RESPONSIBILITIES.items()):
@@ -133,7 +136,8 @@ def divergent_change(complexity: int) -> Column:
     has_all = lambda groups: reduce(lambda a, b: a | b, [reduce(lambda x, y: x & y, [F.array_contains(kinds, r) for r in g]) for g in groups])
     decisions = F.size(heads_below(lambda h: h.isin(*DECISIONS))) + 1
     n = F.size(kinds)
-    bad = ((n == 2) & has_all(PAIRS) & (F.size(roles) >= 3)) | ((n >= 3) & has_all(TRIPLES)) | (n > 3) | ((decisions > complexity) & (n >= 2))
+    divergent = ((n == 2) & has_all(PAIRS) & (F.size(roles) >= 3)) | ((n >= 3) & has_all(TRIPLES)) | (n > 3)
+    bad = ((n >= responsibility_threshold) & divergent) | ((decisions > complexity_threshold) & (n >= 2))
     return F.when(is_defn(), found("divergent-change", WARNING, bad, text("Function '", kid(1)["v"], "' mixes responsibilities: ", F.array_join(kinds, ", "), ".")))
 
 
@@ -154,16 +158,16 @@ def external_data(nodes: DataFrame) -> DataFrame:
     return out.select(F.lit("external-data-coupling").alias("rule_id"), text("Unsanitized external data used in `", F.col("hit.h"), "`.").alias("message"), "path", F.col("hit.l").alias("line"), F.col("hit.c").alias("col"), F.lit(WARNING).alias("severity"), "ast")
 
 
-@row_rule("feature-envy", TRADITIONAL, WARNING, "Functions that mostly call one other namespace.", least=5, external=3)
-def feature_envy(least: int, external: int) -> Column:
+@row_rule("feature-envy", TRADITIONAL, WARNING, "Functions that mostly call one other namespace.", min_total_calls=5, min_external_calls=3, envy_threshold=0.7, ignore_namespaces=IGNORED_SPACES)
+def feature_envy(min_total_calls: int, min_external_calls: int, envy_threshold: float, ignore_namespaces: tuple) -> Column:
     # the definition itself is a call like any other; its file's name is its own namespace
     own = F.regexp_replace(F.regexp_extract("path", r"([^/]*)\.clj[sc]?$", 1), "_", "-")
     calls = F.concat(F.array(the_head()), heads_below(lambda h: ~h.isin(*SPECIAL)))
-    outside = F.filter(F.transform(calls, lambda h: F.when(h.contains("/"), F.regexp_extract(h, r"^([^/]*)/", 1))), lambda s: s.isNotNull() & ~s.isin(*IGNORED_SPACES) & (s != own))
+    outside = F.filter(F.transform(calls, lambda h: F.when(h.contains("/"), F.regexp_extract(h, r"^([^/]*)/", 1))), lambda s: s.isNotNull() & ~s.isin(*ignore_namespaces, "") & (s != own))
     n, e = F.size(calls), F.size(outside)
     names = F.array_sort(F.array_distinct(outside))
     most = F.element_at(F.array_sort(F.transform(names, lambda s: F.struct((-F.size(F.filter(outside, lambda o: o == s))).alias("n"), s.alias("s")))), 1)["s"]
-    return F.when(is_defn(), found("feature-envy", WARNING, (n >= least) & (e >= external) & (e * 10 >= n * 7), text("Function '", kid(1)["v"], "' envies namespace '", F.when(e > 0, most), "': ", e, " of ", n, " calls are external.")))
+    return F.when(is_defn(), found("feature-envy", WARNING, (n >= min_total_calls) & (e >= min_external_calls) & (e >= n * envy_threshold - 1e-9), text("Function '", kid(1)["v"], "' envies namespace '", F.when(e > 0, most), "': ", e, " of ", n, " calls are external.")))
 
 
 @row_rule("hidden-side-effects", TRADITIONAL, WARNING, "Effects that a function's name does not tell.")
@@ -236,8 +240,8 @@ def arguments(x: Column) -> Column:
     return F.transform(F.filter(kids_of(x), lambda y: y["k"] > 0), lambda y: F.struct(y["t"].alias("t"), y["v"].alias("v")))
 
 
-@row_rule("library-locker", TRADITIONAL, INFO, "Functions that only wrap a library's.")
-def library_locker() -> Column:
+@row_rule("library-locker", TRADITIONAL, INFO, "Functions that only wrap a library's.", excluded_libraries=("clojure.core", "clojure.string", "clojure.set", "clojure.walk"), min_param_count=1)
+def library_locker(excluded_libraries: tuple, min_param_count: int) -> Column:
     c, p = only_call(), F.transform(kids_of(parameters()), lambda x: F.struct(x["t"].alias("t"), x["v"].alias("v")))
     a, n = arguments(c), F.size(p)
     tail = F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), F.greatest(n, F.lit(0)))
@@ -245,7 +249,7 @@ def library_locker() -> Column:
     fixed = no(some(before, lambda x: ~x["t"].isin("String", "Number", "Keyword", "Bool", "Nil", "Map", "Vector")))
     same = (n > 0) & (((F.size(a) >= n) & (tail == p) & fixed) | (F.array_sort(a) == F.array_sort(p)))
     lib = space(c["h"])
-    return F.when(is_defn() & (kid(2)["t"] != "String"), found("library-locker", INFO, c.isNotNull() & lib.isNotNull() & ~lib.isin("clojure.core", "clojure.string", "clojure.set", "clojure.walk") & same, text("Function '", kid(1)["v"], "' only wraps `", c["h"], "`.")))
+    return F.when(is_defn() & (kid(2)["t"] != "String"), found("library-locker", INFO, c.isNotNull() & lib.isNotNull() & ~lib.isin(*excluded_libraries, "") & (n >= min_param_count) & same, text("Function '", kid(1)["v"], "' only wraps `", c["h"], "`.")))
 
 
 @row_rule("linear-collection-scan", TRADITIONAL, WARNING, "Chains and scans that pass over collections more than needed.")
@@ -270,23 +274,23 @@ def linear_scan() -> Column:
     return F.when(is_list() & the_head().isNotNull(), F.coalesce(*[found("linear-collection-scan", s, c, m) for c, s, m in tests]))
 
 
-@row_rule("long-function", TRADITIONAL, WARNING, "Functions over many lines.", most=57)
-def long_function(most: int) -> Column:
+@row_rule("long-function", TRADITIONAL, WARNING, "Functions over many lines.", max_lines=57)
+def long_function(max_lines: int) -> Column:
     lines = F.transform(the_sub(), lambda x: x["l"])
     span = F.array_max(lines) - F.array_min(lines) + 1
-    return F.when(call("defn"), found("long-function", WARNING, span > most, text("Function \"", kid(1)["v"], "\" is too long (", span, " lines, at most ", F.lit(most), ").")))
+    return F.when(call("defn"), found("long-function", WARNING, span > max_lines, text("'", kid(1)["v"], "' has ", span, " lines, more than ", F.lit(max_lines), ".")))
 
 
-@row_rule("long-parameter-list", TRADITIONAL, WARNING, "Functions with many parameters.", most=9)
-def long_parameters(most: int) -> Column:
+@row_rule("long-parameter-list", TRADITIONAL, WARNING, "Functions with many parameters.", max_parameters=9)
+def long_parameters(max_parameters: int) -> Column:
     p = F.when(kid(2)["t"] == "Vector", kid(2)).when((kid(2)["t"] == "String") & (kid(3)["t"] == "Vector"), kid(3))
     own = kids_of(p)
     count = F.size(F.filter(own, lambda x: x["v"] != "&")) + F.coalesce(F.aggregate(where(own, lambda x: (x["t"] == "Vector") & (F.get(own, x["k"] - 1)["v"] == "&")), F.lit(0), lambda s, x: s + x["n"] - 1), F.lit(0))
-    return F.when(call("defn"), found("long-parameter-list", WARNING, p.isNotNull() & (count > most), text("Function \"", kid(1)["v"], "\" has too many parameters (", count, ", at most ", F.lit(most), ")."), p))
+    return F.when(call("defn"), found("long-parameter-list", WARNING, p.isNotNull() & (count > max_parameters), text("'", kid(1)["v"], "' takes ", count, " parameters, more than ", F.lit(max_parameters), "."), p))
 
 
-@row_rule("message-chains", TRADITIONAL, WARNING, "Long chains of access.", most=7)
-def message_chains(most: int) -> Column:
+@row_rule("message-chains", TRADITIONAL, WARNING, "Long chains of access.", max_length=7)
+def message_chains(max_length: int) -> Column:
     def deepen(s: Column, x: Column) -> Column:
         up = F.when(x["i"] == 0, F.lit(1)).when((x["k"] == 1) & is_call(x, "get") & (F.get(s, x["p"]) > 0), F.get(s, x["p"]) + 1).otherwise(F.lit(0))
         return F.concat(s, F.array(F.coalesce(up, F.lit(0))))
@@ -295,9 +299,9 @@ def message_chains(most: int) -> Column:
     step = lambda x: (x["t"] == "Keyword") | is_call(x, "get", "get-in", ".")
     steps = F.size(where(kids_from(2), step))
     return F.coalesce(
-        F.when(call("get"), found("message-chains", WARNING, gets >= most, text("Nested `get` of depth ", gets, "."))),
-        F.when(call("get-in"), found("message-chains", WARNING, (F.col("n") == 3) & (kid(2)["t"] == "Vector") & (kid(2)["n"] >= most), text("`get-in` path of ", kid(2)["n"], " keys."))),
-        F.when(call("->", "->>"), found("message-chains", WARNING, steps >= most, text("Chain of ", steps, " accesses in `", the_head(), "`."))),
+        F.when(call("get"), found("message-chains", WARNING, gets >= max_length, text("Nested `get` of depth ", gets, "."))),
+        F.when(call("get-in"), found("message-chains", WARNING, (F.col("n") == 3) & (kid(2)["t"] == "Vector") & (kid(2)["n"] >= max_length), text("`get-in` path of ", kid(2)["n"], " keys."))),
+        F.when(call("->", "->>"), found("message-chains", WARNING, steps >= max_length, text("Chain of ", steps, " accesses in `", the_head(), "`."))),
     )
 
 
@@ -341,14 +345,14 @@ def primitive_obsession(run: int) -> Column:
     return F.when(call("defn", "defn-", "defrecord") & (kid(1)["t"] == "Symbol"), found("primitive-obsession", HINT, (p["t"] == "Vector") & (both | (longest["now"] >= run)), text("'", kid(1)["v"], "' takes primitive parameters one after the other."), where_))
 
 
-@row_rule("shotgun-surgery", TRADITIONAL, WARNING, "Functions that call many namespaces.", spaces=4, calls=6)
-def shotgun_surgery(spaces: int, calls: int) -> Column:
+@row_rule("shotgun-surgery", TRADITIONAL, WARNING, "Functions that call many namespaces.", max_external_dependencies=4, max_namespace_usage=6)
+def shotgun_surgery(max_external_dependencies: int, max_namespace_usage: int) -> Column:
     full = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
     own = F.regexp_replace(F.regexp_replace(F.regexp_extract("path", r"^[^/]*/(.*)$", 1), r"\.clj$", ""), "/", ".")
     named = F.transform(heads_below(lambda h: h.rlike(r"^[^/]*/[^/]*$")), lambda h: F.regexp_extract(h, r"^([^/]*)/", 1))
     outside = F.filter(F.transform(named, lambda s: F.coalesce(F.try_element_at(full, s), s)), lambda s: ~s.isin(*CORE_SPACES) & (s != own))
     kinds = F.size(F.array_distinct(outside))
-    return F.when(is_defn(), found("shotgun-surgery", WARNING, (kinds > spaces) | (F.size(outside) > calls), text("Function '", kid(1)["v"], "' makes ", F.size(outside), " calls to ", kinds, " namespaces.")))
+    return F.when(is_defn(), found("shotgun-surgery", WARNING, (kinds > max_external_dependencies) | (F.size(outside) > max_namespace_usage), text("Function '", kid(1)["v"], "' makes ", F.size(outside), " calls to ", kinds, " namespaces.")))
 
 
 @row_rule("string-map-keys", TRADITIONAL, INFO, "Strings as keys of map literals.")
@@ -380,7 +384,7 @@ def cyclic(nodes: DataFrame) -> DataFrame:
     edges = calls.groupBy("path", "a", "b").agg(F.min(F.struct("line", "col")).alias("at"))
     back = edges.select("path", F.col("b").alias("a"), F.col("a").alias("b"))
     hit = edges.join(back, ["path", "a", "b"], "left_semi").where("a < b")
-    return hit.select(F.lit("cyclic-dependency").alias("rule_id"), text("Cyclic dependency detected between functions: '", F.col("a"), "' and '", F.col("b"), "'.").alias("message"), "path", "at.line", "at.col", F.lit(WARNING).alias("severity"), F.lit(None).cast("string").alias("ast"))
+    return hit.select(F.lit("cyclic-dependency").alias("rule_id"), text("`", F.col("a"), "` and `", F.col("b"), "` call each other.").alias("message"), "path", "at.line", "at.col", F.lit(WARNING).alias("severity"), F.lit(None).cast("string").alias("ast"))
 
 
 def combinations(names: Column, low: int, high: int) -> Column:
@@ -390,15 +394,15 @@ def combinations(names: Column, low: int, high: int) -> Column:
     return F.transform(chosen, lambda m: F.filter(names, lambda x, i: F.expr("true") & (F.call_function("getbit", m, i) == 1)))
 
 
-@table_rule("data-clumps", TRADITIONAL, WARNING, "Parameters that occur together in several functions.", least=3, most=8, size=6, occurrences=2)
-def data_clumps(nodes: DataFrame, least: int, most: int, size: int, occurrences: int) -> DataFrame:
-    """Members of a key share its names, so their similarity always passes; no group is cut off."""
+@table_rule("data-clumps", TRADITIONAL, WARNING, "Parameters that occur together in several functions.", min_clump_size=3, max_parameters_check=8, max_clump_size=6, min_occurrences=2, similarity_threshold=0.7)
+def data_clumps(nodes: DataFrame, min_clump_size: int, max_parameters_check: int, max_clump_size: int, min_occurrences: int, similarity_threshold: float) -> DataFrame:
+    """Members of a key share all its names, so their similarity is 1: a threshold above that reports nothing. No group is cut off."""
     p = parameters()
-    groups = nodes.where(call("defn", "defn-", "defmacro")).select("path", "id", p["l"].alias("line"), p["c"].alias("col"), F.transform(where(kids_of(p), plain_parameter), lambda x: x["v"]).alias("names")).where(F.size("names").between(least, most))
-    keys = groups.select("path", "id", "line", "col", F.explode(F.array_distinct(F.transform(combinations(F.col("names"), least, size), lambda c: F.array_join(F.array_sort(c), ",")))).alias("clump"))
-    often = keys.groupBy("clump").agg(F.count("*").alias("times")).where(F.col("times") >= occurrences)
+    groups = nodes.where(call("defn", "defn-", "defmacro")).select("path", "id", p["l"].alias("line"), p["c"].alias("col"), F.transform(where(kids_of(p), plain_parameter), lambda x: x["v"]).alias("names")).where(F.size("names").between(min_clump_size, max_parameters_check) & F.lit(similarity_threshold <= 1))
+    keys = groups.select("path", "id", "line", "col", F.explode(F.array_distinct(F.transform(combinations(F.col("names"), min_clump_size, max_clump_size), lambda c: F.array_join(F.array_sort(c), ",")))).alias("clump"))
+    often = keys.groupBy("clump").agg(F.count("*").alias("times")).where(F.col("times") >= min_occurrences)
     hit = keys.join(often, "clump")
-    return hit.select(F.lit("data-clumps").alias("rule_id"), text("Data clump detected: parameters [", F.col("clump"), "] appear together in ", F.col("times"), " functions.").alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), F.lit(None).cast("string").alias("ast"))
+    return hit.select(F.lit("data-clumps").alias("rule_id"), text("Parameters ", F.col("clump"), " travel together through ", F.col("times"), " functions.").alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), F.lit(None).cast("string").alias("ast"))
 
 
 CORE = ("map", "filter", "reduce", "apply", "partial", "comp", "let", "when", "if", "cond", "case", "defn", "def", "assoc", "dissoc", "get", "get-in", "update", "update-in", "first", "rest", "last", "count", "empty?", "seq", "+", "-", "*", "/", "=", "<", ">", "<=", ">=", "not=")

@@ -25,7 +25,7 @@ def explicit_recursion() -> Column:
     shape = is_call(tail, "if") & is_call(kid_of(tail, 1), "empty?") & (tail["n"] >= 4) & (other["t"] == "List")
     let_if = is_call(other, "let") & is_call(last_of(other), "if")
     kind = F.when(is_call(other, "if") | let_if, F.lit("filter")).when(is_call(other, "cons"), F.lit("map")).when(is_call(other) & (other["n"] >= 2), F.lit("reduce"))
-    return F.when(call("defn", "defn-") & (F.col("n") >= 3), found("explicit-recursion", INFO, again & shape & kind.isNotNull(), text("Function '", name, "' uses explicit recursion. Consider using `", kind, "`.")))
+    return F.when(call("defn", "defn-") & (F.col("n") >= 3), found("explicit-recursion", INFO, again & shape & kind.isNotNull(), text("`", name, "` calls itself to do what `", kind, "` does.")))
 
 
 def filtering(x: Column) -> Column:
@@ -46,9 +46,9 @@ def inefficient_filtering() -> Column:
     # a first of filter right in a let's bindings is reported by that let
     in_let = (F.col("up_type") == "Vector") & inside("let") & (the_head() == "first") & (F.col("idx") % 2 == 1) & is_call(a, "filter")
     return F.when(is_list() & the_head().isNotNull(), F.coalesce(
-        F.when(call("let") & (a["t"] == "Vector"), found(rule, HINT, F.size(bound) > 0, "Inefficient filtering: `(first (filter ...))` bound in let. Consider `some`.", value)),
-        found(rule, HINT, (wrapped | nested | mapped) & no(in_let), text("Inefficient filtering: `(", the_head(), " (filter ...))`.")),
-        found(rule, HINT, threaded, text("Inefficient filtering: several filters in `", the_head(), "`.")),
+        F.when(call("let") & (a["t"] == "Vector"), found(rule, HINT, F.size(bound) > 0, "Only the first match of a `filter` is bound: `some` stops there.", value)),
+        found(rule, HINT, (wrapped | nested | mapped) & no(in_let), text("`", the_head(), "` over a filtered sequence does work twice.")),
+        found(rule, HINT, threaded, text("Several filters in one `", the_head(), "` could be one.")),
     ))
 
 
@@ -66,12 +66,12 @@ def lazy_side_effects(nodes: DataFrame, lazy_context_funcs: tuple, side_effect_f
     own = F.filter("uses", lambda u: u.isin(*side_effect_funcs))
     through = F.array_intersect("uses", F.coalesce("bad", F.array().cast("array<string>")))
     hit = lazy.join(reaching(defs), "path", "left").withColumn("effect", F.coalesce(F.get(own, F.lit(0)), F.get(F.array_sort(through), F.lit(0)))).where("effect is not null")
-    return hit.select(F.lit("lazy-side-effects").alias("rule_id"), text("Potential side effect '", F.col("effect"), "' inside lazy operation '", the_head(), "'.").alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), "ast")
+    return hit.select(F.lit("lazy-side-effects").alias("rule_id"), text("`", the_head(), "` is lazy, so when `", F.col("effect"), "` happens is left open.").alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), "ast")
 
 
 @row_rule("overabstracted-composition", FUNCTIONAL, HINT, "comp of more than a few functions.", most=3)
 def long_composition(most: int) -> Column:
-    return found("overabstracted-composition", HINT, call("comp") & (F.col("n") - 1 > most), text("The `comp` form at this location is composing ", F.col("n") - 1, " functions, which exceeds the recommended maximum of ", F.lit(most), "."))
+    return found("overabstracted-composition", HINT, call("comp") & (F.col("n") - 1 > most), text("`comp` of ", F.col("n") - 1, " functions, more than ", F.lit(most), "."))
 
 
 @row_rule("overuse-of-high-order-functions", FUNCTIONAL, WARNING, "map of a lambda that applies its argument twice.")
@@ -81,17 +81,17 @@ def apply_twice() -> Column:
     short = F.when(fn["t"] == "FnLiteral", F.lit("%1")).otherwise(param)
     fits = lambda x: (x["t"].isin("List", "FnLiteral")) & (x["h"] == "apply-twice") & (x["n"] >= 3) & kid_of(x, 2)["v"].isin(param, short)
     lambda_ = (fn["t"] == "FnLiteral") | is_call(fn, "fn")
-    return F.when(call("map") & (F.col("n") >= 2), found("overuse-of-high-order-functions", WARNING, lambda_ & some(under(fn), fits), "Overuse of higher-order functions: `map` with `apply-twice`."))
+    return F.when(call("map") & (F.col("n") >= 2), found("overuse-of-high-order-functions", WARNING, lambda_ & some(under(fn), fits), "`map` over a lambda that applies a function twice."))
 
 
 @row_rule("inefficient-generator", FUNCTIONAL, HINT, "gen/such-that, whose predicate may rarely hold.")
 def such_that() -> Column:
-    return found("inefficient-generator", HINT, call("gen/such-that") & (F.col("n") >= 3), "`gen/such-that` may be inefficient if its predicate rarely holds.")
+    return found("inefficient-generator", HINT, call("gen/such-that") & (F.col("n") >= 3), "`gen/such-that` throws away every value its predicate turns down.")
 
 
 @row_rule("premature-optimization", FUNCTIONAL, WARNING, "Generic retry logic.")
 def with_retry() -> Column:
-    return found("premature-optimization", WARNING, call("with-retry"), "Generic retry logic with `with-retry` may be premature optimization.")
+    return found("premature-optimization", WARNING, call("with-retry"), "`with-retry` around a call: is it known to fail?")
 
 
 @row_rule("trivial-lambda", FUNCTIONAL, INFO, "Lambdas that pass their arguments on as they are.")
@@ -108,9 +108,9 @@ def trivial_lambda() -> Column:
     wanted = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.concat(F.lit("%"), i.cast("string")))
     as_literal = (F.col("type") == "FnLiteral") & the_head().isNotNull() & ((count == 0) | ((count == 1) & own[0].isin("%", "%1")) | ((count > 1) & (own == wanted)))
     called = F.when(F.col("type") == "FnLiteral", the_head()).otherwise(form["h"])
-    return F.when(F.col("type").isin("List", "FnLiteral"), found("trivial-lambda", INFO, any_of(as_fn, as_literal), text("Trivial lambda: can be replaced by `", called, "`.")))
+    return F.when(F.col("type").isin("List", "FnLiteral"), found("trivial-lambda", INFO, any_of(as_fn, as_literal), text("The lambda only passes its arguments on: `", called, "` does.")))
 
 
 @row_rule("underutilizing-features: use-mapcat", FUNCTIONAL, HINT, "apply concat over map.")
 def use_mapcat() -> Column:
-    return found("underutilizing-features: use-mapcat", HINT, call("apply") & (F.col("n") == 3) & is_symbol(kid(1), "concat") & is_call(kid(2), "map"), "`(apply concat (map ...))` can be replaced by `(mapcat ...)`.")
+    return found("underutilizing-features: use-mapcat", HINT, call("apply") & (F.col("n") == 3) & is_symbol(kid(1), "concat") & is_call(kid(2), "map"), "`mapcat` joins `map` and `apply concat`.")

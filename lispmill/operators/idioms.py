@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lispmill.functions.dsl import (
-    the_head, is_list, the_kids, the_path, the_sub, all_of, any_of, call, first, found, inside, is_call, is_number, is_symbol, kid, kid_of, kids_from, kids_of, last_of, local, no, pairs_of, parameters, plain_parameter, reaching, some, space, text, under, where, yes,
+    the_head, is_list, the_kids, the_path, the_sub, all_of, any_of, call, first, FINDING, found, inside, is_call, is_number, is_symbol, kid, kid_of, kids_from, kids_of, last_of, local, no, pairs_of, parameters, plain_parameter, reaching, some, space, text, under, where, yes,
 )
-from lispmill.operators.registry import CLOJURE, HINT, INFO, WARNING, row_rule, table_rule
+from lispmill.operators.registry import CLOJURE, HINT, INFO, WARNING, reads_deeply, row_rule, table_rule
 
 # Names that the rules must know.
 BLOCKING = ("Thread/sleep", "slurp", "spit", "await", "deref", "future-call", "locking", "@", ".readLine", ".acquire", "java.net.Socket.")
@@ -42,6 +42,8 @@ DOMAINS = {
 }
 RT_ADVICE = {"iter": "seq", "get": "get", "assoc": "assoc", "conj": "conj", "count": "count", "nth": "nth", "first": "first", "rest": "rest", "seq": "seq", "cons": "cons", "empty": "empty", "meta": "meta", "with-meta": "with-meta", "print": "print", "load": "require", "var": "var", "deref": "deref"}
 
+reads_deeply(*TRACKED, *CANDIDATES)
+
 
 def goes(name: Column) -> Column:
     return name.isin("go", "go-loop") | name.endswith("/go") | name.endswith("/go-loop")
@@ -75,14 +77,14 @@ def blocking_inside_go(nodes: DataFrame) -> DataFrame:
     defs = nodes.where(call("defn", "defn-", "def") & (F.col("depth") == 0)).select("path", kid(1)["v"].alias("name"), (F.size(block) > 0).alias("bad"), F.array_distinct(used).alias("uses"))
     gos = nodes.where(is_list() & goes(the_head())).select("path", "line", "col", "ast", "head", (F.size(block) > 0).alias("own"), F.array_distinct(used).alias("uses"))
     hit = gos.join(reaching(defs), "path", "left").where(F.col("own") | F.coalesce(F.arrays_overlap("uses", "bad"), F.lit(False)))
-    return hit.select(F.lit("blocking-inside-go").alias("rule_id"), text("Blocking function detected within the GO block ", the_head(), ".").alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), "ast")
+    return hit.select(F.lit("blocking-inside-go").alias("rule_id"), text("`", the_head(), "` parks its thread on a blocking call, here or in a function it uses.").alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), "ast")
 
 
 @row_rule("case-with-non-literal-test-values", CLOJURE, WARNING, "case tests that are symbols or hold symbols.")
 def case_tests() -> Column:
     plain = lambda x: is_symbol(x) & ~x["v"].isin("true", "false", "nil")
     tests = where(the_kids(), lambda x: (x["k"] >= 2) & (x["k"] % 2 == 0) & (x["k"] < F.col("n") - 1) & (plain(x) | ((x["t"] == "List") & some(under(x), plain))))
-    return found("case-with-non-literal-test-values", WARNING, call("case") & (F.size(tests) > 0), text("`case` does not evaluate its tests; `", first(tests)["v"], "` is a non-literal."), first(tests))
+    return found("case-with-non-literal-test-values", WARNING, call("case") & (F.size(tests) > 0), text("Test `", first(tests)["v"], "` is compared as a symbol: `case` takes constants."), first(tests))
 
 
 def runs_of(pairs: Column, begins, goes_on) -> Column:
@@ -109,17 +111,17 @@ def conditional_build_up() -> Column:
     run = runs_of(
         pairs,
         lambda p: is_symbol(p["name"]) & no(mentions(p["value"], p["name"]["v"])),
-        lambda b, p: (b["name"]["v"] == p["name"]["v"]) & is_call(p["value"], "if") & (p["value"]["n"] == 4) & mentions(kid_of(p["value"], 2), p["name"]["v"]) & (kid_of(p["value"], 3)["v"] == p["name"]["v"]) & (kid_of(p["value"], 3)["t"] == "Symbol"),
+        lambda b, p: (b["name"]["v"] == p["name"]["v"]) & is_call(p["value"], "if", "clojure.core/if", "cljs.core/if") & (p["value"]["n"] == 4) & mentions(kid_of(p["value"], 2), p["name"]["v"]) & (kid_of(p["value"], 3)["v"] == p["name"]["v"]) & (kid_of(p["value"], 3)["t"] == "Symbol"),
     )
     lets = call("let", "clojure.core/let", "cljs.core/let") & (kid(1)["t"] == "Vector") & (kid(1)["n"] >= 6)
-    return F.when(lets, found("conditional-build-up", HINT, run["best"] >= 3, text("Same symbol '", run["name"], "' is rebound with ", run["best"] - 1, " successive conditional updates. Prefer `cond->`.")))
+    return F.when(lets, found("conditional-build-up", HINT, run["best"] >= 3, text("`", run["name"], "` grows over ", run["best"] - 1, " conditional bindings in a row; one `cond->` says it.")))
 
 
 @row_rule("direct-use-of-clojure-lang-rt", CLOJURE, WARNING, "Calls of the runtime's internal class.", allowed_functions=())
 def runtime_calls(allowed_functions: tuple) -> Column:
     name = F.regexp_extract(the_head(), r"^(?:clojure\.lang\.)?RT/(.*)$", 1)
     advice = F.create_map(*[F.lit(x) for kv in RT_ADVICE.items() for x in kv])
-    return found("direct-use-of-clojure-lang-rt", WARNING, is_list() & the_head().rlike(r"^(clojure\.lang\.)?RT/") & ~name.isin(*allowed_functions, ""), text("Direct usage of clojure.lang.RT detected: '", the_head(), "'. Use `", F.coalesce(F.try_element_at(advice, name), F.lit("the core library")), "`."))
+    return found("direct-use-of-clojure-lang-rt", WARNING, is_list() & the_head().rlike(r"^(clojure\.lang\.)?RT/") & ~name.isin(*allowed_functions, ""), text("`", the_head(), "` reaches into the runtime class; the public way is `", F.coalesce(F.try_element_at(advice, name), F.lit("a core function")), "`."))
 
 
 def earmuffed(x: Column) -> Column:
@@ -133,19 +135,19 @@ def resource_named(x: Column) -> Column:
 @row_rule("dynamically-scoped-singleton-resource", CLOJURE, WARNING, "Dynamic variables passed to functions of heavy resources.")
 def dynamic_resource() -> Column:
     args = where(kids_from(1), earmuffed)
-    return found("dynamically-scoped-singleton-resource", WARNING, call(*HEAVY) & (F.size(args) > 0), text("Passing dynamic variable `", first(args)["v"], "` to heavy resource function `", the_head(), "`."), first(args))
+    return found("dynamically-scoped-singleton-resource", WARNING, call(*HEAVY) & (F.size(args) > 0), text("`", the_head(), "` takes its resource from the dynamic `", first(args)["v"], "`; hand it over as an argument."), first(args))
 
 
-@row_rule("excessive-refers", CLOJURE, WARNING, "Namespaces that refer everything, or more than a few names.", most=6)
-def excessive_refers(most: int) -> Column:
+@row_rule("excessive-refers", CLOJURE, WARNING, "Namespaces that refer everything, or more than a few names.", max_explicit_refers=6)
+def excessive_refers(max_explicit_refers: int) -> Column:
     keys = where(the_sub(), lambda x: (x["t"] == "Keyword") & x["v"].contains("refer"))
     after = lambda x: first(F.filter(the_sub(), lambda y: (y["p"] == x["p"]) & (y["k"] == x["k"] + 1)))
     whole = some(keys, lambda x: (after(x)["t"] == "Keyword") & (after(x)["v"] == ":all"))
     widest = F.array_max(F.transform(where(keys, lambda x: after(x)["t"] == "Vector"), lambda x: after(x)["n"]))
     name = kid(1)["v"]
     return F.when(the_head() == "ns", F.coalesce(
-        found("excessive-refers", WARNING, whole, text("Usage of `:refer :all` found in the ", name, " namespace.")),
-        found("excessive-refers", WARNING, widest > most, text("The excessive number of explicit references (", widest, ") in the ", name, " namespace.")),
+        found("excessive-refers", WARNING, whole, text("`", name, "` refers every name of another namespace.")),
+        found("excessive-refers", WARNING, widest > max_explicit_refers, text("`", name, "` refers ", widest, " names of one namespace; an alias is clearer.")),
     ))
 
 
@@ -154,12 +156,12 @@ def immutability() -> Column:
     local_scope = any_of(F.col("in_function"), F.col("in_let"), F.col("in_loop"), F.col("in_binding"))
     sent = some(under(kid(2)), lambda x: is_call(x, *SIDE_EFFECTS))
     message = (
-        F.when(the_head().isin("def", "defonce") & local_scope, text("Found `", the_head(), "` inside a local scope."))
-        .when((the_head() == "ref-set") & ~inside("dosync"), F.lit("Found `ref-set` outside of `dosync`."))
-        .when(the_head().startswith("aset"), text("Found array mutation function call: `", the_head(), "`."))
-        .when(the_head().isin(*JAVA_MUTATORS), text("Found Java mutating method call: `", the_head(), "`."))
-        .when(the_head().isin(*MUTATORS), text("Found state mutation function call: `", the_head(), "`."))
-        .when(the_head().isin("send", "send-off") & (F.col("n") >= 3) & sent, F.lit("Found side effects in function passed to agent."))
+        F.when(the_head().isin("def", "defonce") & local_scope, text("`", the_head(), "` below the top level redefines a global."))
+        .when((the_head() == "ref-set") & ~inside("dosync"), F.lit("`ref-set` needs a `dosync` around it."))
+        .when(the_head().startswith("aset"), text("`", the_head(), "` writes to an array in place."))
+        .when(the_head().isin(*JAVA_MUTATORS), text("`", the_head(), "` changes a Java object in place."))
+        .when(the_head().isin(*MUTATORS), text("`", the_head(), "` changes state behind the reader's back."))
+        .when(the_head().isin("send", "send-off") & (F.col("n") >= 3) & sent, F.lit("An agent's action has effects beyond the agent."))
     )
     return F.when(is_list() & the_head().isNotNull() & ~the_path().endswith("user.clj") & ~the_path().contains("/dev/"), found("immutability-violation", WARNING, message.isNotNull(), message))
 
@@ -178,9 +180,9 @@ def implicit_dependencies() -> Column:
     clause = is_list() & (key["t"] == "Keyword") & ~the_path().endswith("project.clj")
     shown = F.array_join(F.transform(quoted, lambda x: F.coalesce(first(where(under(x), is_symbol))["v"], F.lit(""))), ", ")
     return F.coalesce(
-        F.when(clause & (key["v"] == ":use"), found("implicit-namespace-dependencies", WARNING, F.size(specs) > 0, text("Implicit namespace dependency: :use directive imports all public symbols from [", used, "]."))),
-        F.when(clause & (key["v"] == ":require"), found("implicit-namespace-dependencies", WARNING, F.size(all_refer) > 0, text("Implicit namespace dependency: :refer :all in :require for [", names, "]."))),
-        F.when(call("use") & ~the_path().endswith("project.clj"), found("implicit-namespace-dependencies", WARNING, F.size(quoted) > 0, text("Implicit namespace dependency: standalone (use '", shown, ") imports all public symbols."))),
+        F.when(clause & (key["v"] == ":use"), found("implicit-namespace-dependencies", WARNING, F.size(specs) > 0, text("`:use` without `:only` takes in all of ", used, "."))),
+        F.when(clause & (key["v"] == ":require"), found("implicit-namespace-dependencies", WARNING, F.size(all_refer) > 0, text("`:refer :all` takes in all of ", names, "."))),
+        F.when(call("use") & ~the_path().endswith("project.clj"), found("implicit-namespace-dependencies", WARNING, F.size(quoted) > 0, text("A bare `use` takes in all of ", shown, "."))),
     )
 
 
@@ -191,12 +193,12 @@ def emptiness() -> Column:
     left = counted(a) & ((is_number(b, "0") & the_head().isin("=", "==", "not=", ">")) | (is_number(b, "1") & (the_head() == ">=")))
     right = counted(b) & ((is_number(a, "0") & the_head().isin("=", "==", "not=", "<")) | (is_number(a, "1") & (the_head() == "<=")))
     empty = the_head().isin("=", "==")
-    advice = F.when(empty, F.lit("(empty? coll)")).otherwise(F.lit("(seq coll)"))
+    advice = F.when(empty, F.lit("(empty? xs)")).otherwise(F.lit("(seq xs)"))
     calls = F.col("type").isin("List", "FnLiteral")
     return F.when(calls & the_head().isNotNull(), F.coalesce(
-        found("improper-emptiness-check", HINT, the_head().isin("not", "when-not", "if-not") & is_call(a, "empty?"), text("Improper emptiness check: `(", the_head(), " (empty? coll))`. Consider using `(seq coll)`.")),
-        found("improper-emptiness-check", HINT, the_head().isin("zero?", "pos?") & is_call(a, "count"), text("Improper emptiness check: `(", the_head(), " (count coll))`.")),
-        found("improper-emptiness-check", HINT, (F.col("n") == 3) & (left | right), text("Improper emptiness check: using `", the_head(), "` with `count`. Consider using `", advice, "`.")),
+        found("improper-emptiness-check", HINT, the_head().isin("not", "when-not", "if-not") & is_call(a, "empty?"), text("`", the_head(), "` of `empty?`: `(seq xs)` asks the same.")),
+        found("improper-emptiness-check", HINT, the_head().isin("zero?", "pos?") & is_call(a, "count"), text("`", the_head(), "` of a count walks the whole collection to see if it is empty.")),
+        found("improper-emptiness-check", HINT, (F.col("n") == 3) & (left | right), text("`", the_head(), "` on a `count` asks for emptiness: `", advice, "` does without counting.")),
     ))
 
 
@@ -206,14 +208,14 @@ def nil_values() -> Column:
     skip = F.when((F.col("n") - 1) % 2 == 1, 2).otherwise(1)
     in_assoc = where(the_kids(), lambda x: (x["k"] >= skip) & ((x["k"] - skip) % 2 == 1) & (x["t"] == "Nil"))
     return F.coalesce(
-        F.when(F.col("type") == "Map", found("map-with-nil-values", WARNING, F.size(in_map) > 0, "Explicit 'nil' value associated with a key in a map literal.", first(in_map))),
-        F.when(call("assoc", "clojure.core/assoc"), found("map-with-nil-values", WARNING, F.size(in_assoc) > 0, "Explicit 'nil' value associated with a key using 'assoc'.", first(in_assoc))),
+        F.when(F.col("type") == "Map", found("map-with-nil-values", WARNING, F.size(in_map) > 0, "The map spells out a nil for this key.", first(in_map))),
+        F.when(call("assoc", "clojure.core/assoc"), found("map-with-nil-values", WARNING, F.size(in_assoc) > 0, "`assoc` puts a literal nil under a key.", first(in_assoc))),
     )
 
 
 @row_rule("marker-protocol", CLOJURE, INFO, "Protocols without methods.")
 def marker_protocol() -> Column:
-    return found("marker-protocol", INFO, call("defprotocol") & (F.col("n") >= 2) & no(some(kids_from(2), lambda x: is_call(x))), text("Marker protocol: `(defprotocol ", kid(1)["v"], ")` has no methods."))
+    return found("marker-protocol", INFO, call("defprotocol") & (F.col("n") >= 2) & no(some(kids_from(2), lambda x: is_call(x))), text("Protocol `", kid(1)["v"], "` declares nothing to implement."))
 
 
 def sentinel(x: Column) -> Column:
@@ -230,10 +232,10 @@ def sentinels() -> Column:
     puts = the_head().isin("put!", ">!", ">!!") | the_head().endswith("/put!") | the_head().endswith("/>!") | the_head().endswith("/>!!")
     rule = "misuse-of-channel-closing-semantics"
     return F.when(is_list(), F.coalesce(
-        found(rule, WARNING, (first(the_kids())["t"] == "Keyword") & in_go & sentinel(first(the_kids())), text("Checking sentinel ", first(the_kids())["v"], ": prefer closing channels and checking for nil.")),
-        F.when(puts & (F.col("n") >= 3), found(rule, WARNING, F.size(marked) > 0, text("Sentinel value ", first(marked)["v"], " in ", the_head(), ": prefer (close! ch)."))),
-        F.when(the_head().isin("=", "not=") & in_go, found(rule, WARNING, (F.size(any_marked) > 0) | minus, text("Comparison with sentinel ", F.coalesce(first(any_marked)["v"], F.lit("-1")), ": prefer (close! ch)."))),
-        F.when(the_head().isin("contains?", "get") & in_go & (F.col("n") >= 3), found(rule, WARNING, F.size(marked) > 0, text("Checking sentinel key ", first(marked)["v"], "."))),
+        found(rule, WARNING, (first(the_kids())["t"] == "Keyword") & in_go & sentinel(first(the_kids())), text("`", first(the_kids())["v"], "` asks for an end mark; a closed channel yields nil by itself.")),
+        F.when(puts & (F.col("n") >= 3), found(rule, WARNING, F.size(marked) > 0, text("`", the_head(), "` sends the end mark ", first(marked)["v"], " where `close!` would do."))),
+        F.when(the_head().isin("=", "not=") & in_go, found(rule, WARNING, (F.size(any_marked) > 0) | minus, text("Compared with the end mark ", F.coalesce(first(any_marked)["v"], F.lit("-1")), "; `close!` needs none."))),
+        F.when(the_head().isin("contains?", "get") & in_go & (F.col("n") >= 3), found(rule, WARNING, F.size(marked) > 0, text("Looks for the end mark ", first(marked)["v"], " in a message."))),
     ))
 
 
@@ -242,8 +244,8 @@ def dynamic_scope() -> Column:
     name = first(where(kids_from(1), is_symbol))
     bound = where(kids_of(kid(1)), lambda x: (x["k"] % 2 == 0) & is_symbol(x) & ~x["v"].isin(*DYNAMIC_ALLOWED) & ~resource_named(x))
     return F.coalesce(
-        F.when(call("def"), found("misuse-of-dynamic-scope", WARNING, earmuffed(name) & ~resource_named(name), text("Defining custom dynamic variable `", name["v"], "`."), name)),
-        F.when(call("binding") & (kid(1)["t"] == "Vector"), found("misuse-of-dynamic-scope", WARNING, F.size(bound) > 0, text("Binding custom dynamic variable `", first(bound)["v"], "`."), first(bound))),
+        F.when(call("def"), found("misuse-of-dynamic-scope", WARNING, earmuffed(name) & ~resource_named(name), text("`", name["v"], "` is a dynamic variable of our own."), name)),
+        F.when(call("binding") & (kid(1)["t"] == "Vector"), found("misuse-of-dynamic-scope", WARNING, F.size(bound) > 0, text("`binding` rebinds `", first(bound)["v"], "` for all that it calls."), first(bound))),
     )
 
 
@@ -261,13 +263,13 @@ def misused_threading(domains: int) -> Column:
         return out.when(name.rlike(r"clojure\.string|^(str|string)/"), F.lit("STRING")).when(name.rlike(r"java\.io|^io/|http|json|edn"), F.lit("IO"))
 
     kinds = F.size(F.array_distinct(F.filter(F.transform(steps, domain), lambda x: x.isNotNull())))
-    why = F.when(lambdas, F.lit(" Using anonymous functions `#()` inside threading macros forces position.")).otherwise(text(" The pipeline heavily mixes domains (found: ", kinds, ")."))
-    return F.when(call("->", "->>", "some->", "some->>") & (F.col("n") >= 3), found("misused-threading", WARNING, lambdas | (kinds >= domains), text("Misused threading macro `", the_head(), "`.", why)))
+    why = F.when(lambdas, F.lit(" has a lambda as a step, to move the threaded value.")).otherwise(text(" runs through values of ", kinds, " kinds."))
+    return F.when(call("->", "->>", "some->", "some->>") & (F.col("n") >= 3), found("misused-threading", WARNING, lambdas | (kinds >= domains), text("`", the_head(), "`", why)))
 
 
 @row_rule("monolithic-namespace-split", CLOJURE, WARNING, "load and in-ns that split a namespace over files.")
 def split_namespace() -> Column:
-    return found("monolithic-namespace-split", WARNING, is_list() & local(the_head()).isin("load", "in-ns") & no((F.col("up_type") == "List") & (F.col("up_head") == "comment")), text("Monolithic namespace split: `", the_head(), "` used."))
+    return found("monolithic-namespace-split", WARNING, is_list() & local(the_head()).isin("load", "in-ns") & no((F.col("up_type") == "List") & (F.col("up_head") == "comment")), text("`", the_head(), "` spreads one namespace over several files."))
 
 
 @row_rule("multiple-evaluation-in-macros", CLOJURE, WARNING, "Macro parameters evaluated more than once.")
@@ -280,7 +282,7 @@ def multiple_evaluation() -> Column:
     many = F.flatten(F.transform(arities, lambda a: repeated(kids_of(kid_of(a, 0)), F.filter(under(a), lambda x: x["i"] >= kid_of(a, 0)["i"] + kid_of(a, 0)["z"]))))
     hits = F.when(single.isNotNull(), one).otherwise(many)
     names = F.array_join(F.array_sort(F.transform(hits, lambda x: x["v"])), " ")
-    return F.when(call("defmacro"), found("multiple-evaluation-in-macros", WARNING, F.size(hits) > 0, text("The macro ", kid(1)["v"], " presents multiple calls to the input arguments [", names, "].")))
+    return F.when(call("defmacro"), found("multiple-evaluation-in-macros", WARNING, F.size(hits) > 0, text("Macro `", kid(1)["v"], "` may evaluate ", names, " more than once.")))
 
 
 @table_rule("namespace-load-side-effects", CLOJURE, WARNING, "Dependencies loaded in functions or behind definitions.")
@@ -292,7 +294,7 @@ def load_side_effects(nodes: DataFrame) -> DataFrame:
     around = inside("defn", "defn-", "fn", "letfn")
     in_function = around & (the_head() != "requiring-resolve")
     later = ~around & ((F.col("spaces") > 1) | (F.col("defs") > 0))
-    message = F.when(in_function, text("Side effect: '", the_head(), "' called inside a function body.")).otherwise(text("Namespace load side effect: '", the_head(), "' appears after definitions in the file."))
+    message = F.when(in_function, text("`", the_head(), "` runs each time the function does.")).otherwise(text("`", the_head(), "` stands behind definitions, so loading depends on their order."))
     skip = F.lower(the_path()).rlike(r"project\.clj$|deps\.edn$|/support/|/scripts/|/dev/|/build/|/repl/|_test\.clj$")
     hits = seen.where(the_head().isin(*loads) & ~inside("ns", "comment") & ~skip & (in_function | later))
     return hits.select(F.lit("namespace-load-side-effects").alias("rule_id"), message.alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), "ast")
@@ -305,15 +307,15 @@ def nested_atoms() -> Column:
     names = F.transform(where(pairs_of(kid(1)), lambda p: is_symbol(p["name"]) & makes(under(p["value"]))), lambda p: p["name"]["v"])
     moved = some(F.filter(the_sub(), lambda x: x["i"] >= kid(1)["i"] + kid(1)["z"]), lambda x: is_call(x, *UPDATES) & some(F.filter(under(x), lambda y: (y["i"] > x["i"] + 2)), lambda y: is_symbol(y) & F.array_contains(names, y["v"])))
     return F.coalesce(
-        F.when(call(*REFERENCES), found("nested-atoms", WARNING, makes(below), "Found nested Atom/Ref/Volatile/Agent inside a stateful reference.")),
-        F.when(call(*UPDATES), found("nested-atoms", WARNING, makes(below), "Found stateful reference creation inside a state update function.")),
-        F.when(call("let") & (kid(1)["t"] == "Vector"), found("nested-atoms", WARNING, (F.size(names) > 0) & moved, "Found stateful reference created in let binding being inserted into another stateful reference.")),
+        F.when(call(*REFERENCES), found("nested-atoms", WARNING, makes(below), "A reference holds another reference.")),
+        F.when(call(*UPDATES), found("nested-atoms", WARNING, makes(below), "A state update makes a new reference.")),
+        F.when(call("let") & (kid(1)["t"] == "Vector"), found("nested-atoms", WARNING, (F.size(names) > 0) & moved, "A reference made in this `let` is put into another one.")),
     )
 
 
-@row_rule("nested-forms", CLOJURE, WARNING, "Chains of nested binding, iteration and conditional forms.")
-def nested_forms() -> Column:
-    tracked = lambda x: is_call(x, *TRACKED)
+@row_rule("nested-forms", CLOJURE, WARNING, "Chains of nested binding, iteration and conditional forms.", max_consecutive_same_forms=3, max_conditional_depth=4, tracked_forms=TRACKED)
+def nested_forms(max_consecutive_same_forms: int, max_conditional_depth: int, tracked_forms: tuple) -> Column:
+    tracked = lambda x: is_call(x, *tracked_forms)
 
     def step(s: Column, x: Column) -> Column:
         # the chain goes to the first tracked form right below its end, or below a `do` there
@@ -327,8 +329,8 @@ def nested_forms() -> Column:
     begin = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("do"), F.array(the_head()).alias("forms"))
     forms = F.aggregate(F.filter(the_sub(), lambda x: x["i"] > 0), begin, step)["forms"]
     n = lambda *names: F.size(F.filter(forms, lambda f: f.isin(*names)))
-    bad = (n("let") >= 3) | (n("doseq") >= 2) | (n("for") >= 2) | (n(*CONDITIONALS) >= 4) | (n("when-let") >= 2) | (n("if-let") >= 2)
-    return F.when(call(*TRACKED), found("nested-forms", WARNING, (F.size(forms) >= 2) & bad, text("Excessive nesting detected (depth: ", F.size(forms), ", forms: ", F.array_join(forms, " → "), ").")))
+    bad = (n("let") >= max_consecutive_same_forms) | (n("doseq") >= 2) | (n("for") >= 2) | (n(*CONDITIONALS) >= max_conditional_depth) | (n("when-let") >= 2) | (n("if-let") >= 2)
+    return F.when(call(*tracked_forms), found("nested-forms", WARNING, (F.size(forms) >= 2) & bad, text(F.size(forms), " forms one inside the other: ", F.array_join(forms, " > "), ".")))
 
 
 @row_rule("non-idiomatic-parameter-binding", CLOJURE, INFO, "Optional parameters by & and a vector.")
@@ -336,7 +338,7 @@ def optional_by_vector() -> Column:
     other = first(F.filter(the_kids(), lambda x: (x["k"] >= 2) & ~x["t"].isin("String", "Map")))
     own = kids_of(other)
     rest = where(own, lambda x: (x["t"] == "Vector") & (F.get(own, x["k"] - 1)["v"] == "&") & some(kids_of(x), is_symbol))
-    return F.when(call("defn", "defn-", "fn"), found("non-idiomatic-parameter-binding", INFO, (other["t"] == "Vector") & (F.size(rest) > 0), text("Non-idiomatic parameter binding: function ", kid(1)["v"], " uses `& [", first(kids_of(first(rest)))["v"], "]` for optional params.")))
+    return F.when(call("defn", "defn-", "fn"), found("non-idiomatic-parameter-binding", INFO, (other["t"] == "Vector") & (F.size(rest) > 0), text("`", kid(1)["v"], "` takes apart its rest arguments for the optional `", first(kids_of(first(rest)))["v"], "`; arities or a map say it better.")))
 
 
 @table_rule("non-idiomatic-record-construction", CLOJURE, WARNING, "Positional constructors of records of the file.")
@@ -344,25 +346,26 @@ def record_construction(nodes: DataFrame) -> DataFrame:
     records = nodes.where(call("defrecord")).groupBy("path", kid(1)["v"].alias("record")).agg(F.min("id").alias("def_id"))
     uses = nodes.where(is_list() & the_head().rlike(r"^->.|^[^.].*\.$")).select("path", "id", "line", "col", "ast", F.regexp_replace(the_head(), r"^->|\.$", "").alias("record"))
     hits = uses.join(records, ["path", "record"]).where("def_id < id")
-    return hits.select(F.lit("non-idiomatic-record-construction").alias("rule_id"), text("Using a positional constructor to instantiate the defrecord instead of map->", F.col("record")).alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), "ast")
+    return hits.select(F.lit("non-idiomatic-record-construction").alias("rule_id"), text("Built by position; `map->", F.col("record"), "` names the fields.").alias("message"), "path", "line", "col", F.lit(WARNING).alias("severity"), "ast")
 
 
 @row_rule("private-multimethods", CLOJURE, WARNING, "Multimethods in private contexts.")
 def private_multimethods() -> Column:
     private = lambda x: ((x["t"] == "Keyword") & (x["v"] == ":private")) | ((x["t"] == "Map") & some(kids_of(x), lambda y: y["v"] == ":private"))
     multi = call("defmulti", "defmethod") | some(F.filter(the_sub(), lambda x: x["i"] > 0), lambda x: is_call(x, "defmulti", "defmethod"))
-    return F.when(is_list() & the_head().isNotNull() & (F.col("n") >= 2), found("private-multimethods", WARNING, multi & (the_head().isin("defn-", "letfn") | some(the_kids(), private)), "Private multimethod detected: defmulti or defmethod declared in a private context."))
+    return F.when(is_list() & the_head().isNotNull() & (F.col("n") >= 2), found("private-multimethods", WARNING, multi & (the_head().isin("defn-", "letfn") | some(the_kids(), private)), "A multimethod that others cannot extend: it is declared private."))
 
 
-@row_rule("production-doall", CLOJURE, WARNING, "doall outside tests and development code.")
-def production_doall() -> Column:
-    skip = the_path().rlike(r"project\.clj$|deps\.edn$|[_-]test\.clj$|/int-test/|/dev/|repl|user|scratch")
+@row_rule("production-doall", CLOJURE, WARNING, "doall outside tests and development code.", allow_in_tests=True, allow_in_dev_code=True, allow_in_repl=True)
+def production_doall(allow_in_tests: bool, allow_in_dev_code: bool, allow_in_repl: bool) -> Column:
+    places = ((True, r"project\.clj$|deps\.edn$"), (allow_in_tests, r"[_-]test\.clj$|/int-test/"), (allow_in_dev_code, r"/dev/|user\.clj$"), (allow_in_repl, "repl|user|scratch"))
+    skip = the_path().rlike("|".join(p for on, p in places if on))
     arg = kid(1)["h"]
     why = (
         F.when(F.col("up_head").isin("defn", "defn-"), F.lit(" in function definition")).when(F.col("up_head").isin("let", "when", "if", "do"), text(" in ", F.col("up_head"), " form"))
         .when(F.col("up_head").isin("map", "mapcat", "filter"), text(" in ", F.col("up_head"), " operation")).when(arg.isin("map", "filter", "mapcat", "remove", "keep"), text(" on ", arg, " result")).otherwise(F.lit(""))
     )
-    return found("production-doall", WARNING, call("doall") & ~skip, text("Usage of 'doall' detected in production code", why, "."))
+    return found("production-doall", WARNING, call("doall") & ~skip, text("`doall` holds a whole sequence in memory", why, "."))
 
 
 @row_rule("redundant-do-block", CLOJURE, INFO, "do where the form around it has a body already.")
@@ -379,8 +382,8 @@ def redundant_do() -> Column:
     chained = (up == "doto") & (k >= 2)
     spliced = some(the_kids(), lambda x: x["t"] == "UnquoteSplice")
     message = (
-        F.when(chained, F.lit("Invalid `do` block within `doto`.")).when(threaded, text("Redundant `do` block found within threading macro `", up, "`.")).when(F.col("n") == 1, text("Redundant empty `do` block found within `", up, "`."))
-        .when(F.col("n") == 2, text("Redundant `do` block with a single expression found within `", up, "`.")).otherwise(text("Redundant `do` block found. The surrounding `", up, "` form has a body."))
+        F.when(chained, F.lit("`doto` hands its value to `do`, which drops it.")).when(threaded, text("`", up, "` needs no `do` as a step.")).when(F.col("n") == 1, text("An empty `do` in `", up, "`."))
+        .when(F.col("n") == 2, text("A `do` around one form in `", up, "`.")).otherwise(text("`", up, "` has a body already, so its `do` adds nothing."))
     )
     return F.when(call("do") & (F.col("up_type") == "List"), found("redundant-do-block", INFO, (((threaded & (k >= 1)) | chained) | (in_body & no(spliced))), message))
 
@@ -389,11 +392,11 @@ def redundant_do() -> Column:
 def single_segment() -> Column:
     name = kid(1)["v"]
     skip = F.lower(the_path()).rlike(r"/test/|/scripts/|/dev/|/build/|/support/|project\.clj")
-    return F.when(call("ns") & (kid(1)["t"] == "Symbol"), found("single-segment-namespace", WARNING, ~name.contains(".") & ~name.isin(*SAFE_NAMESPACES) & ~skip, text("Single-segment namespace '", name, "' detected.")))
+    return F.when(call("ns") & (kid(1)["t"] == "Symbol"), found("single-segment-namespace", WARNING, ~name.contains(".") & ~name.isin(*SAFE_NAMESPACES) & ~skip, text("Namespace `", name, "` has no dot in its name.")))
 
 
-@row_rule("thread-ignorance", CLOJURE, HINT, "Nested calls and let chains that threading would flatten.", links=4, depth=5)
-def thread_ignorance(links: int, depth: int) -> Column:
+@row_rule("thread-ignorance", CLOJURE, HINT, "Nested calls and let chains that threading would flatten.", min_let_chain=4, min_nesting_depth=5)
+def thread_ignorance(min_let_chain: int, min_nesting_depth: int) -> Column:
     pairs = pairs_of(kid(1))
     uses = lambda b: F.size(where(the_sub(), lambda y: is_symbol(y) & (y["v"] == b["name"]["v"])))
     chain = runs_of(pairs, lambda p: is_symbol(p["name"]), lambda b, p: (p["value"]["t"] == "List") & some(kids_of(p["value"]), lambda y: is_symbol(y) & (y["v"] == b["name"]["v"])) & (uses(b) == 2))["best"]
@@ -406,29 +409,31 @@ def thread_ignorance(links: int, depth: int) -> Column:
 
     nested = F.array_max(F.aggregate(the_sub(), F.array().cast("array<int>"), deepen))
     return F.coalesce(
-        F.when(call("let") & (kid(1)["t"] == "Vector") & (kid(1)["n"] >= 2 * links), found("thread-ignorance", HINT, chain >= links + 1, text("Data flow chaining detected in let bindings (", chain, " sequential steps)."))),
-        F.when(call(*CANDIDATES), found("thread-ignorance", HINT, nested >= depth, text("Nested function calls detected (depth ", nested, ")."))),
+        F.when(call("let") & (kid(1)["t"] == "Vector") & (kid(1)["n"] >= 2 * min_let_chain), found("thread-ignorance", HINT, chain >= min_let_chain + 1, text(chain, " bindings each feed only the next one; threading says it in one form."))),
+        F.when(call(*CANDIDATES), found("thread-ignorance", HINT, nested >= min_nesting_depth, text(nested, " calls inside each other read from the inside out."))),
     )
 
 
 @row_rule("unmanaged-resource-io", CLOJURE, WARNING, "I/O resources outside with-open.")
 def unmanaged_io() -> Column:
-    return found("unmanaged-resource-io", WARNING, is_list() & F.lower(the_head()).rlike("|".join(RESOURCES)) & no(F.col("in_with_open")), "I/O resource used without with-open: use with-open to ensure the resource is closed.")
+    return found("unmanaged-resource-io", WARNING, is_list() & F.lower(the_head()).rlike("|".join(RESOURCES)) & no(F.col("in_with_open")), "Nothing closes this resource: no `with-open` stands around it.")
 
 
-@row_rule("unnecessary-into", CLOJURE, HINT, "into where vec, set, seq or a transducer says it.")
-def unnecessary_into() -> Column:
+@row_rule("unnecessary-into", CLOJURE, HINT, "into where vec, set, seq or a transducer says it.", check_type_transformations=True, check_map_mapping=True, check_transducer_api=True)
+def unnecessary_into(check_type_transformations: bool, check_map_mapping: bool, check_transducer_api: bool) -> Column:
     target, source = kid(1), kid(2)
     plain = F.when(target["t"] == "Vector", F.lit("vec")).when(target["t"] == "Set", F.lit("set")).when(target["t"] == "List", F.lit("seq"))
     lazy = is_call(source, "map", "filter", "remove", "keep", "keep-indexed", "distinct", "take", "drop", "take-while", "drop-while") & (source["n"] >= 3)
-    return F.when(call("into") & (F.col("n") == 3), F.coalesce(
-        found("unnecessary-into", HINT, lazy, text("`into` over `", source["h"], "`: consider a transducer, (into coll (", source["h"], " ...) source).")),
-        found("unnecessary-into", HINT, plain.isNotNull() & (target["n"] == 0), text("Unnecessary use of 'into' for type transformation. Use '(", plain, " ...)'.")),
-    ))
+    none = F.lit(None).cast(FINDING)
+    by_type = found("unnecessary-into", HINT, plain.isNotNull() & (target["n"] == 0), text("`", plain, "` turns a collection into this type by itself."))
+    by_api = found("unnecessary-into", HINT, lazy, text("`into` of a lazy `", source["h"], "`: as a transducer it makes no sequence in between."))
+    # a mapped source is reported by either of the last two checks
+    on = [x for x, wanted in ((by_api, check_transducer_api or check_map_mapping), (by_type, check_type_transformations)) if wanted]
+    return F.when(call("into") & (F.col("n") == 3), F.coalesce(*on, none))
 
 
-@row_rule("verbose-checks", CLOJURE, HINT, "Comparisons and arithmetic that core functions name.")
-def verbose_checks() -> Column:
+@row_rule("verbose-checks", CLOJURE, HINT, "Comparisons and arithmetic that core functions name.", check_numeric_comparisons=True, check_boolean_comparisons=True, check_nil_comparisons=True, check_math_operations=True)
+def verbose_checks(check_numeric_comparisons: bool, check_boolean_comparisons: bool, check_nil_comparisons: bool, check_math_operations: bool) -> Column:
     a, b = kid(1), kid(2)
     three, r = F.col("n") == 3, "verbose-checks"
     zero_l, zero_r = is_number(a, "0"), is_number(b, "0")
@@ -436,11 +441,13 @@ def verbose_checks() -> Column:
     odd = is_call(a, "mod", "rem") & (a["n"] == 3) & is_number(kid_of(a, 2), "2") & zero_r
     branches = F.col("n") == 4
     yes_no = branches & (kid(2)["t"] == "Bool") & (kid(3)["t"] == "Bool") & (kid(2)["v"] != kid(3)["v"])
-    return F.when(is_list() & the_head().isin("=", ">", "<", ">=", "<=", "not=", "+", "-", "if"), F.coalesce(
-        found(r, HINT, three & the_head().isin("=", ">", "<", ">=", "<=") & (zero_l | zero_r) & ~odd, text("Verbose numeric comparison: `", the_head(), "` with 0. Consider zero?, pos? or neg?.")),
-        found(r, HINT, three & the_head().isin("=", "not=") & of("Bool"), text("Verbose boolean comparison: `", the_head(), "`. Consider true? or false?.")),
-        found(r, HINT, three & the_head().isin("=", "not=") & of("Nil"), text("Verbose nil comparison: `", the_head(), "`. Consider nil? or some?.")),
-        found(r, HINT, three & (((the_head() == "+") & (is_number(a, "1") | is_number(b, "1"))) | ((the_head() == "-") & is_number(b, "1"))), text("Verbose math operation: `", the_head(), "` with 1. Consider inc or dec.")),
-        found(r, HINT, (the_head() == "if") & yes_no, "Verbose boolean if. Consider boolean or not."),
-        found(r, HINT, three & the_head().isin("=", "not=") & odd, "Verbose parity check. Consider even? or odd?."),
-    ))
+    none = F.lit(None).cast(FINDING)
+    on = [
+        (check_numeric_comparisons, found(r, HINT, three & the_head().isin("=", ">", "<", ">=", "<=") & (zero_l | zero_r) & ~odd, text("`", the_head(), "` against 0: the core has zero?, pos? and neg?."))),
+        (check_boolean_comparisons, found(r, HINT, three & the_head().isin("=", "not=") & of("Bool"), text("`", the_head(), "` against a boolean: the core has true? and false?."))),
+        (check_nil_comparisons, found(r, HINT, three & the_head().isin("=", "not=") & of("Nil"), text("`", the_head(), "` against nil: the core has nil? and some?."))),
+        (check_math_operations, found(r, HINT, three & (((the_head() == "+") & (is_number(a, "1") | is_number(b, "1"))) | ((the_head() == "-") & is_number(b, "1"))), text("`", the_head(), "` by 1: the core has inc and dec."))),
+        (True, found(r, HINT, (the_head() == "if") & yes_no, "Both branches are booleans, so the test says it alone.")),
+        (True, found(r, HINT, three & the_head().isin("=", "not=") & odd, "A remainder by 2 is what even? and odd? ask for.")),
+    ]
+    return F.when(is_list() & the_head().isin("=", ">", "<", ">=", "<=", "not=", "+", "-", "if"), F.coalesce(*[x for wanted, x in on if wanted], none))

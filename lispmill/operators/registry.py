@@ -26,6 +26,12 @@ class Rule:
 
 
 RULES: dict[str, Rule] = {}
+#: Heads of lists that a rule looks into at any depth; the reader gives their rows the whole subtree.
+DEEP: set[str] = set()
+
+
+def reads_deeply(*heads: str) -> None:
+    DEEP.update(heads)
 
 
 def _add(rule: Rule) -> None:

@@ -75,7 +75,8 @@ def fingerprints(nodes: DataFrame) -> DataFrame:
 
 
 def rendered(nodes: DataFrame) -> DataFrame:
-    """(path, id, code) of lists down to the depth their rows hold: source text on one line."""
+    """(path, id, code) of lists: source text on one line. Where a row doesn't hold the list's whole subtree (see
+    ``files.nodes``) the code is null."""
     opens = F.create_map(*[F.lit(x) for kv in {"List": "(", "Vector": "[", "Map": "{", "Set": "#{", "FnLiteral": "#(", "Quote": "'", "Deref": "@", "SyntaxQuote": "`", "Unquote": "~", "UnquoteSplice": "~@"}.items() for x in kv])
     closes = F.create_map(*[F.lit(x) for kv in {"List": ")", "Vector": "]", "Map": "}", "Set": "}", "FnLiteral": ")"}.items() for x in kv])
     before = lambda x: F.when((x["k"] > 0) & (x["i"] > 0), F.lit(" ")).otherwise(F.lit(""))
@@ -83,4 +84,4 @@ def rendered(nodes: DataFrame) -> DataFrame:
     # closing marks of an entry: of itself if it has no members, and of all that end with it
     ends = lambda x: F.array_join(F.transform(F.reverse(F.filter(the_sub(), lambda y: (y["i"] <= x["i"]) & (y["i"] + y["z"] == x["i"] + 1))), lambda y: F.coalesce(F.try_element_at(closes, y["t"]), F.lit(""))), "")
     code = F.array_join(F.transform(the_sub(), lambda x: text(before(x), F.try_element_at(opens, x["t"]), F.when(x["n"] == 0, leaf(x)), ends(x))), "")
-    return nodes.where("type in ('List', 'FnLiteral')").select("path", "id", code.alias("code"))
+    return nodes.where("type in ('List', 'FnLiteral')").select("path", "id", F.when(F.size(the_sub()) == F.col("size"), code).alias("code"))

@@ -33,7 +33,14 @@ class Config:
         return self.enabled_groups.get(rule.group, rule.group == CLOJURE)
 
     def options(self, rule: Rule) -> dict[str, Any]:
-        return {k.replace("-", "_"): tuple(v) if isinstance(v, list) else v for k, v in self.rule_config.get(rule.id, {}).items() if k.replace("-", "_") in rule.options}
+        given = {k.replace("-", "_"): tuple(v) if isinstance(v, list) else v for k, v in self.rule_config.get(rule.id, {}).items()}
+        return {k: v for k, v in given.items() if k in rule.options}
+
+    def unknown(self) -> list[str]:
+        """Groups, rules and options that nothing knows."""
+        groups = {r.group for r in RULES.values()}
+        out = [f"group {g}" for g in self.enabled_groups if g not in groups] + [f"rule {r}" for r in {**self.enabled_rules, **self.rule_config} if r not in RULES]
+        return out + [f"option {k} of {r}" for r, own in self.rule_config.items() if r in RULES for k in own if k.replace("-", "_") not in RULES[r].options]
 
 
 ALL = Config(enabled_groups={"clojure-specific": True, "functional": True, "traditional": True})
@@ -87,13 +94,24 @@ def summary(found: DataFrame) -> DataFrame:
     return found.groupBy("rule_id").agg(F.count("*").alias("count")).orderBy("rule_id")
 
 
-def snippets(found: DataFrame, sources: DataFrame, around: int = 4) -> DataFrame:
-    """Adds ``code_snippet``: the lines within ``around`` of the finding, numbered; blank lines beside it are left out.
+NO_CODE = "// No code found at location or file is empty."
+
+
+def snippets(found: DataFrame, sources: DataFrame, around: int = 4, mark: tuple[str, str] = ("", "")) -> DataFrame:
+    """Adds ``code_snippet``: the lines within ``around`` of the finding, numbered; blank lines beside it are left out, and the
+    finding's line stands in ``mark``.
+
+    Only files with findings are read: their lines of interest are gathered, and each file's text is split once and cut
+    to these windows before anything is exploded. A path that is scanned twice gives its snippet once."""
+    wanted = found.where("line is not null").groupBy("path").agg(F.collect_set("line").alias("lines"))
+
+    def window(code, at):
+        near = F.filter(F.sequence(F.greatest(at - around, F.lit(1)), F.least(at + around, F.size(code))), lambda n: (n == at) | (F.trim(F.get(code, n - 1)) != ""))
+        shown = F.transform(near, lambda n: F.concat(F.when(n == at, mark[0]).otherwise(""), F.lpad(n.cast("string"), 5, " "), F.lit(": "), F.get(code, n - 1), F.when(n == at, mark[1]).otherwise("")))
+        return F.when(at - around <= F.size(code), F.array_join(shown, "\n")).otherwise(F.lit(""))
 
-    A file's lines are joined by (path, block of lines), so a long file's text is not copied to each finding."""
-    lines = sources.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("k", "code")).select("path", (F.col("k") + 1).alias("n"), "code")
-    near = found.withColumn("_id", F.xxhash64(*FINDINGS[:5]))
-    wanted = near.select("_id", "path", F.col("line").alias("at"), F.explode(F.sequence(F.col("line") - around, F.col("line") + around)).alias("n")).distinct()
-    hit = wanted.join(lines, ["path", "n"]).where((F.trim("code") != "") | (F.col("n") == F.col("at")))
-    text = hit.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "code"))), lambda x: F.concat(F.lpad(x["n"].cast("string"), 5, " "), F.lit(": "), x["code"])), "\n").alias("code_snippet"))
-    return near.join(text, "_id", "left").withColumn("code_snippet", F.coalesce("code_snippet", F.lit(""))).drop("_id")
+    # the text is split once, whatever the number of windows
+    cut = F.get(F.transform(F.array(F.split("text", r"\r?\n")), lambda code: F.transform("lines", lambda at: F.struct(at.alias("line"), window(code, at).alias("code_snippet")))), F.lit(0))
+    text = sources.join(wanted, "path").select("path", F.explode(cut).alias("w")).groupBy("path", "w.line").agg(F.min("w.code_snippet").alias("code_snippet"))
+    code = F.when(F.col("line").isNull(), F.lit("")).when(F.coalesce("code_snippet", F.lit("")) == "", F.lit(NO_CODE)).otherwise(F.col("code_snippet"))
+    return found.join(text, ["path", "line"], "left").select(*found.columns, code.alias("code_snippet"))

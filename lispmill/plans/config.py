@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from pathlib import Path
 
 import yaml
@@ -33,7 +34,10 @@ def load(path: str | Path | None) -> Config:
     if path is None:
         return Config()
     data = yaml.safe_load(Path(path).read_text()) or {}
-    return Config(data.get("enabled-groups") or {}, data.get("enabled-rules") or {}, data.get("rule-config") or {}, bool(data.get("analyze-tests", False)))
+    config = Config(data.get("enabled-groups") or {}, data.get("enabled-rules") or {}, data.get("rule-config") or {}, bool(data.get("analyze-tests", False)))
+    for name in config.unknown():
+        warnings.warn(f"{path}: unknown {name}", stacklevel=2)
+    return config
 
 
 def generate() -> str:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lispmill.operators import scopes
+from lispmill.operators import design, scopes
 from lispmill.operators.registry import RULES
 from lispmill.plans import analyze, corpora, report, stats
 from lispmill.sources import files
@@ -32,9 +32,9 @@ def query(name: str, sql: str | None = None):
     return take
 
 
-def _nodes(sources: DataFrame) -> DataFrame:
+def _nodes(sources: DataFrame, whole: bool = False) -> DataFrame:
     """The node table; reading text costs far more than its bytes suggest, so it is spread over all cores first."""
-    return files.nodes(sources.repartition(2 * sources.sparkSession.sparkContext.defaultParallelism))
+    return files.nodes(sources.repartition(2 * sources.sparkSession.sparkContext.defaultParallelism), whole)
 
 
 def _rule_query(rule: str) -> Query:
@@ -50,7 +50,7 @@ for _rule in corpora.SNIPPETS:
     QUERIES[_name], SQL[_name] = _rule_query(_rule), corpora.parts_oracle(_rule)
 
 
-@query("rule_data_clumps", "WITH p AS (SELECT p_partkey, p_partkey % 701 AS g, count(*) OVER (PARTITION BY p_partkey % 701) AS n FROM part) SELECT 'data-clumps' AS rule_id, 'src/p' || p_partkey || '.clj' AS path, 1::INTEGER AS line, 'Data clump detected: parameters [a' || g || ',b' || g || ',c' || g || '] appear together in ' || n || ' functions.' AS message FROM p WHERE n >= 2")
+@query("rule_data_clumps", "WITH p AS (SELECT p_partkey, p_partkey % 701 AS g, count(*) OVER (PARTITION BY p_partkey % 701) AS n FROM part) SELECT 'data-clumps' AS rule_id, 'src/p' || p_partkey || '.clj' AS path, 1::INTEGER AS line, 'Parameters a' || g || ',b' || g || ',c' || g || ' travel together through ' || n || ' functions.' AS message FROM p WHERE n >= 2")
 def rule_data_clumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(corpora.clumps_corpus(table(spark, sf_dir, "part")))
     return analyze.findings(nodes, analyze.ALL, ["data-clumps"]).select("rule_id", "path", "line", "message")
@@ -105,19 +105,25 @@ def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).groupBy("path").agg(F.count("*").alias("nodes"), F.sum((F.col("type") == "List").cast("int")).cast("int").alias("lists"), F.max("depth").alias("depth"))
 
 
-_LINE = "regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '\\r', '', 'g')"
-_BODY = f"trim(regexp_replace(';; ' || {_LINE}, '^[;#!]+', ''), ' ')"
+_LINES = "SELECT doc_id, unnest(l) AS line_text, generate_subscripts(l, 1)::INTEGER AS line FROM (SELECT doc_id, string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)) AS l FROM documents)"
+_LISTED = lambda words: " OR ".join(f"contains(low, {corpora.literal(w)})" for w in words)
 
 
-@query("comment_lengths", f"SELECT 'src/d' || doc_id || '.clj' AS path, CASE WHEN octet_length(encode(b)) = 0 THEN 'empty' WHEN octet_length(encode(b)) < 5 THEN 'short' ELSE 'long' END AS kind FROM (SELECT doc_id, {_BODY} AS b FROM documents) WHERE octet_length(encode(b)) < 5 OR octet_length(encode(b)) > 120")
-def comment_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(
+    "comment_kinds",
+    f"""SELECT 'src/d' || doc_id || '.clj' AS path, line, kind FROM (
+       SELECT doc_id, line, CASE WHEN octet_length(encode(b)) = 0 THEN 'Empty comment.' WHEN octet_length(encode(b)) < 5 THEN 'Comment is too short to be useful.' WHEN octet_length(encode(b)) > 120 THEN 'Comment is too long.'
+         WHEN contains(low, 'todo') THEN 'TODO comment.' WHEN contains(low, 'fixme') THEN 'FIXME comment.' WHEN regexp_matches(b, {corpora.literal(design.CODE_LIKE)}) OR length(regexp_replace(b, '[^(\\[{{]', '', 'g')) >= 2 THEN 'Commented-out code.'
+         WHEN {_LISTED(design.DEODORANT)} THEN 'Deodorant comment.' WHEN {_LISTED(design.REDUNDANT)} THEN 'Redundant comment.' WHEN {_LISTED(design.OBVIOUS)} THEN 'Obvious comment.' END AS kind
+       FROM (SELECT *, lower(b) AS low FROM (SELECT doc_id, line, trim(regexp_replace(';; ' || line_text, '^[;#!]+', ''), ' ') AS b FROM ({_LINES})))) WHERE kind IS NOT NULL""",
+)
+def comment_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comment rule over every line of every document."""
     nodes = _nodes(corpora.comments_corpus(table(spark, sf_dir, "documents")))
-    found = analyze.findings(nodes, analyze.ALL, ["comments"])
-    kind = F.when(F.col("message").startswith("Empty"), "empty").when(F.col("message").contains("short"), "short").when(F.col("message").contains("too long"), "long")
-    return found.select("path", kind.alias("kind")).where("kind is not null")
+    return analyze.findings(nodes, analyze.ALL, ["comments"]).select("path", "line", F.col("message").alias("kind"))
 
 
-@query("comment_extraction", f"SELECT 'src/d' || doc_id || '.clj' AS path, ';; ' || {_LINE} AS value, 1::INTEGER AS line, 1::INTEGER AS col FROM documents")
+@query("comment_extraction", f"SELECT 'src/d' || doc_id || '.clj' AS path, ';; ' || line_text AS value, line, 1::INTEGER AS col FROM ({_LINES})")
 def comment_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.comments(_nodes(corpora.comments_corpus(table(spark, sf_dir, "documents"))))
 
@@ -165,10 +171,51 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rendered_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     text = F.concat(F.lit("(assoc {:k, ["), F.col("p_size"), F.lit('   "a"]}\n  (inc '), F.col("p_partkey"), F.lit("))"))
-    nodes = _nodes(p.select(F.col("p_partkey").cast("string").alias("path"), text.alias("text")))
+    nodes = _nodes(p.select(F.col("p_partkey").cast("string").alias("path"), text.alias("text")), whole=True)
     return scopes.rendered(nodes).where("id = 0").select(F.col("path").cast("long").alias("p_partkey"), "code")
 
 
+@query("rendered_deeply", "SELECT p_partkey, '(q ' || repeat('(a [b ', (p_size % 8 + 3)::BIGINT) || 'x' || repeat('])', (p_size % 8 + 3)::BIGINT) || ')' AS code FROM part")
+def rendered_deeply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, depth = table(spark, sf_dir, "part"), F.col("p_size") % 8 + 3
+    text = F.concat(F.lit("(top (q "), F.repeat(F.lit("(a\n[b "), depth), F.lit("x"), F.repeat(F.lit(" ] )"), depth), F.lit("))"))
+    nodes = _nodes(p.select(F.col("p_partkey").cast("string").alias("path"), text.alias("text")), whole=True)
+    return scopes.rendered(nodes.where("head = 'q'")).select(F.col("path").cast("long").alias("p_partkey"), "code")
+
+
+_DEEP = "SELECT {rule} AS rule_id, 'src/p' || p_partkey || '.clj' AS path, 3::INTEGER AS line, count(*)::BIGINT AS times FROM (SELECT p_partkey, unnest(range(1, (p_size % 8 + 4)::BIGINT)) AS level, p_size % 8 + 3 AS depth FROM part) WHERE depth - level + 1 >= {least} GROUP BY p_partkey"
+
+
+def _deep(spark: SparkSession, sf_dir: str, rule: str, opens: str, closes: str) -> DataFrame:
+    nodes = _nodes(corpora.nested_corpus(table(spark, sf_dir, "part"), opens, closes, F.col("p_size") % 8 + 3))
+    return analyze.findings(nodes, analyze.ALL, [rule]).groupBy("rule_id", "path", "line").agg(F.count("*").alias("times"))
+
+
+@query("deep_nested_forms", _DEEP.format(rule="'nested-forms'", least=4))
+def deep_nested_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of 3 to 10 conditionals, each in a ``do``, below a call of another kind."""
+    return _deep(spark, sf_dir, "nested-forms", "(when a (do ", "))")
+
+
+@query("deep_thread_ignorance", _DEEP.format(rule="'thread-ignorance'", least=5))
+def deep_thread_ignorance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of 3 to 10 calls, each in a vector."""
+    return _deep(spark, sf_dir, "thread-ignorance", "(sort [", "])")
+
+
+def _patterns_query(rule: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes = _nodes(corpora.patterns_corpus(table(spark, sf_dir, "part"), rule))
+        return analyze.findings(nodes, analyze.ALL, [rule]).select("rule_id", "path", "line", "message")
+
+    return run
+
+
+for _rule in corpora.PATTERNS:
+    _name = "patterns_" + re.sub(r"\W+", "_", _rule)
+    QUERIES[_name], SQL[_name] = _patterns_query(_rule), corpora.patterns_oracle(_rule)
+
+
 @query("test_file_pruning", "SELECT path FROM (SELECT CASE p_size % 4 WHEN 0 THEN 'src/p' || p_partkey || '.clj' WHEN 1 THEN 'test/p' || p_partkey || '.clj' WHEN 2 THEN 'a/test/p' || p_partkey || '.clj' ELSE 'src/p' || p_partkey || '_test.clj' END AS path FROM part) WHERE path LIKE 'src/p%' AND path NOT LIKE '%\\_test.clj' ESCAPE '\\' OR path LIKE 'test/%'")
 def test_file_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, key = F.col("p_size") % 4, F.col("p_partkey")
@@ -185,27 +232,27 @@ def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "finding_snippets",
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS code, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER AS n FROM documents WHERE text IS NOT NULL),
-       f AS (SELECT doc_id, min(n)::INTEGER AS line FROM l WHERE regexp_matches(code, '[0-9]') GROUP BY doc_id)
-       SELECT doc_id, line, coalesce(string_agg(lpad(n::VARCHAR, 5, ' ') || ': ' || code, chr(10) ORDER BY n) FILTER (trim(code, ' ') <> '' OR n = line), '') AS code_snippet FROM f JOIN l USING (doc_id) WHERE n BETWEEN line - 4 AND line + 4 GROUP BY doc_id, line""",
+       f AS (SELECT doc_id, n AS line FROM l WHERE regexp_matches(code, '[0-9]'))
+       SELECT doc_id, line, string_agg(lpad(n::VARCHAR, 5, ' ') || ': ' || code, chr(10) ORDER BY n) FILTER (trim(code, ' ') <> '' OR n = line) AS code_snippet FROM f JOIN l USING (doc_id) WHERE n BETWEEN line - 4 AND line + 4 GROUP BY doc_id, line""",
 )
 def finding_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snippets around the first line with a digit of each document."""
+    """Snippets around every line with a digit of each document."""
     src = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text"))
-    hit = F.filter(F.transform(F.split("text", "\n"), lambda c, i: F.when(c.rlike("[0-9]"), (i + 1).cast("int"))), lambda x: x.isNotNull())
-    found = src.select(F.lit("digit").alias("rule_id"), F.lit("").alias("message"), "path", F.get(hit, F.lit(0)).alias("line"), F.lit(1).alias("col"), F.lit("INFO").alias("severity"), F.lit(None).cast("string").alias("fingerprint")).where("line is not null")
+    lines = src.select("path", F.posexplode(F.split("text", "\n")).alias("k", "code")).where(F.col("code").rlike("[0-9]"))
+    found = lines.select(F.lit("digit").alias("rule_id"), F.lit("").alias("message"), "path", (F.col("k") + 1).alias("line"), F.lit(1).alias("col"), F.lit("INFO").alias("severity"), F.lit(None).cast("string").alias("fingerprint"))
     return analyze.snippets(found, src).select(F.col("path").cast("long").alias("doc_id"), "line", "code_snippet")
 
 
 @query("duplicate_texts", "SELECT doc_id, first_id, copies::BIGINT AS copies FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) AS copies FROM documents) WHERE doc_id > first_id")
 def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The algebra of duplicated code on texts: later copies, with the first. Digests are counted before they are
-    joined back, so a text that many documents share is split over tasks."""
+    """The algebra of duplicated code on texts: later copies, with the first. Digests are counted first (with partial sums); the
+    join back is of rows on one side and one row a digest on the other, which skew handling splits for a common text."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("\u0000")), 256).alias("h"))
     often = d.groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
     return d.join(often, "h").where("doc_id > first_id").select("doc_id", "first_id", "copies")
 
 
-@query("part_clumps", "WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey % 40 AS s FROM lineitem WHERE l_orderkey % 5 = l_orderkey % 5), o AS (SELECT l_orderkey FROM p GROUP BY 1 HAVING count(*) BETWEEN 3 AND 8), q AS (SELECT p.* FROM p JOIN o USING (l_orderkey)) SELECT a.s::BIGINT AS a, b.s::BIGINT AS b, c.s::BIGINT AS c, count(*)::BIGINT AS times FROM q a JOIN q b ON a.l_orderkey = b.l_orderkey AND a.s < b.s JOIN q c ON b.l_orderkey = c.l_orderkey AND b.s < c.s GROUP BY ALL HAVING count(*) >= 2")
+@query("part_clumps", "WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey % 40 AS s FROM lineitem ), o AS (SELECT l_orderkey FROM p GROUP BY 1 HAVING count(*) BETWEEN 3 AND 8), q AS (SELECT p.* FROM p JOIN o USING (l_orderkey)) SELECT a.s::BIGINT AS a, b.s::BIGINT AS b, c.s::BIGINT AS c, count(*)::BIGINT AS times FROM q a JOIN q b ON a.l_orderkey = b.l_orderkey AND a.s < b.s JOIN q c ON b.l_orderkey = c.l_orderkey AND b.s < c.s GROUP BY ALL HAVING count(*) >= 2")
 def part_clumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The algebra of data clumps on suppliers of orders: triples that occur together more than once."""
     from lispmill.operators.design import combinations
@@ -254,50 +301,105 @@ def supplier_envy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- sinks over the findings of one corpus
-def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    src = corpora.parts_corpus(table(spark, sf_dir, "part"), "string-map-keys")
-    return analyze.findings(_nodes(src), analyze.ALL, ["string-map-keys"]), src
+def _found(spark: SparkSession, sf_dir: str, rule: str = "string-map-keys", parts: str = "true") -> tuple[DataFrame, DataFrame]:
+    """Findings and sources; a report reads its findings several times, so they are kept."""
+    src = corpora.parts_corpus(table(spark, sf_dir, "part").where(parts), rule)
+    return analyze.findings(_nodes(src), analyze.ALL, [rule]).persist(), src
 
 
 _BAD = "FROM part WHERE p_partkey % 3 <> 0"
 _AT = "'src/p' || p_partkey || '.clj'"
 _MSG = 'String key "a" in map literal. Consider a keyword.'
+_JSON = f"""'{{"rule_id":"string-map-keys","message":"String key \\"a\\" in map literal. Consider a keyword.","filepath":"' || {_AT} || '","location":{{"start_line":' || (p_size % 7 + 1) || ',"start_col":2,"end_line":' || (p_size % 7 + 1) || ',"end_col":3}},"severity":"INFO","ast_fingerprint":"' || substr(sha256('Map[String(a) Number(1)]'), 1, 16) || '"}}'"""
+_SOME = f"(SELECT count(*) {_BAD}) > 0"
+_EMPTY = "p_partkey % 3 = 0"
+
 
+def _fixed(column: str, *lines: str, where: str = _SOME) -> str:
+    return " UNION ALL ".join(f"SELECT {corpora.literal(x)} AS {column} WHERE {where}" for x in lines)
 
-@query("sink_json", f"""SELECT '{{"rule_id":"string-map-keys","message":"String key \\"a\\" in map literal. Consider a keyword.","filepath":"' || {_AT} || '","location":{{"start_line":' || (p_size % 7 + 1) || ',"start_col":2,"end_line":' || (p_size % 7 + 1) || ',"end_col":3}},"severity":"INFO","ast_fingerprint":"' || substr(sha256('Map[String(a) Number(1)]'), 1, 16) || '"}}' AS json {_BAD}""")
+
+@query("sink_json", f"SELECT {_JSON} AS json {_BAD}")
 def sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.as_json(_found(spark, sf_dir)[0])
 
 
+@query("sink_json_array", f"SELECT CASE WHEN row_number() OVER (ORDER BY json) > 1 THEN ',' ELSE '' END || json AS json FROM (SELECT {_JSON} AS json {_BAD}) UNION ALL SELECT unnest(['[', ']'])")
+def sink_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.render(*_found(spark, sf_dir), "json")
+
+
 @query("sink_json_snippet", f"SELECT {_AT} AS path, lpad((p_size % 7 + 1)::VARCHAR, 5, ' ') || ': {{\"a\" 1}}' AS code_snippet {_BAD}".replace("{{", "{").replace("}}", "}"))
 def sink_json_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, src = _found(spark, sf_dir)
     return analyze.snippets(found, src).select("path", "code_snippet")
 
 
-@query("sink_text", f"SELECT '[INFO] string-map-keys: {_MSG} [' || {_AT} || ':' || (p_size % 7 + 1) || ':2]' AS text {_BAD} UNION ALL SELECT '- string-map-keys: ' || count(*) {_BAD} HAVING count(*) > 0")
+@query("snippets_of_no_code", "SELECT 'src/p' || p_partkey || '.clj' AS path, '// No code found at location or file is empty.' AS code_snippet FROM part WHERE p_partkey % 3 <> 0")
+def snippets_of_no_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that were emptied after the scan."""
+    found, src = _found(spark, sf_dir)
+    return analyze.snippets(found.withColumn("line", F.lit(40)), src.withColumn("text", F.lit(""))).select("path", "code_snippet")
+
+
+@query("sink_text", f"SELECT '[INFO] string-map-keys: {_MSG} [' || {_AT} || ':' || (p_size % 7 + 1) || ':2]' AS text {_BAD} UNION ALL SELECT '- string-map-keys: ' || count(*) {_BAD} HAVING count(*) > 0 UNION ALL " + _fixed("text", "", "---", "Smell Summary:"))
 def sink_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.as_text(_found(spark, sf_dir)[0])
 
 
-@query("sink_markdown", f"SELECT '| INFO | string-map-keys | {_MSG} | ' || {_AT} || ':' || (p_size % 7 + 1) || ' |' AS markdown {_BAD}")
+@query("sink_text_empty", "SELECT 'No issues found.' AS text")
+def sink_text_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.as_text(_found(spark, sf_dir, parts=_EMPTY)[0])
+
+
+@query("sink_json_empty", "SELECT unnest(['[', ']']) AS json")
+def sink_json_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.render(*_found(spark, sf_dir, parts=_EMPTY), "json")
+
+
+@query(
+    "sink_markdown",
+    f"SELECT '| INFO | string-map-keys | {_MSG} | ' || {_AT} || ':' || (p_size % 7 + 1) || ' |' AS markdown {_BAD} UNION ALL SELECT '| string-map-keys | ' || count(*) || ' |' {_BAD} HAVING count(*) > 0 UNION ALL "
+    + _fixed("markdown", "| Severity | Rule | Message | Location |", "|---|---|---|---|", "", "### Smell Summary", "", "| Rule | Count |", "|---|---|"),
+)
 def sink_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.as_markdown(_found(spark, sf_dir)[0])
 
 
+@query("sink_markdown_empty", "SELECT 'No issues found.' AS markdown")
+def sink_markdown_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.as_markdown(_found(spark, sf_dir, parts=_EMPTY)[0])
+
+
 _Q = "&#34;"
+_PAGE = _fixed("html", *report.PAGE_TOP, *report.PAGE_END, where="true")
 
 
-@query("sink_html", f"SELECT '<tr><td>INFO</td><td>string-map-keys</td><td>{_MSG.replace(chr(34), _Q)}</td><td>' || {_AT} || '</td><td>' || (p_size % 7 + 1) || '</td><td><pre>' || lpad((p_size % 7 + 1)::VARCHAR, 5, ' ') || ': {{{_Q}a{_Q} 1}}</pre></td></tr>' AS html {_BAD}")
+@query(
+    "sink_html",
+    f"SELECT '<tr><td>INFO</td><td>string-map-keys</td><td>{_MSG.replace(chr(34), _Q)}</td><td>' || {_AT} || '</td><td>' || (p_size % 7 + 1) || '</td><td><pre><mark>' || lpad((p_size % 7 + 1)::VARCHAR, 5, ' ') || ': {{{_Q}a{_Q} 1}}</mark></pre></td></tr>' AS html {_BAD}"
+    f" UNION ALL SELECT '<p>' || count(*) || ' findings in ' || count(*) || ' files</p>' {_BAD} UNION ALL SELECT '<tr><td>string-map-keys</td><td>' || count(*) || '</td></tr>' {_BAD} HAVING count(*) > 0 UNION ALL "
+    + _PAGE + " UNION ALL " + _fixed("html", *[x for _, x in report.PAGE_FIXED]),
+)
 def sink_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.as_html(*_found(spark, sf_dir))
 
 
+@query("sink_html_empty", _PAGE + " UNION ALL SELECT unnest(['<p>0 findings in 0 files</p>', '<p>No issues found.</p>'])")
+def sink_html_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.as_html(*_found(spark, sf_dir, parts=_EMPTY))
+
+
 @query("sink_html_head", f"SELECT count(*)::BIGINT AS findings, count(*)::BIGINT AS files, (count(*) > 0)::BIGINT AS rules {_BAD}")
 def sink_html_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.html_head(_found(spark, sf_dir)[0])
 
 
+@query("sink_summary", f"SELECT 'string-map-keys: ' || count(*) AS summary {_BAD} HAVING count(*) > 0 UNION ALL SELECT 'Total: ' || count(*) {_BAD}")
+def sink_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.as_summary(_found(spark, sf_dir)[0])
+
+
 @query("sink_csv", f"""SELECT 'string-map-keys' AS "RuleID", count(*)::BIGINT AS "Count" {_BAD} HAVING count(*) > 0""")
 def sink_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.as_csv(_found(spark, sf_dir)[0])
@@ -315,11 +417,8 @@ def rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_table(spark).select("id", "severity", F.col("group").alias("group_name"))
 
 
-@query("all_default_rules")
+@query("all_default_rules", corpora.every_oracle({r.id: r.severity for r in analyze.select(analyze.Config())}))
 def all_default_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rule that is on by default over the files of all rules' corpora, in one plan."""
-    part = table(spark, sf_dir, "part")
-    names = sorted(corpora.SNIPPETS)
-    pick = F.get(F.array(*[F.lit(corpora.SNIPPETS[n][0]) for n in names]), (F.col("p_partkey") % len(names)).cast("int"))
-    nodes = _nodes(part.select(F.format_string("src/p%d.clj", F.col("p_partkey")).alias("path"), pick.alias("text")))
-    return analyze.findings(nodes).select("rule_id", "path", "line", "severity")
+    """Every rule that is on by default over the files of all rules' corpora: parsed once, then judged."""
+    nodes = _nodes(corpora.every_corpus(table(spark, sf_dir, "part")))
+    return analyze.findings(files.written(nodes)).select("rule_id", "path", "line", "severity")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lispmill.sources.parser import SCHEMA, parse_batches
+from lispmill.sources.parser import SCHEMA, WIDE, parse_batches
+from lispmill.sources.shared import shared_dir
 
 SUFFIX = r"(?i)\.clj[sc]?$"
 TEST_PATH = r"/tests?/|[_-]test\.clj$"
@@ -28,9 +31,21 @@ def prune_tests(sources: DataFrame) -> DataFrame:
     return sources.where(~F.col("path").rlike(TEST_PATH))
 
 
-def nodes(sources: DataFrame) -> DataFrame:
-    """The node table of (path, text) rows; files that cannot be read give no rows."""
-    return sources.select("path", "text").mapInArrow(parse_batches, SCHEMA)
+def nodes(sources: DataFrame, whole: bool = False) -> DataFrame:
+    """The node table of (path, text) rows; files that cannot be read give no rows. Lists carry as much of their subtree as
+    the rules read, or all of it (``whole``, for rendering)."""
+    from lispmill.operators import design, functional, idioms, registry  # noqa: F401  they say what they read
+
+    deep = WIDE | registry.DEEP
+    return sources.select("path", "text").mapInArrow(lambda batches: parse_batches(batches, deep, whole), SCHEMA)
+
+
+def written(nodes_: DataFrame) -> DataFrame:
+    """The node table as a table in the shared folder: sources are parsed once, and each reader takes the columns it needs."""
+    spark = nodes_.sparkSession
+    to = f"{shared_dir(spark)}/nodes-{uuid.uuid4().hex}"
+    nodes_.write.option("compression", "zstd").parquet(to)
+    return spark.read.schema(nodes_.schema).parquet(to)
 
 
 def comments(nodes_: DataFrame) -> DataFrame:

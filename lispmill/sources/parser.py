@@ -22,10 +22,11 @@ TOKEN = re.compile(r'[^\s,;"\'`~@^()\[\]{}\\][^\s,;"`~@^()\[\]{}\\]*')
 NUMBER = re.compile(r"[+-]?\d")
 OPEN = {"(": ("List", ")"), "[": ("Vector", "]"), "{": ("Map", "}")}
 PREFIX = {"'": "Quote", "`": "SyntaxQuote", "@": "Deref", "~": "Unquote"}
-#: Heads whose whole subtree rules look at; other lists carry their subtree down to ``SHALLOW`` levels.
+#: Heads whose whole subtree rules look at, beside those that the caller names; other lists carry theirs down to ``SHALLOW``
+#: levels, which is more than any rule reads of them. Lists that are marked private carry all.
 WIDE = frozenset(
     "defn defn- defmacro defmethod defmulti def defonce fn letfn let loop go go-loop ns case put! >! >!! = not= contains? get swap! reset! alter ref-set commute vswap! vreset! "
-    "send send-off atom volatile! ref agent map filter remove mapcat keep for lazy-seq defprotocol defrecord clojure.core/let cljs.core/let".split()
+    "send send-off atom volatile! ref agent map filter remove mapcat keep for lazy-seq defprotocol defrecord clojure.core/let cljs.core/let defsc fp/defsc".split()
 )
 SHALLOW = 4
 FUNCTIONS = frozenset(("defn", "defn-", "defmacro", "defmethod", "defmulti", "fn"))
@@ -237,8 +238,12 @@ def _entries(cols: dict[str, pa.Array], at: np.ndarray, root: np.ndarray, ends:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.StructArray.from_arrays([fields[x] for x in FIELDS], list(FIELDS)))
 
 
-def node_batch(files: list[tuple[str, Forms]]) -> pa.RecordBatch:
-    """Node rows of the files; comments come last in each, with negative ids and no parent."""
+def marked_private(f: Forms, kids: list[list[int]], k: int) -> bool:
+    return any(f.value[x] == ":private" or (f.type[x] == "Map" and any(f.value[y] == ":private" for y in kids[x])) for x in kids[k])
+
+
+def node_batch(files: list[tuple[str, Forms]], deep: frozenset[str] = WIDE, whole: bool = False) -> pa.RecordBatch:
+    """Node rows of the files; comments come last in each, with negative ids and no parent. ``whole``: all lists carry all."""
     type_, value, line, col, parent, idx, depth, size, count, first = [], [], [], [], [], [], [], [], [], []
     path, ids, head, enclosing, flags, ups, asts, wide = [], [], [], [], [], [], [], []
     for name, f in files:
@@ -285,7 +290,7 @@ def node_batch(files: list[tuple[str, Forms]]) -> pa.RecordBatch:
         enclosing += [a for a, _ in around]
         flags += [b for _, b in around]
         asts += canonical(f, kids)
-        wide += [t in ("List", "FnLiteral") and (2 if h in WIDE or t == "FnLiteral" or d == 0 or "/go" in (h or "") else 1) for t, h, d in zip(f.type, heads, f.depth, strict=True)]
+        wide += [t in ("List", "FnLiteral") and (2 if whole or h in deep or t == "FnLiteral" or d == 0 or "/go" in (h or "") or marked_private(f, kids, k) else 1) for k, (t, h, d) in enumerate(zip(f.type, heads, f.depth, strict=True))]
         first += [base + x[0] if x else -1 for x in kids]
         for k, (text, at_line, at_col) in enumerate(f.comments):
             type_.append("Comment"), value.append(text), line.append(at_line), col.append(at_col), parent.append(-1), idx.append(k), depth.append(0), size.append(1), count.append(0)
@@ -319,7 +324,7 @@ def node_batch(files: list[tuple[str, Forms]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", SCHEMA)])
 
 
-def parse_batches(batches: Iterator[pa.RecordBatch], most: int = 20_000) -> Iterator[pa.RecordBatch]:
+def parse_batches(batches: Iterator[pa.RecordBatch], deep: frozenset[str] = WIDE, whole: bool = False, most: int = 20_000) -> Iterator[pa.RecordBatch]:
     """(path, text) batches to node batches of about ``most`` rows, or one file if that is larger."""
     held: list[tuple[str, Forms]] = []
     rows = 0
@@ -332,7 +337,7 @@ def parse_batches(batches: Iterator[pa.RecordBatch], most: int = 20_000) -> Iter
             held.append((path.as_py(), f))
             rows += len(f.type) + len(f.comments)
             if rows >= most:
-                yield node_batch(held)
+                yield node_batch(held, deep, whole)
                 held, rows = [], 0
     if held:
-        yield node_batch(held)
+        yield node_batch(held, deep, whole)

@@ -26,6 +26,8 @@ def lower(t):
 TEXTS = [
     "Released under the MIT License.\nmore", "mit license MIT  LICENSE, the mit-license", "Licensed### under%%% the Apache$$$ License, Version 2.0", "Licensed under CC BY-NC 4.0.", "released under the apache license",
     prose(3, 200) + " This work is licensed under the GNU General Public License, version 3. " + prose(4, 200), "MIT\nLicense", "general public license general public license",
+    *(prose(60 + k, 100 + 37 * k) + "\n# " + "\n# ".join(t.split(" ", 9 + 7 * k)) + prose(80 + k, 150) for k, t in enumerate(t for ts in licenses.TEMPLATES.values() for t in ts if len(t.split()) > licenses.TILE)),
+    licenses.TEMPLATES["isc"][0].replace("software", "thing").replace("granted", "given"),
 ]
 
 
@@ -38,14 +40,20 @@ def brute_license(text):
         places += hits
         base |= {label} if hits else set()
     labels, score = set(base), 1.0 if base else 0.0
-    vocabulary = {w.decode() for _, t in licenses.template_sets(licenses.TEMPLATES) for w in t}
-    for line in lower(text).split("\n"):
-        found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line)
-        n = licenses.TILE
-        runs = [found] if len(found) <= 2 * n else [found[i : i + 2 * n] for i in range(0, len(found) - n, n)]
-        for run in runs:
-            s = set(run) & vocabulary
-            met = [(label, {w.decode() for w in t}) for label, t in licenses.template_sets(licenses.TEMPLATES) if len({w.decode() for w in t} & s) >= math.ceil(licenses.THRESHOLD * len(t) - 1e-9)]
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    tiles = lambda xs, n: [xs[i : i + 2 * n] for i in range(0, max(1, len(xs) - n), n)]
+    notices = [(label, set(re.findall(word, lower(t))), licenses.width_of(t)) for label, ts in licenses.TEMPLATES.items() for t in ts]
+    for width in {w for _, _, w in notices}:
+        parts = []
+        if width == licenses.TILE:
+            for line in lower(text).split("\n"):
+                found = re.findall(word, line)
+                parts += [found] if len(found) <= 2 * width else tiles(found, width)
+        if width > licenses.TILE or "\n" in (text or ""):
+            parts += tiles(ws, width)
+        for part in parts:
+            s = set(part)
+            met = [(label, t) for label, t, w in notices if w == width and len(t & s) >= math.ceil(licenses.THRESHOLD * len(t) - 1e-9)]
             for label, t in met:
                 if not any(t < o for _, o in met):
                     labels.add(label)
@@ -58,7 +66,7 @@ def test_licenses_against_brute_force(spark):
     rows = sorted(map(tuple, licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score").collect()), key=str)
     want = sorted(((r.doc_id, *brute_license(r.text)) for r in docs.collect()), key=str)
     assert rows == want
-    assert {"mit", "apache", "gpl", "cc-by-nc"} <= set(",".join(r[6] for r in rows).split(","))
+    assert {"mit", "apache", "gpl", "cc-by-nc", "bsd", "isc", "unlicense", "mpl"} <= set(",".join(r[6] for r in rows).split(","))
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 

@@ -3,7 +3,8 @@
 Features are runs of 1 to ``ORDERS`` characters of the lower-cased text (white space made one space),
 hashed to ``DIM`` columns. Document frequencies count every document that may be learnt from. Weights are
 log-scaled counts by idf, with vectors of length 1. Training is follow-the-regularised-leader with an L1 and an L2
-penalty on a sample of at most about ``ROWS`` rows of each language, chosen by a hash of the id; a fifth of
+penalty on a sample of at most about ``ROWS`` rows of each language, chosen by a hash of the id (an id
+of several rows of a language gives one); the ``LANGUAGES`` commonest values of the column are learnt. A fifth of
 the sample is kept back to fit the temperature that divides the scores before the softmax.
 
 Only rows with text and language whose id's crc32 modulo ``FOLDS`` is not 0 teach. A text that is null or has
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from lispmill.llm.common import bucket_of, map_rows, table
 
 ORDERS, DIM, ROWS, FOLDS = 3, 1 << 15, 1000, 5
+#: The most languages that are learnt.
+LANGUAGES = 256
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-3, 1e-3, 2
 UND = "und"
 SPACE = re.compile(r"\s+")
@@ -114,7 +117,8 @@ class LanguageModel:
 
 def fit(docs: DataFrame, rows_each: int = ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (bucket_of(id_col, FOLDS) != 0))
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    # values beyond the LANGUAGES commonest are not learnt, so a column of dirty values stays bounded
+    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.col("count").desc(), lang_col).limit(LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros(DIM))
@@ -138,7 +142,7 @@ def fit(docs: DataFrame, rows_each: int = ROWS, id_col: str = "doc_id", text_col
 
     out = map_rows(known.select(id_col, F.col(lang_col).alias("_lang"), text_col, chosen.alias("_take")), [id_col, "_lang", text_col, "_take"], scan, "k long, lang string, tf binary, df long", text_as_bytes=False)
     # one row for each column of the features, and one for each row of the sample: both are bounded
-    merged = out.groupBy("lang", "k", "tf").agg(F.sum("df").alias("df")).toArrow()
+    merged = out.groupBy("lang", "k").agg(F.min("tf").alias("tf"), F.sum("df").alias("df")).toArrow()
     sample, df, total = [], np.zeros(DIM), 0
     for r in (r for b in merged.to_batches() for r in b.to_pylist()):
         if r["lang"] is not None:

@@ -41,6 +41,48 @@ def test_held_out_rows_teach_nothing(spark):
     assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["en"]
 
 
+def test_training_against_plain_formulas(spark):
+    """The idf, the FTRL steps, and the temperature, a coordinate at a time."""
+    rows = [(k, prose(k, 25, STEMS[lang]), lang) for k in range(90) for lang in [list(STEMS)[k % 3]]]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learn = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    df = sum((langid.counts(t) > 0).astype(int) for _, t, _ in learn)
+    assert np.allclose(model.idf, np.log((1 + len(learn)) / (1 + df)) + 1)
+    data = [(*model.vector(langid.counts(t)), model.languages.index(lang)) for _, t, lang in sorted(learn, key=lambda r: (r[2], r[0]))]
+    held, data = data[::5], [d for k, d in enumerate(data) if k % 5]
+    z, n, order = {}, {}, np.random.default_rng(7)
+
+    def weight(j, c):
+        x = z.get((j, c), 0.0)
+        return 0.0 if abs(x) <= langid.L1 else -(x - math.copysign(langid.L1, x)) / ((langid.BETA + math.sqrt(n.get((j, c), 0.0))) / langid.ALPHA + langid.L2)
+
+    for _ in range(langid.EPOCHS):
+        for i in order.permutation(len(data)):
+            at, w, y = data[i]
+            x = [*zip(at.tolist(), w.tolist(), strict=True), (langid.DIM, 1.0)]
+            now = {(j, c): weight(j, c) for j, _ in x for c in range(3)}
+            s = [sum(v * now[j, c] for j, v in x) for c in range(3)]
+            p = [math.exp(v - max(s)) for v in s]
+            p = [v / sum(p) for v in p]
+            for j, v in x:
+                for c in range(3):
+                    g = v * (p[c] - (c == y))
+                    old = n.get((j, c), 0.0)
+                    z[j, c] = z.get((j, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / langid.ALPHA * now[j, c]
+                    n[j, c] = old + g * g
+    want = np.array([[weight(j, c) for c in range(3)] for j in sorted({j for j, _ in z})])
+    got = np.vstack([model.weights, model.bias])[sorted({j for j, _ in z})]
+    assert np.allclose(got, want, atol=1e-5)
+    loss = lambda t: -sum(math.log(np.exp(s / t)[y] / np.exp(s / t).sum()) for at, w, y in held for s in [model.logits(at, w)])
+    assert loss(model.temperature) <= min(map(loss, np.geomspace(0.05, 20, 61))) + 1e-6
+
+
+def test_a_bounded_number_of_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = [(k, prose(k, 20), f"dirty{k}" if k % 3 == 0 else "en" if k % 3 == 1 else "de") for k in range(60)]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["de", "en"]
+
+
 def test_counts_of_chunks_add_up(monkeypatch):
     text = prose(3, 400) + " ñandú 😀"
     whole = langid.counts(text)
@@ -214,6 +256,48 @@ def test_second_writer_of_a_version_fails(spark, tmp_path):
     assert a.versions() == [1]
 
 
+def test_a_crash_between_two_steps_of_a_commit(spark, tmp_path):
+    """A writer that dies before its commit file is in place, and a torn commit file, stop no one."""
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(20)], "doc_id long, text string")
+    store.append(docs, F.col("doc_id"))
+
+    def dies(spark, made, to):
+        raise KeyboardInterrupt
+
+    dying = sharding.ShardStore(spark, f"file://{tmp_path}/s", put=dies)
+    with pytest.raises(KeyboardInterrupt):
+        dying.append(docs, F.col("doc_id"))
+    assert store.versions() == [1] and store.read().count() == 20
+    (tmp_path / "s" / "commits" / "00000002").write_bytes(b"")
+    assert store.versions() == [1] and store.read().count() == 20
+    assert store.append(docs, F.col("doc_id")) == 3
+    assert store.compact() == 4
+    assert store.versions() == [1, 3, 4] and store.read().count() == 40 and store.expire().count() > 0
+
+
+def test_names_that_the_store_uses(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "some text", f"s{k}", k * 10, "b", "r") for k in range(30)], "doc_id long, text string, __SHARD string, __arrival long, __batch string, __run_ string")
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", base=16, target=64)
+    for _ in range(2):
+        store.append(docs, F.floor(F.col("doc_id") / 3))
+        store.compact()
+    got = Counter(map(tuple, store.read().select(*docs.columns).collect()))
+    assert got == Counter({tuple(r): 2 for r in docs.collect()})
+
+
+def test_later_rounds_merge_merged_shards(spark, tmp_path):
+    """Runs of an upper tier hold shards that an earlier compaction made; every size stays within its tier's target."""
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", base=100, fan=4, target=1600)
+    rounds = []
+    for part in range(6):
+        store.append(spark.createDataFrame([(100 * part + k, "x" * 30) for k in range(8)], "doc_id long, text string"), F.col("doc_id"))
+        store.compact()
+        rounds.append({(r.shard, r.n_rows) for r in store.manifest().collect()})
+    assert any(n > 8 for _, n in rounds[-1]) and store.read().count() == 48
+    assert sum(n for _, n in rounds[-1]) == 48
+
+
 def test_empty_store(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
     store.append(empty(spark), F.col("doc_id"))

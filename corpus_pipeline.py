@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lispmill.llm import decontaminate, packing, secrets, shingle_join, toxicity
 from lispmill.llm.common import shared_dir, table
 
-#: Of the near-duplicate stage: words of a shingle, and the Jaccard similarity of shingles that links.
+#: Of the near-duplicate stage: words of a shingle, and the Jaccard similarity of shingles that links. SimHash's Gray index names
+#: the candidates, every link is verified, and an exact join adds the links that fingerprints cannot tell.
 SHINGLE, SIMILARITY = 5, 0.8
 
 

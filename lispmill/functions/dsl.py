@@ -154,13 +154,30 @@ def pairs_of(vector: Column) -> Column:
 def reaching(defs: DataFrame) -> DataFrame:
     """(path, bad): of (path, name, bad, uses) definitions, the names that are bad or reach one through the names they use.
 
-    A file's definitions meet in one row, and as many rounds as it has definitions close them."""
+    A file's definitions meet in one row. They are closed in rounds, at most as many as there are definitions; once a round
+    adds no name, the rest costs nothing."""
     own = F.array_sort(F.collect_list(F.struct("name", "bad", "uses")))
     first_ = lambda d: F.transform(F.filter(d, lambda x: x["bad"]), lambda x: x["name"])
     grown = lambda d, s: F.array_union(s, F.transform(F.filter(d, lambda x: F.arrays_overlap(x["uses"], s)), lambda x: x["name"]))
     files = defs.groupBy("path").agg(own.alias("d")).where(F.exists("d", lambda x: x["bad"]))
     d = F.col("d")
-    return files.select("path", F.aggregate(F.sequence(F.lit(1), F.size(d)), first_(d), lambda s, _: grown(d, s)).alias("bad"))
+    state = lambda names, before: F.struct(names.alias("names"), before.alias("before"))
+    step = lambda s, _: F.when(F.size(s["names"]) == s["before"], s).otherwise(state(grown(d, s["names"]), F.size(s["names"])))
+    return files.select("path", F.aggregate(F.sequence(F.lit(1), F.size(d)), state(first_(d), F.lit(-1)), step, lambda s: s["names"]).alias("bad"))
+
+
+def deepest(entries: Column, value: Callable[[Column, Column], Column]) -> Column:
+    """The greatest ``value(entry, its parent's value)`` over a subtree in document order (null for the first one's parent).
+
+    Only the line of entries above the current one is kept, so a step costs the depth and not the size."""
+    zero = F.struct(F.array().cast("array<int>").alias("line"), F.lit(None).cast("int").alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        own = value(x, F.get(s["line"], x["d"] - 1)).cast("int")
+        line = F.concat(F.slice(s["line"], F.lit(1), x["d"]), F.array(own))
+        return F.struct(line.alias("line"), F.greatest(s["best"], own).alias("best"))
+
+    return F.aggregate(entries, zero, step, lambda s: s["best"])
 
 
 FINDING = "struct<rule_id:string,message:string,line:int,col:int,severity:string>"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lispmill.functions.dsl import (
-    the_head, is_list, the_kids, the_path, the_sub, any_of, body, call, first, found, inside, is_call, is_number, is_symbol, kid, kid_of, kids_from, kids_of, last_kid, last_of, local, no, pairs_of, parameters, plain_parameter, reaching, some, space, text, under, where, yes,
+    the_head, is_list, the_kids, the_path, the_sub, any_of, body, call, deepest, first, found, inside, is_call, is_number, is_symbol, kid, kid_of, kids_from, kids_of, last_kid, last_of, local, no, pairs_of, parameters, plain_parameter, reaching, some, space, text, under, where, yes,
 )
 from lispmill.operators.registry import HINT, INFO, TRADITIONAL, WARNING, row_rule, table_rule
 
@@ -89,14 +89,14 @@ def comments(report_todo: bool, report_fixme: bool, report_empty: bool, report_r
 def call_depth() -> Column:
     """The deepest chain of calls below the node; vectors, maps and lambdas are passed through, other nodes end it."""
 
-    def deepen(s: Column, x: Column) -> Column:
-        up = F.when(x["p"] <= 0, F.lit(0)).otherwise(F.get(s, x["p"]))
+    def depth(x: Column, up: Column) -> Column:
         through = x["t"].isin("List", "Vector", "Map", "FnLiteral")
-        head = first(F.filter(the_sub(), lambda y: (y["p"] == x["i"]) & (y["k"] == 0)))
-        counted = (x["t"] == "List") & (x["h"].isNotNull() | yes(head["t"] == "Keyword"))
-        return F.concat(s, F.array(F.when(x["i"] == 0, F.lit(0)).when(up < 0, F.lit(-1)).when(counted, up + 1).when(through, up).otherwise(F.lit(-1))))
+        # in document order a list's first member comes right behind it
+        head = F.get(the_sub(), x["i"] + 1)
+        counted = (x["t"] == "List") & (x["h"].isNotNull() | yes((x["n"] > 0) & (head["t"] == "Keyword")))
+        return F.when(x["i"] == 0, F.lit(0)).when(up < 0, F.lit(-1)).when(counted, up + 1).when(through, up).otherwise(F.lit(-1))
 
-    return F.array_max(F.aggregate(the_sub(), F.array().cast("array<int>"), deepen))
+    return deepest(the_sub(), depth)
 
 
 @row_rule("deeply-nested", TRADITIONAL, WARNING, "Function bodies with deep call stacks.", max_depth=15)
@@ -291,11 +291,7 @@ def long_parameters(max_parameters: int) -> Column:
 
 @row_rule("message-chains", TRADITIONAL, WARNING, "Long chains of access.", max_length=7)
 def message_chains(max_length: int) -> Column:
-    def deepen(s: Column, x: Column) -> Column:
-        up = F.when(x["i"] == 0, F.lit(1)).when((x["k"] == 1) & is_call(x, "get") & (F.get(s, x["p"]) > 0), F.get(s, x["p"]) + 1).otherwise(F.lit(0))
-        return F.concat(s, F.array(F.coalesce(up, F.lit(0))))
-
-    gets = F.array_max(F.aggregate(the_sub(), F.array().cast("array<int>"), deepen))
+    gets = deepest(the_sub(), lambda x, up: F.when(x["i"] == 0, F.lit(1)).when(yes((x["k"] == 1) & is_call(x, "get") & (up > 0)), up + 1).otherwise(F.lit(0)))
     step = lambda x: (x["t"] == "Keyword") | is_call(x, "get", "get-in", ".")
     steps = F.size(where(kids_from(2), step))
     return F.coalesce(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lispmill.functions.dsl import (
-    the_head, is_list, the_kids, the_path, the_sub, all_of, any_of, call, first, FINDING, found, inside, is_call, is_number, is_symbol, kid, kid_of, kids_from, kids_of, last_of, local, no, pairs_of, parameters, plain_parameter, reaching, some, space, text, under, where, yes,
+    the_head, is_list, the_kids, the_path, the_sub, all_of, any_of, call, deepest, first, FINDING, found, inside, is_call, is_number, is_symbol, kid, kid_of, kids_from, kids_of, last_of, local, no, pairs_of, parameters, plain_parameter, reaching, some, space, text, under, where, yes,
 )
 from lispmill.operators.registry import CLOJURE, HINT, INFO, WARNING, reads_deeply, row_rule, table_rule
 
@@ -402,12 +402,8 @@ def thread_ignorance(min_let_chain: int, min_nesting_depth: int) -> Column:
     chain = runs_of(pairs, lambda p: is_symbol(p["name"]), lambda b, p: (p["value"]["t"] == "List") & some(kids_of(p["value"]), lambda y: is_symbol(y) & (y["v"] == b["name"]["v"])) & (uses(b) == 2))["best"]
     named = lambda x: is_call(x, *CANDIDATES)
 
-    # levels[i]: candidates on the path from the node to an entry; parents come before children
-    def deepen(s: Column, x: Column) -> Column:
-        up = F.when(x["i"] == 0, F.lit(0)).otherwise(F.get(s, x["p"]))
-        return F.concat(s, F.array(F.when(yes(named(x)), up + 1).when(yes(x["t"] == "List"), F.lit(-99)).otherwise(up)))
-
-    nested = F.array_max(F.aggregate(the_sub(), F.array().cast("array<int>"), deepen))
+    # candidates on the path from the node to an entry, which another call ends
+    nested = deepest(the_sub(), lambda x, up: F.when(yes(named(x)), F.coalesce(up, F.lit(0)) + 1).when(yes(x["t"] == "List"), F.lit(-99)).otherwise(F.coalesce(up, F.lit(0))))
     return F.coalesce(
         F.when(call("let") & (kid(1)["t"] == "Vector") & (kid(1)["n"] >= 2 * min_let_chain), found("thread-ignorance", HINT, chain >= min_let_chain + 1, text(chain, " bindings each feed only the next one; threading says it in one form."))),
         F.when(call(*CANDIDATES), found("thread-ignorance", HINT, nested >= min_nesting_depth, text(nested, " calls inside each other read from the inside out."))),

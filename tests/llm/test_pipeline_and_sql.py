@@ -9,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from lispmill.llm import registry
+from tests.llm.helpers import awkward, clashing, prose
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -48,3 +49,20 @@ def test_empty_tables(spark, tmp_path):
         spark.createDataFrame([], spec).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, q in registry.queries().items():
         assert q(spark, str(tmp_path)).count() == 0, name
+
+
+def test_awkward_rows_through_all_stages(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and columns of names that stages use for their own."""
+    docs = clashing(awkward(spark, [prose(k, 60) for k in range(6)] + [prose(3, 60) + " more"]), "sig", "root", "length", "_spans", "score", "cell", "least")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1, None), (100, None, 1), (101, 0, 0), (None, 1, 1), (10**6, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (None, prose(5, 60))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, str(tmp_path))
+        assert df.columns == docs.columns, name
+    kept = [r.doc_id for r in df.collect()]
+    # of equal and of near texts the least id stays; a leaked document goes
+    assert sorted(i for i in kept if i is not None and i >= 100) == [100, 101, 102, 103, 104] and 1 in kept and 2 not in kept and 4 in kept and kept.count(5) == 1 and None in kept
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == set(kept)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -27,6 +29,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the machine: workers live on, and what they hold adds up over stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def values(column: pa.Array) -> Iterator:
     """Python values one at a time, so that a batch is never held twice."""
     for x in column:
@@ -75,6 +84,8 @@ def map_rows(df: DataFrame, columns: list[str], rows: Callable[[Iterator[tuple]]
                 out, size = [], 0
         if out:
             yield to_batch(out, schema)
+        out.clear()
+        trim()
 
     return df.select(*columns).mapInArrow(run, spec)
 

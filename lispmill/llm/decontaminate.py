@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lispmill.llm.common import cut, map_rows, table, values
+from lispmill.llm.common import cut, map_rows, table, trim, values
 
 WORD, NO_WORD = re.compile(r"[^\W_]+"), re.compile(r"[\W_]")
 K1, B = 1.2, 0.75
@@ -335,6 +335,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             for b in batches:
                 mask = [not found for _, found in leaks(values(b.column(at)), parts, threshold, overlap)]
                 yield b.filter(pa.array(mask, pa.bool_()))
+            trim()
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

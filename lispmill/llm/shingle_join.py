@@ -28,17 +28,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lispmill.llm.common import cut, map_rows
+from lispmill.llm.common import cut, map_rows, trim
 from lispmill.llm.simhash import DISTANCE, SEED, WORD, components, keep_least, links, majority, own_key, signed, with_key
 
 #: Buckets of the sketch, and of a row of it.
 BUCKETS, ROW = 1 << 18, 1 << 12
 #: Partners that the fingerprint index names for each of a cell, and neighbours by size in the rounds of the exact join.
 PARTNERS, NEIGHBOURS = 2, (3, 24)
+#: Neighbours by size with which a member of a cell is compared before it counts as one that fits another.
+TRIED = 64
 #: The most rows that a join broadcasts (a bound of some 32 MB, whatever the corpus).
 BROADCAST = 1 << 20
 #: Words whose hashes a task remembers, and sets that it remembers having seen.
-KNOWN = 1 << 17
+KNOWN = 1 << 16
 
 _hashes: dict[bytes, int] = {}
 
@@ -68,6 +70,12 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(out)
 
 
+def _done() -> None:
+    """A task's words are forgotten with it."""
+    _hashes.clear()
+    trim()
+
+
 def bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
@@ -86,6 +94,7 @@ def _first_pass(keyed: DataFrame, columns: list[str], shingle: int) -> tuple[Dat
         for r in range(0, BUCKETS, ROW):
             if seen[r : r + ROW].any():
                 yield None, None, None, None, r // ROW, seen[r : r + ROW].tobytes()
+        _done()
 
     def total(part: Iterator[tuple]) -> Iterator[tuple]:
         sums: dict[int, np.ndarray] = {}
@@ -107,7 +116,7 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 
 def _shared(keyed: DataFrame, text_col: str, shingle: int, least: float, counts: np.ndarray) -> DataFrame:
-    """(cell, sig, n, at): the prefixes of all sets, without cells of one set."""
+    """(cell, sig, n, at): the prefixes of all sets, without most members that fit no other one of their cell."""
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # most copies go before the shuffle, so a cell gets a set about once from each task
@@ -129,24 +138,34 @@ def _shared(keyed: DataFrame, text_col: str, shingle: int, least: float, counts:
                         c.append(v.astype(np.int64))
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["cell", "sig", "n", "at"])
+        _done()
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition sorted by cell, size and set, without sets named twice and cells of one set; a row or two are held."""
-        rest: list[np.ndarray] = [np.empty(0, np.int64)] * 4
-        rest_alone = True
+        """Of a partition sorted by cell, size and set: the rows that fit another one of their cell, and all of cells above
+        ``TRIED``. The rows of a batch's last cell wait for the next batch, ``TRIED`` of them at most."""
+        rest, large = [np.empty(0, np.int64)] * 4, False
 
         def part(cols: list[np.ndarray], ends: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal rest, rest_alone
-            cell, sig = cols[0], cols[1]
-            fresh = np.r_[True, (cell[1:] != cell[:-1]) | (sig[1:] != sig[:-1])]
-            cols = [c[fresh] for c in cols]
-            cell = cols[0]
-            like = cell[1:] == cell[:-1]
-            keep = np.r_[not rest_alone, like] | np.r_[like, False]
-            out = len(cell) if ends else len(cell) - 1
-            if keep[:out].any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[:out][keep[:out]]) for c in cols], names=["cell", "sig", "n", "at"])
-            rest, rest_alone = [c[out:] for c in cols], not (len(like) and like[-1]) if len(cell) > 1 else rest_alone
+            nonlocal rest, large
+            fresh = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
+            cell, sig, n, at = cols = [c[fresh] for c in cols]
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            sizes = np.diff(np.r_[starts, len(cell)])
+            big = sizes > TRIED
+            big[0] |= large
+            keep = np.repeat(big, sizes)
+            for d in range(1, min(TRIED, int(sizes[~big].max(initial=1)) - 1) + 1):
+                j = np.flatnonzero(cell[d:] == cell[:-d]) + d
+                j = j[~(keep[j] & keep[j - d])]
+                j = j[fits(n, at, j - d, j, least)]
+                keep[j] = keep[j - d] = True
+            out = len(cell) if ends else max(starts[-1], len(cell) - TRIED)
+            large = bool(big[-1]) and not ends
+            ok = keep[:out]
+            ok[starts[-1] :] = big[-1] if not ends else ok[starts[-1] :]
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[:out][ok]) for c in cols], names=["cell", "sig", "n", "at"])
+            rest = [c[out:] for c in cols]
 
         for b in batches:
             if b.num_rows:
@@ -203,20 +222,6 @@ def _all_left(live: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets are as similar as ``least``."""
-
-    def check(part: Iterator[tuple]) -> Iterator[tuple]:
-        for a, b, x, y in part:
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            if shared >= least * (len(x) + len(y) - shared) - 1e-6:
-                yield a, b
-
-    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y")), "b")
-    return map_rows(both, ["a", "b", "x", "y"], check, "a long, b long")
-
-
 def similar(docs: DataFrame, shingle: int, least: float, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, DataFrame, DataFrame]:
     """(rows with a key, the key's name, (id, k, sig) of the rows, (sig, own, root) of the sets): the links' components.
 
@@ -231,28 +236,44 @@ def similar(docs: DataFrame, shingle: int, least: float, distance: int = DISTANC
     near = links(of.select("fp"), distance, PARTNERS)
     first = of.select("fp", "least")
     near = near.join(first.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
-    pairs = cut(own.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
-    shared = _shared(keyed, text_col, shingle, least, counts)
-    used = cut(shared.select("sig").union(pairs.select("a")).union(pairs.select("b")).distinct())
-    of_used = cut(nodes.join(_small(used, used.count()), "sig", "left_semi").select(F.col("own.id").alias("_id"), F.col("own.k").alias("_k")))
-
-    def sets_of(part: Iterator[tuple]) -> Iterator[tuple]:
-        for (text,) in part:
-            h = shingle_set(text, shingle).tobytes()
-            yield signed(xxhash.xxh64_intdigest(h, SEED)), h
-
-    few = keyed.join(_small(of_used, of_used.count()), keyed[id_col].eqNullSafe(F.col("_id")) & (keyed[key] == F.col("_k")), "left_semi")
-    sets = cut(map_rows(few, [text_col], sets_of, "sig long, hashes binary").groupBy("sig").agg(F.first("hashes").alias("hashes")))
+        def batch() -> pa.RecordBatch:
+            sigs = pa.array([signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in held], pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, held)]), pa.int32()), pa.array(np.concatenate(held).view(np.int64)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([sigs, lists], names=["sig", "hashes"])
 
-    roots = components(_verified(pairs, sets, least))
+        for b in batches:
+            for text in b.column(0):
+                text = text.as_py()
+                held.append(shingle_set(text.encode() if isinstance(text, str) else text, shingle))
+                if sum(map(len, held[-8:])) > 1 << 17 or len(held) >= 256:
+                    yield batch()
+        if held:
+            yield batch()
+        _done()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets are as similar as ``least``; only the sets that they name are made again and shuffled."""
+        pairs = cut(pairs)
+        named = cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "sig"))
+        of_named = cut(nodes.join(_small(named, named.count()), "sig", "left_semi").select(F.col("own.id").alias("_id"), F.col("own.k").alias("_k")))
+        few = keyed.join(_small(of_named, of_named.count()), keyed[id_col].eqNullSafe(F.col("_id")) & (keyed[key] == F.col("_k")), "left_semi")
+        sets = few.select(text_col).mapInArrow(sets_of, "sig long, hashes array<long>").dropDuplicates(["sig"])
+        both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y")), "b")
+        return both.where(F.size(F.array_intersect("x", "y")) * (1 + least) >= (F.size("x") + F.size("y")) * least - 2e-6).select("a", "b")
+
+    roots = components(verified(own.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))))
+    shared = _shared(keyed, text_col, shingle, least, counts)
     for most in (*NEIGHBOURS, 0):
         labelled = shared.join(_small(roots, roots.count()), shared["sig"] == roots["node"], "left").select("cell", "sig", "n", "at", F.coalesce("root", "sig").alias("label"))
         mixed = labelled.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cell")
         live = cut(labelled.join(mixed, "cell", "left_semi"))
         if live.isEmpty():
             break
-        found = _verified(_neighbours(live, most, least) if most else _all_left(live, least), sets, least)
+        found = verified(_neighbours(live, most, least) if most else _all_left(live, least))
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
     joined = nodes.join(roots, nodes["sig"] == roots["node"], "left").select("sig", "own", F.coalesce("root", "sig").alias("root"))
     return keyed, key, rows, joined

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lispmill.llm.common import bucket_of, cut, map_rows, table, values
+from lispmill.llm.common import bucket_of, cut, map_rows, table, trim, values
 
 EXAMPLES, GRAMS = 2000, (4, 5, 6, 7, 8)
 NEIGHBOURS, BLOCK, CUT = 15, 32, 0.3
@@ -280,6 +280,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         model.ready()
         for b in batches:
             yield b.filter(pa.array([model.score(t)[0] < CUT for t in values(b.column(at))], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -38,6 +38,7 @@ def test_links_exactly_the_similar(spark, monkeypatch, neighbours, one_task):
     """Edits spread pairs on both sides of 0.8; texts of two shingles differ in one word; few rounds leave the most to the last."""
     monkeypatch.setattr(shingle_join, "NEIGHBOURS", neighbours)
     monkeypatch.setattr(simhash, "ONE_TASK", one_task)
+    monkeypatch.setattr(shingle_join, "TRIED", 64 if one_task else 2)
     r = random.Random(5)
     texts = ["one two three four five six", "one two three four five seven", "one two three four"]
     for k in range(120):

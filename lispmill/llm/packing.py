@@ -32,7 +32,7 @@ from lispmill.llm.common import cut, map_rows, table
 
 CAPACITY, END_ID = 4096, 1
 #: Different parts that a worker keeps the ids of (about 200 bytes each); beyond them a text's rare words are encoded anew.
-CACHED = 600_000
+CACHED = 300_000
 #: Runs that are broadcast at most (about 50 bytes each); a longer plan is joined by a shuffle.
 BROADCAST_RUNS = 100_000
 _encoders: dict[str, WordEncoder] = {}

@@ -281,7 +281,7 @@ def long_function(max_lines: int) -> Column:
     return F.when(call("defn"), found("long-function", WARNING, span > max_lines, text("'", kid(1)["v"], "' has ", span, " lines, more than ", F.lit(max_lines), ".")))
 
 
-@row_rule("long-parameter-list", TRADITIONAL, WARNING, "Functions with many parameters.", max_parameters=9)
+@row_rule("long-parameter-list", TRADITIONAL, WARNING, "Functions with many parameters.", heads=("defn",), max_parameters=9)
 def long_parameters(max_parameters: int) -> Column:
     p = F.when(kid(2)["t"] == "Vector", kid(2)).when((kid(2)["t"] == "String") & (kid(3)["t"] == "Vector"), kid(3))
     own = kids_of(p)
@@ -325,7 +325,7 @@ def positional_returns() -> Column:
     return F.when(call("defn", "fn") & (F.col("n") >= F.when(the_head() == "fn", 3).otherwise(4)), found("positional-return-values", WARNING, bad, "Function returns a collection whose elements are told by position. Consider a map.", tail))
 
 
-@row_rule("primitive-obsession", TRADITIONAL, HINT, "Parameters that are all primitive.", run=8)
+@row_rule("primitive-obsession", TRADITIONAL, HINT, "Parameters that are all primitive.", heads=("defn", "defn-", "defrecord"), run=8)
 def primitive_obsession(run: int) -> Column:
     """Exactly two plain parameters of a function, or a run of them; a parameter without a type counts as primitive."""
     at = F.lit(2) + (kid(2)["t"] == "String").cast("int")

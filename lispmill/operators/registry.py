@@ -23,6 +23,8 @@ class Rule:
     row: Callable[[dict[str, Any]], Column] | None = None
     table: Callable[[DataFrame, dict[str, Any]], DataFrame] | None = None
     options: dict[str, Any] = field(default_factory=dict)
+    #: The only heads of lists that a row rule judges; None: it judges other nodes too.
+    heads: tuple[str, ...] | None = None
 
 
 RULES: dict[str, Rule] = {}
@@ -40,16 +42,22 @@ def _add(rule: Rule) -> None:
     RULES[rule.id] = rule
 
 
-def row_rule(rule_id: str, group: str, severity: str, description: str, **options: Any):
-    """Registers a function that takes the rule's options and gives a nullable finding column."""
+def row_rule(rule_id: str, group: str, severity: str, description: str, heads: tuple[str, ...] | None = None, **options: Any):
+    """Registers a function that takes the rule's options and gives a nullable finding column, null for all nodes but lists
+    with one of the ``heads``, if these are given."""
 
     def take(f: Callable[..., Column]) -> Callable[..., Column]:
-        _add(Rule(rule_id, group, severity, description, row=lambda given: f(**{**options, **given}), options=options))
+        _add(Rule(rule_id, group, severity, description, row=lambda given: f(**{**options, **given}), options=options, heads=heads))
         return f
 
     return take
 
 
+def heads_of(rules: list[Rule]) -> frozenset[str] | None:
+    """The heads of lists that these rules judge, or None if one of them judges other nodes too."""
+    return None if any(r.heads is None for r in rules) else frozenset(h for r in rules for h in r.heads or ())
+
+
 def table_rule(rule_id: str, group: str, severity: str, description: str, **options: Any):
     """Registers a function that takes the node table and the options and gives findings."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lispmill.operators import design, scopes
-from lispmill.operators.registry import RULES
+from lispmill.operators.registry import RULES, heads_of
 from lispmill.plans import analyze, corpora, report, stats
 from lispmill.sources import files
 
@@ -32,9 +32,11 @@ def query(name: str, sql: str | None = None):
     return take
 
 
-def _nodes(sources: DataFrame, whole: bool = False) -> DataFrame:
-    """The node table; reading text costs far more than its bytes suggest, so it is spread over all cores first."""
-    return files.nodes(sources.repartition(2 * sources.sparkSession.sparkContext.defaultParallelism), whole)
+def _nodes(sources: DataFrame, whole: bool = False, rules: list[str] | None = None) -> DataFrame:
+    """The node table (of what the given rules judge); reading text costs far more than its bytes suggest, so it is spread over
+    all cores first, by its hash, as dealing in turns sorts all rows."""
+    spread = sources.repartition(2 * sources.sparkSession.sparkContext.defaultParallelism, "path", "text")
+    return files.nodes(spread, whole, heads_of([RULES[r] for r in rules]) if rules else None)
 
 
 def _rule_query(rule: str) -> Query:
@@ -62,8 +64,8 @@ def rule_duplicated_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.findings(nodes, analyze.ALL, ["duplicated-code"]).select("rule_id", "path", "line", "message")
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(corpora.orders_corpus(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")))
+def _orders(spark: SparkSession, sf_dir: str, rules: list[str] | None = None) -> DataFrame:
+    return _nodes(corpora.orders_corpus(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")), rules=rules)
 
 
 _PER_ORDER = "SELECT o_orderkey, count(*)::INTEGER AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"
@@ -72,12 +74,14 @@ _PER_ORDER = "SELECT o_orderkey, count(*)::INTEGER AS n FROM orders JOIN lineite
 @query("flagship_summary", "SELECT 'long-parameter-list' AS rule_id, count(*) FILTER (n > 9)::BIGINT AS count FROM (" + _PER_ORDER + ") HAVING count(*) FILTER (n > 9) > 0 UNION ALL SELECT 'primitive-obsession', count(*) FILTER (n >= 8 OR n = 2)::BIGINT FROM (" + _PER_ORDER + ") HAVING count(*) FILTER (n >= 8 OR n = 2) > 0")
 def flagship_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan, parse, detect, sort and count: long parameter lists over a function per order."""
-    return analyze.summary(analyze.findings(_orders(spark, sf_dir), analyze.ALL, ["long-parameter-list", "primitive-obsession"]))
+    rules = ["long-parameter-list", "primitive-obsession"]
+    return analyze.summary(analyze.findings(_orders(spark, sf_dir, rules), analyze.ALL, rules))
 
 
 @query("findings_sorted", f"SELECT 'src/o' || o_orderkey || '.clj' AS path, 1::INTEGER AS line, 'long-parameter-list' AS rule_id, 'WARNING' AS severity FROM ({_PER_ORDER}) WHERE n > 9 ORDER BY 1, 2")
 def findings_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = analyze.findings(_orders(spark, sf_dir), analyze.ALL, ["long-parameter-list"])
+    rules = ["long-parameter-list"]
+    found = analyze.findings(_orders(spark, sf_dir, rules), analyze.ALL, rules)
     return analyze.ordered(found).select("path", "line", "rule_id", "severity")
 
 

@@ -9,9 +9,10 @@ that stand in different components so far. Shingles are ordered by how often a c
 bucket, rarest first, with ties by the hash. Of two sets of similarity ``least`` or more, the first shared shingle under
 any such order is among the first ``n - ceil(least * n) + 1`` of both, so each set goes to the cells of these shingles
 only. A pair of a cell is a candidate if its sizes allow the similarity and if enough shingles are left behind the two
-places. In rounds each member of a cell is tried with its neighbours by size, first few, then more; cells whose members are
-all in one component drop out. The last round joins what differs from its cell's commonest component with the whole
-cell, so no pair at or above ``least`` stays unlinked and large groups of near copies never become all their pairs.
+places. In rounds each member of a cell is tried with its neighbours by size, first few, then more; a round reads the cells
+where they lie, and no pair is verified twice. Cells so small that a round has tried all their pairs are done with. Of the
+rest the last round takes those of several components and joins what differs from its cell's commonest component with the
+whole cell, so no pair at or above ``least`` stays unlinked and large groups of near copies never become all their pairs.
 
 Nothing of the size of the corpus reaches the driver. Null and empty texts have the empty set and are alike. Rows of a
 null id are told apart by their texts. Repeated rows are one. Empty tables give empty results; columns of any name are kept.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lispmill.llm.common import cut, map_rows, trim
-from lispmill.llm.simhash import DISTANCE, SEED, WORD, components, keep_least, links, majority, own_key, signed, with_key
+from lispmill.llm.simhash import BROADCAST, DISTANCE, SEED, WORD, components, keep_least, links, majority, own_key, signed, with_key
 
 #: Buckets of the sketch, and of a row of it.
 BUCKETS, ROW = 1 << 18, 1 << 12
@@ -37,8 +38,6 @@ BUCKETS, ROW = 1 << 18, 1 << 12
 PARTNERS, NEIGHBOURS = 2, (3, 24)
 #: Neighbours by size with which a member of a cell is compared before it counts as one that fits another.
 TRIED = 64
-#: The most rows that a join broadcasts (a bound of some 32 MB, whatever the corpus).
-BROADCAST = 1 << 20
 #: Words whose hashes a task remembers, and sets that it remembers having seen.
 KNOWN = 1 << 16
 
@@ -116,7 +115,8 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 
 def _shared(keyed: DataFrame, text_col: str, shingle: int, least: float, counts: np.ndarray) -> DataFrame:
-    """(cell, sig, n, at): the prefixes of all sets, without most members that fit no other one of their cell."""
+    """(cell, sig, n, at, m): the prefixes of all sets, without most members that fit no other one of their cell. A cell's rows
+    lie together in one partition, by size and set; m is how many they are, and above ``TRIED`` says that they are more."""
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # most copies go before the shuffle, so a cell gets a set about once from each task
@@ -142,7 +142,7 @@ def _shared(keyed: DataFrame, text_col: str, shingle: int, least: float, counts:
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of a partition sorted by cell, size and set: the rows that fit another one of their cell, and all of cells above
-        ``TRIED``. The rows of a batch's last cell wait for the next batch, ``TRIED`` of them at most."""
+        ``TRIED``, with how many these are. The rows of a batch's last cell wait for the next batch, ``TRIED`` of them at most."""
         rest, large = [np.empty(0, np.int64)] * 4, False
 
         def part(cols: list[np.ndarray], ends: bool) -> Iterator[pa.RecordBatch]:
@@ -164,7 +164,8 @@ def _shared(keyed: DataFrame, text_col: str, shingle: int, least: float, counts:
             ok = keep[:out]
             ok[starts[-1] :] = big[-1] if not ends else ok[starts[-1] :]
             if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[:out][ok]) for c in cols], names=["cell", "sig", "n", "at"])
+                m = np.repeat(np.where(big, TRIED + 1, np.add.reduceat(keep.astype(np.int64), starts)), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(c[:out][ok]) for c in (*cols, m)], names=["cell", "sig", "n", "at", "m"])
             rest = [c[out:] for c in cols]
 
         for b in batches:
@@ -176,7 +177,7 @@ def _shared(keyed: DataFrame, text_col: str, shingle: int, least: float, counts:
     spec = "cell long, sig long, n long, at long"
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     made = keyed.select(text_col).mapInArrow(postings, spec)
-    return cut(made.repartition(n, "cell").sortWithinPartitions("cell", "n", "sig").mapInArrow(several, spec))
+    return cut(made.repartition(n, "cell").sortWithinPartitions("cell", "n", "sig").mapInArrow(several, f"{spec}, m long"))
 
 
 def fits(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
@@ -185,8 +186,25 @@ def fits(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, least: flo
     return (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-6) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need)
 
 
-def _neighbours(live: DataFrame, most: int, least: float) -> DataFrame:
-    """Candidates (a, b) of (cell, sig, n, at, label): each member with the next ``most`` of its cell by size, if of another label."""
+def _labelled(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``shared`` with the label of each set's component so far; cells stay where they lie, or are dealt again if the labels are too
+    many to broadcast."""
+    n = roots.count()
+    out = shared.join(_small(roots, n), shared["sig"] == roots["node"], "left").select("cell", "sig", "n", "at", "m", F.coalesce("root", "sig").alias("label"))
+    if n <= BROADCAST:
+        return out
+    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(parts, "cell").sortWithinPartitions("cell", "n", "sig")
+
+
+def _untried(labelled: DataFrame, most: int) -> DataFrame:
+    """The rows of cells that have more pairs than those of a member with the next ``most``."""
+    return labelled.where((F.col("m") > most + 1) | (F.col("m") > TRIED))
+
+
+def _neighbours(labelled: DataFrame, past: int, most: int, least: float) -> DataFrame:
+    """Candidates (a, b) of (cell, sig, n, at, label), whose cells lie together: each member with those of its cell that come
+    behind the next ``past`` and among the next ``most`` by size, if of another label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None  # the last rows of the batch before
@@ -195,7 +213,7 @@ def _neighbours(live: DataFrame, most: int, least: float) -> DataFrame:
             old = 0 if rest is None else len(rest[0])
             cols = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
             cell, sig, n, at, label = cols
-            for d in range(1, min(most, len(cell) - 1) + 1):
+            for d in range(past + 1, min(most, len(cell) - 1) + 1):
                 j = np.arange(max(d, old), len(cell))
                 i = j - d
                 ok = (cell[i] == cell[j]) & (label[i] != label[j])
@@ -206,12 +224,13 @@ def _neighbours(live: DataFrame, most: int, least: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
             rest = [c[-most:] for c in cols]
 
-    parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return live.select("cell", "sig", "n", "at", "label").repartition(parts, "cell").sortWithinPartitions("cell", "n", "sig").mapInArrow(run, "a long, b long").distinct()
+    return labelled.select("cell", "sig", "n", "at", "label").mapInArrow(run, "a long, b long").distinct()
 
 
-def _all_left(live: DataFrame, least: float) -> DataFrame:
+def _all_left(labelled: DataFrame, least: float) -> DataFrame:
     """All candidates (a, b) of different labels: what isn't of its cell's commonest label, with the whole cell."""
+    mixed = labelled.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cell")
+    live = cut(labelled.join(mixed, "cell", "left_semi"))
     by = live.groupBy("cell", "label").count().groupBy("cell").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     told = cut(live.join(by, "cell"))
     x, y = told.where("label <> main").alias("x"), told.alias("y")
@@ -255,9 +274,17 @@ def similar(docs: DataFrame, shingle: int, least: float, distance: int = DISTANC
             yield batch()
         _done()
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are as similar as ``least``; only the sets that they name are made again and shuffled."""
+    tried: list[DataFrame] = []
+
+    def verified(pairs: DataFrame) -> DataFrame | None:
+        """The pairs (a, b) whose sets are as similar as ``least``; only the sets that they name are made again and shuffled. Pairs
+        that were here before are left out; without any other, None."""
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = cut(pairs)
+        if pairs.isEmpty():
+            return None
+        tried.append(pairs)
         named = cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "sig"))
         of_named = cut(nodes.join(_small(named, named.count()), "sig", "left_semi").select(F.col("own.id").alias("_id"), F.col("own.k").alias("_k")))
         few = keyed.join(_small(of_named, of_named.count()), keyed[id_col].eqNullSafe(F.col("_id")) & (keyed[key] == F.col("_k")), "left_semi")
@@ -265,16 +292,18 @@ def similar(docs: DataFrame, shingle: int, least: float, distance: int = DISTANC
         both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y")), "b")
         return both.where(F.size(F.array_intersect("x", "y")) * (1 + least) >= (F.size("x") + F.size("y")) * least - 2e-6).select("a", "b")
 
-    roots = components(verified(own.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))))
-    shared = _shared(keyed, text_col, shingle, least, counts)
-    for most in (*NEIGHBOURS, 0):
-        labelled = shared.join(_small(roots, roots.count()), shared["sig"] == roots["node"], "left").select("cell", "sig", "n", "at", F.coalesce("root", "sig").alias("label"))
-        mixed = labelled.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cell")
-        live = cut(labelled.join(mixed, "cell", "left_semi"))
-        if live.isEmpty():
+    found = verified(own.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
+    roots = components(nodes.limit(0).select(F.col("sig").alias("a"), F.col("sig").alias("b")) if found is None else found)
+    shared, past = _shared(keyed, text_col, shingle, least, counts), 0
+    for most in (*NEIGHBOURS, None):
+        shared = _untried(shared, past)
+        if shared.isEmpty():
             break
-        found = verified(_neighbours(live, most, least) if most else _all_left(live, least))
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+        labelled = _labelled(shared, roots)
+        found = verified(_neighbours(labelled, past, most, least) if most else _all_left(labelled, least))
+        if found is not None:
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+        past = most or past
     joined = nodes.join(roots, nodes["sig"] == roots["node"], "left").select("sig", "own", F.coalesce("root", "sig").alias("root"))
     return keyed, key, rows, joined
 

@@ -42,6 +42,8 @@ CELL = 2048
 #: The most edges whose components one task finds.
 ONE_TASK = 1 << 19
 LEAF, FAN, QUERIES = 16, 8, 256
+#: The most rows that a join broadcasts (a bound of some 32 MB, whatever the corpus).
+BROADCAST = 1 << 20
 
 
 def majority(hashes: Iterator[np.ndarray]) -> int:
@@ -391,7 +393,10 @@ def own_key():
 def keep_least(keyed: DataFrame, key: str, rows: DataFrame, least: DataFrame, id_col: str) -> DataFrame:
     """The rows of ``keyed`` that ``least`` names, one each; ``rows`` has all (id, k)."""
     kept = least.select(F.col("least.id").alias("_kept_id"), F.col("least.k").alias("_kept_key"))
-    stay = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_kept_id"]) & (keyed[key] == kept["_kept_key"]), "left_semi")
+    # the rows that go are fewer than those that stay, so texts are dealt only if even they are too many to broadcast
+    gone = cut(rows.join(kept, rows["id"].eqNullSafe(kept["_kept_id"]) & (rows["k"] == kept["_kept_key"]), "left_anti").select(F.col("id").alias("_gone_id"), F.col("k").alias("_gone_key")))
+    few = F.broadcast(gone) if gone.count() <= BROADCAST else gone
+    stay = keyed.join(few, keyed[id_col].eqNullSafe(few["_gone_id"]) & (keyed[key] == few["_gone_key"]), "left_anti")
     if rows.groupBy("id", "k").count().where("count > 1").isEmpty():
         return stay
     return stay.dropDuplicates([id_col, key])

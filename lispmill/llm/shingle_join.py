@@ -11,8 +11,11 @@ any such order is among the first ``n - ceil(least * n) + 1`` of both, so each s
 only. A pair of a cell is a candidate if its sizes allow the similarity and if enough shingles are left behind the two
 places. In rounds each member of a cell is tried with its neighbours by size, first few, then more; a round reads the cells
 where they lie, and no pair is verified twice. Cells so small that a round has tried all their pairs are done with. Of the
-rest the last round takes those of several components and joins what differs from its cell's commonest component with the
-whole cell, so no pair at or above ``least`` stays unlinked and large groups of near copies never become all their pairs.
+rest the last two rounds take those of several components and hold what differs from its cell's commonest component against
+the whole cell, block by block inside tasks. A set's sketch has the parity of its hashes in some buckets, and two sets differ
+in no fewer hashes than their sketches in buckets, so what a sketch rules out is not similar and never becomes a row. The
+first of these rounds names each member's closest ones only, which joins most of them; the second names all that are left
+between different components, so no pair at or above ``least`` stays unlinked.
 
 Nothing of the size of the corpus reaches the driver. Null and empty texts have the empty set and are alike. Rows of a
 null id are told apart by their texts. Repeated rows are one. Empty tables give empty results; columns of any name are kept.
@@ -22,11 +25,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lispmill.llm.common import cut, map_rows, trim
@@ -38,6 +44,8 @@ BUCKETS, ROW = 1 << 18, 1 << 12
 PARTNERS, NEIGHBOURS = 2, (3, 24)
 #: Neighbours by size with which a member of a cell is compared before it counts as one that fits another.
 TRIED = 64
+#: Of the last rounds: closest ones of a block that a member is tried with before all, the rows of a block, and the bits of a sketch.
+CLOSEST, BLOCK, WIDTHS = 3, 256, (512, 1 << 16)
 #: Words whose hashes a task remembers, and sets that it remembers having seen.
 KNOWN = 1 << 16
 
@@ -227,18 +235,102 @@ def _neighbours(labelled: DataFrame, past: int, most: int, least: float) -> Data
     return labelled.select("cell", "sig", "n", "at", "label").mapInArrow(run, "a long, b long").distinct()
 
 
-def _all_left(labelled: DataFrame, least: float) -> DataFrame:
-    """All candidates (a, b) of different labels: what isn't of its cell's commonest label, with the whole cell."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """Which of some buckets hold an odd number of the hashes: 4 to 8 bits for each of them, within ``WIDTHS``."""
+    bits = min(max(1 << (4 * len(hashes) - 1).bit_length(), WIDTHS[0]), WIDTHS[1])
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one length as words, folded to ``width`` bytes: what they would be with fewer buckets."""
+    m = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    return m if m.shape[1] * 8 == width else m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+
+
+def _mixed_cells(labelled: DataFrame) -> DataFrame:
+    """The rows of cells with several labels, cut, with ``odd`` (not of the cell's commonest label), and how many rows it has (``rows``)
+    and how many odd ones (``odds``)."""
     mixed = labelled.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cell")
     live = cut(labelled.join(mixed, "cell", "left_semi"))
-    by = live.groupBy("cell", "label").count().groupBy("cell").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    told = cut(live.join(by, "cell"))
-    x, y = told.where("label <> main").alias("x"), told.alias("y")
-    need = (F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - 1e-6
-    able = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.sig") < F.col("y.sig")))
-    able &= (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * least - 1e-6) & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need)
-    pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & able)
-    return pairs.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+    by = live.groupBy("cell", "label").count().groupBy("cell")
+    by = by.agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("rows"), F.max("count").alias("of_main"))
+    told = live.join(by, "cell")
+    return cut(told.select("cell", "sig", "n", "at", "label", (F.col("label") != F.col("main")).alias("odd"), "rows", (F.col("rows") - F.col("of_main")).alias("odds")))
+
+
+def _all_left(told: DataFrame, least: float) -> DataFrame:
+    """Candidates (a, b) of different labels: each odd row of ``_mixed_cells`` with all of its cell that sketches (``bits``) don't rule
+    out, or the ``most`` closest of each block. Rows of a cell are dealt in blocks, and each pair of blocks is one task's work."""
+
+    def blocks(rows: str, salt: str) -> tuple[Column, Column]:
+        n = F.ceil(F.col(rows) / BLOCK).cast("int")
+        return n, F.pmod(F.xxhash64(F.lit(salt), "sig"), n).cast("int")
+
+    (n_odd, own_odd), (n_all, own_all) = blocks("odds", "odd"), blocks("rows", "all")
+    kept = ["sig", "n", "at", "label", "odd", "most", "bits"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    partner = told.select("cell", every(n_odd).alias("x"), own_all.alias("y"), F.lit(True).alias("partner"), *kept)
+    asks = told.where("odd").select("cell", own_odd.alias("x"), every(n_all).alias("y"), F.lit(False).alias("partner"), *kept)
+
+    def close(unit: pa.RecordBatch) -> pa.RecordBatch | None:
+        cell, _, _, partner, sig, n, at, label, odd, most = (c.to_numpy(zero_copy_only=False) for c in unit.columns[:-1])
+        bits, width = unit.column(10), pc.binary_length(unit.column(10)).to_numpy(zero_copy_only=False)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for w in np.unique(width[~partner]).tolist():
+            i = np.flatnonzero(~partner & (width == w))
+            of_i = bits.take(pa.array(i)).to_pylist()
+            for v in (w // 2, w, 2 * w):  # sizes that differ more are not similar
+                j = np.flatnonzero(partner & (width == v))
+                if not len(j):
+                    continue
+                x, y = _folded(of_i, min(v, w)), _folded(bits.take(pa.array(j)).to_pylist(), min(v, w))
+                step = max(1, (1 << 19) // y.size)
+                for s in range(0, len(i), step):
+                    k, m = i[s : s + step, None], j[None]
+                    ok = (label[k] != label[m]) & fits(n, at, k, m, least) & (~odd[m] | (sig[k] < sig[m]))
+                    if not ok.any():
+                        continue
+                    differ = np.bitwise_count(x[s : s + step, None] ^ y[None]).sum(axis=2, dtype=np.int64)
+                    # sets differ in no fewer hashes than their sketches in buckets
+                    ok &= differ <= (n[k] + n[m]) * ((1 - least) / (1 + least)) + 4e-6
+                    r, c = np.nonzero(ok)
+                    found.append((i[s + r], j[c], differ[r, c] / (n[i[s + r]] + n[j[c]])))
+        if not found or not sum(len(f[0]) for f in found):
+            return None
+        i, j, far = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((sig[j], far, i))
+        i, j = i[order], j[order]
+        ok = np.arange(len(i)) - np.searchsorted(i, i) < most[i]
+        x, y = sig[i[ok]], sig[j[ok]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []  # of the last unit, which may go on in the next batch
+
+        def units(b: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+            nonlocal rest
+            if b is not None:
+                rest.append(b)
+            if not rest:
+                return
+            b = pa.Table.from_batches(rest).combine_chunks().to_batches()[0] if len(rest) > 1 else rest[0]
+            cell, x, y = (c.to_numpy(zero_copy_only=False) for c in b.columns[:3])
+            starts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist(), len(cell)]
+            rest = [b.slice(starts[-2])]
+            for s, e in zip(starts[:-2], starts[1:-1], strict=True):
+                yield b.slice(s, e - s)
+
+        for b in batches:
+            if b.num_rows:
+                yield from filter(None, map(close, units(b)))
+        for b in rest:
+            if (out := close(b)) is not None:
+                yield out
+        trim()
+
+    n = int(told.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = partner.unionByName(asks).repartition(n, "cell", "x", "y").sortWithinPartitions("cell", "x", "y")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, shingle: int, least: float, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, DataFrame, DataFrame]:
@@ -274,36 +366,55 @@ def similar(docs: DataFrame, shingle: int, least: float, distance: int = DISTANC
             yield batch()
         _done()
 
+    def sketches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sets_of(batches):
+            values, ends = b.column(1).values.to_numpy().view(np.uint64), b.column(1).offsets.to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(values[s:e]) for s, e in pairwise(ends)], pa.binary())], names=["sig", "bits"])
+
+    def texts_of(sigs: DataFrame) -> DataFrame:
+        """A text of each of the sets."""
+        named = cut(sigs.distinct())
+        of_named = cut(nodes.join(_small(named, named.count()), "sig", "left_semi").select(F.col("own.id").alias("_id"), F.col("own.k").alias("_k")))
+        few = keyed.join(_small(of_named, of_named.count()), keyed[id_col].eqNullSafe(F.col("_id")) & (keyed[key] == F.col("_k")), "left_semi")
+        return few.select(text_col)
+
     tried: list[DataFrame] = []
 
     def verified(pairs: DataFrame) -> DataFrame | None:
         """The pairs (a, b) whose sets are as similar as ``least``; only the sets that they name are made again and shuffled. Pairs
         that were here before are left out; without any other, None."""
-        for before in tried:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
         pairs = cut(pairs)
         if pairs.isEmpty():
             return None
         tried.append(pairs)
-        named = cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "sig"))
-        of_named = cut(nodes.join(_small(named, named.count()), "sig", "left_semi").select(F.col("own.id").alias("_id"), F.col("own.k").alias("_k")))
-        few = keyed.join(_small(of_named, of_named.count()), keyed[id_col].eqNullSafe(F.col("_id")) & (keyed[key] == F.col("_k")), "left_semi")
-        sets = few.select(text_col).mapInArrow(sets_of, "sig long, hashes array<long>").dropDuplicates(["sig"])
+        sets = texts_of(pairs.select("a").union(pairs.select("b")).withColumnRenamed("a", "sig")).mapInArrow(sets_of, "sig long, hashes array<long>").dropDuplicates(["sig"])
         both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y")), "b")
         return both.where(F.size(F.array_intersect("x", "y")) * (1 + least) >= (F.size("x") + F.size("y")) * least - 2e-6).select("a", "b")
 
     found = verified(own.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
     roots = components(nodes.limit(0).select(F.col("sig").alias("a"), F.col("sig").alias("b")) if found is None else found)
     shared, past = _shared(keyed, text_col, shingle, least, counts), 0
-    for most in (*NEIGHBOURS, None):
+
+    def linked(found: DataFrame | None) -> DataFrame:
+        return roots if found is None else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+
+    for most in NEIGHBOURS:
         shared = _untried(shared, past)
         if shared.isEmpty():
             break
-        labelled = _labelled(shared, roots)
-        found = verified(_neighbours(labelled, past, most, least) if most else _all_left(labelled, least))
-        if found is not None:
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-        past = most or past
+        roots, past = linked(verified(_neighbours(_labelled(shared, roots), past, most, least))), most
+    shared, sketches = _untried(shared, past), None
+    for most in (CLOSEST, (1 << 31) - 1):
+        told = _mixed_cells(_labelled(shared, roots))
+        if told.isEmpty():
+            break
+        if sketches is None:  # later rounds have no other sets
+            sketches = cut(texts_of(told.select("sig")).mapInArrow(sketches_of, "sig long, bits binary").dropDuplicates(["sig"]))
+            size = sketches.agg(F.sum(F.length("bits"))).first()[0]
+        drawn = told.join(_small(sketches, size // 32), "sig").withColumn("most", F.lit(most))
+        roots = linked(verified(_all_left(drawn, least)))
     joined = nodes.join(roots, nodes["sig"] == roots["node"], "left").select("sig", "own", F.coalesce("root", "sig").alias("root"))
     return keyed, key, rows, joined
 

@@ -30,7 +30,6 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -274,16 +273,17 @@ def _all_left(told: DataFrame, least: float) -> DataFrame:
 
     def close(unit: pa.RecordBatch) -> pa.RecordBatch | None:
         cell, _, _, partner, sig, n, at, label, odd, most = (c.to_numpy(zero_copy_only=False) for c in unit.columns[:-1])
-        bits, width = unit.column(10), pc.binary_length(unit.column(10)).to_numpy(zero_copy_only=False)
+        bits = unit.column(10).to_pylist()
+        width = np.array([len(b) for b in bits])
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for w in np.unique(width[~partner]).tolist():
             i = np.flatnonzero(~partner & (width == w))
-            of_i = bits.take(pa.array(i)).to_pylist()
+            of_i = [bits[k] for k in i.tolist()]
             for v in (w // 2, w, 2 * w):  # sizes that differ more are not similar
                 j = np.flatnonzero(partner & (width == v))
                 if not len(j):
                     continue
-                x, y = _folded(of_i, min(v, w)), _folded(bits.take(pa.array(j)).to_pylist(), min(v, w))
+                x, y = _folded(of_i, min(v, w)), _folded([bits[k] for k in j.tolist()], min(v, w))
                 step = max(1, (1 << 19) // y.size)
                 for s in range(0, len(i), step):
                     k, m = i[s : s + step, None], j[None]
